@@ -8,12 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, token_counts
+from paperloom.llm import bpe, decontaminate, oracles, secrets, token_counts
 from paperloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -23,8 +31,8 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-_QUERIES: dict[str, Query] = {q.__name__: q for q in (op7_token_counts, op10_bpe_round_trip)}
-_SQL: dict[str, str] = {}
+_QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_decontaminate, op2_secrets, op7_token_counts, op10_bpe_round_trip)}
+_SQL: dict[str, str] = {"op1_decontaminate": oracles.OP1}
 
 
 def queries() -> dict[str, Query]:
