@@ -55,3 +55,47 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(n + length('<|turn|><|text|><|end|>') + 1) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+OP4 = r"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url,
+    CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, url, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+), m AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/de/8%' THEN 'example.net/de/8'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/7%' THEN 'example.com/en/7'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/en/%' THEN 'com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/de/%' THEN 'net/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/es/%' THEN 'org/es/' END AS rule FROM h
+), r AS (
+  SELECT *, row_number() OVER () AS id, CASE WHEN rule IN ('example.net/de/8', 'com/en/', 'org/es/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled,
+    '^^' || regexp_replace(regexp_replace(lower(replace(url, '^', '~')), '[0-9]', '0', 'g'), '[^a-z0./\-_:?=&%#@+~]', '~', 'g') AS f FROM m
+), c AS (
+  SELECT id, ruled, f[k:k] AS a, f[k + 1:k + 1] AS b, f[k + 2:k + 2] AS s FROM r, unnest(range(1, length(f) - 1)) AS t(k)
+), abc AS (
+  SELECT ruled AS kind, a, b, s, CAST(count(*) AS DOUBLE) AS n FROM c WHERE ruled IS NOT NULL GROUP BY ALL
+), ab AS (SELECT kind, a, b, sum(n) AS n_ab, count(*) AS k_ab FROM abc GROUP BY ALL
+), bs AS (SELECT kind, b, s, sum(n) AS n_bs FROM abc GROUP BY ALL
+), b1 AS (SELECT kind, b, sum(n_bs) AS n_b, count(*) AS k_b FROM bs GROUP BY ALL
+), s1 AS (SELECT kind, s, sum(n_bs) AS n_s FROM bs GROUP BY ALL
+), z AS (SELECT kind, coalesce(sum(n_s), 0) AS n_z, count(n_s) AS k_z FROM (VALUES ('allow'), ('block')) AS v(kind) LEFT JOIN s1 USING (kind) GROUP BY ALL
+), cell AS (
+  SELECT a, b, s, kind,
+    (coalesce(n_s, 0) + k_z / 41.0 + 1.0 / 41) / (n_z + k_z + 1.0) AS p0, n_bs, n_b, k_b, abc.n AS n, n_ab, k_ab
+  FROM (SELECT DISTINCT a, b, s FROM c) AS d CROSS JOIN z LEFT JOIN s1 USING (kind, s) LEFT JOIN bs USING (kind, b, s) LEFT JOIN b1 USING (kind, b)
+    LEFT JOIN abc USING (kind, a, b, s) LEFT JOIN ab USING (kind, a, b)
+), p1 AS (SELECT *, CASE WHEN n_b > 0 THEN (coalesce(n_bs, 0) + k_b * p0) / (n_b + k_b) ELSE p0 END AS q1 FROM cell
+), p2 AS (SELECT a, b, s, kind, ln(CASE WHEN n_ab > 0 THEN (coalesce(n, 0) + k_ab * q1) / (n_ab + k_ab) ELSE q1 END) AS l FROM p1
+), ratio AS (SELECT a, b, s, sum(CASE WHEN kind = 'allow' THEN l ELSE -l END) AS d FROM p2 GROUP BY ALL
+), score AS (SELECT id, round(avg(d), 9) AS score FROM c JOIN ratio USING (a, b, s) GROUP BY id
+), cal AS (
+  SELECT avg(score) FILTER (ruled = 'allow') AS ma, avg(score) FILTER (ruled = 'block') AS mb,
+    greatest(coalesce(stddev_pop(score) FILTER (ruled = 'allow'), 0), 1e-6) AS sa, greatest(coalesce(stddev_pop(score) FILTER (ruled = 'block'), 0), 1e-6) AS sb
+  FROM r JOIN score USING (id) WHERE ruled IS NOT NULL
+), th AS (SELECT coalesce(round((ma * sb + mb * sa) / (sa + sb), 9), 0) AS threshold FROM cal)
+SELECT page_id, host, path, rule,
+  coalesce(ruled, CASE WHEN coalesce(score, 0) >= threshold THEN 'allow' ELSE 'block' END) AS verdict
+FROM r LEFT JOIN score USING (id) CROSS JOIN th
+"""
