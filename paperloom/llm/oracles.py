@@ -99,3 +99,15 @@ SELECT page_id, host, path, rule,
   coalesce(ruled, CASE WHEN coalesce(score, 0) >= threshold THEN 'allow' ELSE 'block' END) AS verdict
 FROM r LEFT JOIN score USING (id) CROSS JOIN th
 """
+
+OP6 = """
+WITH p AS (
+  SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < first_id THEN first_id END AS refers_to
+FROM m
+"""

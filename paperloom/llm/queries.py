@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, chat, decontaminate, oracles, secrets, token_counts, topk, url_filter
+from paperloom.llm import bpe, chat, decontaminate, oracles, secrets, token_counts, topk, url_filter, warc
 from paperloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -47,8 +51,8 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-_QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_decontaminate, op2_secrets, op3_top_k, op4_url_filter, op7_token_counts, op9_chat_format, op10_bpe_round_trip)}
-_SQL: dict[str, str] = {"op1_decontaminate": oracles.OP1, "op3_top_k": oracles.OP3, "op4_url_filter": oracles.OP4, "op9_chat_format": oracles.OP9}
+_QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_decontaminate, op2_secrets, op3_top_k, op4_url_filter, op6_warc, op7_token_counts, op9_chat_format, op10_bpe_round_trip)}
+_SQL: dict[str, str] = {"op1_decontaminate": oracles.OP1, "op3_top_k": oracles.OP3, "op4_url_filter": oracles.OP4, "op6_warc": oracles.OP6, "op9_chat_format": oracles.OP9}
 
 
 def queries() -> dict[str, Query]:
