@@ -111,3 +111,22 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id < first_id THEN first_id END AS refers_to
 FROM m
 """
+
+OP8 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[][] WHEN len(w) < 5 THEN [w]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: list_slice(w, k, k + 4))) END) AS s FROM d
+), h AS (SELECT doc_id, md5(array_to_string(s, chr(1))) AS s FROM g
+), n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM h x JOIN h y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+), e AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)
+), r(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id WHERE e.b > r.root
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) USING (doc_id)
+"""
