@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, chat, decontaminate, jaccard, oracles, secrets, token_counts, topk, url_filter, warc
+from paperloom.llm import bpe, chat, decontaminate, jaccard, oracles, secrets, token_counts, topk, toxicity, url_filter, warc
 from paperloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -55,7 +59,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-_QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_decontaminate, op2_secrets, op3_top_k, op4_url_filter, op6_warc, op7_token_counts, op8_jaccard_join, op9_chat_format, op10_bpe_round_trip)}
+_QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_decontaminate, op2_secrets, op3_top_k, op4_url_filter, op5_toxicity, op6_warc, op7_token_counts, op8_jaccard_join, op9_chat_format, op10_bpe_round_trip)}
 _SQL: dict[str, str] = {"op1_decontaminate": oracles.OP1, "op3_top_k": oracles.OP3, "op4_url_filter": oracles.OP4, "op6_warc": oracles.OP6, "op8_jaccard_join": oracles.OP8, "op9_chat_format": oracles.OP9}
 
 
