@@ -25,7 +25,8 @@ from paperloom.llm.common import materialise, small_batches
 
 SAMPLE_ROWS = 20_000
 LEXICON_WORDS = 150
-LEAST_DOCUMENTS = 3
+#: A lexicon word stands in so many toxic documents at least, and in this share of them.
+LEAST_DOCUMENTS, LEAST_SHARE = 3, 0.01
 THRESHOLD = 0.3
 NEAR_WORDS = 4
 
@@ -224,7 +225,7 @@ def learn_lexicon(rows: DataFrame) -> dict[bytes, float]:
     odds = F.ln((F.col("t") + 0.5) / (total.t + 1)) - F.ln((F.col("c") + 0.5) / (total.c + 1))
     # evidence: log-odds less what chance gives a rare word
     odds = odds - F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    top = counts.filter(F.octet_length("word") > 0).filter(F.col("t") >= LEAST_DOCUMENTS).withColumn("odds", odds).filter("odds > 0.3").orderBy(F.desc("odds"), "word").limit(LEXICON_WORDS)
+    top = counts.filter(F.octet_length("word") > 0).filter(F.col("t") >= max(LEAST_DOCUMENTS, LEAST_SHARE * total.t)).withColumn("odds", odds).filter("odds > 0.3").orderBy(F.desc("odds"), "word").limit(LEXICON_WORDS)
     return {bytes(r.word): float(r.odds) for r in top.collect()}
 
 
