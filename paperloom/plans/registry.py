@@ -35,3 +35,10 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def _load() -> None:
+    from paperloom.plans import text_queries  # noqa: F401
+
+
+_load()
