@@ -12,7 +12,7 @@ ERA = 1911
 def era_date(text: Column) -> Column:
     """YYYMMDD of the local calendar as a date, null if there is no such day."""
     year = (F.substring(text, 1, 3).try_cast("int") + ERA).cast("string")
-    return F.when(text.rlike("^[0-9]{7}$"), F.try_to_date(F.concat_ws("-", F.lpad(year, 4, "0"), F.substring(text, 4, 2), F.substring(text, 6, 2)), F.lit("yyyy-MM-dd")))
+    return F.when(text.rlike("^[0-9]{7}$"), F.try_to_date(F.concat_ws("-", F.lpad(year, 4, "0"), F.substring(text, 4, 2), F.substring(text, 6, 2)), "yyyy-MM-dd"))
 
 
 def flexible_date(text: Column) -> Column:
@@ -21,7 +21,7 @@ def flexible_date(text: Column) -> Column:
     parts = F.when(s.rlike(r"^\s*\d{1,4}\s*-\s*\d{1,2}\s*-\s*\d{1,2}\s*$"), F.split(s, "-")).when(s.rlike(r"^\s*\d{1,4}\s*/\s*\d{1,2}\s*/\s*\d{1,2}\s*$"), F.split(s, "/"))
     number = lambda k: F.trim(F.get(parts, F.lit(k))).try_cast("int")
     year = F.when(number(0) < ERA, number(0) + ERA).otherwise(number(0))
-    return F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(number(1).cast("string"), 2, "0"), F.lpad(number(2).cast("string"), 2, "0")), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(number(1).cast("string"), 2, "0"), F.lpad(number(2).cast("string"), 2, "0")), "yyyy-MM-dd")
 
 
 def hex_amount(text: Column) -> Column:
