@@ -36,7 +36,7 @@ BROADCAST_ROWS = 1_000_000
 #: Frequent shingles that the global order puts last: a bound of 8 bytes each on what every worker holds.
 FREQUENT_ROWS = 200_000
 CHUNK_TOKENS = 4_000_000
-LEADER_TOKENS = 4
+LEADER_TOKENS = 8
 BUCKET_POSTINGS = 400_000
 #: A frequent shingle's list is cut into parts of about so many sets, and each pair of parts is a bucket of its own.
 PART_SETS = 30_000
@@ -228,11 +228,10 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def leader_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b): each representative with the leader (the smallest) that it shares most of its lowest hashes with."""
+    """(a, b): each representative with the smallest one of each list of its lowest hashes."""
     lowest = nodes.select("node", F.explode("lowest").alias("token"))
     leaders = lowest.groupBy("token").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = lowest.join(leaders, "token").filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
-    return shared.groupBy("node").agg(F.max_by("leader", F.struct(F.col("n"), -F.col("leader"))).alias("b")).select(F.col("node").alias("a"), "b")
+    return lowest.join(leaders, "token").filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
 
 
 # ---- the index
@@ -393,15 +392,12 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reps = materialise(classes.select("node").filter("node IS NOT NULL").distinct(), "reps")
     nodes = materialise(representatives(docs, bounded(reps), frequent), "nodes")
 
-    near = materialise(leader_pairs(nodes), "leaders")
+    near = materialise(plausible(leader_pairs(nodes), nodes), "leaders")
     near = materialise(verify(near, docs), "links")
-    # a leader may itself follow one; the end of that step is the component as the index sees it
-    one, two = near.select(F.col("a").alias("node"), F.col("b").alias("up")), near.select(F.col("a").alias("up"), F.col("b").alias("top"))
-    comp = materialise(one.join(two, "up", "left").select("node", F.coalesce("top", "up").alias("up")), "comps")
-    comp = bounded(comp)
+    comp = bounded(components(near).withColumnRenamed("root", "up"))
     placed = nodes.join(comp, "node", "left").select("node", "n", F.coalesce("up", "node").alias("comp"), "prefix")
     total = nodes.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // BUCKET_POSTINGS) + 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // BUCKET_POSTINGS) + 1)
     pairs = materialise(candidates(postings(placed, buckets, frequent)), "candidates")
     far = materialise(plausible(pairs, nodes), "plausible")
     far = verify(far, docs)
