@@ -35,15 +35,18 @@ WORDS = 5
 BROADCAST_ROWS = 1_000_000
 #: Frequent shingles that the global order puts last: a bound of 8 bytes each on what every worker holds.
 FREQUENT_ROWS = 200_000
+#: Tokens that a task counts together, and in how many of its distinct sets one must stand to be reported.
 CHUNK_TOKENS = 4_000_000
+LEAST_SEEN = 3
 LEADER_TOKENS = 8
 BUCKET_POSTINGS = 400_000
 #: A frequent shingle's list is cut into parts of about so many sets, and each pair of parts is a bucket of its own.
 PART_SETS = 30_000
-FLUSH_POSTINGS = 2_000_000
+FLUSH_POSTINGS = 1_000_000
 PAIR_SLICE = 2_000_000
 SKETCH_BITS = 512
 
+TOP = np.uint64(1 << 63)
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 with np.errstate(over="ignore"):
@@ -135,7 +138,7 @@ def profiles(docs: DataFrame) -> DataFrame:
 
         def frequent() -> pa.RecordBatch:
             tokens, seen = np.unique(np.concatenate(held), return_counts=True)
-            often = seen >= 4
+            often = seen >= LEAST_SEEN
             n = int(often.sum())
             return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(tokens[often].view(np.int64)), pa.array(seen[often].astype(np.int64))], names=NAMES)
 
@@ -174,7 +177,8 @@ def representatives(docs: DataFrame, reps: DataFrame, frequent) -> DataFrame:
     """(node, n, lowest, sketch, prefix) of each class's representative; the prefix is in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = frequent.value[0]
+        last, seen = frequent.value
+        seen = np.minimum(seen, 2**31 - 1).astype(np.uint64)
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
             for node, text in zip(ids, batch.column(1).cast(pa.binary()).to_pylist()):
@@ -184,8 +188,9 @@ def representatives(docs: DataFrame, reps: DataFrame, frequent) -> DataFrame:
                 n = len(tokens)
                 order = tokens >> np.uint64(1)
                 if len(last):
+                    # rare shingles by hash, then the frequent ones by how often they were seen, the most frequent last
                     at = np.minimum(np.searchsorted(last, tokens), len(last) - 1)
-                    order = order | ((last[at] == tokens).astype(np.uint64) << np.uint64(63))
+                    order = np.where(last[at] == tokens, TOP | (seen[at] << np.uint64(32)) | (tokens >> np.uint64(32)), order)
                 p = n - (3 * n + 3) // 4 + 1
                 first = np.argpartition(order, p - 1)[:p] if p < n else np.arange(n)
                 prefix = tokens[first[np.argsort(order[first], kind="stable")]]
