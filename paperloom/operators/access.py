@@ -127,3 +127,15 @@ def expiring_days(expires: Column, now: Column) -> Column:
 def cleanup_allowed(candidates: int, enabled: int, share: float = 0.2) -> bool:
     """A clean-up stops if it would touch more than a share of the enabled accounts."""
     return candidates <= int(enabled * share)
+
+
+def user_view(users: DataFrame, view: str, scanned: bool, now: Column, days: int = 14) -> DataFrame:
+    """active, directory, missing, dir_disabled, pwd_expiring; nobody is missing before a full scan has run."""
+    views = {
+        "active": F.col("enabled"),
+        "directory": F.col("source") == "directory",
+        "missing": (F.col("source") == "directory") & F.col("missing_since").isNotNull() & F.lit(scanned),
+        "dir_disabled": F.coalesce(F.col("dir_disabled"), F.lit(False)),
+        "pwd_expiring": expiring_days(F.col("pwd_expires"), now).between(0, days),
+    }
+    return users.filter(F.coalesce(views[view], F.lit(False)))

@@ -115,3 +115,25 @@ def expand_references(profile: DataFrame, key: str = "key", value: str = "value"
         named = profile.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
         out = out.join(named, (target == F.col("_k")) & (F.col("_k") != out[key]), "left").select(key, F.coalesce(F.nullif("_v", F.lit("")), value).alias(value))
     return out
+
+
+def declared_attachments(docs: DataFrame, actual: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, declared, actual, mismatch): the highest attachment number named, in digits or Chinese numerals up to ten."""
+    numerals = F.create_map(*[F.lit(x) for kv in zip("一二三四五六七八九十", range(1, 11)) for x in kv])
+    found = F.regexp_extract_all(docs[text_col], F.lit(r"附件\s*([0-9]{1,3}|[一二三四五六七八九十])"), 1)
+    declared = F.coalesce(F.array_max(F.transform(found, lambda v: F.coalesce(v.try_cast("int"), F.element_at(numerals, v)))), F.lit(0))
+    return docs.select(docs[id_col], declared.alias("declared"), actual.alias("actual")).withColumn("mismatch", (F.col("declared") > 0) & (F.abs(F.col("declared") - F.col("actual")) > 1))
+
+
+def expiring(dates: DataFrame, today: Column, days: int, column: str = "day") -> DataFrame:
+    """Days to come before the deadline; past ones aren't reported."""
+    return dates.filter((F.col(column) > today) & (F.col(column) < F.date_add(today, days)))
+
+
+def dashboard(cases: DataFrame, findings: DataFrame, since: Column) -> DataFrame:
+    """(kind, value, n): cases by state and findings by category, of cases since a time; average score in tenths."""
+    fresh = cases.filter(F.col("created_at") >= since)
+    by_state = fresh.groupBy("status").agg(F.count("*").alias("n")).select(F.lit("status").alias("kind"), F.col("status").alias("value"), "n")
+    top = findings.join(fresh.select("case_id"), "case_id").groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(10)
+    score = fresh.agg(F.round(F.avg("score") * 10).cast("long").alias("n")).select(F.lit("score_tenths").alias("kind"), F.lit("avg").alias("value"), "n")
+    return by_state.union(top.select(F.lit("category"), "category", "n")).union(score)
