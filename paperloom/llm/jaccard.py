@@ -42,8 +42,8 @@ LEADER_TOKENS = 8
 BUCKET_POSTINGS = 400_000
 #: A frequent shingle's list is cut into parts of about so many sets, and each pair of parts is a bucket of its own.
 PART_SETS = 30_000
-FLUSH_POSTINGS = 1_000_000
-PAIR_SLICE = 2_000_000
+FLUSH_POSTINGS = 500_000
+PAIR_SLICE = 400_000
 SKETCH_BITS = 512
 
 TOP = np.uint64(1 << 63)
@@ -137,10 +137,14 @@ def profiles(docs: DataFrame) -> DataFrame:
         size = 0
 
         def frequent() -> pa.RecordBatch:
-            tokens, seen = np.unique(np.concatenate(held), return_counts=True)
-            often = seen >= LEAST_SEEN
-            n = int(often.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(tokens[often].view(np.int64)), pa.array(seen[often].astype(np.int64))], names=NAMES)
+            tokens = np.concatenate(held)
+            held.clear()
+            tokens.sort()
+            # a token stands LEAST_SEEN times in a row where it equals the one so many places on
+            often = np.unique(tokens[: 1 - LEAST_SEEN][tokens[: 1 - LEAST_SEEN] == tokens[LEAST_SEEN - 1 :]])
+            seen = np.searchsorted(tokens, often, "right") - np.searchsorted(tokens, often, "left")
+            n = len(often)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(often.view(np.int64)), pa.array(seen.astype(np.int64))], names=NAMES)
 
         for batch in batches:
             sets = [shingles(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
@@ -154,7 +158,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=NAMES)
             if size >= CHUNK_TOKENS:
                 yield frequent()
-                held, size = [], 0
+                size = 0
                 known.clear()
         if held:
             yield frequent()
@@ -315,9 +319,9 @@ def pairs_in_bucket(token: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np
     while done < len(token):
         stop = max(done + 1, int(np.searchsorted(np.cumsum(count[done:]), PAIR_SLICE, "right")) + done)
         c = count[done:stop]
-        for piece in range(0, max(1, int(c.sum())), 4 * PAIR_SLICE):  # a single entry's run may be longer than a slice
-            flat = np.arange(piece, min(int(c.sum()), piece + 4 * PAIR_SLICE))
-            upto = np.cumsum(c)
+        upto = np.cumsum(c)
+        for piece in range(0, max(1, int(c.sum())), PAIR_SLICE):  # a single entry's run may be longer than a slice
+            flat = np.arange(piece, min(int(c.sum()), piece + PAIR_SLICE))
             own = np.searchsorted(upto, flat, "right")
             i = done + own
             j = run_end[i] + flat - (upto[own] - c[own])
