@@ -246,13 +246,13 @@ def leader_pairs(nodes: DataFrame) -> DataFrame:
 # ---- the index
 
 
-def postings(nodes: DataFrame, buckets: int, frequent) -> DataFrame:
-    """(bucket, tokens, nodes, comps, sizes, places): packed postings of the prefixes."""
+def postings(nodes: DataFrame, buckets: int, frequent, part_sets: int = PART_SETS) -> DataFrame:
+    """(bucket, tokens, nodes, comps, sizes, places): packed postings of the prefixes; long lists are cut into parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = frequent.value
-        split = np.flatnonzero(seen > PART_SETS)
-        wide, parts = last[split], -(-seen[split] // PART_SETS)
+        split = np.flatnonzero(seen > part_sets)
+        wide, parts = last[split], -(-seen[split] // part_sets)
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 

@@ -95,6 +95,22 @@ def test_bucket_pairs_by_brute_force(monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("part_sets", [3, 10, 10**6])
+def test_long_lists_cut_into_parts_lose_no_pair(spark, part_sets):
+    rng = np.random.default_rng(6)
+    common = rng.integers(0, 2**63, 4).astype(np.uint64)
+    rows = []
+    for k in range(40):
+        own = rng.integers(0, 2**63, 3).astype(np.uint64)
+        rows.append((k, 100, k // 2, np.concatenate([own, common[rng.random(4) < 0.7]]).tobytes()))
+    nodes = spark.createDataFrame([(a, b, c, bytearray(d)) for a, b, c, d in rows], "node long, n long, comp long, prefix binary").repartition(3)
+    tokens = np.sort(common)
+    frequent = spark.sparkContext.broadcast((tokens, np.full(4, 40)))
+    got = {(r.a, r.b) for r in jaccard.candidates(jaccard.postings(nodes, 7, frequent, part_sets)).collect()}
+    prefix = {r[0]: set(np.frombuffer(r[3], np.uint64).tolist()) for r in rows}
+    assert got == {(a, b) for a, b in combinations(range(40), 2) if a // 2 != b // 2 and prefix[a] & prefix[b]}
+
+
 def test_sketches_never_rule_out_a_link():
     rng = np.random.default_rng(4)
     for _ in range(200):
