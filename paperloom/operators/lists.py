@@ -1,7 +1,7 @@
 """The ordered line-list algebra on (doc_id, pos, line): position is data, every operator keeps it explicit.
 
-Lists of different documents are independent, so every window is partitioned by document, and several operators in a row
-share one shuffle.
+Lists of different documents are independent, so every window is partitioned by document, and windows in a row share one
+shuffle; a dedup combines partial results before its own.
 """
 
 from __future__ import annotations
