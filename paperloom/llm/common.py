@@ -36,11 +36,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a step that is no longer read, in whichever file system it lies."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def forget(*steps: DataFrame) -> None:
+    """Remove written steps that nothing reads any more, in whichever file system they lie."""
+    for step in steps:
+        jvm = step.sparkSession.sparkContext._jvm
+        for folder in {f.rpartition("/")[0] for f in step.inputFiles()[:1]}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(step.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:

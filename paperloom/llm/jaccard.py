@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import materialise, small_batches
+from paperloom.llm.common import forget, materialise, small_batches
 
 WORDS = 5
 #: Rows (of one or two 64-bit keys) up to which a side is broadcast; beyond it the same join shuffles.
@@ -370,6 +370,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for nodes of a written edge table (a, b); large-star, then small-star."""
+    own = False  # the caller's edges stay
     while True:
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
@@ -380,6 +381,8 @@ def components(edges: DataFrame) -> DataFrame:
         hung = down.join(low, down.a == low.u)
         small = hung.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
         small = materialise(small, "stars")
+        forget(large, *[edges] * own)
+        own = True
         # a star forest is reached when every node hangs on one root that hangs on none
         stars = small.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b"))
         open_ends = small.join(small.select(F.col("a").alias("inner")).distinct(), F.col("b") == F.col("inner"), "left_semi")
@@ -401,18 +404,20 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reps = materialise(classes.select("node").filter("node IS NOT NULL").distinct(), "reps")
     nodes = materialise(representatives(docs, bounded(reps), frequent), "nodes")
 
-    near = materialise(plausible(leader_pairs(nodes), nodes), "leaders")
-    near = materialise(verify(near, docs), "links")
+    leaders = materialise(plausible(leader_pairs(nodes), nodes), "leaders")
+    near = materialise(verify(leaders, docs), "links")
+    forget(leaders)
     comp = bounded(components(near).withColumnRenamed("root", "up"))
     placed = nodes.join(comp, "node", "left").select("node", "n", F.coalesce("up", "node").alias("comp"), "prefix")
     total = nodes.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // BUCKET_POSTINGS) + 1)
     pairs = materialise(candidates(postings(placed, buckets, frequent)), "candidates")
     far = materialise(plausible(pairs, nodes), "plausible")
-    far = verify(far, docs)
-    links = materialise(near.union(far), "links")
+    links = materialise(near.union(verify(far, docs)), "links")
+    forget(nodes, pairs, far, near, reps)
 
     roots = components(links)
+    forget(links)
     named = classes.join(roots, "node", "left").select(F.col("sig").alias("of"), F.coalesce("root", "node").alias("component"))
     out = rows.join(named, rows.sig == F.col("of"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
