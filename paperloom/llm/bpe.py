@@ -30,7 +30,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 CUT = re.compile(r"(?<=\S) (?=\S)")
 RARE_SPACE = re.compile(r"[^\S \n]")
 #: Entries that a worker's cache holds before it is emptied.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 250_000
 GROUP_TEXTS = 256
 #: Words of up to so many bytes are merged together, a batch at a time.
 SHORT_BYTES = 256

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import forget, materialise, small_batches
+from paperloom.llm.common import forget, materialise, small_batches, trim
 
 WORDS = 5
 #: Rows (of one or two 64-bit keys) up to which a side is broadcast; beyond it the same join shuffles.
@@ -162,6 +162,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                 known.clear()
         if held:
             yield frequent()
+        trim()
 
     return docs.mapInArrow(run, "doc_id long, n long, sig binary, token long, seen long")
 
@@ -202,6 +203,7 @@ def representatives(docs: DataFrame, reps: DataFrame, frequent) -> DataFrame:
             if rows:
                 node, n, lowest, sketches, prefixes = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(lowest, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.binary())], names=["node", "n", "lowest", "sketch", "prefix"])
+        trim()
 
     chosen = docs.join(reps, docs.doc_id == reps.node, "left_semi")
     return chosen.mapInArrow(run, "node long, n long, lowest array<long>, sketch binary, prefix binary")
@@ -231,6 +233,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
             fits = [linked(shingles(a), tokens(b)) for a, b in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist())]
             yield batch.select([0, 1]).filter(pa.array(fits, pa.bool_()))
+        trim()
 
     both = left.join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(run, "a long, b long").distinct()
@@ -295,6 +298,8 @@ def postings(nodes: DataFrame, buckets: int, frequent, part_sets: int = PART_SET
                 held, size = [], 0
         if held:
             yield flush()
+            held = []
+        trim()
 
     return nodes.select("node", "n", "comp", "prefix").mapInArrow(run, "bucket long, tokens binary, nodes binary, comps binary, sizes binary, places binary")
 
@@ -346,7 +351,10 @@ def candidates(packed: DataFrame) -> DataFrame:
         if len(found) > 1:
             both = np.unique(np.stack([a, b], axis=1), axis=0)
             a, b = both[:, 0], both[:, 1]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        out = pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        del token, node, comp, n, place, found, table
+        trim()
+        return out
 
     return packed.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 

@@ -28,7 +28,7 @@ HEAVY_SHARE = 4096
 #: Rows of the broadcast table at most, and characters of a pre-token in it: under 4 MB.
 TABLE_ROWS = 32_768
 TABLE_CHARS = 24
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 COUNTS = "doc_id long, n_bytes long, n_tokens long"
 RUNS = re.compile(r" *[^ ]+| +$")
 
