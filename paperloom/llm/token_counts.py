@@ -73,9 +73,9 @@ def pretokens(text: str) -> list[str]:
     return [run[1:] for run in RUNS.findall(" " + text)]
 
 
-@functools.cache
-def lengths(path: str, token: int, table: tuple) -> PretokenLengths:
-    """One cache for each worker process, vocabulary and broadcast table."""
+@functools.lru_cache(maxsize=1)
+def lengths(path: str, table: tuple) -> PretokenLengths:
+    """The worker process's cache, for one vocabulary and broadcast table at a time."""
     return PretokenLengths(path, dict(table))
 
 
@@ -108,7 +108,7 @@ def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     table = df.sparkSession.sparkContext.broadcast(tuple((r.pretoken, library[r.pretoken]) for r in top))
 
     def make():
-        known = lengths(vocabulary, table._jid if hasattr(table, "_jid") else 0, table.value)
+        known = lengths(vocabulary, table.value)
 
         def work(ids, texts):
             counts = [known.count(t.decode("utf-8", "replace")) if t else 0 for t in texts]
