@@ -45,14 +45,19 @@ def split_prefix(line: Column) -> Column:
 
 
 def corrected_lines(original: DataFrame, corrected: DataFrame, by: str, order: str = "pos", text: str = "line", share: float = 0.3) -> DataFrame:
-    """Corrections line by line: a page whose line count differs much keeps its own, as does a line that changed too much."""
+    """Corrections line by line: a page whose line count differs much keeps its own, as does a line whose count of characters does.
+
+    Space is not counted; a line that is blank on one side only, or blank on both and not the same, stays.
+    """
     o = original.select(by, order, F.col(text).alias("own"))
     c = corrected.select(by, order, F.col(text).alias("new"))
     limits = o.groupBy(by).agg(F.count("*").alias("n")).join(c.groupBy(by).agg(F.count("*").alias("m")), by, "left")
     fits = limits.filter(F.abs(F.col("n") - F.coalesce("m", F.lit(0))) <= F.greatest(F.lit(2.0), share * F.col("n"))).select(by, F.lit(True).alias("_fits"))
     joined = o.join(c, [by, order], "left").join(fits, by, "left")
-    distance = F.levenshtein("own", "new")
-    keep = F.col("_fits").isNull() | F.col("new").isNull() | (distance > F.greatest(F.lit(2.0), share * F.length("own")))
+    size = lambda c: F.length(F.regexp_replace(c, r"(?U)\s+", ""))
+    own, new = size("own"), size("new")
+    emptied = (F.least(own, new) == 0) & (F.col("own") != F.col("new"))
+    keep = F.col("_fits").isNull() | F.col("new").isNull() | emptied | (F.abs(own - new) > F.greatest(F.lit(2.0), share * own))
     return joined.select(by, order, F.when(keep, F.col("own")).otherwise(F.col("new")).alias(text), (~keep).alias("corrected"))
 
 

@@ -52,6 +52,15 @@ def corrected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.corrected_lines(own, own.withColumn("line", F.regexp_replace("line", "the", "The")), "doc_id")
 
 
+@query("corrected_lines_all", rf"""
+WITH {LINES}, n AS (SELECT *, regexp_replace(line, 'the', 'The', 'g') AS new FROM lined), c AS (SELECT *, length(regexp_replace(line, '\s', '', 'g')) AS a, length(regexp_replace(new, '\s', '', 'g')) AS b FROM n)
+SELECT doc_id, pos, CASE WHEN abs(a - b) > greatest(2.0, 0.3 * a) THEN line ELSE new END AS line, abs(a - b) <= greatest(2.0, 0.3 * a) AS corrected FROM c""")
+def corrected_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As corrected_lines, over lines of any length."""
+    own = lists.explode_lines(table(spark, sf_dir, "documents"))
+    return segments.corrected_lines(own, own.withColumn("line", F.regexp_replace("line", "the", "The")), "doc_id")
+
+
 @query("html_escapes", r"""
 SELECT page_id, length(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;')) AS escaped,
   length(replace(regexp_replace(html, '[\r\n]+', ' ', 'g'), '|', '\|')) AS markdown FROM pages""")

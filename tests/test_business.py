@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import business as B
 from paperloom.functions import text as T
-from paperloom.operators import access, audit, consistency, invoices, jobs, layout, receipts, registry
+from paperloom.operators import access, audit, consistency, invoices, jobs, layout, receipts, registry, segments
+from paperloom.plans import registry as plans
 
 REGISTRY = [
     ("11111111", "節省工具有限公司", "台北市大同區", "王小明", "有限公司", None, "超級市場"),
@@ -106,3 +107,19 @@ def test_references(spark):
 def test_details_cap(spark):
     df = spark.createDataFrame([('{"a": 1, "b": [1, 2, 3]}',), ("{}",)], "d string")
     assert [r[0] for r in df.select(audit.capped_details("d", 10)).collect()] == ['{"a":"1","_truncated":"true"}', "{}"]
+
+
+def test_corrections_compare_character_counts(spark):
+    own = [(1, 0, "the old line " * 100), (1, 1, "kept as it is"), (1, 2, "a b"), (1, 3, "x y z"), (1, 4, "ab")]
+    new = [(1, 0, "THE NEW LINE " * 100), (1, 1, "kept"), (1, 2, "a  b c d"), (1, 3, "xyz" + " " * 40), (1, 4, " ")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, pos long, line string")
+    got = segments.corrected_lines(frame(own), frame(new), "doc_id").orderBy("pos").collect()
+    assert [r.corrected for r in got] == [True, False, True, True, False]
+    assert [r.line for r in got] == [new[0][2], own[1][2], new[2][2], new[3][2], own[4][2]]
+
+
+def test_corrections_reach_lines_of_any_length(spark, tmp_path):
+    text = "the short line\n" + "the long line " * 50
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = plans.queries()["corrected_lines_all"](spark, str(tmp_path)).orderBy("pos").collect()
+    assert [r.line for r in got] == text.replace("the", "The").split("\n")
