@@ -2,7 +2,7 @@
 
 A value behind a credential word is segmented at least cost into words, dates, repeats, keyboard walks and brute-force
 spans; the guesses of the cheapest segmentation decide whether it is a secret or a placeholder. Such spans are of kind
-``guess`` and are added where no base span lies.
+``guess`` and are added beside the base spans, unless those cover the whole value.
 
 Null text counts as empty. Texts without secrets have zero counts, and the digest of the empty string. Repeated rows give
 repeated rows. Offsets are code points, ends exclusive.
@@ -10,6 +10,7 @@ repeated rows. Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import math
@@ -129,15 +130,24 @@ KINDS = ("assign", "access", "hex", "guess")
 
 
 def guess_spans(text: str, raw: bytes, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Credential-context values whose cheapest segmentation costs enough guesses, beside the spans already taken."""
+    """Credential-context values whose cheapest segmentation costs enough guesses, if the (sorted) spans taken don't cover them wholly."""
     low = raw.lower()
     if not any(w in low for w in CONTEXT_WORDS):
         return []
     found = []
+    runs: list[list[int]] = []  # of taken spans that overlap or touch
+    for a, _, b in taken:
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    starts = [a for a, _ in runs]
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".,;:)]}|*#&%")
         start, end = m.start(1), m.start(1) + len(value)
-        if len(value) >= VALUE_CHARS and not any(a < end and start < b for a, _, b in taken) and log_guesses(value) >= LEAST_LOG_GUESSES:
+        k = bisect.bisect_right(starts, start)
+        covered = k and end <= runs[k - 1][1]
+        if len(value) >= VALUE_CHARS and not covered and log_guesses(value) >= LEAST_LOG_GUESSES:
             found.append((start, 3, end))
     return found
 

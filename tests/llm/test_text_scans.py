@@ -138,6 +138,16 @@ def test_guess_spans_are_added(spark):
     assert [r.spans for r in secrets.scan(df).orderBy("doc_id").collect()] == ["guess:5:21", ""]
 
 
+def test_values_that_go_on_behind_a_base_span(spark):
+    run = "0123456789abcdef" * 2
+    texts = ["password: Tr0ub4dor1&3xyz!Qw9 end", f"pwd: X9#{run}#Zq!7 end", f"pwd={run} end", "password: Tr0ub4dor13xyz end", "x&!token: ab12cd34#Ef!56gh"]
+    df = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    spans = [r.spans for r in secrets.scan(df).orderBy("doc_id").collect()]
+    assert spans == ["assign:0:20,guess:10:29", "guess:5:45,hex:8:40", "hex:4:36", "assign:0:24", "assign:3:18,guess:10:26"]
+    clean = [r.text for r in secrets.redact(df).orderBy("doc_id").collect()]
+    assert clean == ["[SECRET] end", "pwd: [SECRET] end", "pwd=[SECRET] end", "[SECRET] end", "x&![SECRET]"]
+
+
 def test_redaction_keeps_columns_and_rows(spark):
     df = spark.createDataFrame([(k, t, "s", len(t or "")) for k, t in enumerate(SECRET_TEXTS)], "doc_id long, text string, source string, n_chars long")
     out = secrets.redact(df)
