@@ -47,6 +47,13 @@ def test_trees_and_calibration_learn():
     assert (np.diff(knots) >= 0).all() and (np.diff(shares) >= 0).all()
 
 
+def test_lexicon_is_the_same_however_rows_are_dealt(spark):
+    texts = [("you scum licence", 1, False)] * 12 + [("a clean licence", 0, False)] * 12 + [("other clean words", 0, False)] * 6
+    rows = spark.createDataFrame(texts, "text string, toxic int, calibrates boolean")
+    one, many = toxicity.learn_lexicon(rows.coalesce(1)), toxicity.learn_lexicon(rows.repartition(48))
+    assert one == many and set(one) == {b"you", b"scum"}
+
+
 def test_obfuscated_words_are_features():
     lexicon = {b"idiot": 2.0}
     plain, hidden = toxicity.features(b"you are an idiot", lexicon), toxicity.features(b"you are an 1d1ot", lexicon)
