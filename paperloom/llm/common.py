@@ -6,21 +6,27 @@ import contextlib
 import ctypes
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Steps written by each driver thread.
+_own = threading.local()
+
 #: Arrow batches stay small: a document may be megabytes long.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; our own only where the session names none (as in tests)."""
+    """The folder that driver and executors share; our own only where a local session names none (as in tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         named = os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -35,16 +41,39 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write to the shared folder and read again: lineage is cut and a lost executor costs no recomputation."""
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
+    _written().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(*steps: DataFrame) -> None:
+def _written() -> list[str]:
+    return _own.__dict__.setdefault("paths", [])
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(*frames: DataFrame) -> None:
     """Remove written steps that nothing reads any more, in whichever file system they lie."""
-    for step in steps:
-        jvm = step.sparkSession.sparkContext._jvm
-        for folder in {f.rpartition("/")[0] for f in step.inputFiles()[:1]}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(step.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for frame in frames:
+        for folder in {f.rpartition("/")[0] for f in frame.inputFiles()[:1]}:
+            _remove(frame.sparkSession, folder)
+
+
+def steps() -> int:
+    """How many steps this thread has written; for ``forget_since``."""
+    return len(_written())
+
+
+def forget_since(count: int, *kept: DataFrame) -> None:
+    """Remove all steps that this thread has written since then, but for those that the kept frames read."""
+    names = {f.rpartition("/")[0].rpartition("/")[2] for frame in kept for f in frame.inputFiles()}
+    paths = _written()
+    for path in paths[count:]:
+        if path.rpartition("/")[2] not in names:
+            _remove(kept[0].sparkSession, path)
+    del paths[count:]
 
 
 def trim() -> None:

@@ -1,34 +1,41 @@
 """N-gram Jaccard join by set relations: which documents share at least three quarters of their word shingles?
 
-A document's set holds its distinct five-word shingles (the whole sequence, if it has fewer words), as 64-bit hashes.
-Two sets link when 100 * intersection >= 75 * union. The join is exact and goes from cheap relations to costly ones:
+A document's set holds its distinct five-word shingles (the whole sequence, if it has fewer words). Two sets link when
+100 * intersection >= 75 * union. The join goes from cheap relations to costly ones:
 
 1. equal sets form a class; one representative stands for it (copies are never paired);
-2. answers by relation: a set that shares its lowest hashes with a leader is verified against that leader alone, and from
-   then on has the leader's component; sets of one component need no further answers from each other;
-3. the index: each representative posts the prefix of its set in a global order (frequent shingles last), with position,
-   size and component. Lists are cut into groups by bucket; within a list whole runs are skipped that have the same
-   component, can't fit by size, or stand at a position behind which too little is left;
-4. candidate pairs across components are bounded from above by parity sketches, the rest verified on whole texts;
-5. components of all verified links are found by alternating star contractions.
-
-No pair of documents with different texts that links is lost; order and leaders only decide how much is skipped.
-
-Null, empty and blank texts have empty sets, link with nothing and are their own component. A row without doc_id takes
-the component of rows with an equal set, else null. Repeated rows are copies. An empty table gives no rows.
+2. close sets: a set that shares its lowest hashes with a leader is held against that leader alone. One with
+   8 * intersection >= 7 * union to a head belongs to the head's cluster. Jaccard distance is a metric, so all sets of a
+   cluster link with one another: their answers follow from the head's, no pair of them is looked at;
+3. the index: a cluster posts each token of its members' prefixes (in a global order, frequent shingles last) once, with
+   the least size and the farthest reach of the members that hold it. Lists are sorted by size and cut into blocks with
+   bounds of reach and component; whole blocks that no pair can fit are skipped, and so are pairs of one component;
+4. answers of heads: sketches rule pairs of heads out, the rest are intersected. What a member answers is derived from
+   its head's answer: by the distances alone where these decide, else from the head's intersection and the tokens by
+   which the member differs from the head. Only what is then still open is held against each other set by set;
+5. components of all links are found by alternating star contractions.
+
+Shingles are 64-bit hashes of word hashes, mixed after each word; a wrong link takes colliding hashes within one pair of
+documents. No pair of documents with different texts that links is lost: order, leaders and clusters only decide how much
+is skipped.
+
+Null, empty and blank texts have empty sets, link with nothing and are their own component. A row without doc_id is
+compared like any other; its component is the smallest doc_id reached, null if there is none. Repeated rows are copies;
+different texts under one doc_id are different sets. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import forget, materialise, small_batches, trim
+from paperloom.llm.common import forget, forget_since, materialise, small_batches, steps, trim
 
 WORDS = 5
 #: Rows (of one or two 64-bit keys) up to which a side is broadcast; beyond it the same join shuffles.
@@ -40,57 +47,76 @@ CHUNK_TOKENS = 4_000_000
 LEAST_SEEN = 3
 LEADER_TOKENS = 8
 BUCKET_POSTINGS = 400_000
-#: A frequent shingle's list is cut into parts of about so many sets, and each pair of parts is a bucket of its own.
+#: A frequent shingle's list is cut into parts of about so many clusters, and each pair of parts is a bucket of its own.
 PART_SETS = 30_000
 FLUSH_POSTINGS = 500_000
-PAIR_SLICE = 400_000
+#: Entries of a block of a list, and pairs of an entry and a block that are looked at together.
+BLOCK = 32
+PAIR_SLICE = 200_000
 SKETCH_BITS = 512
+#: Pairs of one set that are dealt to one task, where sets are moved to their pairs.
+HOT_PAIRS = 500
+#: Distances are compared with this margin, so that rounding never decides.
+MARGIN = 1e-9
 
-TOP = np.uint64(1 << 63)
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
-with np.errstate(over="ignore"):
-    #: A 64-bit value for each byte: a fixed sequence, mixed.
-    _mixed = (np.arange(1, 257, dtype=np.uint64)) * np.uint64(0xD1342543DE82EF95)
-    _mixed ^= _mixed >> np.uint64(29)
-    BYTE_VALUES = _mixed * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
-    _powers = np.ones(1, dtype=np.uint64)
-    _inverses = np.ones(1, dtype=np.uint64)
-    INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 2**64))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2^64, kept and grown by doubling."""
-    global _powers, _inverses
-    with np.errstate(over="ignore"):
-        while len(_powers) < n:
-            _inverses = np.concatenate([_inverses, _inverses * (_inverses[-1] * INVERSE)])
-            _powers = np.concatenate([_powers, _powers * (_powers[-1] * MULTIPLIER)])
-    return _powers, _inverses
+#: Words of more bytes are hashed one by one.
+LANE_BYTES = 64
+STEP, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers in which each bit depends on each."""
+    x = (x ^ (x >> np.uint64(30))) * MIX_A
+    x = (x ^ (x >> np.uint64(27))) * MIX_B
+    return x ^ (x >> np.uint64(31))
+
+
+def stir(x: np.ndarray, y: np.ndarray) -> None:
+    """Mix y into x in place: a bijection of x for each y, and of y for each x."""
+    x ^= y
+    x *= MIX_A
+    x ^= x >> np.uint64(32)
+    x *= STEP
+    x ^= x >> np.uint64(29)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word: eight bytes after the other are mixed in, for all words at once."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    data = b"".join(words) + bytes(8)
+    start = np.cumsum(size) - size
+    lanes = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    found = size.astype(np.uint64)
+    stir(found, lanes[start] & MASKS[np.minimum(size, 8)])
+    rows, done = np.flatnonzero((size > 8) & (size <= LANE_BYTES)), 8
+    while len(rows):
+        part = found[rows]
+        stir(part, lanes[start[rows] + done] & MASKS[np.minimum(size[rows] - done, 8)])
+        found[rows] = part
+        done += 8
+        rows = rows[size[rows] > done]
+    for k in np.flatnonzero(size > LANE_BYTES).tolist():
+        found[k] = int.from_bytes(blake2b(words[k], digest_size=8).digest(), "little")
+    return found
 
 
 def shingles(text: bytes | None) -> np.ndarray:
-    """The distinct shingle hashes of a text, ascending: hashes of the words joined by single spaces."""
+    """The distinct shingle hashes of a text, ascending."""
     words = (text or b"").translate(LOWER).split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    data = np.frombuffer(b" ".join(words), dtype=np.uint8)
-    power, inverse = powers(len(data) + 1)
     with np.errstate(over="ignore"):
-        sums = np.empty(len(data) + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum(BYTE_VALUES[data] * power[: len(data)], out=sums[1:])
-        spaces = np.flatnonzero(data == 32)
-        if len(words) <= WORDS:
-            starts, ends = np.zeros(1, dtype=np.int64), np.array([len(data)])
-        else:
-            starts = np.concatenate([[0], spaces[: len(words) - WORDS] + 1])
-            ends = np.concatenate([spaces[WORDS - 1 :], [len(data)]])
-        found = (sums[ends] - sums[starts]) * inverse[starts]
-        found ^= found >> np.uint64(32)
-        found *= np.uint64(0x94D049BB133111EB)
-        found ^= found >> np.uint64(29)
-    return np.unique(found)
+        hashes = word_hashes(words)
+        n = min(WORDS, len(words))
+        found = np.full(len(words) - n + 1, n, dtype=np.uint64)
+        for k in range(n):
+            stir(found, hashes[k : len(words) - n + 1 + k])
+    found.sort()
+    return found[np.r_[True, found[1:] != found[:-1]]]
 
 
 def signature(tokens: np.ndarray) -> bytes:
@@ -103,21 +129,26 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.packbits((np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def may_link(n_a: int, sketch_a: bytes, n_b: int, sketch_b: bytes) -> bool:
-    """False only if the sets can't link: differing parity bits are a lower bound of the symmetric difference."""
+def may_link(n_a: int, sketch_a: bytes, n_b: int, sketch_b: bytes, distance: float = 0.25) -> bool:
+    """False only if the sets are farther apart: differing parity bits are a lower bound of the symmetric difference."""
     a, b = np.unpackbits(np.frombuffer(sketch_a, np.uint8)), np.unpackbits(np.frombuffer(sketch_b, np.uint8))
     while len(a) > len(b):
         a = a[: len(a) // 2] ^ a[len(a) // 2 :]
     while len(b) > len(a):
         b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return 7 * int(np.count_nonzero(a != b)) <= n_a + n_b
+    apart = max(int(np.count_nonzero(a != b)), abs(n_a - n_b))
+    return 2 * apart <= (distance + MARGIN) * (n_a + n_b + apart)
+
+
+def held(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which members of b the ascending set a holds."""
+    if not len(a):
+        return np.zeros(len(b), dtype=bool)
+    return a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    if not len(a) or not len(b) or 4 * min(len(a), len(b)) < 3 * max(len(a), len(b)):
-        return False
-    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-    return 7 * int(np.count_nonzero(a[at] == b)) >= 3 * (len(a) + len(b))
+def linked(n_a: int, n_b: int, common: int) -> bool:
+    return common > 0 and 100 * common >= 75 * (n_a + n_b - common)
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -125,49 +156,73 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def hot_keys(counts: DataFrame) -> DataFrame:
+    """(end, hot, parts), written: keys with many rows and the number of tasks to deal them to, from counts (end, key, n)."""
+    return materialise(counts.filter(F.col("n") > HOT_PAIRS).select("end", F.col("key").alias("hot"), F.ceil(F.col("n") / HOT_PAIRS).cast("int").alias("parts")), "hot")
+
+
+def join_hot(left: DataFrame, side: DataFrame, key: str, other: str, hot: DataFrame) -> DataFrame:
+    """left ⋈ side on ``key``; rows of a hot key are dealt to several tasks by the column ``other`` of the left."""
+    small, parts = bounded(hot.filter(F.col("end") == key).drop("end")), F.coalesce("parts", F.lit(1))
+    dealt = left.join(small, F.col(key) == F.col("hot"), "left").withColumn("salt", F.pmod(F.xxhash64(other), parts).cast("int")).drop("hot", "parts")
+    copied = side.join(small, F.col(key) == F.col("hot"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("hot", "parts")
+    return dealt.join(copied, [key, "salt"]).drop("salt")
+
+
+def join_ends(pairs: DataFrame, side: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs (a, b, …), a written table, with the side's columns for the nodes at both ends, named column_a and column_b."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.lit("a").alias("end"), F.col("a").alias("key")), F.struct(F.lit("b").alias("end"), F.col("b").alias("key")))).alias("x"))
+    hot = hot_keys(ends.groupBy("x.end", "x.key").agg(F.count("*").alias("n")))
+    is_hot, out = not hot.isEmpty(), pairs
+    for end, other in ("ab", "ba"):
+        own = side.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns))
+        out = join_hot(out, own, end, other, hot) if is_hot else out.join(own, end)
+    return out
+
+
 # ---- profiles
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, sig) of every row, and (token, seen) for shingles that many distinct sets of a task hold."""
+    """(doc_id, mark, n, sig) of every row, and (token, seen) for shingles that many distinct sets of a task hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
-        held: list[np.ndarray] = []
+        kept: list[np.ndarray] = []
         size = 0
 
         def frequent() -> pa.RecordBatch:
-            tokens = np.concatenate(held)
-            held.clear()
+            tokens = np.concatenate(kept)
+            kept.clear()
             tokens.sort()
             # a token stands LEAST_SEEN times in a row where it equals the one so many places on
             often = np.unique(tokens[: 1 - LEAST_SEEN][tokens[: 1 - LEAST_SEEN] == tokens[LEAST_SEEN - 1 :]])
             seen = np.searchsorted(tokens, often, "right") - np.searchsorted(tokens, often, "left")
             n = len(often)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(often.view(np.int64)), pa.array(seen.astype(np.int64))], names=NAMES)
+            return pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(3)), pa.nulls(n, pa.binary()), pa.array(often.view(np.int64)), pa.array(seen.astype(np.int64))], names=NAMES)
 
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            sets = [shingles(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             sigs = [signature(s) if len(s) else None for s in sets]
             for s, sig in zip(sets, sigs):
                 if sig and sig not in known:
                     known.add(sig)
-                    held.append(s)
+                    kept.append(s)
                     size += len(s)
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=NAMES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=NAMES)
             if size >= CHUNK_TOKENS:
                 yield frequent()
                 size = 0
                 known.clear()
-        if held:
+        if kept:
             yield frequent()
         trim()
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, token long, seen long")
+    return docs.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, n long, sig binary, token long, seen long")
 
 
-NAMES = ["doc_id", "n", "sig", "token", "seen"]
+NAMES = ["doc_id", "mark", "n", "sig", "token", "seen"]
 
 
 def frequent_tokens(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -178,90 +233,161 @@ def frequent_tokens(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], rows.column("seen").to_numpy()[order]
 
 
-def representatives(docs: DataFrame, reps: DataFrame, frequent) -> DataFrame:
-    """(node, n, lowest, sketch, prefix) of each class's representative; the prefix is in the global order."""
+def set_classes(rows: DataFrame) -> DataFrame:
+    """(sig, node, doc_id, mark, copies): each class's number and the row that stands for it, with that row's repeats."""
+    once = rows.filter("sig IS NOT NULL").groupBy("sig", "doc_id", "mark").agg(F.count("*").alias("copies"))
+    first = once.groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "copies")).alias("first"))
+    return first.select("sig", F.monotonically_increasing_id().alias("node"), "first.doc_id", "first.mark", "first.copies")
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text), once for each row of ``wanted``, a written table of classes."""
+    out = None
+    for part, many in ((wanted.filter("copies = 1"), False), (wanted.filter("copies > 1"), True)):
+        if many and part.isEmpty():
+            continue
+        of = bounded(part.select("node", F.col("doc_id").alias("of"), F.col("mark").alias("of_mark")))
+        found = docs.join(of, (docs.mark == of.of_mark) & docs.doc_id.eqNullSafe(of.of)).select("node", "text")
+        found = found.dropDuplicates(["node"]) if many else found
+        out = found if out is None else out.union(found)
+    return out
+
+
+def representatives(texts: DataFrame, frequent) -> DataFrame:
+    """(node, n, lowest, sketch, prefix) of each class; the prefix is in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = frequent.value
-        seen = np.minimum(seen, 2**31 - 1).astype(np.uint64)
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
-            for node, text in zip(ids, batch.column(1).cast(pa.binary()).to_pylist()):
+            rows = []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 tokens = shingles(text)
-                if not len(tokens):
-                    continue
                 n = len(tokens)
-                order = tokens >> np.uint64(1)
+                p = n - (3 * n + 3) // 4 + 1
+                prefix = tokens[:p]
                 if len(last):
                     # rare shingles by hash, then the frequent ones by how often they were seen, the most frequent last
                     at = np.minimum(np.searchsorted(last, tokens), len(last) - 1)
-                    order = np.where(last[at] == tokens, TOP | (seen[at] << np.uint64(32)) | (tokens >> np.uint64(32)), order)
-                p = n - (3 * n + 3) // 4 + 1
-                first = np.argpartition(order, p - 1)[:p] if p < n else np.arange(n)
-                prefix = tokens[first[np.argsort(order[first], kind="stable")]]
+                    often = last[at] == tokens
+                    prefix = tokens[~often][:p]
+                    if len(prefix) < p:
+                        many = tokens[often]
+                        prefix = np.concatenate([prefix, many[np.argsort(seen[at[often]], kind="stable")][: p - len(prefix)]])
                 rows.append((node, n, tokens[:LEADER_TOKENS].view(np.int64), sketch(tokens), prefix.tobytes()))
             if rows:
                 node, n, lowest, sketches, prefixes = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(lowest, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.binary())], names=["node", "n", "lowest", "sketch", "prefix"])
         trim()
 
-    chosen = docs.join(reps, docs.doc_id == reps.node, "left_semi")
-    return chosen.mapInArrow(run, "node long, n long, lowest array<long>, sketch binary, prefix binary")
+    return texts.mapInArrow(run, "node long, n long, lowest array<long>, sketch binary, prefix binary")
 
 
-# ---- verification on whole texts
+# ---- intersections
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of a written table of pairs (a, b), those whose texts link. Only texts of the pairs' documents are moved."""
-    small_batches(pairs.sparkSession)
-    hinted = bounded(pairs)
-    left = docs.join(hinted, docs.doc_id == hinted.a).select("a", "b", F.col("text").alias("text_a"))
-    ends = bounded(materialise(pairs.select(F.col("b").alias("end")).distinct(), "ends"))
-    right = docs.join(ends, docs.doc_id == ends.end, "left_semi").select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+def token_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, tokens) of the given nodes, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[bytes, np.ndarray] = {}
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["node", "tokens"])
+        trim()
+
+    wanted = materialise(classes.join(nodes.distinct(), "node", "left_semi").select("node", "doc_id", "mark", "copies"), "wanted")
+    sets = materialise(texts_of(docs, wanted).mapInArrow(run, "node long, tokens binary"), "sets")
+    forget(wanted)
+    return sets
+
 
-            def tokens(text: bytes, known=known) -> np.ndarray:
-                if (found := known.get(text)) is None:
-                    if len(known) > 256:
-                        known.clear()
-                    found = known[text] = shingles(text)
-                return found
+def intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, …), a written table, with n_a, n_b, common and distance; close ones (8 * common >= 7 * union)
+    also with the tokens that a lost and gained against b."""
+    names = pairs.columns
 
-            fits = [linked(shingles(a), tokens(b)) for a, b in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist())]
-            yield batch.select([0, 1]).filter(pa.array(fits, pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for x, y in zip(batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist()):
+                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = held(b, a)
+                common = int(np.count_nonzero(shared))
+                union = len(a) + len(b) - common
+                close = 8 * common >= 7 * union
+                rows.append((len(a), len(b), common, 1 - common / union, b[~held(a, b)].tobytes() if close else None, a[~shared].tobytes() if close else None))
+            if rows:
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], names=[*names, "n_a", "n_b", "common", "distance", "lost", "gained"])
         trim()
 
-    both = left.join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a long, b long").distinct()
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+    both = join_ends(pairs, sets, ["tokens"]).select(*names, "tokens_a", "tokens_b")
+    return both.mapInArrow(run, f"{kinds}, n_a long, n_b long, common long, distance double, lost binary, gained binary")
+
+
+LINKED = "common > 0 AND 100 * common >= 75 * (n_a + n_b - common)"
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b, reach), a written table, that their sketches don't show to be farther apart than ``reach``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("n_a", "sketch_a", "n_b", "sketch_b", "reach")]
+            yield batch.select(["a", "b", "reach"]).filter(pa.array([may_link(*x) for x in zip(*columns)], pa.bool_()))
+
+    both = join_ends(pairs, nodes.select("node", "n", "sketch"), ["n", "sketch"])
+    return both.select("a", "b", "reach", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(run, "a long, b long, reach double")
 
 
 def leader_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b): each representative with the smallest one of each list of its lowest hashes."""
+    """(a, b, reach): each representative with the smallest one of each list of its lowest hashes."""
     lowest = nodes.select("node", F.explode("lowest").alias("token"))
-    leaders = lowest.groupBy("token").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return lowest.join(leaders, "token").filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    leaders = materialise(lowest.groupBy("token").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1"), "lists")
+    if leaders.count() <= BROADCAST_ROWS:
+        met = lowest.join(F.broadcast(leaders.drop("n")), "token")
+    else:
+        met = join_hot(lowest, leaders.drop("n"), "token", "node", hot_keys(leaders.select(F.lit("token").alias("end"), F.col("token").alias("key"), "n")))
+    return met.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"), F.lit(0.25).alias("reach")).distinct()
+
+
+def cluster_homes(near: DataFrame) -> DataFrame:
+    """(node, head, distance, lost, gained): the nearest head that a node is close to; a head is close to no leader itself."""
+    close = near.filter("lost IS NOT NULL")
+    inner = close.select(F.col("a").alias("inner")).distinct()
+    best = close.join(inner, F.col("b") == F.col("inner"), "left_anti").groupBy("a").agg(F.min(F.struct("distance", "b", "lost", "gained")).alias("best"))
+    return best.select(F.col("a").alias("node"), F.col("best.b").alias("head"), "best.distance", "best.lost", "best.gained")
 
 
 # ---- the index
 
 
-def postings(nodes: DataFrame, buckets: int, frequent, part_sets: int = PART_SETS) -> DataFrame:
-    """(bucket, tokens, nodes, comps, sizes, places): packed postings of the prefixes; long lists are cut into parts."""
+def merge_postings(token: np.ndarray, head: np.ndarray, comp: np.ndarray, n: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One entry for each token and cluster, ascending: the least size and the farthest reach of its members."""
+    order = np.lexsort((head, token))
+    token, head, comp, n, reach = (x[order] for x in (token, head, comp, n, reach))
+    at = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (head[1:] != head[:-1])]) if len(token) else np.zeros(0, np.int64)
+    if len(at) == len(token):
+        return token, head, comp, n, reach
+    return token[at], head[at], comp[at], np.minimum.reduceat(n, at), np.maximum.reduceat(reach, at)
+
+
+def postings(placed: DataFrame, buckets: int, frequent, part_sets: int = PART_SETS) -> DataFrame:
+    """(bucket, tokens, heads, comps, sizes, reaches): packed postings of the clusters; long lists are cut into parts.
+
+    ``reach`` of a token at place p of the prefix of a set of n is 4n - 7p: two sets that meet first at this token can only
+    link if three times the size of each is within the reach of the other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = frequent.value
         split = np.flatnonzero(seen > part_sets)
         wide, parts = last[split], -(-seen[split] // part_sets)
-        held: list[tuple[np.ndarray, ...]] = []
+        waiting: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            token, node, comp, n, place = (np.concatenate(x) for x in zip(*held))
-            bucket = ((token >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            token, head, comp, n, reach = merge_postings(*(np.concatenate(x) for x in zip(*waiting)))
+            bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             if len(wide):
                 at = np.minimum(np.searchsorted(wide, token), len(wide) - 1)
                 hot = np.flatnonzero(wide[at] == token)
@@ -270,126 +396,194 @@ def postings(nodes: DataFrame, buckets: int, frequent, part_sets: int = PART_SET
                     k = parts[at[hot]]
                     copy = np.repeat(hot, k)
                     other = np.arange(len(copy)) - np.repeat(np.cumsum(k) - k, k)
-                    own = (node[copy] * 0x9E3779B1 >> 16) % np.repeat(k, k)
+                    own = mix(head[copy].view(np.uint64)).view(np.int64) % np.repeat(k, k)
                     low, high = np.minimum(own, other), np.maximum(own, other)
                     far = buckets + (token[copy] >> np.uint64(8)).astype(np.int64) * 65536 % (1 << 55) + low * 256 + high
                     keep = np.ones(len(token), dtype=bool)
                     keep[hot] = False
-                    token, node, comp, n, place, bucket = (np.concatenate([x[keep], x[copy]]) for x in (token, node, comp, n, place, bucket))
+                    token, head, comp, n, reach, bucket = (np.concatenate([x[keep], x[copy]]) for x in (token, head, comp, n, reach, bucket))
                     bucket[len(bucket) - len(copy) :] = far
-            order = np.lexsort((token, bucket))
-            token, node, comp, n, place, bucket = (x[order] for x in (token, node, comp, n, place, bucket))
+                    order = np.argsort(bucket, kind="stable")
+                    token, head, comp, n, reach, bucket = (x[order] for x in (token, head, comp, n, reach, bucket))
             names, starts = np.unique(bucket, return_index=True)
             cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)]))
-            columns = [pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (token, node, comp, n.astype(np.int32), place.astype(np.int32))]
-            return pa.RecordBatch.from_arrays([pa.array(names), *columns], names=["bucket", "tokens", "nodes", "comps", "sizes", "places"])
+            columns = [pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (token, head, comp, n.astype(np.int32), reach.astype(np.int32))]
+            return pa.RecordBatch.from_arrays([pa.array(names), *columns], names=["bucket", *PACKED])
 
         for batch in batches:
-            prefixes = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
+            prefixes = [np.frombuffer(x, np.uint64) for x in batch.column(4).to_pylist()]
             if not prefixes:
                 continue
             length = np.array([len(x) for x in prefixes])
             token = np.concatenate(prefixes)
             place = np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)
-            held.append((token, *(np.repeat(batch.column(k).to_numpy(), length) for k in (0, 2, 1)), place))
+            head, comp, n = (np.repeat(batch.column(k).to_numpy(), length) for k in (1, 2, 3))
+            waiting.append((token, head, comp, n, 4 * n - 7 * place))
             size += len(token)
             if size >= FLUSH_POSTINGS:
                 yield flush()
-                held, size = [], 0
-        if held:
+                waiting, size = [], 0
+        if waiting:
             yield flush()
-            held = []
+            waiting = []
         trim()
 
-    return nodes.select("node", "n", "comp", "prefix").mapInArrow(run, "bucket long, tokens binary, nodes binary, comps binary, sizes binary, places binary")
+    return placed.select("node", "head", "comp", "n", "prefix").mapInArrow(run, "bucket long, tokens binary, heads binary, comps binary, sizes binary, reaches binary")
+
+
+PACKED = {"tokens": np.uint64, "heads": np.int64, "comps": np.int64, "sizes": np.int32, "reaches": np.int32}
+
+
+class Blocks:
+    """Bounds of runs of BLOCK, BLOCK^2, … entries: the farthest reach, and the component if all have one (else -1)."""
+
+    def __init__(self, reach: np.ndarray, comp: np.ndarray) -> None:
+        self.reach, self.comp = [reach], [comp]
+        while len(self.reach[-1]) > BLOCK:
+            at = np.arange(0, len(self.reach[-1]), BLOCK)
+            low, high = np.minimum.reduceat(self.comp[-1], at), np.maximum.reduceat(self.comp[-1], at)
+            self.reach.append(np.maximum.reduceat(self.reach[-1], at))
+            self.comp.append(np.where(low == high, low, -1))
+
+    def find(self, i: np.ndarray, first: np.ndarray, end: np.ndarray, need: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(i, j): entries j of [first, end) with reach of at least ``need`` and another component than entry i.
+
+        Blocks that can't hold one are skipped whole; at most PAIR_SLICE blocks or so are looked at together.
+        """
+        yield from self._down(len(self.reach) - 1, i, first, end, need)
+
+    def _down(self, level: int, i: np.ndarray, first: np.ndarray, end: np.ndarray, need: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        width = BLOCK**level
+        low, count = first // width, -(-end // width) - first // width
+        upto, at = np.cumsum(count), 0
+        while at < len(i):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIR_SLICE, "right")))
+            c = count[at:stop]
+            own = np.repeat(np.arange(at, stop), c)
+            block = np.arange(len(own)) - np.repeat(np.cumsum(c) - c, c) + low[own]
+            fit = (self.reach[level][block] >= need[own]) & (self.comp[level][block] != self.comp[0][i[own]])
+            own, block = own[fit], block[fit]
+            if len(own) and level:
+                yield from self._down(level - 1, i[own], np.maximum(first[own], block * width), np.minimum(end[own], (block + 1) * width), need[own])
+            elif len(own):
+                yield i[own], block
+            at = stop
 
 
-def pairs_in_bucket(token: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of different components, each list's runs skipped by component, size and position."""
-    order = np.lexsort((n, comp, token))
-    token, node, comp, n, place = (x[order] for x in (token, node, comp, n, place))
+def pairs_in_bucket(token: np.ndarray, head: np.ndarray, comp: np.ndarray, n: np.ndarray, reach: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of clusters of different components; each list's blocks are skipped by size, place and component."""
+    token, head, comp, n, reach = merge_postings(token, head, comp, n, reach)
+    if not len(token):
+        return
     starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    ends = np.r_[starts[1:], len(token)]
     mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
-    keep = np.repeat(mixed, ends - starts)
+    keep = np.repeat(mixed, np.diff(np.r_[starts, len(token)]))
     if not keep.any():
         return
-    token, node, comp, n, place = (x[keep].astype(np.int64) if k else x[keep] for k, x in enumerate((token, node, comp, n, place)))
-    new_list = np.r_[True, token[1:] != token[:-1]]
-    new_run = new_list | np.r_[True, comp[1:] != comp[:-1]]
-    list_end = np.repeat(np.r_[np.flatnonzero(new_list)[1:], len(token)], np.diff(np.r_[np.flatnonzero(new_list), len(token)]))
-    run_end = np.repeat(np.r_[np.flatnonzero(new_run)[1:], len(token)], np.diff(np.r_[np.flatnonzero(new_run), len(token)]))
-    count = list_end - run_end
-    done = 0
-    while done < len(token):
-        stop = max(done + 1, int(np.searchsorted(np.cumsum(count[done:]), PAIR_SLICE, "right")) + done)
-        c = count[done:stop]
-        upto = np.cumsum(c)
-        for piece in range(0, max(1, int(c.sum())), PAIR_SLICE):  # a single entry's run may be longer than a slice
-            flat = np.arange(piece, min(int(c.sum()), piece + PAIR_SLICE))
-            own = np.searchsorted(upto, flat, "right")
-            i = done + own
-            j = run_end[i] + flat - (upto[own] - c[own])
-            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            left = 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1
-            fit = (4 * small >= 3 * large) & (7 * left >= 3 * (small + large))
-            a, b = np.minimum(node[i[fit]], node[j[fit]]), np.maximum(node[i[fit]], node[j[fit]])
-            if len(a):
-                both = np.unique(np.stack([a, b], axis=1), axis=0)
-                yield both[:, 0], both[:, 1]
-        done = stop
+    token, head, comp, n, reach = (x[keep] for x in (token, head, comp, n.astype(np.int64), reach.astype(np.int64)))
+    number = np.cumsum(np.r_[True, token[1:] != token[:-1]]) - 1
+    place = number << 33 | n
+    order = np.argsort(place, kind="stable")
+    number, place, head, comp, n, reach = (x[order] for x in (number, place, head, comp, n, reach))
+    # partners that are not smaller: up to a third of the entry's reach
+    first = np.arange(1, len(n) + 1)
+    end = np.searchsorted(place, number << 33 | np.maximum(reach // 3, 0), "right")
+    asks = np.flatnonzero(end > first)
+    for i, j in Blocks(reach, comp).find(asks, first[asks], end[asks], 3 * n[asks]):
+        both = np.unique(np.stack([np.minimum(head[i], head[j]), np.maximum(head[i], head[j])], axis=1), axis=0)
+        yield both[:, 0], both[:, 1]
 
 
 def candidates(packed: DataFrame) -> DataFrame:
-    """(a, b) of different components whose prefixes meet."""
-
-    def run(table: pa.Table) -> pa.Table:
-        kinds = {"tokens": np.uint64, "nodes": np.int64, "comps": np.int64, "sizes": np.int32, "places": np.int32}
-        token, node, comp, n, place = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in kinds.items())
-        found = list(pairs_in_bucket(token, node, comp, n, place))
-        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-        if len(found) > 1:
-            both = np.unique(np.stack([a, b], axis=1), axis=0)
-            a, b = both[:, 0], both[:, 1]
-        out = pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-        del token, node, comp, n, place, found, table
+    """(a, b) of clusters of different components whose prefixes meet; a task holds one bucket and a slice of its pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(rows: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+            for a, b in pairs_in_bucket(*(np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*rows), PACKED.values()))):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        bucket, rows = None, []
+        for batch in batches:
+            for name, *row in zip(*(batch.column(c).to_pylist() for c in ["bucket", *PACKED])):
+                if name != bucket and rows:
+                    yield from pairs(rows)
+                    rows = []
+                bucket = name
+                rows.append(row)
+        if rows:
+            yield from pairs(rows)
+            rows = []
         trim()
-        return out
 
-    return packed.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").distinct()
 
 
-def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs that their sketches don't rule out."""
-    sketches = nodes.select("node", "n", "sketch")
-    left = sketches.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    right = sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+def search_index(placed: DataFrame, nodes: DataFrame, radius: DataFrame | None, frequent) -> DataFrame:
+    """(a, b, reach), written: pairs of clusters of ``placed`` (node, head, comp, n, prefix) that may hold a link."""
+    spark = placed.sparkSession
+    total = placed.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // BUCKET_POSTINGS) + 1)
+    found = materialise(candidates(postings(placed, buckets, frequent)), "candidates")
+    reach = F.lit(0.25)
+    pairs = found
+    for end in "ab" if radius is not None else "":
+        pairs = pairs.join(bounded(radius.select(F.col("head").alias(end), F.col("radius").alias(f"radius_{end}"))), end, "left")
+        reach = reach + F.coalesce(f"radius_{end}", F.lit(0.0))
+    pairs = materialise(pairs.select("a", "b", reach.cast("double").alias("reach")), "reaches")
+    far = materialise(plausible(pairs, nodes), "plausible")
+    forget(found, pairs)
+    return far
+
+
+# ---- answers of members, derived from their heads'
+
+
+def member_answers(open_pairs: DataFrame, homes: DataFrame, radius: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, other, n_a, n_b, common, distance, spare) of members against the head of the other cluster.
+
+    A member's intersection is its head's, less the lost tokens that the other head holds, and with the gained ones. Members
+    that the distances rule out are left out; ``spare`` is how far the other cluster's members may stand off its head.
+    """
+    spare = radius.select(F.col("head").alias("other"), "radius")
+    ways = [open_pairs.select(F.col(x).alias("head"), F.col(y).alias("other"), F.col(f"n_{x}").alias("n_head"), F.col(f"n_{y}").alias("n_other"), F.col("common").alias("common_head"), F.col("distance").alias("apart")) for x, y in ("ab", "ba")]
+    asked = ways[0].union(ways[1]).join(bounded(spare), "other", "left").withColumn("spare", F.coalesce("radius", F.lit(0.0))).drop("radius")
+    members = asked.join(homes, "head").filter(F.col("apart") - F.col("distance") <= 0.25 + F.col("spare") + MARGIN)
+    rows = members.join(sets.select(F.col("node").alias("other"), "tokens"), "other").select("node", "other", "n_head", "n_other", "common_head", "spare", "lost", "gained", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("n_a", "sketch_a", "n_b", "sketch_b")]
-            yield batch.select(["a", "b"]).filter(pa.array([may_link(*x) for x in zip(*columns)], pa.bool_()))
+            out = []
+            for node, other, n_head, n_other, common, spare, lost, gained, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                less, more, of = (np.frombuffer(x, np.uint64) for x in (lost, gained, tokens))
+                n, common = n_head - len(less) + len(more), common - int(np.count_nonzero(held(of, less))) + int(np.count_nonzero(held(of, more)))
+                out.append((node, other, n, n_other, common, 1 - common / (n + n_other - common), spare))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["node", "other", "n_a", "n_b", "common", "distance", "spare"])
+        trim()
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "node long, other long, n_a long, n_b long, common long, distance double, spare double")
 
 
 # ---- components
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable, for nodes of a written edge table (a, b); large-star, then small-star."""
+    """(node, root): the smallest node reachable, for nodes of a written edge table (a, b); large-star, then small-star.
+
+    The minima are written before they are joined: the hub of a star is broadcast, or its rows are split by AQE.
+    """
     own = False  # the caller's edges stay
     while True:
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(low, both.a == low.u).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        low = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "minima")
+        large = both.join(bounded(low), both.a == low.u).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = materialise(large, "stars")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        hung = down.join(low, down.a == low.u)
-        small = hung.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+        least = materialise(down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"), "minima")
+        hung = down.join(bounded(least), down.a == least.u)
+        small = hung.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
         small = materialise(small, "stars")
-        forget(large, *[edges] * own)
+        forget(large, low, least, *[edges] * own)
         own = True
         # a star forest is reached when every node hangs on one root that hangs on none
         stars = small.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b"))
@@ -399,45 +593,88 @@ def components(edges: DataFrame) -> DataFrame:
         edges = small
 
 
-def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+# ---- the join
+
+
+def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written: rows (doc_id, mark, n, sig), and (sig, root, component_id) of every class of equal sets."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    began = steps()
     profile = materialise(profiles(docs), "profiles")
     frequent = spark.sparkContext.broadcast(frequent_tokens(profile))
-    rows = profile.filter("token IS NULL").select("doc_id", "n", "sig")
-    classes = rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("node"))
-    classes = materialise(classes, "classes")
-    reps = materialise(classes.select("node").filter("node IS NOT NULL").distinct(), "reps")
-    nodes = materialise(representatives(docs, bounded(reps), frequent), "nodes")
-
-    leaders = materialise(plausible(leader_pairs(nodes), nodes), "leaders")
-    near = materialise(verify(leaders, docs), "links")
-    forget(leaders)
-    comp = bounded(components(near).withColumnRenamed("root", "up"))
-    placed = nodes.join(comp, "node", "left").select("node", "n", F.coalesce("up", "node").alias("comp"), "prefix")
-    total = nodes.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // BUCKET_POSTINGS) + 1)
-    pairs = materialise(candidates(postings(placed, buckets, frequent)), "candidates")
-    far = materialise(plausible(pairs, nodes), "plausible")
-    links = materialise(near.union(verify(far, docs)), "links")
-    forget(nodes, pairs, far, near, reps)
+    rows = profile.filter("token IS NULL").select("doc_id", "mark", "n", "sig")
+    classes = materialise(set_classes(rows), "classes")
+    nodes = materialise(representatives(texts_of(docs, classes), frequent), "nodes")
+
+    pairs = materialise(leader_pairs(nodes), "leaders")
+    leaders = materialise(plausible(pairs, nodes), "plausible")
+    sets = token_sets(docs, classes, leaders.select(F.col("a").alias("node")).union(leaders.select("b")))
+    near = materialise(intersections(leaders, sets), "near")
+    forget(pairs, leaders, sets)
+    homes = materialise(cluster_homes(near), "homes")
+    radius = materialise(homes.groupBy("head").agg(F.max("distance").alias("radius")), "radius")
+    links = materialise(near.filter(LINKED).select("a", "b"), "links")
+    comp = bounded(components(links).withColumnRenamed("root", "up"))
+    placed = nodes.join(comp, "node", "left").join(bounded(homes.select("node", "head")), "node", "left")
+    placed = placed.select("node", "n", F.coalesce("head", "node").alias("head"), F.coalesce("up", "node").alias("comp"), "prefix")
+
+    far = search_index(placed, nodes, radius, frequent)
+    sets = token_sets(docs, classes, far.select(F.col("a").alias("node")).union(far.select("b")))
+    met = materialise(intersections(far, sets).filter(F.col("distance") <= F.col("reach") + MARGIN), "met")
+    links = links.union(met.filter(LINKED).select("a", "b"))
+    unsure = met.filter(f"NOT ({LINKED})")
+    if not unsure.isEmpty():
+        answers = materialise(member_answers(unsure, homes, radius, sets), "answers")
+        links = links.union(answers.filter(LINKED).select(F.col("node").alias("a"), F.col("other").alias("b")))
+        left = answers.filter(f"NOT ({LINKED})").filter(F.col("distance") <= 0.25 + F.col("spare") + MARGIN).filter("spare > 0").select("node").distinct()
+        if not left.isEmpty():  # members that may link with members: the same index, a set each
+            again = materialise(placed.join(left, "node", "left_semi").withColumn("head", F.col("node")), "members")
+            rest = search_index(again, nodes, None, frequent)
+            rest_sets = token_sets(docs, classes, rest.select(F.col("a").alias("node")).union(rest.select("b")))
+            links = links.union(intersections(rest, rest_sets).filter(LINKED).select("a", "b"))
+    links = materialise(links.distinct(), "links")
+    forget(nodes, near, homes, radius, far, sets, met)
+
+    roots = bounded(components(links))
+    named = materialise(classes.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"), "doc_id"), "roots")
+    least = materialise(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    found = materialise(named.drop("doc_id").join(bounded(least), "root").select("sig", "root", "component_id"), "found")
+    forget_since(began, profile, found)
+    return rows, found
+
+
+def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = docs[text_col].cast("string")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+
 
-    roots = components(links)
-    forget(links)
-    named = classes.join(roots, "node", "left").select(F.col("sig").alias("of"), F.coalesce("root", "node").alias("component"))
-    out = rows.join(named, rows.sig == F.col("of"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    rows, found = linked_sets(plain(docs, id_col, text_col))
+    out = rows.join(bounded(found.select(F.col("sig").alias("of"), "component_id")), rows.sig == F.col("of"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, of which one for each component stays: the smallest doc_id.
+    """The documents, with all their columns, of which one for each component stays.
 
-    Rows without doc_id that have no component stay. Of rows repeated with the staying doc_id the one with the smallest
-    text hash stays.
+    It is the row with the smallest doc_id (rows without one come last), then with the smallest text hash; of repeats of
+    that row one stays. Rows with an empty set are linked with nothing and stay.
     """
-    found = join_documents(docs, id_col, text_col)
-    staying = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.join(staying, docs[id_col] == F.col("_stays"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(docs[id_col].isNull()))
+    rows, found = linked_sets(plain(docs, id_col, text_col))
+    keys = rows.filter("sig IS NOT NULL").groupBy("sig", "doc_id", "mark").agg(F.count("*").alias("copies"))
+    keys = keys.join(bounded(found.select("sig", "root")), "sig").groupBy("root", "doc_id", "mark").agg(F.sum("copies").alias("copies"))
+    keys = materialise(keys.withColumn("none", F.col("doc_id").isNull()), "keys")
+    first = keys.groupBy("root").agg(F.min(F.struct("none", "doc_id", "mark")).alias("first"))
+    stays = keys.join(first, "root").withColumn("stays", F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.mark") == F.col("mark")))
+    own_id, own_mark, of_id, of_mark = (f"{x}_{uuid4().hex}" for x in ("own_id", "own_mark", "of_id", "of_mark"))
+    # rows that go, and rows that stay but have repeats, of which one is added again
+    out = materialise(stays.filter("NOT stays OR copies > 1").select(F.col("doc_id").alias(of_id), F.col("mark").alias(of_mark), "stays"), "leaving")
+    tagged = docs.withColumns({own_id: docs[id_col].cast("long"), own_mark: F.xxhash64(docs[text_col].cast("string"))})
+    same = F.col(own_id).eqNullSafe(F.col(of_id)) & (F.col(own_mark) == F.col(of_mark))
+    kept = tagged.join(bounded(out.drop("stays")), same, "left_anti")
+    repeated = out.filter("stays")
+    if not repeated.isEmpty():
+        kept = kept.union(tagged.join(bounded(repeated.drop("stays")), same, "left_semi").dropDuplicates([own_id, own_mark]))
+    return kept.drop(own_id, own_mark)
