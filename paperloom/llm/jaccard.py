@@ -241,26 +241,26 @@ def set_classes(rows: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text), once for each row of ``wanted``, a written table of classes."""
+    """(node, text, doc_id), once for each row of ``wanted``, a written table of classes."""
     out = None
     for part, many in ((wanted.filter("copies = 1"), False), (wanted.filter("copies > 1"), True)):
         if many and part.isEmpty():
             continue
         of = bounded(part.select("node", F.col("doc_id").alias("of"), F.col("mark").alias("of_mark")))
-        found = docs.join(of, (docs.mark == of.of_mark) & docs.doc_id.eqNullSafe(of.of)).select("node", "text")
+        found = docs.join(of, (docs.mark == of.of_mark) & docs.doc_id.eqNullSafe(of.of)).select("node", "text", "doc_id")
         found = found.dropDuplicates(["node"]) if many else found
         out = found if out is None else out.union(found)
     return out
 
 
 def representatives(texts: DataFrame, frequent) -> DataFrame:
-    """(node, n, lowest, sketch, prefix) of each class; the prefix is in the global order."""
+    """(node, doc_id, n, lowest, sketch, prefix) of each class; the prefix is in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = frequent.value
         for batch in batches:
             rows = []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+            for node, text, doc_id in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
                 tokens = shingles(text)
                 n = len(tokens)
                 p = n - (3 * n + 3) // 4 + 1
@@ -273,13 +273,13 @@ def representatives(texts: DataFrame, frequent) -> DataFrame:
                     if len(prefix) < p:
                         many = tokens[often]
                         prefix = np.concatenate([prefix, many[np.argsort(seen[at[often]], kind="stable")][: p - len(prefix)]])
-                rows.append((node, n, tokens[:LEADER_TOKENS].view(np.int64), sketch(tokens), prefix.tobytes()))
+                rows.append((node, doc_id, n, tokens[:LEADER_TOKENS].view(np.int64), sketch(tokens), prefix.tobytes()))
             if rows:
-                node, n, lowest, sketches, prefixes = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(lowest, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.binary())], names=["node", "n", "lowest", "sketch", "prefix"])
+                node, doc_id, n, lowest, sketches, prefixes = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(n, pa.int64()), pa.array(lowest, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.binary())], names=["node", "doc_id", "n", "lowest", "sketch", "prefix"])
         trim()
 
-    return texts.mapInArrow(run, "node long, n long, lowest array<long>, sketch binary, prefix binary")
+    return texts.mapInArrow(run, "node long, doc_id long, n long, lowest array<long>, sketch binary, prefix binary")
 
 
 # ---- intersections
@@ -340,9 +340,14 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def leader_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b, reach): each representative with the smallest one of each list of its lowest hashes."""
-    lowest = nodes.select("node", F.explode("lowest").alias("token"))
-    leaders = materialise(lowest.groupBy("token").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1"), "lists")
+    """(a, b, reach): each representative with the one of the smallest doc_id in each list of its lowest hashes.
+
+    Originals come before their copies where ids are given in order, and are nearer to each copy than copies are.
+    """
+    lowest = nodes.select("node", "doc_id", F.explode("lowest").alias("token"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
+    leaders = materialise(lowest.groupBy("token").agg(first, F.count("*").alias("n")).filter("n > 1").select("token", F.col("first.node").alias("leader"), "n"), "lists")
+    lowest = lowest.drop("doc_id")
     if leaders.count() <= BROADCAST_ROWS:
         met = lowest.join(F.broadcast(leaders.drop("n")), "token")
     else:
@@ -624,6 +629,12 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = materialise(intersections(far, sets).filter(F.col("distance") <= F.col("reach") + MARGIN), "met")
     links = links.union(met.filter(LINKED).select("a", "b"))
     unsure = met.filter(f"NOT ({LINKED})")
+    if not unsure.isEmpty():  # clusters that head links have joined meanwhile need no answers from each other
+        links = materialise(links, "links")
+        joined = bounded(components(links))
+        for end in "ab":
+            unsure = unsure.join(joined.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+        unsure = materialise(unsure.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b"), "unsure")
     if not unsure.isEmpty():
         answers = materialise(member_answers(unsure, homes, radius, sets), "answers")
         links = links.union(answers.filter(LINKED).select(F.col("node").alias("a"), F.col("other").alias("b")))

@@ -177,7 +177,7 @@ def test_ties_of_the_order_lose_no_link(spark):
     sets = {i: jaccard.shingles((t or "").encode()) for i, t in docs}
     tokens = np.unique(np.concatenate(list(sets.values())))
     frequent = spark.sparkContext.broadcast((tokens, np.full(len(tokens), 5)))
-    texts = spark.createDataFrame([(i, t) for i, t in docs if len(sets[i])], "node long, text string").repartition(7)
+    texts = spark.createDataFrame([(i, t) for i, t in docs if len(sets[i])], "node long, text string").withColumn("doc_id", F.col("node")).repartition(7)
     prefix = {r.node: np.frombuffer(r.prefix, np.uint64) for r in jaccard.representatives(texts, frequent).collect()}
     for a, b in combinations(prefix, 2):
         if jaccard.linked(len(sets[a]), len(sets[b]), len(np.intersect1d(sets[a], sets[b]))):
