@@ -235,7 +235,7 @@ def test_shingles_are_words_not_bytes():
 
 
 def brute_top(rows, k=5):
-    fit = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    fit = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     fit = list(dict((((i, tuple(v))), (i, v)) for i, v in fit).values())
     out = []
     for q, qv in fit:
@@ -256,3 +256,18 @@ def test_search_by_brute_force(spark, n):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash")).repartition(3)
     got = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0).collect())
     assert got == brute_top(rows)
+
+
+def test_equal_ids_with_different_vectors_keep_their_places(spark):
+    rows = [(50, [1.0, 1.0])] + [(9, [2.0 - k / 8, k / 8]) for k in range(5)] + [(10, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0).collect())
+    assert got == brute_top(rows) == [(50, r, 9, 256 * 512) for r in range(1, 6)]
+
+
+def test_scores_beyond_64_bits_rank_by_their_true_values(spark):
+    rows = [(0, [1e16, 1e16, -1e16]), (1, [1e16, 1e16, 1.0]), (2, [1e16, 1.0, 1.0]), (3, [-1e16, -1e16, 1e16]), (4, [3.0, 2.0, 1.0]), (5, [1e16, 1e16, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0).collect())
+    assert [r[:3] for r in got] == [r[:3] for r in brute_top(rows)]
+    assert got[0][3] == 2**63 - 1 and got[-1][3] == -(2**63)
