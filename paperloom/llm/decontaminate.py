@@ -7,19 +7,20 @@ has fewer); a text's word inside any occurrence of a window is hit, and hits are
 Null or empty texts have no words; items without words have no window. Items with equal windows are all reported; an item
 without item_id hits words but isn't named. Repeated rows give repeated rows, repeated items count once.
 
-The patterns are broadcast in blocks of bounded size: documents pass the blocks one after the other in the same task, so a
-test set of any size needs no shuffle and no more memory.
+Items are broadcast in blocks of bounded size, as texts; a test set of up to BLOCK_BYTES is one automaton, built once for a
+worker. Beyond that a worker holds back documents of HOLD_BYTES and passes them through one block after the other, so that
+one automaton is in memory at a time, besides the items' texts; each block is built once for the documents held back.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from paperloom.llm.common import small_batches
 WINDOW_WORDS = 10
 #: Bytes of item text in one automaton; its memory is about 60 times that for each worker.
 BLOCK_BYTES = 2 << 20
+#: Bytes of document text that a worker holds back where there are more blocks than one.
+HOLD_BYTES = 64 << 20
 
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 WORD = re.compile(rb"[^ ]+")
@@ -50,21 +53,27 @@ def windows_of(items: list[tuple[str | None, bytes]], size: int = WINDOW_WORDS)
     return tuple((w, tuple(sorted(names))) for w, names in found.items())
 
 
-@functools.lru_cache(maxsize=4)
-def automaton(key: str, patterns: Patterns) -> ahocorasick.Automaton:
-    """One automaton for each worker process and block."""
-    found = ahocorasick.Automaton()
-    for window, names in patterns:
-        found.add_word(window, (window.count(" ") - 1, len(window), names))
-    found.make_automaton()
-    return found
+#: The automaton that a worker built last, by its key: it stays for the next task, and gives way to another block's.
+_resident: dict[str, ahocorasick.Automaton] = {}
+
+
+def automaton(key: str, items: list[tuple[str | None, bytes]]) -> ahocorasick.Automaton:
+    if key not in _resident:
+        _resident.clear()
+        found = ahocorasick.Automaton()
+        for window, names in windows_of(items):
+            found.add_word(window, (window.count(" ") - 1, len(window), names))
+        found.make_automaton()
+        _resident[key] = found
+    return _resident[key]
 
 
 class Scan:
     """Word spans [first, end) that a text's windows cover, and the items they belong to."""
 
-    def __init__(self, patterns: Patterns, key: str) -> None:
-        self.automaton = automaton(key, patterns) if patterns else None
+    def __init__(self, key: str, items: list[tuple[str | None, bytes]]) -> None:
+        found = automaton(key, items)
+        self.automaton = found if len(found) else None
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         if not self.automaton or not words:
@@ -109,34 +118,63 @@ def original_offsets(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[Patterns]:
-    """The windows in blocks of bounded size; the driver holds one block of item texts at a time."""
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[tuple[str, Broadcast]]:
+    """(key, items) in blocks of bounded size, broadcast; the driver holds one block of item texts at a time."""
     rows = items.select(F.col(id_col).cast("string").alias("name"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text")).distinct()
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     block = F.pmod(F.xxhash64("name", "text"), F.lit(n))
-    return [windows_of([(r.name, bytes(r.text)) for r in rows.filter(block == k).toLocalIterator()]) for k in range(n)]
+    out = []
+    for k in range(n):
+        held = sorted(((r.name, bytes(r.text)) for r in rows.filter(block == k).toLocalIterator()), key=repr)
+        out.append((hashlib.sha256(repr(held).encode()).hexdigest(), items.sparkSession.sparkContext.broadcast(held)))
+    return out
+
+
+Found = tuple[list[tuple[int, int]], set[str]]
+
+
+def scanned(batches: Iterator[pa.RecordBatch], at: int, blocks: list[tuple[str, Broadcast]]) -> Iterator[tuple[pa.RecordBatch, list[bytes | None], list[int], list[Found]]]:
+    """(batch, texts, number of words, hits) of every batch, whose texts stand in column ``at``; one automaton at a time."""
+
+    def through(held: list[tuple[pa.RecordBatch, list[bytes | None]]]) -> Iterator[tuple[pa.RecordBatch, list[bytes | None], list[int], list[Found]]]:
+        words = [[normal_words(t or b"") for t in texts] for _, texts in held]
+        found: list[list[Found]] = [[([], set()) for _ in texts] for _, texts in held]
+        for key, items in blocks:
+            one = Scan(key, items.value)
+            for of, out in zip(words, found):
+                for k, w in enumerate(of):
+                    spans, names = one.hits(w)
+                    if spans:
+                        out[k] = (merge(out[k][0] + spans), out[k][1] | names)
+        for (batch, texts), of, out in zip(held, words, found):
+            yield batch, texts, [len(w) for w in of], out
+
+    held, size = [], 0
+    for batch in batches:
+        texts = batch.column(at).cast(pa.binary()).to_pylist()
+        held.append((batch, texts))
+        size += sum(len(t or b"") for t in texts)
+        if len(blocks) == 1 or size >= HOLD_BYTES:
+            yield from through(held)
+            held, size = [], 0
+    if held:
+        yield from through(held)
 
 
 def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, items (sorted as strings), spans (original code points)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(items, item_id_col, item_text_col, block_bytes)]
+    small_batches(docs.sparkSession)
+    blocks = item_blocks(items, item_id_col, item_text_col, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scans = [Scan(b.value, hashlib.sha256(repr(b.value).encode()).hexdigest()) for b in blocks]
-        for batch in batches:
+        for batch, texts, n_words, found in scanned(batches, 1, blocks):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                words = normal_words(text or b"")
-                spans, named = [], set()
-                for one in scans:
-                    s, i = one.hits(words)
-                    spans, named = merge(spans + s) if s else spans, named | i
+            for doc_id, text, n, (spans, names) in zip(batch.column(0).to_pylist(), texts, n_words, found):
                 places = [{"start": a, "end": b} for a, b in original_offsets(text or b"", spans)]
-                rows.append((doc_id, len(words), sum(b - a for a, b in spans), sorted(named), places))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
+                rows.append((doc_id, n, sum(b - a for a, b in spans), sorted(names), places))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
@@ -160,15 +198,12 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, with all their columns, in which no window occurs."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(items, item_id_col, item_text_col, block_bytes)]
+    small_batches(docs.sparkSession)
+    blocks = item_blocks(items, item_id_col, item_text_col, block_bytes)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scans = [Scan(b.value, hashlib.sha256(repr(b.value).encode()).hexdigest()) for b in blocks]
-        for batch in batches:
-            words = [normal_words(t or b"") for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            yield batch.filter(pa.array([not any(s.hits(w)[0] for s in scans) for w in words], pa.bool_()))
+        for batch, _, _, found in scanned(batches, at, blocks):
+            yield batch.filter(pa.array([not spans for spans, _ in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

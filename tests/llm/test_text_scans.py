@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from paperloom.llm import decontaminate, secrets
@@ -155,3 +156,34 @@ def test_redaction_keeps_columns_and_rows(spark):
     for r in out.collect():
         assert (r.text is None) == (SECRET_TEXTS[r.doc_id] is None)
         assert not brute_base(r.text) and r.n_chars == len(r.text or "")
+
+
+class Box:
+    """Stands for a broadcast value."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+@pytest.mark.parametrize("n_blocks,builds", [(1, 1), (20, 40)])
+def test_one_automaton_at_a_time(monkeypatch, n_blocks, builds):
+    rng = random.Random(n_blocks)
+    items = [[(f"i{k}.{j}", " ".join(rng.choice("abcdefghijkl") + rng.choice("mnop") for _ in range(14)).encode()) for j in range(3)] for k in range(n_blocks)]
+    texts = [b" ".join([b"start", rng.choice(rng.choice(items))[1], b"end"]) if k % 2 else b"nothing here" for k in range(40)]
+    batches = [pa.record_batch([pa.array(range(10)), pa.array(texts[k : k + 10], pa.binary())], names=["doc_id", "text"]) for k in range(0, 40, 10)]
+    built, most = [], []
+    before = decontaminate.windows_of
+
+    def counted(of):
+        built.append(1)
+        most.append(len(decontaminate._resident))
+        return before(of)
+
+    monkeypatch.setattr(decontaminate, "windows_of", counted)
+    monkeypatch.setattr(decontaminate, "HOLD_BYTES", sum(map(len, texts)) // 2)
+    decontaminate._resident.clear()
+    blocks = [(str(k), Box(of)) for k, of in enumerate(items)]
+    got = [names for _, _, _, found in decontaminate.scanned(iter(batches), 1, blocks) for _, names in found]
+    want = [{name for of in items for name, text in of if b" " + text + b" " in t} for t in texts]
+    assert got == want and len(decontaminate._resident) == 1 and set(most) == {0}
+    assert len(built) <= builds
