@@ -212,7 +212,7 @@ def learn_lexicon(rows: DataFrame) -> dict[bytes, float]:
         n = [0, 0]
         for batch in batches:
             for text, label in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
-                (toxic if label else clean).update({w for w in (text or b"").translate(PLAIN).split() if len(w) <= 40})
+                (toxic if label else clean).update(set((text or b"").translate(PLAIN).split()))
                 n[bool(label)] += 1
         words = list(toxic.keys() | clean.keys())  # all of them: the sums must not depend on how rows are dealt
         yield pa.RecordBatch.from_arrays([pa.array([b"", *words], pa.binary()), pa.array([n[1], *(toxic[w] for w in words)], pa.int64()), pa.array([n[0], *(clean[w] for w in words)], pa.int64())], names=["word", "t", "c"])

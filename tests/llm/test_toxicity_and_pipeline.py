@@ -50,8 +50,21 @@ def test_trees_and_calibration_learn():
 def test_lexicon_is_the_same_however_rows_are_dealt(spark):
     texts = [("you scum licence", 1, False)] * 12 + [("a clean licence", 0, False)] * 12 + [("other clean words", 0, False)] * 6
     rows = spark.createDataFrame(texts, "text string, toxic int, calibrates boolean")
-    one, many = toxicity.learn_lexicon(rows.coalesce(1)), toxicity.learn_lexicon(rows.repartition(48))
-    assert one == many and set(one) == {b"you", b"scum"}
+    one, some, many = (toxicity.learn_lexicon(rows.repartition(n)) for n in (1, 8, 100))
+    assert one == some == many and set(one) == {b"you", b"scum"}
+
+
+def test_long_words_reach_the_lexicon(spark):
+    texts = [("x" * 60 + " here", 1, False)] * 12 + [("a clean here", 0, False)] * 12
+    rows = spark.createDataFrame(texts, "text string, toxic int, calibrates boolean")
+    assert set(toxicity.learn_lexicon(rows)) == {b"x" * 60}
+
+
+def test_scores_are_the_same_however_rows_are_dealt(spark):
+    docs = spark.createDataFrame([(k, f"w{k % 7} w{k % 11} " + ("you scum" if k % 5 == 0 else "fine day")) for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(400)], "doc_id long, toxic int")
+    one, many = ({r.doc_id: r.score for r in toxicity.score(docs.repartition(n), labels).collect()} for n in (1, 100))
+    assert one == many
 
 
 def test_obfuscated_words_are_features():
