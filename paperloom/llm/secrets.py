@@ -15,6 +15,7 @@ import functools
 import hashlib
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -63,23 +64,22 @@ def alphabet_size(value: str) -> int:
     return sum(n for n, kind in ((26, str.islower), (26, str.isupper), (10, str.isdigit)) if any(kind(c) for c in value)) + 33 * any(not c.isalnum() for c in value) or 26
 
 
-@functools.lru_cache(maxsize=4096)
-def log_guesses(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation; linear in the length of the value."""
+CUT = math.log10(2)  # each further segment doubles what there is to try
+
+
+def segments(value: str) -> dict[int, list[tuple[int, float]]]:
+    """By end, the (start, cost) of words, dates, longest repeats and longest keyboard walks in a value."""
     n = len(value)
-    if not n:
-        return 0.0
     low = value.lower()
     plain = low.translate(LEET)
     brute = math.log10(alphabet_size(value))
-    cut = math.log10(2)  # each further segment doubles what there is to try
-    arcs: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: start and cost
+    arcs: defaultdict[int, list[tuple[int, float]]] = defaultdict(list)
     for start in range(n):
         for end in range(start + 3, min(n, start + LONGEST_WORD) + 1):
             rank = WORD_RANK.get(low[start:end]) or 4 * WORD_RANK.get(plain[start:end], 0)
             if rank:
                 shouted = any(c.isupper() for c in value[start:end])
-                arcs[end].append((start, math.log10(rank + 1) + shouted * cut))
+                arcs[end].append((start, math.log10(rank + 1) + shouted * CUT))
         if m := DATE.match(value, start):
             arcs[m.end()].append((start, math.log10(365 * 200)))
     for period in range(1, 9):  # repeats: a block of up to 8 characters, again and again
@@ -101,15 +101,23 @@ def log_guesses(value: str) -> float:
         if end - start >= 3:
             arcs[end].append((start, math.log10(40 * (end - start))))
         start = max(start + 1, end - 1)
-    best = [0.0] * (n + 1)
-    spelled = False
+    return arcs
+
+
+@functools.lru_cache(maxsize=4096)
+def log_guesses(value: str) -> float:
+    """log10 of the guesses for the cheapest segmentation; linear in the length of the value.
+
+    Neighbouring characters that are spelled out are one segment, so the cheapest way to each place is kept twice: with a
+    spelled character before it, and with another segment.
+    """
+    n, brute, arcs = len(value), math.log10(alphabet_size(value)), segments(value)
+    spelled, other = [math.inf] * (n + 1), [math.inf] * (n + 1)
+    other[0] = -CUT  # the first segment takes no cut
     for end in range(1, n + 1):
-        best[end] = best[end - 1] + brute + (cut if end > 1 and not spelled else 0.0)
-        spelled = True
-        for start, cost in arcs[end]:
-            if (total := best[start] + cost + (cut if start else 0.0)) < best[end]:
-                best[end], spelled = total, False
-    return best[n]
+        spelled[end] = brute + min(spelled[end - 1], other[end - 1] + CUT)
+        other[end] = min((min(spelled[start], other[start]) + CUT + cost for start, cost in arcs.get(end, ())), default=math.inf)
+    return max(0.0, min(spelled[n], other[n]))
 
 
 def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:

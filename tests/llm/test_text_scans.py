@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -106,32 +107,32 @@ def test_guess_costs_tell_secrets_from_placeholders():
 
 
 def brute_cost(value):
-    """All segmentations by the same arcs, tried one by one, for values without repeats or walks."""
-    import functools
-    import math
-
-    brute = math.log10(secrets.alphabet_size(value))
+    """Every segmentation, tried one by one: any span may be spelled out, or be one of the cheap segments."""
+    brute, cut = math.log10(secrets.alphabet_size(value)), math.log10(2)
+    cheap = {(start, end): cost for end, arcs in secrets.segments(value).items() for start, cost in sorted(arcs, reverse=True)}
+    best = math.inf
+    for cuts in range(2 ** (len(value) - 1)):
+        ends = [k + 1 for k in range(len(value) - 1) if cuts >> k & 1] + [len(value)]
+        spans = list(zip([0, *ends], ends))
+        best = min(best, sum(min((b - a) * brute, cheap.get((a, b), math.inf)) for a, b in spans) + cut * (len(spans) - 1))
+    return best
+
+
+@pytest.mark.parametrize("value", ["dragonKm", "xzmonkeyq", "Masterwel", "jvnbk", "tokenvalue", "aaaaXqwert", "ababab2019", "q1w2zzzzzz", "p4ssasdf", "1999-12-31", "abcabcabc!", "love1love1"])
+def test_guess_cost_is_the_cheapest_segmentation(value):
+    assert secrets.log_guesses(value) == pytest.approx(brute_cost(value), abs=1e-9)
 
-    @functools.cache
-    def best(at):
-        if at == len(value):
-            return 0.0
-        out = math.inf
-        for end in range(at + 1, len(value) + 1):
-            rest = best(end) + (math.log10(2) if end < len(value) else 0)
-            part = value[at:end].lower()
-            out = min(out, (end - at) * brute + rest)
-            if rank := secrets.WORD_RANK.get(part):
-                out = min(out, math.log10(rank + 1) + math.log10(2) * any(c.isupper() for c in value[at:end]) + rest)
-        return out
 
-    return best(0)
+def test_segments_are_words_dates_repeats_and_walks():
+    spans = lambda v: {(start, end) for end, arcs in secrets.segments(v).items() for start, _ in arcs}
+    assert (2, 8) in spans("xxdragon") and (0, 8) in spans("p4ssw0rd")
+    assert (1, 11) in spans("x2024-05-17y") and (0, 4) in spans("1987zz")
+    assert (1, 6) in spans("zaaaaay") and (0, 9) in spans("xyzxyzxyz") and (0, 6) in spans("qwerty99")
+    assert not spans("jvnbk")
 
 
-@pytest.mark.parametrize("value", ["dragonKm", "xzmonkeyq", "Masterwelcome", "jvnbk", "tokenvalue"])
-def test_guess_cost_is_the_cheapest_segmentation(value):
-    assert secrets.log_guesses(value) <= brute_cost(value) + 1e-9
-    assert secrets.log_guesses(value) == pytest.approx(brute_cost(value), abs=0.31)
+def test_a_very_long_value_is_costed_whole():
+    assert secrets.log_guesses("ab" * 100_000) < secrets.LEAST_LOG_GUESSES < secrets.log_guesses("x7Kp" + "ab" * 50_000 + "Q9v#Lm2!zR")
 
 
 def test_guess_spans_are_added(spark):
