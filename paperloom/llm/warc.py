@@ -125,28 +125,38 @@ class Inflated:
     """A gzip file of one member a record, read forward; skipping inflates but keeps nothing."""
 
     def __init__(self, raw) -> None:
-        self.raw, self.member, self.held = raw, zlib.decompressobj(31), b""
+        self.raw, self.member, self.held, self.begun = raw, zlib.decompressobj(31), b"", False
 
     def more(self) -> bool:
         if self.member.eof:
             rest = self.member.unused_data or self.raw.read(1 << 16)
-            self.member = zlib.decompressobj(31)
+            if rest:
+                self.member = zlib.decompressobj(31)
         else:
             rest = self.raw.read(1 << 16)
         if not rest:
             return False
+        self.begun = True
         self.held += self.member.decompress(rest)
         return True
 
     def read(self, n: int) -> bytes:
-        while len(self.held) < n and self.more():
-            pass
-        out, self.held = self.held[:n], self.held[n:]
+        parts, left = [self.held], n - len(self.held)
+        while left > 0:
+            self.held = b""
+            if not self.more():
+                raise ValueError(f"truncated archive: a record lacks {left} of {n} bytes")
+            parts.append(self.held)
+            left -= len(self.held)
+        whole = b"".join(parts)
+        out, self.held = whole[:n], whole[n:]
         return out
 
-    def skip(self, n: int) -> None:
+    def skip(self, n: int, strict: bool = True) -> None:
         while n:
             if not self.held and not self.more():
+                if strict:
+                    raise ValueError(f"truncated archive: a record lacks {n} bytes")
                 return
             k = min(n, len(self.held))
             self.held, n = self.held[k:], n - k
@@ -154,6 +164,8 @@ class Inflated:
     def head(self) -> bytes | None:
         while (end := self.held.find(b"\r\n\r\n")) < 0:
             if not self.more():
+                if self.held.strip() or not self.member.eof and self.begun:
+                    raise ValueError("truncated archive: a record's headers don't end")
                 return None
         out, self.held = self.held[:end], self.held[end + 4 :]
         return out
@@ -175,10 +187,14 @@ class Plain:
         self.fill(n)
         begin = self.at - self.base
         out = self.held[begin : begin + n]
-        self.at += len(out)
+        if len(out) < n:
+            raise ValueError(f"truncated archive: a record lacks {n - len(out)} of {n} bytes")
+        self.at += n
         return out
 
-    def skip(self, n: int) -> None:
+    def skip(self, n: int, strict: bool = True) -> None:
+        if strict and self.at + n > self.size:
+            raise ValueError(f"truncated archive: a record lacks {self.at + n - self.size} bytes")
         self.at = min(self.size, self.at + n)
 
     def head(self) -> bytes | None:
@@ -190,6 +206,8 @@ class Plain:
                 self.at += end + 4 - begin
                 return self.held[begin:end]
             if want >= self.size - self.at:
+                if self.held[begin:].strip():
+                    raise ValueError("truncated archive: a record's headers don't end")
                 return None
             want *= 4
 
@@ -278,7 +296,8 @@ class WarcReader(DataSourceReader):
             length = int(found.get("content-length", 0))
             named = {c: header_value(c, found) for c in HEADER_COLUMNS}
             if any(named[c] is None or (values is not None and named[c] not in values) for c, values in self.wanted.items()):
-                source.skip(length + 4)
+                source.skip(length)
+                source.skip(4, strict=False)
                 continue
             payload, size = None, None
             if http_wanted and "application/http" in found.get("content-type", ""):
@@ -296,7 +315,7 @@ class WarcReader(DataSourceReader):
             else:
                 source.skip(length)
                 size = length if http_wanted else None
-            source.skip(4)
+            source.skip(4, strict=False)
             more = {"payload_bytes": size, "payload": payload, "payload_sha1": sha1(payload).hexdigest() if payload is not None and "payload_sha1" in self.columns else None}
             yield tuple(named[c] if c in named else more[c] for c in self.columns)
 
