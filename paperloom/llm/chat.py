@@ -56,14 +56,15 @@ def visit(parts: Column) -> tuple[Column, Column]:
             (k + 1).alias("number"),
             x["part"]["type"].alias("type"),
             x["part"]["ref"].alias("ref"),
-            F.ceil(F.coalesce(x["part"]["units"], F.lit(1.0)) * F.element_at(tokens, x["part"]["type"])).alias("tokens"),
+            F.ceil(F.greatest(F.nanvl(F.coalesce(x["part"]["units"], F.lit(1.0)), F.lit(1.0)), F.lit(0.0)) * F.element_at(tokens, x["part"]["type"])).alias("tokens"),
             x["place"].alias("place"),
         ),
     )
+    number = lambda k: F.element_at(F.filter(attachments, lambda x: x["place"] == k), 1)["number"].cast("string")
     body = F.array_join(
         F.transform(
             parts,
-            lambda p, k: F.when(p["type"].isin(kinds), F.concat(F.lit("<|"), p["type"], F.lit("|>"))).otherwise(escape(F.coalesce(p["text"], F.lit("")))),
+            lambda p, k: F.when(p["type"].isin(kinds), F.concat(F.lit("<|"), p["type"], F.lit(":"), number(k), F.lit("|>"))).otherwise(escape(F.coalesce(p["text"], F.lit("")))),
         ),
         "",
     )
@@ -71,7 +72,11 @@ def visit(parts: Column) -> tuple[Column, Column]:
 
 
 def format_turns(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, parts: Column) -> DataFrame:
-    """conv_id, formatted, mask (one entry for each turn, null where nothing is learned), attachments, n_tokens_attached."""
+    """conv_id, formatted, mask (one entry for each turn, null where nothing is learned), attachments, n_tokens_attached.
+
+    ``<|image:2|>`` in a turn stands for the attachment of that turn with the number 2. Units that are null or not a number
+    count as one, negative ones as none.
+    """
     body, attachments = visit(parts)
     turns = rows.select(
         rows[conv_col].cast("long").alias("conv_id"),
@@ -97,8 +102,8 @@ def format_turns(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, p
         "conv_id",
         F.array_join("turns.piece", "").alias("formatted"),
         F.transform("turns", lambda t: F.when(t["start"].isNotNull(), F.struct(t["start"].alias("start"), t["end"].alias("end")))).alias("mask"),
-        F.flatten(F.transform("turns", lambda t: F.transform(t["attachments"], lambda a: F.struct(t["place"].alias("turn"), a["number"].alias("number"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens"))))).alias("attachments"),
-    )
+        F.flatten(F.transform("turns", lambda t: F.transform(t["attachments"], lambda a: F.struct(t["place"].alias("turn"), a["number"].alias("number"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens"), a["place"].alias("place"))))).alias("attachments"),
+    ).withColumn("n_tokens_attached", F.aggregate("attachments", F.lit(0).cast("long"), lambda total, a: total + a["tokens"]))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 import pytest
@@ -61,8 +62,8 @@ def test_typed_parts(spark):
     parts = [("text", "see ", None, None), ("image", None, "s3://a.png", None), ("text", "<|image|>", None, None), ("audio", None, "b.wav", 2.5), ("document", None, None, 3.0), ("odd", "t", None, None)]
     df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
     r = chat.format_turns(df, "conv_id", "turn", "role", F.col("parts")).first()
-    assert "see <|image|>&lt;|image|><|audio|><|document|>t" in r.formatted
-    assert [(a.turn, a.number, a.type, a.ref, a.tokens) for a in r.attachments] == [(1, 1, "image", "s3://a.png", 576), (1, 2, "audio", "b.wav", 63), (1, 3, "document", None, 3072)]
+    assert "see <|image:1|>&lt;|image|><|audio:2|><|document:3|>t" in r.formatted and r.n_tokens_attached == 576 + 63 + 3072
+    assert [(a.turn, a.number, a.type, a.ref, a.tokens, a.place) for a in r.attachments] == [(1, 1, "image", "s3://a.png", 576, 1), (1, 2, "audio", "b.wav", 63, 3), (1, 3, "document", None, 3072, 4)]
 
 
 BIG = "é<p>" * 400
@@ -104,3 +105,28 @@ def test_warc_reads_headers_first(spark, tmp_path):
 def test_empty_archive(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(none, str(tmp_path / "w")).count() == 0
+
+
+def test_two_attachments_of_one_type_and_odd_units(spark):
+    parts = [("image", None, "a", float("nan")), ("image", None, "b", -3.0), ("image", None, "c", 1.5)]
+    df = spark.createDataFrame([(1, 0, "user", parts)], f"c long, t long, r string, parts array<{chat.PART}>")
+    r = chat.format_turns(df, "c", "t", "r", F.col("parts")).first()
+    assert "<|image:1|><|image:2|><|image:3|>" in r.formatted
+    assert [a.tokens for a in r.attachments] == [576, 0, 864] and r.n_tokens_attached == 1440
+
+
+@pytest.mark.parametrize("name", ["a.warc", "a.warc.gz"])
+def test_truncated_archives_are_errors(tmp_path, name):
+    body = b"HTTP/1.1 200 OK\r\n\r\n" + bytes(range(256)) * 40
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    whole = gzip.compress(record) + gzip.compress(record) if name.endswith("gz") else record + record
+    columns = ["record_type", "payload_bytes", "payload"]
+    (tmp_path / name).write_bytes(whole)
+    read = lambda: [r for b in warc.WarcReader(str(tmp_path), columns, {}).read(warc.Files([str(tmp_path / name)])) for r in b.to_pylist()]
+    assert [r["payload_bytes"] for r in read()] == [256 * 40] * 2
+    for lost in (30, len(whole) // 4, len(whole) // 2 - 20):
+        (tmp_path / name).write_bytes(whole[:-lost])
+        with pytest.raises(ValueError):
+            read()
+        with pytest.raises(ValueError):
+            list(warc.WarcReader(str(tmp_path), ["record_type"], {}).read(warc.Files([str(tmp_path / name)])))
