@@ -94,3 +94,8 @@ def station(name: Column) -> Column:
     """A station's plain name."""
     out = F.regexp_replace(F.trim(name), "^高鐵", "")
     return F.trim(F.regexp_replace(F.regexp_replace(out, "車站$", ""), "站$", ""))
+
+
+def epoch_iso(seconds: Column) -> Column:
+    """Seconds since the epoch as ISO time of the session's zone; null and negative ones have none."""
+    return F.when(seconds >= 0, F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss"))

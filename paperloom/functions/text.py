@@ -201,3 +201,41 @@ def list_marker(line: Column) -> Column:
     for name, pattern in reversed(kinds):
         out = F.when(line.rlike(pattern), name).otherwise(out)
     return out
+
+
+def without_zero_width(text: Column) -> Column:
+    """Without byte order marks and zero-width characters, white space folded to single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[\ufeff\u200b\u200c\u200d]", ""), r"(?U)\s+", " "))
+
+
+def safe_file_name(name: Column, fallback: str = "list") -> Column:
+    """A file name without extension and without what file systems forbid, at most 80 characters."""
+    base = F.coalesce(F.nullif(name, F.lit("")), F.lit(fallback))
+    base = F.when(base.contains("."), F.regexp_replace(base, r"\.[^.]*$", "")).otherwise(base)
+    return F.coalesce(F.nullif(F.left(F.regexp_replace(base, r'[\\/:*?"<>|]', "_"), F.lit(80)), F.lit("")), F.lit(fallback))
+
+
+def joined_cjk(text: Column) -> Column:
+    """Without spaces between CJK characters, but for the blanks of dates and times on forms (年 月 日, 時 分)."""
+    return F.regexp_replace(text, r"(?<=[一-鿿])(?<![年月時])[ \u3000]+(?=[一-鿿])|(?<=[年月時])[ \u3000]+(?=[一-鿿&&[^月日分]])", "")
+
+
+def toc_entry(line: Column) -> Column:
+    """(title, page, level) of a line of contents: its last number, leaders cut off; two spaces of indent are a level."""
+    found = r"^(.*?)([0-9]+)[\s\u3000]*$"
+    cut = F.regexp_replace(line, r"[0-9]+[\s\u3000]*$", "")
+    page = F.regexp_extract(line, r"([0-9]+)[\s\u3000]*$", 1)
+    indent = F.replace(F.regexp_extract(cut, r"^([\t \u3000]*)", 1), F.lit("\u3000"), F.lit("  "))
+    title = F.regexp_replace(strip(cut), r"[ \t.…·\u3000]+$", "")
+    fits = line.rlike(found) & (title != "")
+    return F.when(fits, F.struct(title.alias("title"), page.try_cast("long").alias("page"), (F.floor(F.length(indent) / 2) + 1).cast("int").alias("level")))
+
+
+def closely_equal(expected: Column, actual: Column) -> Column:
+    """Equal but for case, space and doubled marks; or expected (3 characters or more) begins actual, or (5 or more) lies in it;
+    or few characters differ (at most 8 % of both)."""
+    plain = lambda c: F.lower(F.regexp_replace(F.regexp_replace(strip(c), r"([,.\-_;:])\1+", "$1"), r"(?U)\s+", ""))
+    a, b = plain(expected), plain(actual)
+    near = (F.abs(F.length(a) - F.length(b)) <= F.greatest(F.lit(4), F.floor(F.length(a) / 5))) & (F.levenshtein(a, b) <= 0.04 * (F.length(a) + F.length(b)))
+    fits = (a == b) | ((F.length(a) >= 3) & b.startswith(a)) | ((F.length(a) >= 5) & b.contains(a)) | near
+    return F.coalesce((a != "") & (b != "") & fits, F.lit(False))

@@ -139,3 +139,41 @@ def user_view(users: DataFrame, view: str, scanned: bool, now: Column, days: int
         "pwd_expiring": expiring_days(F.col("pwd_expires"), now).between(0, days),
     }
     return users.filter(F.coalesce(views[view], F.lit(False)))
+
+
+def visible_cases(cases: DataFrame, user: str, is_admin: bool, deleted: bool = False, limit: int = 200) -> DataFrame:
+    """The newest cases a user may see: own ones, or all for administrators; deleted ones only if asked for."""
+    seen = cases if is_admin else cases.filter(F.col("owner") == user)
+    if not deleted:
+        seen = seen.filter(~F.coalesce(F.col("deleted"), F.lit(False)))
+    return seen.orderBy(F.desc("created_at"), "case_id").limit(limit)
+
+
+def orphans(files: DataFrame, owners: DataFrame, key: str = "upload_id") -> DataFrame:
+    """Files without an owner's record."""
+    return files.join(owners.select(key).distinct(), key, "left_anti")
+
+
+def find_accounts(users: DataFrame, text: str, limit: int = 20) -> DataFrame:
+    """Accounts whose name or display name holds the text, whatever its case; the first ones by name."""
+    held = F.lower(F.concat_ws(" ", "username", "display_name")).contains(text.strip().lower())
+    return users.filter(held).orderBy("username").limit(limit)
+
+
+def marks_of(marks: DataFrame, kinds: list[str] = (), authors: list[str] = (), unsigned: str = "(未署名)") -> DataFrame:
+    """Marks of the given kinds and authors; blank authors go by a name of their own."""
+    named = marks.withColumn("author", F.coalesce(F.nullif(F.trim("author"), F.lit("")), F.lit(unsigned)))
+    if kinds:
+        named = named.filter(F.col("kind").isin(list(kinds)))
+    return named.filter(F.col("author").isin(list(authors))) if authors else named
+
+
+def into_groups(rows: DataFrame, by: str, order: str, key: str) -> DataFrame:
+    """(by, first, keys): groups in the order in which they first appear, with their rows' keys in order."""
+    items = F.array_sort(F.collect_list(F.struct(order, key)))
+    return rows.groupBy(by).agg(F.min(order).alias("first"), F.transform(items, lambda x: x[key]).alias("keys"))
+
+
+def oldest_days(rows: DataFrame, ts: str, now: Column) -> DataFrame:
+    """Age in days of the oldest row."""
+    return rows.agg(F.floor((F.unix_timestamp(now) - F.unix_timestamp(F.min(ts))) / 86400).alias("oldest_days"))

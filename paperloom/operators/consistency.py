@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions import checks
 from paperloom.functions import text as T
+from paperloom.operators.segments import labels_normalised
 
 LEFT, RIGHT = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 #: Fixed values: (kind, expression, shortest, longest) of the entities in business texts.
@@ -86,11 +88,24 @@ def apply_overrides(findings: DataFrame, overrides: DataFrame, key: str = "findi
 
 
 def fuzzy_matches(left: DataFrame, right: DataFrame, limit: int = 3) -> DataFrame:
-    """(a, b, distance): edit distance at most 3 and under 40 % of the shorter; blocked on length, so it is an equi-join."""
-    a = left.select(F.col("name").alias("a")).distinct().withColumn("len", F.length("a")).withColumn("block", F.explode(F.sequence(F.col("len") - limit, F.col("len") + limit)))
-    b = right.select(F.col("name").alias("b")).distinct().withColumn("block", F.length("b"))
-    d = F.levenshtein("a", "b", limit)
-    return a.join(b, "block").withColumn("distance", d).filter((F.col("distance") > 0) & (F.col("distance") < 0.4 * F.least("len", "block"))).select("a", "b", "distance")
+    """(a, b, distance): edit distance at most 3 and under 40 % of the shorter.
+
+    A name of b is cut into limit + 1 pieces; within so many edits one piece is found in a unchanged, at most ``limit`` places
+    off. Candidates meet by an equi-join on length, piece and place; names shorter than that meet by length alone, of which
+    there are few.
+    """
+    pieces = limit + 1
+    cut = lambda k, n: F.floor(k * n / pieces).cast("int")
+    b = right.select(F.col("name").alias("b")).distinct().withColumn("n", F.length("b"))
+    parts = b.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))).withColumn("at", cut(F.col("k"), F.col("n")))
+    parts = parts.withColumn("piece", F.when(F.col("n") < pieces, "").otherwise(F.substring(F.col("b"), F.col("at") + 1, cut(F.col("k") + 1, F.col("n")) - F.col("at"))))
+    parts = parts.filter("n >= 4 OR k = 0").select("b", "n", "k", "piece")
+    a = left.select(F.col("name").alias("a")).distinct().withColumn("len", F.length("a")).withColumn("n", F.explode(F.sequence(F.greatest(F.lit(0), F.col("len") - limit), F.col("len") + limit)))
+    a = a.withColumn("k", F.explode(F.when(F.col("n") < pieces, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(pieces - 1))))).withColumn("at", cut(F.col("k"), F.col("n"))).withColumn("size", cut(F.col("k") + 1, F.col("n")) - F.col("at"))
+    starts = F.when(F.col("n") < pieces, F.array(F.lit(0))).otherwise(F.sequence(F.greatest(F.lit(0), F.col("at") - limit), F.col("at") + limit))
+    a = a.withColumn("from", F.explode(starts)).withColumn("piece", F.when(F.col("n") < pieces, "").otherwise(F.substring(F.col("a"), F.col("from") + 1, F.col("size")))).select("a", "len", "n", "k", "piece").distinct()
+    met = a.join(parts, ["n", "k", "piece"]).select("a", "b", "len", "n").distinct()
+    return met.withColumn("distance", F.levenshtein("a", "b", limit)).filter((F.col("distance") > 0) & (F.col("distance") < 0.4 * F.least("len", "n"))).select("a", "b", "distance")
 
 
 def contained_names(found: DataFrame, own: list[str], value: str = "value") -> DataFrame:
@@ -137,3 +152,96 @@ def dashboard(cases: DataFrame, findings: DataFrame, since: Column) -> DataFrame
     top = findings.join(fresh.select("case_id"), "case_id").groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(10)
     score = fresh.agg(F.round(F.avg("score") * 10).cast("long").alias("n")).select(F.lit("score_tenths").alias("kind"), F.lit("avg").alias("value"), "n")
     return by_state.union(top.select(F.lit("category"), "category", "n")).union(score)
+
+
+def merge_variants(groups: DataFrame, by: str = "group_id") -> DataFrame:
+    """(by, value, total_count, files): spellings of one name as its longest one, counts summed, files united."""
+    longest = F.max_by("value", F.struct(F.length("value"), F.col("value"))).alias("value")
+    return groups.groupBy(by).agg(longest, F.sum("total_count").alias("total_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("files")))).alias("files"))
+
+
+def finding_key(category: Column, evidence: Column, title: Column, page: Column) -> Column:
+    """The same finding's key in every version of a case: its category and what identifies it; ``evidence`` is JSON."""
+    of = lambda path: F.coalesce(F.get_json_object(evidence, f"$.{path}"), F.lit(""))
+    metadata = F.array_join(F.array_sort(F.coalesce(F.json_object_keys(of("metadata")), F.array().cast("array<string>"))), ",")
+    known = {
+        "tax-id-mismatch": of("actual"),
+        "tax-id-invalid": F.coalesce(F.nullif(of("tax_id"), F.lit("")), of("value")),
+        "identity-mismatch": of("actual"),
+        "identity-outlier": of("outlier"),
+        "metadata-leak": metadata,
+        "duplicate-hash": F.left(of("sha256"), F.lit(16)),
+        "template-residue": F.left(of("file_id"), F.lit(8)),
+    }
+    own = F.concat(F.left(F.coalesce(title, F.lit("")), F.lit(50)), F.lit(":"), F.coalesce(page.cast("string"), F.lit("")))
+    for name, value in known.items():
+        own = F.when(category == name, value).otherwise(own)
+    return F.concat(category, F.lit(":"), own)
+
+
+def tax_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, place, tax_id, valid): the eight-digit numbers of each text, each once, in order."""
+    found = F.array_distinct(F.regexp_extract_all(docs[text_col], F.lit(rf"{LEFT}([0-9]{{8}}){RIGHT}"), 1))
+    return docs.select(docs[id_col], F.posexplode(found).alias("place", "tax_id")).withColumn("valid", checks.business_id_valid(F.col("tax_id")))
+
+
+def rule_findings(totals: DataFrame, main: str = "", main_id: str = "", counterparty: str = "", case_number: str = "", own_names: list[str] = (), own_ids: list[str] = ()) -> DataFrame:
+    """(category, severity, kind, value, total_count, file_count) from the totals of a case and what is expected of it.
+
+    With an expected party, other organisations are warnings unless they are the counterparty or one's own; an expected tax
+    id or case number makes others findings. Without, several valid foreign tax ids are one warning. Eight digits without a
+    valid checksum warn where they stand once, and inform where they are in use.
+    """
+    plain = F.col("value")
+    either = lambda name: plain.contains(name) | F.lit(name).contains(plain)
+    known = [n for n in ("".join(x.split()) for x in [counterparty, *own_names]) if n]
+    columns = ["kind", "value", "total_count", "file_count"]
+    as_finding = lambda rows, category, severity: rows.select(F.lit(category).alias("category"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), *columns)
+    parts = []
+    if main:
+        kinds = ["company", "legal_person", "school", *([] if counterparty else ["government"])]
+        fine = reduce(lambda a, b: a | b, [either(n) for n in known], either("".join(main.split())))
+        parts.append(as_finding(totals.filter(F.col("kind").isin(kinds) & ~fine), "identity-mismatch", "warn"))
+    ids = totals.filter("kind = 'tax_id'")
+    valid = checks.business_id_valid(plain)
+    if main_id:
+        parts.append(as_finding(ids.filter(plain != main_id), "tax-id-mismatch", "warn"))
+    else:
+        foreign = ids.filter(valid & ~plain.isin([str(x) for x in own_ids])) if own_ids else ids.filter(valid)
+        several = foreign.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("value"), F.sum("total_count").alias("total_count"), F.max("file_count").alias("file_count")).filter("n >= 2").withColumn("kind", F.lit("tax_id"))
+        parts.append(as_finding(several, "tax-id-multiple", "warn"))
+    used = (F.col("file_count") >= 2) | (F.col("total_count") >= 3)
+    parts.append(as_finding(ids.filter(~valid), "tax-id-invalid", F.when(used, "info").otherwise("warn")))
+    if case_number:
+        parts.append(as_finding(totals.filter((F.col("kind") == "case_number") & (plain != case_number)), "case-num-other", "info"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: What stands for "the same as above", and what a named reference begins and ends with.
+DITTO = ("同上", "同前", "如上", "同上述", "同前述", "同左", "同右", "同上欄", "同左列", "同上所述", "略同上", "ditto", "同", "〃", "″", "”", '"')
+REFERENCE_START, REFERENCE_END = ("同", "與", "如"), ("相同", "同", "一致", "者同")
+NOWHERE = ("上", "前", "左", "右")
+
+
+def resolve_references(profile: DataFrame, labels: DataFrame, sources: dict[str, str], by: str = "owner") -> DataFrame:
+    """(by, key, value, source): values that refer to another one (同上, 同登記地址) replaced by it.
+
+    ``labels`` (label, key) names keys, ``sources`` says which key a bare ditto under a key means. A target that is empty or
+    itself a reference, one's own key, or an unknown name leaves the value as it is; nothing becomes blank.
+    """
+    clean = F.regexp_replace(F.coalesce("value", F.lit("")), r"(?U)^\s+|\s+$", "")
+    clean = F.regexp_replace(F.regexp_replace(clean, r"^[（()）\[\]［］{}｛｝「」『』<>《》]+|[（()）\[\]［］{}｛｝「」『』<>《》]+$", ""), r"(?U)^\s+|\s+$", "")
+    rows = profile.select(by, "key", "value").withColumn("clean", clean).withColumn("bare", F.col("clean").isin(*DITTO))
+    body = F.regexp_replace(F.substring(F.col("clean"), 2, 2**31 - 1), r"(?U)^\s+|\s+$", "")
+    for end in REFERENCE_END:
+        body = F.when(body.endswith(end) & (F.length(body) > len(end)), F.rtrim(F.left(body, F.length(body) - len(end)))).otherwise(body)
+    named = ~F.col("bare") & F.left(F.col("clean"), F.lit(1)).isin(*REFERENCE_START) & (F.length(body) >= 2) & ~body.isin(*NOWHERE)
+    rows = rows.withColumn("label", F.when(named, labels_normalised(body)))
+    index = labels.groupBy(labels_normalised(F.col("label")).alias("label")).agg(F.max("key").alias("named_key"))
+    rows = rows.join(index, "label", "left")
+    pair = F.element_at(F.create_map(*[F.lit(x) for kv in sources.items() for x in kv]), F.col("key")) if sources else F.lit(None).cast("string")
+    wanted = F.when(F.col("label").isNotNull(), F.when(F.col("named_key") != F.col("key"), F.col("named_key"))).when(F.col("bare"), pair)
+    is_reference = (F.col("clean") != "") & (F.length("clean") <= 20) & (F.col("bare") | F.col("named_key").isNotNull())
+    given = rows.filter(~is_reference & (F.trim(F.coalesce("value", F.lit(""))) != "")).select(by, F.col("key").alias("wanted"), F.trim("value").alias("given"))
+    asked = rows.withColumn("wanted", wanted).join(given, [by, "wanted"], "left")
+    return asked.select(by, "key", F.coalesce("given", "value").alias("value"), F.when(F.col("given").isNotNull(), F.col("wanted")).alias("source"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import checks
 from paperloom.functions.pii_patterns import CATALOGUE
+from paperloom.session import bounded_batches
 
 
 @dataclass(frozen=True)
@@ -157,13 +158,33 @@ def find_spans(text: str, patterns: Iterable[Pattern]) -> list[tuple]:
     return kept
 
 
+def disjoint(spans: list[tuple], size: int) -> list[tuple[int, int, list[tuple]]]:
+    """(start, end, spans) of each run of spans that overlap, in order; spans outside the text are left out."""
+    runs: list[tuple[int, int, list[tuple]]] = []
+    for span in sorted((s for s in spans if 0 <= s[5] < s[6] <= size), key=lambda s: (s[5], -s[6])):
+        if runs and span[5] < runs[-1][1]:
+            start, end, of = runs[-1]
+            runs[-1] = start, max(end, span[6]), [*of, span]
+        else:
+            runs.append((span[5], span[6], [span]))
+    return runs
+
+
 def rewrite(text: str, spans: list[tuple], mode: str) -> str:
-    """Spans replaced from right to left: redact, mask or fake."""
-    for kind, _, _, value, masked, start, end in sorted(spans, key=lambda s: (s[5], s[6]), reverse=True):
-        if 0 <= start < end <= len(text):
-            fresh = "█" * (end - start) if mode == "redact" else masked if mode == "mask" else fake_value(kind, value)
-            text = text[:start] + fresh + text[end:]
-    return text
+    """Spans replaced: redact, mask or fake. Of spans that overlap, one that covers all of them decides, else their whole
+    run is blacked out, so that nothing of any span stays in clear."""
+    out, at = [], 0
+    for start, end, of in disjoint(spans, len(text)):
+        kind, _, _, value, masked, first, last = of[0]
+        if mode == "redact" or (first, last) != (start, end):
+            fresh = "█" * (end - start)
+        else:
+            fresh = masked if mode == "mask" else fake_value(kind, value)
+            if mode == "mask" and any(s[3] in fresh for s in of[1:]):  # the outer mask lets an inner value show
+                fresh = "█" * (end - start)
+        out += [text[at:start], fresh]
+        at = end
+    return "".join([*out, text[at:]])
 
 
 SPANS = "array<struct<type:string,label:string,grp:string,value:string,masked:string,start:int,end:int>>"
@@ -174,6 +195,7 @@ _SPAN_NAMES = ("type", "label", "grp", "value", "masked", "start", "end")
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ids: Iterable[str] = DEFAULT, custom: str = "", mode: str | None = None) -> DataFrame:
     """(id, spans) of every row, with the rewritten text if a mode is given; null text has no spans."""
     chosen = [PATTERNS[i] for i in ids] + custom_patterns(custom)
+    bounded_batches(docs.sparkSession)
     source = docs.select(docs[id_col].alias(id_col), docs[text_col].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

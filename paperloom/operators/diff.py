@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import bounded_batches
+
 ROWS = "array<struct<row:int,a:string,a_tag:string,b:string,b_tag:string>>"
 _ROW_TYPE = pa.list_(pa.struct([("row", pa.int32()), ("a", pa.string()), ("a_tag", pa.string()), ("b", pa.string()), ("b_tag", pa.string())]))
 
@@ -43,6 +45,7 @@ def align(a: str, b: str) -> tuple[list[tuple], dict[str, int]]:
 
 def line_diff(pairs: DataFrame, id_col: str = "pair_id", a_col: str = "text_a", b_col: str = "text_b") -> DataFrame:
     """(id, added, removed, changed, chars_added, chars_removed, rows) of each pair; null texts count as empty."""
+    bounded_batches(pairs.sparkSession)
     source = pairs.select(pairs[id_col].alias(id_col), pairs[a_col].cast("string").alias("a"), pairs[b_col].cast("string").alias("b"))
     counters = ("added", "removed", "changed", "chars_added", "chars_removed")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import business as B
+from paperloom.session import numbered
 
 CODE_CHARS = 77
 BUFFER_ROWS = 1000
@@ -129,8 +130,11 @@ def reclassified(before: DataFrame, after: DataFrame, key: str = "invoice_number
 
 def attach_items(invoices: DataFrame, items: DataFrame, owner: str = "user_key", order: str = "scanned_at") -> DataFrame:
     """Item lists go to the owner's latest invoice; names it has already aren't repeated."""
-    latest = invoices.groupBy(owner).agg(F.max_by("invoice_number", order).alias("invoice_number"))
-    merged = items.select(owner, F.explode("items").alias("item")).groupBy(owner).agg(F.array_sort(F.collect_set("item")).alias("more"))
+    # of invoices scanned at one time the first number counts; names keep the order in which they were given
+    first = Window.partitionBy(owner).orderBy(F.desc(order), "invoice_number")
+    latest = invoices.select(owner, "invoice_number", F.row_number().over(first).alias("_n")).filter("_n = 1").drop("_n")
+    given = items.select(owner, F.posexplode("items").alias("_k", "item"), *([F.col(order).alias("_at")] if order in items.columns else [F.lit(0).alias("_at")]))
+    merged = given.groupBy(owner).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_k", "item"))), lambda x: x["item"])).alias("more"))
     joined = invoices.join(latest.join(merged, owner), [owner, "invoice_number"], "left")
     return joined.withColumn("items", F.when(F.col("more").isNull(), F.col("items")).otherwise(F.array_union(F.coalesce("items", F.array().cast("array<string>")), "more"))).drop("more")
 
@@ -145,7 +149,11 @@ def export_columns(catalogue: Sequence[dict], order: Sequence[str] = (), visible
 
 def export_rows(invoices: DataFrame, columns: Sequence[tuple[str, str]], order: str = "scanned_at") -> DataFrame:
     """The chosen columns under their labels, with the computed ones: seq, tax, items."""
-    out = invoices.withColumn("seq", F.row_number().over(Window.orderBy(order, "invoice_number"))) if any(i == "seq" for i, _ in columns) else invoices
+    out = invoices
+    if any(i == "seq" for i, _ in columns):
+        in_time = invoices.schema[order].dataType.typeName() in ("timestamp", "timestamp_ntz", "date")
+        group = F.date_format(order, "yyyy-MM-dd") if in_time else F.lpad(F.floor(F.col(order) / 100_000).cast("string"), 20, "0")
+        out = numbered(invoices, "seq", group, order, "invoice_number")
     out = out.withColumn("tax", F.col("amount_total") - F.col("amount_untaxed"))
     if "items" in out.columns:
         out = out.withColumn("items", F.array_join("items", " / "))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import numbered
+
 PRIORITY_USERS = 15
 
 
@@ -69,7 +71,9 @@ def queue_order(queued: DataFrame, ranks: dict[int, int], owner: str = "owner_id
     """Place in the queue, from 1: by rank, those without last, first come first served within a rank."""
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]), F.col(owner)) if ranks else F.lit(None).cast("int")
     ranked = queued.withColumn("priority", rank)
-    return ranked.withColumn("place", F.row_number().over(Window.orderBy(F.col("priority").asc_nulls_last(), order, "id")))
+    # ranks before those without, days within a rank
+    group = F.concat(F.coalesce(F.lpad(F.col("priority").cast("string"), 10, "0"), F.lit("last")), F.lit("|"), F.date_format(order, "yyyy-MM-dd"))
+    return numbered(ranked, "place", group, order, "id")
 
 
 def select_jobs(jobs: DataFrame, owner: int | None = None, client_ip: str | None = None, active: bool = False, tool: str | None = None, limit: int = 100) -> DataFrame:
@@ -127,3 +131,36 @@ def replay_lockouts(attempts: DataFrame, threshold: int = 5, window_s: float = 9
     placed = rows.repartition("key").sortWithinPartitions("key", "t")
     locks = placed.mapInPandas(run, "key string, t double, until double")
     return locks.select("key", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("long")).alias("ts"), F.timestamp_micros(F.round(F.col("until") * 1e6).cast("long")).alias("locked_until"))
+
+
+def admin_list(jobs: DataFrame, places: DataFrame, live: DataFrame, ranks: DataFrame, tags: Column) -> DataFrame:
+    """Jobs with live state, place in the queue, the owner's rank and resource tags, numbered as administrators see them:
+    queued by place, then running, then the newest first."""
+    out = overlay(jobs, live).join(places, "id", "left").join(ranks, "owner_id", "left").withColumn("tags", tags)
+    kind = F.when(F.col("status") == "queued", 0).when(F.col("status") == "running", 1).otherwise(2)
+    newest = -F.unix_micros("created_at")
+    group = F.concat(kind.cast("string"), F.lit("|"), F.when(kind == 0, F.lpad(F.floor(F.coalesce("place", F.lit(0)) / 1000).cast("string"), 12, "0")).otherwise(F.lpad((F.lit(10**6) - F.datediff(F.col("created_at"), F.lit("1970-01-01").cast("date"))).cast("string"), 12, "0")))
+    return numbered(out, "row", group, F.when(kind == 0, F.col("place")).asc_nulls_last(), newest, "id")
+
+
+def resource_tags(tool: Column, office: list[str], ocr: list[str], remote: list[str]) -> Column:
+    """The shared resources a tool draws on; a tool may have several."""
+    return F.array_compact(F.array(*[F.when(tool.isin(ids), name) for name, ids in (("office", office), ("ocr", ocr), ("remote", remote))]))
+
+
+def joint_history(jobs: DataFrame, samples: DataFrame, now: str, hours: int, buckets: int) -> DataFrame:
+    """Job history and metric history on the same buckets."""
+    return job_history(jobs, now, hours, buckets).join(metric_history(samples, now, hours, buckets), "bucket")
+
+
+def sampled(rows: DataFrame, ts: str = "ts", every: str = "1 minute") -> DataFrame:
+    """The last row of each interval, under the interval's start."""
+    slot = F.window(ts, every)["start"]
+    columns = [c for c in rows.columns if c != ts]
+    return rows.groupBy(slot.alias("slot")).agg(F.max_by(F.struct(*columns), F.struct(ts, *columns)).alias("r")).select(F.col("slot").alias(ts), "r.*")
+
+
+def due(last_run: Column, now: Column, weekday: int, hour: int, least_days: int = 6) -> Column:
+    """A weekly job is due on its day (0 is Monday) and hour if it has not run for some days."""
+    fresh = F.coalesce((F.unix_timestamp(now) - F.unix_timestamp(last_run)) < least_days * 86400, F.lit(False))
+    return (F.weekday(now) == weekday) & (F.hour(now) == hour) & ~fresh

@@ -19,9 +19,9 @@ def prev(column: str, by: list[str], order: list[str]) -> Column:
     return F.lag(column).over(Window.partitionBy(*by).orderBy(*order))
 
 
-def paragraph_groups(lines: DataFrame, by: list[str]) -> DataFrame:
+def paragraph_groups(lines: DataFrame, by: list[str], order: list[str] = ("y", "x")) -> DataFrame:
     """A new group where the vertical gap exceeds 0.8 of the smaller size or x jumps by over 150."""
-    order = ["y", "x"]
+    order = list(order)
     gap = F.col("y") - prev("y", by, order) - F.least("size", prev("size", by, order))
     return gap_groups(lines, by, order, (gap > 0.8 * F.least("size", prev("size", by, order))) | (F.abs(F.col("x") - prev("x", by, order)) > 150))
 
@@ -68,17 +68,77 @@ def repeated_lines(lines: DataFrame, doc: str = "doc_id", page: str = "page", te
     return seen.join(pages, doc).filter(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("pages") / 2)))
 
 
-def nearest_right(cells: DataFrame, page: str = "page", max_gap: float = 300.0, band: float = 50.0) -> DataFrame:
-    """(page, cell, right): the nearest cell to the right with half the height in common.
+def _near(cells: DataFrame, page: str, along: tuple[str, str], across: tuple[str, str], reach: Column, share: float, widest: float) -> DataFrame:
+    """(page, cell, hit): the nearest cell that begins behind a cell's end, within ``reach``, and shares enough of its breadth.
 
-    Cells are dealt to the horizontal bands they touch, so candidates meet by an equi-join on page and band.
+    Cells meet by an equi-join on page and buckets of both axes: a cell asks in the bucket where it ends and those up to its
+    reach, another answers in the one where it begins.
     """
-    banded = cells.withColumn("_band", F.explode(F.sequence(F.floor(F.col("y0") / band), F.floor(F.col("y1") / band))))
-    other = banded.select(page, "_band", *[F.col(c).alias(f"r_{c}") for c in ("cell", "x0", "x1", "y0", "y1")])
-    common = F.least("y1", "r_y1") - F.greatest("y0", "r_y0")
-    gap = F.col("r_x0") - F.col("x1")
-    fits = banded.join(other, [page, "_band"]).filter((F.col("cell") != F.col("r_cell")) & (gap >= 0) & (gap <= max_gap) & (common >= 0.5 * F.least(F.col("y1") - F.col("y0"), F.col("r_y1") - F.col("r_y0"))))
-    return fits.groupBy(page, "cell").agg(F.min_by("r_cell", F.struct(gap, "r_cell")).alias("right"))
+    (a0, a1), (c0, c1) = along, across
+    step = F.lit(widest)
+    crossed = F.explode(F.sequence(F.floor(F.col(c0) / 50.0), F.floor(F.col(c1) / 50.0)))
+    asks = cells.withColumn("_reach", reach).withColumn("_c", crossed).withColumn("_a", F.explode(F.sequence(F.floor(F.col(a1) / step), F.floor((F.col(a1) + F.col("_reach")) / step))))
+    answers = cells.withColumn("_c", crossed).withColumn("_a", F.floor(F.col(a0) / step)).select(page, "_c", "_a", *[F.col(c).alias(f"r_{c}") for c in ("cell", a0, c0, c1)])
+    common = F.least(c1, f"r_{c1}") - F.greatest(c0, f"r_{c0}")
+    gap = F.col(f"r_{a0}") - F.col(a1)
+    breadth = F.least(F.col(c1) - F.col(c0), F.col(f"r_{c1}") - F.col(f"r_{c0}"))
+    fits = asks.join(answers, [page, "_c", "_a"]).filter((F.col("cell") != F.col("r_cell")) & gap.between(0, F.col("_reach")) & (common >= share * breadth))
+    return fits.groupBy(page, "cell").agg(F.min_by("r_cell", F.struct(gap, "r_cell")).alias("hit"))
+
+
+def nearest_right(cells: DataFrame, page: str = "page", max_gap: float = 300.0) -> DataFrame:
+    """(page, cell, right): the nearest cell to the right with half the height in common."""
+    return _near(cells, page, ("x0", "x1"), ("y0", "y1"), F.lit(max_gap), 0.5, max_gap / 4).withColumnRenamed("hit", "right")
+
+
+def nearest_below(cells: DataFrame, page: str = "page", heights: float = 1.6) -> DataFrame:
+    """(page, cell, below): the nearest cell below within 1.6 heights, with 30 % of the width in common."""
+    return _near(cells, page, ("y0", "y1"), ("x0", "x1"), heights * (F.col("y1") - F.col("y0")), 0.3, 25.0).withColumnRenamed("hit", "below")
+
+
+def containing_cells(points: DataFrame, cells: DataFrame, page: str = "page", tile: float = 100.0) -> DataFrame:
+    """(page, point, cell): the smallest cell that a point (x, y) lies in; cells are dealt to the tiles they touch."""
+    over = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / tile), F.floor(F.col(high) / tile)))
+    dealt = cells.withColumn("_tx", over("x0", "x1")).withColumn("_ty", over("y0", "y1"))
+    placed = points.withColumn("_tx", F.floor(F.col("x") / tile)).withColumn("_ty", F.floor(F.col("y") / tile))
+    inside = placed.join(dealt, [page, "_tx", "_ty"]).filter(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    return inside.groupBy(page, "point").agg(F.min_by("cell", F.struct(area, "cell")).alias("cell"))
+
+
+def collate(lines: DataFrame, cells: DataFrame, page: str = "page") -> DataFrame:
+    """(page, cell, text): the lines whose centre lies in a cell, from top to bottom and left to right."""
+    centred = lines.select(page, F.col("line").alias("point"), "text", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    held = containing_cells(centred, cells, page).join(centred, [page, "point"])
+    return held.groupBy(page, "cell").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "point", "text"))), lambda t: t["text"]), "\n").alias("text"))
+
+
+def reading_order(rows: DataFrame, by: str = "page", band: float = 50.0, column: str | None = None) -> DataFrame:
+    """Rows with their place on the page: by column, if there is one, then by horizontal band, then from left to right."""
+    keys = ([column] if column else []) + [F.floor(F.col("y0") / band), "x0", "id"]
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*keys)))
+
+
+def same_place(lines: DataFrame, page: str = "page", text: str = "text", key: str = "line") -> DataFrame:
+    """Lines of one rounded centre that are equal but for white space, of which the first stays."""
+    plain = F.regexp_replace(text, r"(?U)\s+", "")
+    w = Window.partitionBy(page, F.round((F.col("x0") + F.col("x1")) / 2), F.round((F.col("y0") + F.col("y1")) / 2), plain).orderBy(key)
+    return lines.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def blank_repeats(lines: DataFrame, by: list[str], order: str, text: str = "text") -> DataFrame:
+    """A line that equals the last one before it but for white space becomes empty; a blank line starts anew."""
+    w = Window.partitionBy(*by).orderBy(order)
+    plain = F.regexp_replace(text, r"(?U)\s+", "")
+    return lines.withColumn(text, F.when((plain != "") & F.lag(plain).over(w).eqNullSafe(plain), "").otherwise(F.col(text)))
+
+
+def overprints(frames: DataFrame, page: str = "page", grid: float = 4.0) -> DataFrame:
+    """(page, frame) of frames that lie within one grid square of a kept one and print the same text, or a part of it, again."""
+    placed = frames.withColumn("_gx", F.floor(F.col("x0") / grid)).withColumn("_gy", F.floor(F.col("y0") / grid))
+    first = placed.select(page, "_gx", "_gy", F.col("frame").alias("k"), F.col("text").alias("by"))
+    met = placed.join(first, [page, "_gx", "_gy"]).filter((F.col("frame") != F.col("k")) & (F.col("text") != "") & F.col("by").contains(F.col("text")))
+    return met.filter((F.length("by") > F.length("text")) | (F.col("k") < F.col("frame"))).select(page, "frame").distinct()
 
 
 def bounding_boxes(rows: DataFrame, *by: str) -> DataFrame:

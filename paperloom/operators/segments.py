@@ -44,7 +44,7 @@ def split_prefix(line: Column) -> Column:
     return F.struct(prefix.alias("prefix"), F.substring(line, F.length(prefix) + 1, F.length(line)).alias("rest"))
 
 
-def corrected_lines(original: DataFrame, corrected: DataFrame, by: str, order: str = "pos", text: str = "line", share: float = 0.3) -> DataFrame:
+def corrected_lines(original: DataFrame, corrected: DataFrame, by: str, order: str = "pos", text: str = "line", share: float = 0.3, least_aligned: float = 0.3) -> DataFrame:
     """Corrections line by line: a page whose line count differs much keeps its own, as does a line whose count of characters does.
 
     Space is not counted; a line that is blank on one side only, or blank on both and not the same, stays.
@@ -58,7 +58,10 @@ def corrected_lines(original: DataFrame, corrected: DataFrame, by: str, order: s
     own, new = size("own"), size("new")
     emptied = (F.least(own, new) == 0) & (F.col("own") != F.col("new"))
     keep = F.col("_fits").isNull() | F.col("new").isNull() | emptied | (F.abs(own - new) > F.greatest(F.lit(2.0), share * own))
-    return joined.select(by, order, F.when(keep, F.col("own")).otherwise(F.col("new")).alias(text), (~keep).alias("corrected"))
+    # a page of which hardly any line aligns keeps its own
+    judged = joined.select(by, order, "own", "new", (~keep).alias("fits")).withColumn("part", F.avg(F.col("fits").cast("double")).over(Window.partitionBy(by)))
+    taken = F.col("fits") & (F.col("part") >= least_aligned)
+    return judged.select(by, order, F.when(taken, F.col("new")).otherwise(F.col("own")).alias(text), taken.alias("corrected"))
 
 
 def fingerprint(spans: DataFrame, by: str, text: str = "text", least: int = 60) -> DataFrame:

@@ -47,3 +47,9 @@ def top_terms(terms: DataFrame, k: int, *by: str) -> DataFrame:
     counted = terms.groupBy(*by, "term").agg(F.count("*").alias("count"), F.min("at").alias("first_at"))
     order = Window.partitionBy(*by).orderBy(F.desc("count"), "first_at", "term")
     return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("first_at")
+
+
+def by_page_and_overall(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:
+    """(doc, page, chars, words) of every page and, with a null page, of the whole document; one shuffle for both."""
+    counted = pages.select(doc, page, F.length(text).cast("long").alias("chars"), F.size(F.split(text, " ", -1)).cast("long").alias("words"))
+    return counted.groupingSets([[F.col(doc), F.col(page)], [F.col(doc)]], F.col(doc), F.col(page)).agg(F.sum("chars").alias("chars"), F.sum("words").alias("words"))

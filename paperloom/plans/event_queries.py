@@ -164,10 +164,10 @@ def tree_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("directory_tree", """
-WITH m AS (SELECT lower('CN=' || n_name || ',OU=' || r_name || ',OU=world,DC=own,DC=net') AS dn, lower('OU=' || r_name || ',OU=world,DC=own,DC=net') AS p FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0)
+WITH m AS (SELECT lower('CN=' || n_name || ',OU=' || r_name || ',OU=world,DC=own,DC=net') AS dn, lower('OU=' || r_name || ',OU=world,DC=own,DC=net') AS p FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT dn, true AS matched, 5 AS depth, p AS parent_dn FROM m UNION SELECT p, false, 4, 'ou=world,dc=own,dc=net' FROM m UNION SELECT 'ou=world,dc=own,dc=net', false, 3, 'dc=own,dc=net'""")
 def directory_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return access.matched_tree(rows.select(F.concat(F.lit("CN="), "n_name", F.lit(", OU="), "r_name", F.lit(",OU=world,DC=own,DC=net")).alias("dn")))
 
 

@@ -44,21 +44,22 @@ def page_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.fingerprint(spans, "source")
 
 
-@query("corrected_lines", f"""
-WITH {LINES}, n AS (SELECT *, regexp_replace(line, 'the', 'The', 'g') AS new FROM lined)
-SELECT doc_id, pos, CASE WHEN levenshtein(line, new) > greatest(2.0, 0.3 * length(line)) THEN line ELSE new END AS line, levenshtein(line, new) <= greatest(2.0, 0.3 * length(line)) AS corrected FROM n WHERE length(line) < 200""")
+_CORRECTED = rf"""
+WITH {LINES}, n AS (SELECT *, regexp_replace(line, 'the', 'The', 'g') AS new FROM lined), c AS (SELECT *, length(regexp_replace(line, '\s', '', 'g')) AS a, length(regexp_replace(new, '\s', '', 'g')) AS b FROM n),
+f AS (SELECT *, abs(a - b) <= greatest(2.0, 0.3 * a) AS fits FROM c), w AS (SELECT *, fits AND avg(fits::INTEGER) OVER (PARTITION BY doc_id) >= 0.3 AS corrected FROM f)
+SELECT doc_id, pos, CASE WHEN corrected THEN new ELSE line END AS line, corrected FROM w"""
+
+
+@query("corrected_lines", _CORRECTED)
 def corrected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = lists.explode_lines(table(spark, sf_dir, "documents")).filter(F.length("line") < 200)
+    own = lists.explode_lines(table(spark, sf_dir, "documents"))
     return segments.corrected_lines(own, own.withColumn("line", F.regexp_replace("line", "the", "The")), "doc_id")
 
 
-@query("corrected_lines_all", rf"""
-WITH {LINES}, n AS (SELECT *, regexp_replace(line, 'the', 'The', 'g') AS new FROM lined), c AS (SELECT *, length(regexp_replace(line, '\s', '', 'g')) AS a, length(regexp_replace(new, '\s', '', 'g')) AS b FROM n)
-SELECT doc_id, pos, CASE WHEN abs(a - b) > greatest(2.0, 0.3 * a) THEN line ELSE new END AS line, abs(a - b) <= greatest(2.0, 0.3 * a) AS corrected FROM c""")
+@query("corrected_lines_all", _CORRECTED)
 def corrected_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As corrected_lines, over lines of any length."""
-    own = lists.explode_lines(table(spark, sf_dir, "documents"))
-    return segments.corrected_lines(own, own.withColumn("line", F.regexp_replace("line", "the", "The")), "doc_id")
+    """The same under the name it has had."""
+    return corrected_lines(spark, sf_dir)
 
 
 @query("html_escapes", r"""

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -37,6 +38,23 @@ def local_session(cpus: int | str = "*", name: str = "paperloom") -> SparkSessio
     )
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Arrow batches of bounded size: a text may be megabytes long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark only: the folder may lie in any store that Spark reaches."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def numbered(df: DataFrame, name: str, group: Column, *order) -> DataFrame:
+    """The rows with a running number from 1 in the given order, whose first part is ``group``: rows are numbered within
+    their group, and groups are offset by the counts of those before them. Only these counts meet in one task.
+    """
+    rows = df.withColumn("_group", group)
+    counts = rows.groupBy("_group").agg(F.count("*").alias("_n"))
+    before = counts.select(F.col("_group").alias("_of"), (F.sum("_n").over(Window.orderBy("_group")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_group").orderBy(*order))
+    return rows.withColumn(name, within).join(before, F.col("_group") == F.col("_of")).withColumn(name, (F.col(name) + F.col("_before")).cast("int")).drop("_group", "_of", "_before")
