@@ -18,7 +18,9 @@ _own = threading.local()
 
 #: Arrow batches stay small: a document may be megabytes long.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+#: Row groups of written steps: what a writer holds in memory.
+ROW_GROUP_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,7 +42,7 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write to the shared folder and read again: lineage is cut and a lost executor costs no recomputation."""
     path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     _written().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

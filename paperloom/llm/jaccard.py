@@ -49,7 +49,7 @@ LEADER_TOKENS = 8
 BUCKET_POSTINGS = 400_000
 #: A frequent shingle's list is cut into parts of about so many clusters, and each pair of parts is a bucket of its own.
 PART_SETS = 30_000
-FLUSH_POSTINGS = 500_000
+FLUSH_POSTINGS = 250_000
 #: Entries of a block of a list, and pairs of an entry and a block that are looked at together.
 BLOCK = 32
 PAIR_SLICE = 200_000
