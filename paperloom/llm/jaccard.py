@@ -677,8 +677,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keys = rows.filter("sig IS NOT NULL").groupBy("sig", "doc_id", "mark").agg(F.count("*").alias("copies"))
     keys = keys.join(bounded(found.select("sig", "root")), "sig").groupBy("root", "doc_id", "mark").agg(F.sum("copies").alias("copies"))
     keys = materialise(keys.withColumn("none", F.col("doc_id").isNull()), "keys")
-    first = keys.groupBy("root").agg(F.min(F.struct("none", "doc_id", "mark")).alias("first"))
-    stays = keys.join(first, "root").withColumn("stays", F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.mark") == F.col("mark")))
+    first = materialise(keys.groupBy("root").agg(F.min(F.struct("none", "doc_id", "mark")).alias("first")), "first")
+    stays = keys.join(bounded(first), "root").withColumn("stays", F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.mark") == F.col("mark")))
     own_id, own_mark, of_id, of_mark = (f"{x}_{uuid4().hex}" for x in ("own_id", "own_mark", "of_id", "of_mark"))
     # rows that go, and rows that stay but have repeats, of which one is added again
     out = materialise(stays.filter("NOT stays OR copies > 1").select(F.col("doc_id").alias(of_id), F.col("mark").alias(of_mark), "stays"), "leaving")
