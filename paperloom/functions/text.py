@@ -90,6 +90,23 @@ def guess_language(text: Column) -> Column:
     return F.when(letters == 0, "auto").when(cjk > 0.3 * letters, "zh").otherwise("en")
 
 
+#: Characters that hint at a script, and the length of the sample.
+CJK_CHARACTER = "[㐀-鿿가-힯぀-ヿ]"
+JAPANESE_HINT = "[぀-ゟ゠-ヿ]"
+TRADITIONAL_HINT = "[ㄅ-ㄯ的是不為這個]"
+SIMPLIFIED_HINT = "[这为么会个时间]"
+LANGUAGE_SAMPLE = 5000
+
+
+def script_language(text: Column) -> Column:
+    """ja, zh-Hant, zh-Hans or en by the scripts of the first 5000 characters; unknown for null or empty texts."""
+    sample = F.left(text, F.lit(LANGUAGE_SAMPLE))
+    n = F.length(sample)
+    cjk, japanese, traditional, simplified = (F.regexp_count(sample, F.lit(p)) for p in (CJK_CHARACTER, JAPANESE_HINT, TRADITIONAL_HINT, SIMPLIFIED_HINT))
+    some = cjk * 10 > n
+    return F.when(F.coalesce(n, F.lit(0)) == 0, "unknown").when(some & (japanese * 20 > n), "ja").when(some & (traditional >= simplified), "zh-Hant").when(some, "zh-Hans").otherwise("en")
+
+
 def sentences(text: Column) -> Column:
     """Sentences of running text, cut behind end marks and at line breaks; blank ones left out."""
     cut = r"(?U)(?<=[.!?。！？])\s+|(?<=[。！？])(?=[A-Z一-鿿])|\n+"

@@ -32,6 +32,33 @@ def cluster_1d(points: DataFrame, by: list[str], value: str, tolerance: float) -
     return grouped.groupBy(*by, F.col("group").alias("cluster")).agg(F.avg(value).alias("center"), F.count("*").alias("n"))
 
 
+#: Fixed values in points: least gap between columns, how far columns may be off, distance that makes a lone pair a table.
+COLUMN_GAP = 15.0
+COLUMN_OFF = 25.0
+LONE_PAIR = 200.0
+
+
+def row_tables(lines: DataFrame, page: str = "page", row: str = "row") -> DataFrame:
+    """(page, first_row, last_row, n_rows, n_cols): runs of rows with several columns that lie above one another.
+
+    ``lines`` holds (page, row, x0, x1). A row counts if two neighbours are COLUMN_GAP apart; it goes on with the row
+    before, if that counts too, their numbers of lines differ by one at most and their centres by COLUMN_OFF. A single row
+    is kept with three lines or with two that are over LONE_PAIR apart. Lines without coordinates are left out.
+    """
+    placed = lines.filter("x0 IS NOT NULL AND x1 IS NOT NULL").withColumn("_c", F.struct(((F.col("x0") + F.col("x1")) / 2).alias("center"), "x0", "x1"))
+    rows = placed.groupBy(page, row).agg(F.sort_array(F.collect_list("_c")).alias("_cells"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("_cells") - 1), lambda k: F.get("_cells", k)["x0"] - F.get("_cells", k - 1)["x1"])
+    rows = rows.withColumn("_xs", F.col("_cells.center")).withColumn("_wide", F.when(F.size("_cells") >= 2, F.exists(pairs, lambda gap: gap >= COLUMN_GAP)).otherwise(False))
+    xs, before, wide_before = F.col("_xs"), prev("_xs", [page], [row]), prev("_wide", [page], [row])
+    rows = rows.withColumn("_before", before).withColumn("_goes_on", F.col("_wide") & F.coalesce(wide_before, F.lit(False)))
+    near = F.forall(F.zip_with(xs, F.col("_before"), lambda a, b: F.coalesce(F.abs(a - b) <= COLUMN_OFF, F.lit(True))), lambda ok: ok)
+    goes_on = F.col("_goes_on") & (F.abs(F.size(xs) - F.size("_before")) <= 1) & near
+    islands = gap_groups(rows, [page], [row], ~F.coalesce(goes_on, F.lit(False))).filter("_wide")
+    n_cols = F.max(F.size("_xs"))
+    found = islands.groupBy(page, "group").agg(F.min(row).alias("first_row"), F.max(row).alias("last_row"), F.count("*").alias("n_rows"), n_cols.alias("n_cols"), F.max(F.get("_xs", F.lit(1)) - F.get("_xs", F.lit(0))).alias("_apart"))
+    return found.filter((F.col("n_rows") >= 2) | (F.col("n_cols") >= 3) | (F.col("_apart") > LONE_PAIR)).drop("group", "_apart")
+
+
 def size_tiers(spans: DataFrame, by: list[str], size: str, top: int = 3) -> DataFrame:
     """The largest sizes as heading levels 1 to 3."""
     return spans.withColumn("level", F.dense_rank().over(Window.partitionBy(*by).orderBy(F.desc(size)))).filter(F.col("level") <= top)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import geometry as G
 from paperloom.functions import text as T
-from paperloom.operators import layout, lists, text_stats
+from paperloom.operators import alignment, layout, lists, text_stats
 from paperloom.plans.registry import query
 from paperloom.plans.text_queries import LINES
 from paperloom.session import table
@@ -174,3 +174,42 @@ def object_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct images and fonts, and marks, of each document."""
     rows = table(spark, sf_dir, "lineitem")
     return rows.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.countDistinct("l_partkey").alias("images"), F.countDistinct("l_suppkey").alias("fonts"), F.count_if(F.col("l_returnflag") == "R").alias("marks"))
+
+
+@query("row_tables", """
+WITH l AS (SELECT l_orderkey AS page, l_linenumber // 2 AS "row", (l_partkey % 4) * 100.0 + l_linenumber AS x0, (l_partkey % 4) * 100.0 + l_linenumber + 60 AS x1 FROM lineitem),
+r AS (SELECT page, "row", list((x0 + x1) / 2 ORDER BY x0) AS xs, list(x0 ORDER BY x0) AS a, list(x1 ORDER BY x0) AS b FROM l GROUP BY ALL),
+f AS (SELECT page, "row", xs, len(list_filter(range(2, len(xs) + 1), lambda k: a[k] - b[k - 1] >= 15)) > 0 AS wide FROM r),
+p AS (SELECT *, lag(xs) OVER w AS before, coalesce(lag(wide) OVER w, false) AS wide_before FROM f WINDOW w AS (PARTITION BY page ORDER BY "row")),
+g AS (SELECT *, sum((NOT coalesce(wide AND wide_before AND abs(len(xs) - len(before)) <= 1 AND len(list_filter(range(1, least(len(xs), len(before)) + 1), lambda k: abs(xs[k] - before[k]) > 25)) = 0, false))::INTEGER) OVER (PARTITION BY page ORDER BY "row") AS island FROM p)
+SELECT page, min("row") AS first_row, max("row") AS last_row, count(*) AS n_rows, max(len(xs))::INTEGER AS n_cols FROM g WHERE wide GROUP BY page, island HAVING count(*) >= 2 OR max(len(xs)) >= 3 OR max(xs[2] - xs[1]) > 200""")
+def row_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x0 = (F.col("l_partkey") % 4) * 100.0 + F.col("l_linenumber")
+    return layout.row_tables(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.expr("l_linenumber div 2").alias("row"), x0.alias("x0"), (x0 + 60).alias("x1")))
+
+
+def _paragraphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns of conversations, and a second version of them in which every third is cut and the fourth ones come twice."""
+    left = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), "text")
+    cut = F.when(F.col("pos") % 3 == 1, F.expr("substring(text, 4)")).otherwise(F.col("text"))
+    right = left.select("doc_id", F.explode(F.expr("CASE WHEN pos % 4 = 3 THEN array(2 * pos, 2 * pos + 1) ELSE array(2 * pos) END")).alias("pos"), cut.alias("text"))
+    return left, right
+
+
+TIDY = r"trim(regexp_replace(regexp_replace(text, '[\x{feff}\x{200b}\x{200c}\x{200d}]', '', 'g'), '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{2028}\x{2029}]+', ' ', 'g'))"
+
+
+@query("paragraphs_paired", f"""
+WITH l AS (SELECT conv_id AS doc_id, turn AS pos, {TIDY} AS text FROM conversations),
+r AS (SELECT conv_id AS doc_id, 2 * turn + k AS pos, {TIDY} AS text FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN substring(text, 4) ELSE text END AS text FROM conversations), range(2) t(k) WHERE k = 0 OR turn % 4 = 3),
+a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY pos) AS nth FROM l WHERE doc_id IS NOT NULL AND text <> ''),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY pos) AS nth FROM r WHERE doc_id IS NOT NULL AND text <> '')
+SELECT doc_id, text, nth, a.pos::BIGINT AS "left", b.pos::BIGINT AS "right" FROM a FULL JOIN b USING (doc_id, text, nth)""")
+def paragraphs_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first round of the alignment: equal paragraphs, and what has no equal."""
+    return alignment.paired(*_paragraphs(spark, sf_dir))
+
+
+@query("paragraphs_aligned")
+def paragraphs_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_paragraphs(*_paragraphs(spark, sf_dir))

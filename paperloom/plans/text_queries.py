@@ -134,6 +134,15 @@ def language_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.guess_language(F.col("text")).alias("guess"))
 
 
+@query("script_language", r"""
+WITH h AS (SELECT doc_id, left(text, 5000) AS t FROM documents),
+c AS (SELECT doc_id, t, length(t) AS n, len(regexp_extract_all(t, '[㐀-鿿가-힯぀-ヿ]')) * 10 > length(t) AS han, len(regexp_extract_all(t, '[぀-ヿ]')) AS ja,
+  len(regexp_extract_all(t, '[ㄅ-ㄯ的是不為這個]')) AS hant, len(regexp_extract_all(t, '[这为么会个时间]')) AS hans FROM h)
+SELECT doc_id, CASE WHEN coalesce(t, '') = '' THEN 'unknown' WHEN han AND ja * 20 > n THEN 'ja' WHEN han AND hant >= hans THEN 'zh-Hant' WHEN han THEN 'zh-Hans' ELSE 'en' END AS language FROM c""")
+def script_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.script_language(F.col("text")).alias("language"))
+
+
 @query("noise_filter", r"""
 WITH c AS (SELECT doc_id, greatest(length(text), 1) AS n, len(regexp_extract_all(text, '[\x{c0}-\x{24f}]')) AS extra, len(regexp_extract_all(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}\x{e000}-\x{f8ff}]')) AS control,
   len(regexp_extract_all(text, '[A-Za-z]')) AS letters, len(regexp_extract_all(text, '[AEIOUaeiou]')) AS vowels, len(regexp_extract_all(text, '[一-鿿]')) AS cjk FROM documents)
