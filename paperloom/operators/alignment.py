@@ -126,3 +126,52 @@ def align_paragraphs(left: DataFrame, right: DataFrame, doc: str = "doc_id", pos
 
     open_rows = pairs.filter("left IS NULL OR right IS NULL").select("doc_id", "text", "left", "right")
     return equal.unionByName(open_rows.groupBy("doc_id").applyInPandas(rest, f"doc_id {kind}, {SCHEMA}"))
+
+
+#: Fixed values of the recovery: longest line, share of missing lines at which a page is given up, most lines of a page
+#: and of a document, and the bands at a page's top and bottom.
+RECOVERED_CHARS = 100
+GIVEN_UP = 0.5
+RECOVERED_OF_PAGE = 5
+RECOVERED_OF_DOCUMENT = 20
+TOP_BAND = 0.15
+BOTTOM_BAND = 0.6
+FORM_BLANKS = r"^[_\s]+$|^[年月日]+[_\s年月日]*$|^[\s_]*年[\s_]*月[\s_]*日[\s_]*$"
+
+
+def recovered_lines(lines: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, page, y, text): short lines of a page's top or bottom that the known texts of the document lack.
+
+    ``lines`` holds (doc_id, page, y, height, text), ``known`` (doc_id, text); whitespace doesn't count, and what is part of
+    a known text isn't missing. A recovered line is known from then on; pages are taken in order, a page's lines from its
+    top. Pages that miss half of their lines or more are given up, and blanks of forms are no lines to recover. The limits
+    for a page and a document are part of the operation. Blank lines, lines without y and rows without a document take no
+    part; without a height nothing is recovered; equal places go by text.
+    """
+    key = T.without_space(F.col("text"))
+    share = F.col("y") / F.when(F.col("height") > 0, F.col("height"))
+    fits = F.coalesce((share < TOP_BAND) | (share > BOTTOM_BAND), F.lit(False)) & (F.length("text") <= RECOVERED_CHARS) & ~F.col("text").rlike(FORM_BLANKS)
+    tidy = lines.withColumn("text", T.strip(F.col("text"))).filter("doc_id IS NOT NULL AND y IS NOT NULL AND text <> ''")
+    rows = tidy.select("doc_id", "page", F.struct(F.col("y").cast("double").alias("y"), "text", key.alias("key"), fits.alias("fits")).alias("line"))
+    pages = rows.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    docs = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "lines"))).alias("pages"))
+    texts = known.groupBy("doc_id").agg(F.concat_ws("\n", F.collect_list(key)).alias("known"))
+
+    def of_page(state, page):
+        absent = F.size(F.filter(page["lines"], lambda line: ~F.contains(state["known"], line["key"])))
+
+        def of_line(now, line):
+            wanted = line["fits"] & (now["n"] < RECOVERED_OF_PAGE) & (F.size(now["kept"]) < RECOVERED_OF_DOCUMENT) & ~F.contains(now["known"], line["key"])
+            more = F.concat(now["kept"], F.array(F.struct(page["page"].alias("page"), line["y"].alias("y"), line["text"].alias("text"))))
+            grown = F.struct(F.concat(now["known"], F.lit("\n"), line["key"]).alias("known"), more.alias("kept"), (now["n"] + 1).alias("n"))
+            return F.when(wanted, grown).otherwise(now)
+
+        start = F.struct(state["known"].alias("known"), state["kept"].alias("kept"), F.lit(0).alias("n"))
+        done = F.aggregate(page["lines"], start, of_line, lambda now: F.struct(now["known"].alias("known"), now["kept"].alias("kept")))
+        return F.when(absent >= GIVEN_UP * F.size(page["lines"]), state).otherwise(done)
+
+    page_type = lines.schema["page"].dataType.simpleString()
+    nothing = F.array().cast(f"array<struct<page:{page_type},y:double,text:string>>")
+    start = F.struct(F.coalesce("known", F.lit("")).alias("known"), nothing.alias("kept"))
+    found = docs.join(texts, "doc_id", "left").select("doc_id", F.explode(F.aggregate("pages", start, of_page, lambda state: state["kept"])).alias("x"))
+    return found.select("doc_id", "x.*")

@@ -213,3 +213,11 @@ def paragraphs_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("paragraphs_aligned")
 def paragraphs_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_paragraphs(*_paragraphs(spark, sf_dir))
+
+
+@query("recovered_lines")
+def recovered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines on pages of forty; every ninth is taken out of the known texts."""
+    lines = lists.explode_lines(table(spark, sf_dir, "documents"))
+    placed = lines.select("doc_id", F.expr("pos div 40").alias("page"), ((F.col("pos") % 40) * 20.0).alias("y"), F.lit(800.0).alias("height"), F.col("line").alias("text"))
+    return alignment.recovered_lines(placed, lines.filter("pos % 9 <> 4").select("doc_id", F.col("line").alias("text")))

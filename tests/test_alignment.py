@@ -97,3 +97,39 @@ def test_row_tables(spark):
     cells = [(1, 0, 0.0, 50.0), (1, 0, 100.0, 150.0), (1, 1, 5.0, 55.0), (1, 1, 110.0, 160.0), (1, 2, 0.0, 400.0), (1, 3, 0.0, 20.0), (1, 3, 300.0, 320.0), (1, 4, 0.0, 50.0), (1, 4, 60.0, 90.0), (1, 5, None, 3.0)]
     found = layout.row_tables(spark.createDataFrame(cells, "page int, row int, x0 double, x1 double"))
     assert sorted(tuple(r) for r in found.collect()) == [(1, 0, 1, 2, 2), (1, 3, 3, 1, 2)]
+
+
+def recovered_by_hand(lines, known):
+    out = []
+    for doc in sorted({r[0] for r in lines}):
+        have, total = ["".join(t.split()) for d, t in known if d == doc], 0
+        present = lambda t: any("".join(t.split()) in h for h in have)
+        for page in sorted({r[1] for r in lines if r[0] == doc}):
+            mine = sorted((y, t.strip(), h) for d, p, y, h, t in lines if (d, p) == (doc, page) and t.strip())
+            if sum(not present(t) for _, t, _ in mine) * 2 >= len(mine):
+                continue
+            n = 0
+            for y, t, h in mine:
+                if n < 5 and total < 20 and len(t) <= 100 and not present(t) and (y / h < 0.15 or y / h > 0.6) and set(t) - set("_ "):
+                    have.append("".join(t.split()))
+                    out.append((doc, page, y, t))
+                    n, total = n + 1, total + 1
+    return out
+
+
+def test_recovered_lines(spark):
+    rng = random.Random(5)
+    words = ["ab", "abc", "b c", "cab", "dd", "____", "x" * 101, "year", "cabdd", " pad "]
+    lines = [(d, p, 10.0 * k, 200.0, " ".join(rng.choices(words, k=rng.randrange(1, 4)))) for d in range(6) for p in range(12) for k in range(20)]
+    known = [(d, t) for d, _, _, _, t in lines if rng.random() < 0.3]
+    frames = spark.createDataFrame(lines, "doc_id int, page int, y double, height double, text string"), spark.createDataFrame(known, "doc_id int, text string")
+    found = sorted(tuple(r) for r in alignment.recovered_lines(*frames).collect())
+    assert found and found == sorted(recovered_by_hand(lines, known))
+
+
+def test_recovered_lines_of_odd_rows(spark):
+    schema = "doc_id int, page int, y double, height double, text string"
+    known = spark.createDataFrame([(1, "one two"), (1, None)], "doc_id int, text string")
+    lines = spark.createDataFrame([(1, 0, 1.0, 100.0, "one"), (1, 0, 2.0, 100.0, "two"), (1, 0, 3.0, 100.0, "three"), (1, 0, 4.0, None, "four"), (1, 0, None, 100.0, "five"), (1, 0, 5.0, 100.0, None), (None, 0, 5.0, 100.0, "six"), (1, 0, 6.0, 100.0, "onet"), (1, 0, 7.0, 0.0, "wo")], schema)
+    assert [tuple(r) for r in alignment.recovered_lines(lines, known).collect()] == [(1, 0, 3.0, "three")]
+    assert alignment.recovered_lines(lines.limit(0), known).count() == 0
