@@ -67,8 +67,10 @@ def case(df: DataFrame, mode: str = "lower") -> DataFrame:
 
 
 def filter_lines(df: DataFrame, pattern: str = "", exclude: bool = False, regex: bool = False, case_insensitive: bool = False) -> DataFrame:
-    if not pattern:
-        return df
+    return df.filter(_kept(F.col("line"), pattern, exclude, regex, case_insensitive)) if pattern else df
+
+
+def _kept(line: Column, pattern: str, exclude: bool, regex: bool, case_insensitive: bool) -> Column:
     if len(pattern) > PATTERN_CHARS:
         raise ValueError(f"a pattern has at most {PATTERN_CHARS} characters")
     if regex:
@@ -76,12 +78,12 @@ def filter_lines(df: DataFrame, pattern: str = "", exclude: bool = False, regex:
             re.compile(pattern)
         except re.error as error:
             raise ValueError(f"bad pattern: {error}") from error
-        hit = F.col("line").rlike(("(?i)" if case_insensitive else "") + pattern)
+        hit = line.rlike(("(?i)" if case_insensitive else "") + pattern)
     elif case_insensitive:
-        hit = F.lower("line").contains(pattern.lower())
+        hit = F.lower(line).contains(pattern.lower())
     else:
-        hit = F.col("line").contains(pattern)
-    return df.filter(~hit if exclude else hit)
+        hit = line.contains(pattern)
+    return ~hit if exclude else hit
 
 
 def head(df: DataFrame, n: int = 10) -> DataFrame:
@@ -146,6 +148,61 @@ def pipeline(df: DataFrame, ops: Sequence[Op]) -> tuple[DataFrame, list[str]]:
     return df, applied
 
 
+# ---- lists as arrays: a document's lines stay in its row, so nothing is shuffled
+
+
+def _array_sort(lines: Column, descending: bool = False, case_insensitive: bool = False, natural: bool = False) -> Column:
+    key = T.natural_key if natural else F.lower if case_insensitive else lambda x: x
+    rows = F.transform(lines, lambda x, k: F.struct(key(x).alias("key"), (-k if descending else k).alias("k"), x.alias("line")))
+    return F.transform(F.sort_array(rows, asc=not descending), lambda r: r["line"])
+
+
+def _array_case(lines: Column, mode: str = "lower") -> Column:
+    modes = {"lower": F.lower, "upper": F.upper, "title": T.title_case}
+    return F.transform(lines, modes[mode]) if mode in modes else lines
+
+
+def _array_end(lines: Column, n: int, last: bool) -> Column:
+    if n < 0:
+        raise ValueError("n must not be negative")
+    return F.slice(lines, F.greatest(F.size(lines) - n, F.lit(0)) + 1 if last else F.lit(1), F.lit(n))
+
+
+#: The operators that work on one document's array; a counting dedup and one without case need groups of rows.
+ARRAY_OPS: dict[str, Callable[..., Column]] = {
+    "trim": lambda lines: F.transform(lines, T.strip),
+    "drop_empty": lambda lines: F.filter(lines, lambda x: ~T.blank(x)),
+    "dedup": lambda lines, keep="first", case_insensitive=False: F.reverse(F.array_distinct(F.reverse(lines))) if keep == "last" else F.array_distinct(lines),
+    "sort": _array_sort,
+    "reverse": F.reverse,
+    "case": _array_case,
+    "filter": lambda lines, pattern="", exclude=False, regex=False, case_insensitive=False: F.filter(lines, lambda x: _kept(x, pattern, exclude, regex, case_insensitive)),
+    "head": lambda lines, n=10: _array_end(lines, n, False),
+    "tail": lambda lines, n=10: _array_end(lines, n, True),
+    "wrap": lambda lines, prefix="", suffix="": F.transform(lines, lambda x: F.concat(F.lit(prefix), x, F.lit(suffix))),
+}
+
+
+def on_array(op: Op) -> bool:
+    return op["op"] in ARRAY_OPS and not (op["op"] == "dedup" and (op.get("keep") == "count" or op.get("case_insensitive")))
+
+
+def of_documents(docs: DataFrame, ops: Sequence[Op], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, pos, line): what the operators make of each document's lines, numbered from 0.
+
+    Where all operators work on arrays, each row of ``docs`` is a list of its own and no row leaves its task; else lines
+    become rows, lists go by doc_id and are shuffled. Null and empty texts have no lines.
+    """
+    ops = simplify(ops)
+    if not all(map(on_array, ops)):
+        out = pipeline(explode_lines(docs, id_col, text_col), ops)[0]
+        return out.withColumn("pos", _ranked(out, F.col("pos").asc()))
+    lines = T.lines(docs[text_col])
+    for op in ops:
+        lines = ARRAY_OPS[str(op["op"])](lines, **{k: v for k, v in op.items() if k != "op"})
+    return docs.select(docs[id_col].alias("doc_id"), F.posexplode(lines).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
+
+
 def envelope(before: DataFrame, after: DataFrame) -> DataFrame:
     """(doc_id, original_count, count, dropped) of every document that had a line."""
     old = before.groupBy("doc_id").agg(F.count("*").alias("original_count"))

@@ -32,7 +32,7 @@ SELECT * FROM ranked WHERE pos < 10""")
 def list_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trim, drop_empty, dedup, sort, head of every document's lines."""
     ops = [{"op": "trim"}, {"op": "drop_empty"}, {"op": "dedup"}, {"op": "sort"}, {"op": "head", "n": 10}]
-    return lists.pipeline(_lines(spark, sf_dir), ops)[0]
+    return lists.of_documents(table(spark, sf_dir, "documents"), ops)
 
 
 @query("list_dedup_count", f"""

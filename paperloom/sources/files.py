@@ -54,8 +54,23 @@ def _xml_texts(data: bytes, member: str, paragraph: str, text: str | None) -> li
     return [x for x in out if x.strip()]
 
 
+def _active_sheet(archive: zipfile.ZipFile, names: list[str]) -> str:
+    """The member that holds the sheet on which the workbook was left."""
+    first = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+    if not {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(names):
+        return first
+    local = lambda e: e.tag.rpartition("}")[2]
+    book = list(ElementTree.fromstring(archive.read("xl/workbook.xml")).iter())
+    at = next((int(e.get("activeTab", 0)) for e in book if local(e) == "workbookView"), 0)
+    links = [next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == "id"), "") for e in book if local(e) == "sheet"]
+    targets = {e.get("Id"): e.get("Target", "") for e in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))}
+    target = targets.get(links[at], "") if at < len(links) else ""
+    member = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    return member if member in names else first
+
+
 def _sheet_cells(data: bytes) -> list[str]:
-    """Filled cells of a workbook's first sheet, row by row."""
+    """Filled cells of a workbook's active sheet (the first, where none is named), row by row."""
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         names = archive.namelist()
         local = lambda e: e.tag.rpartition("}")[2]
@@ -63,7 +78,7 @@ def _sheet_cells(data: bytes) -> list[str]:
         if "xl/sharedStrings.xml" in names:
             root = ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))
             shared = ["".join(t.text or "" for t in si.iter() if local(t) == "t") for si in root if local(si) == "si"]
-        sheet = ElementTree.fromstring(archive.read(min(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))))
+        sheet = ElementTree.fromstring(archive.read(_active_sheet(archive, names)))
     out = []
     for c in sheet.iter():
         if local(c) != "c":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -62,26 +63,41 @@ def lockouts(attempts: DataFrame, threshold: int = 5, window_s: float = 900, loc
     return found.select("key", at("t").alias("ts"), at("until").alias("locked_until"))
 
 
-def forward(events: DataFrame, checkpoint: str, destinations: dict[str, Callable[[Iterable[str]], None]], formats: dict[str, object], tries: int = 3) -> StreamingQuery:
-    """Send each batch's lines to every destination, each tried a few times; a destination that fails loses the batch.
+def forward(
+    events: DataFrame,
+    checkpoint: str,
+    destinations: dict[str, Callable[[Iterable[str]], None]],
+    formats: dict[str, object],
+    tries: int = 3,
+    pause_s: float = 0.5,
+    dead_letters: str | None = None,
+) -> StreamingQuery:
+    """Send each batch's lines to every destination, each tried a few times with growing pauses (0.5 s, 1 s, …).
 
     The stream's checkpoint is the bookmark. ``formats`` maps a destination to the column that formats its line; lines are
-    sent from the executors, partition by partition.
+    sent from the executors, Arrow batch by Arrow batch. Lines that no try delivers are appended to ``dead_letters`` (beside
+    the checkpoint, if not named) as destination, batch, line and error. A batch that is run again is sent again.
     """
+    lost_path = dead_letters or f"{checkpoint.rstrip('/')}-dead-letters"
 
-    def send(batch: DataFrame, _: int) -> None:
+    def send(batch: DataFrame, number: int) -> None:
         for name, sink in destinations.items():
 
-            def deliver(rows: Iterator, sink=sink) -> None:
-                lines = [r[0] for r in rows]
-                for k in range(tries):
-                    try:
-                        return sink(lines)
-                    except OSError:
-                        if k == tries - 1:
-                            return None
-                return None
-
-            batch.select(formats[name]).foreachPartition(deliver)
+            def deliver(frames: Iterator[pd.DataFrame], sink=sink) -> Iterator[pd.DataFrame]:
+                for frame in frames:
+                    lines, said = frame["line"].tolist(), ""
+                    for k in range(tries):
+                        try:
+                            sink(lines)
+                            break
+                        except OSError as error:
+                            said = str(error)
+                            if k + 1 < tries:
+                                time.sleep(pause_s * (k + 1))
+                    else:
+                        yield pd.DataFrame({"line": lines, "error": said})
+
+            lost = batch.select(formats[name].alias("line")).mapInPandas(deliver, "line string, error string")
+            lost.select(F.lit(name).alias("destination"), F.lit(number).cast("long").alias("batch"), "line", "error").write.mode("append").parquet(lost_path)
 
     return events.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

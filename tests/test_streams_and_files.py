@@ -1,3 +1,4 @@
+import io
 import zipfile
 
 import pytest
@@ -51,8 +52,10 @@ def test_forward(stream, spark, tmp_path):
     from pyspark.sql import functions as F
 
     line = F.concat_ws(",", "event_id", "event_type")
-    events.forward(stream, str(tmp_path / "mark"), {"a": sink, "b": broken}, {"a": line, "b": line}).awaitTermination()
+    events.forward(stream, str(tmp_path / "mark"), {"a": sink, "b": broken}, {"a": line, "b": line}, pause_s=0.01).awaitTermination()
     assert len(open(out).readlines()) == 63
+    lost = spark.read.parquet(str(tmp_path / "mark-dead-letters")).collect()
+    assert sorted(r.line for r in lost) == sorted(open(out).read().split()) and {(r.destination, r.error) for r in lost} == {("b", "down")}
     events.forward(stream, str(tmp_path / "mark"), {"a": sink}, {"a": line}).awaitTermination()
     assert len(open(out).readlines()) == 63
 
@@ -73,6 +76,23 @@ def test_line_files(spark, tmp_path):
     assert [r.error for r in rows if r.path.endswith("pdf")][0]
 
 
+def test_active_sheet():
+    book = io.BytesIO()
+    with zipfile.ZipFile(book, "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns="m" xmlns:r="r"><bookViews><workbookView activeTab="1"/></bookViews><sheets><sheet name="p" r:id="a"/><sheet name="q" r:id="b"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="/xl/worksheets/sheet7.xml"/></Relationships>')
+        for k in (1, 7):
+            z.writestr(f"xl/worksheets/sheet{k}.xml", f'<worksheet xmlns="m"><row><c><v>{k}</v></c></row></worksheet>')
+    assert files.file_lines("b.xlsx", book.getvalue()) == ["7"]
+
+
+def test_masking_cascade():
+    marked = "\ufeffmark".encode()
+    assert files.decode(marked) == "mark" and files.decode(marked, files.MASKING_CASCADE) == "\ufeffmark"
+    assert files.decode("壹佰".encode("big5"), files.MASKING_CASCADE) == "壹佰"
+    assert files.decode(b"\xff\xfe\x81", files.MASKING_CASCADE) == "ÿþ\x81"
+
+
 def test_registry_zip(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
         z.writestr("small.csv", "a\n1\n")
