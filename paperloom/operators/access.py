@@ -154,6 +154,28 @@ def orphans(files: DataFrame, owners: DataFrame, key: str = "upload_id") -> Data
     return files.join(owners.select(key).distinct(), key, "left_anti")
 
 
+def session_owners(sessions: DataFrame, users: DataFrame, key: str = "user_id") -> DataFrame:
+    """Sessions with their users' columns; those of users that are gone are left out."""
+    return sessions.join(users, key)
+
+
+#: Roles that an import may not hand out.
+BARRED_ROLES = ("admin", "auditor")
+
+
+def import_role_perms(own: DataFrame, roles: DataFrame, perms: DataFrame) -> DataFrame:
+    """(role_id, tool_id) after an import: the imported roles' grants are replaced, those of other roles stay. Imported grants
+    of roles that the import doesn't define are left out; so are roles without an id."""
+    named = roles.filter("role_id <> ''").select("role_id").distinct()
+    stay, come = own.join(named, "role_id", "left_anti"), perms.join(named, "role_id", "left_semi")
+    return stay.select("role_id", "tool_id").union(come.select("role_id", "tool_id")).distinct()
+
+
+def import_unit_roles(own: DataFrame, imported: DataFrame) -> DataFrame:
+    """(unit, role_id): own grants to units and the imported ones, but for roles that an import may not hand out."""
+    return own.select("unit", "role_id").union(imported.filter(~F.col("role_id").isin(*BARRED_ROLES)).select("unit", "role_id")).distinct()
+
+
 def find_accounts(users: DataFrame, text: str, limit: int = 20) -> DataFrame:
     """Accounts whose name or display name holds the text, whatever its case; the first ones by name."""
     held = F.lower(F.concat_ws(" ", "username", "display_name")).contains(text.strip().lower())

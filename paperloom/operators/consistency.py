@@ -44,6 +44,12 @@ def across_files(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.groupBy("kind", "value").agg(F.sum("n").alias("total_count"), F.count(id_col).alias("file_count"))
 
 
+def entity_files(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(kind, value, file, n, total_count): the files of each entity, a row each, so that an entity of all files is no group."""
+    total = found.groupBy("kind", "value").agg(F.sum("n").alias("total_count"))
+    return found.join(total, ["kind", "value"]).select("kind", "value", F.col(id_col).alias("file"), "n", "total_count")
+
+
 def outliers(totals: DataFrame) -> DataFrame:
     """Values of few files beside a kind's leading one: at most half of its files, or one file."""
     lead = Window.partitionBy("kind").orderBy(F.desc("file_count"), F.desc("total_count"), "value")

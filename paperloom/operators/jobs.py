@@ -98,6 +98,28 @@ def inbox(jobs: DataFrame, seen: DataFrame) -> DataFrame:
     return joined.groupBy("owner_id").agg(F.count("*").alias("finished"), F.count_if(F.col("last_seen").isNull() | (F.col("finished_at") > F.col("last_seen"))).alias("unread"))
 
 
+def request_report(rows: DataFrame, by: str, value: str, failed: Column, ts: str = "ts") -> DataFrame:
+    """(by, n, succeeded, failures, success_rate, per_second, p50, p95, p99, max): a load run's figures for each tool; the rate
+    is over the whole run's time."""
+    span = rows.agg(((F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / 1e6).alias("span"))
+    bad = F.count_if(failed)
+    p = [F.percentile(value, q / 100).alias(f"p{q}") for q in (50, 95, 99)]
+    out = rows.groupBy(by).agg(F.count("*").alias("n"), (F.count("*") - bad).alias("succeeded"), bad.alias("failures"), *p, F.max(value).alias("max"))
+    out = out.join(F.broadcast(span), F.lit(True))  # one row
+    return out.withColumns({"success_rate": F.round(F.col("succeeded") / F.col("n"), 6), "per_second": F.round(F.try_divide("n", "span"), 9)}).drop("span")
+
+
+def error_classes(rows: DataFrame, by: str, error: Column) -> DataFrame:
+    """(by, error, n) of the rows that have an error."""
+    return rows.withColumn("error", error).filter("error IS NOT NULL").groupBy(by, "error").agg(F.count("*").alias("n"))
+
+
+def results_from(results: DataFrame, start: int, job: str = "job_id", at: str = "at") -> DataFrame:
+    """What a poll gets: each job's results from a place on, and how many there are by now."""
+    total = results.groupBy(job).agg(F.count("*").alias("total"))
+    return results.filter(F.col(at) >= start).join(total, job)
+
+
 def latency(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Exact percentiles by group."""
     p = [F.percentile(value, q / 100).alias(f"p{q}") for q in (50, 95, 99)]

@@ -88,10 +88,15 @@ def index_runs(rows: DataFrame, by: list[str], index: str, least: int = 2) -> Da
     return runs.filter(F.col("n") >= least).drop("_i")
 
 
-def repeated_lines(lines: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:
-    """Headers and footers: texts on at least max(2, half) of a document's pages."""
+def at_edge(top: Column, height: Column, share: float = 0.1) -> Column:
+    """Whether a line's top lies in a page's highest or lowest band."""
+    return (top < height * share) | (top > height * (1 - share))
+
+
+def repeated_lines(lines: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text", where: Column | None = None) -> DataFrame:
+    """Headers and footers: texts on at least max(2, half) of a document's pages, among the lines ``where`` holds for."""
     pages = lines.groupBy(doc).agg(F.countDistinct(page).alias("pages"))
-    seen = lines.groupBy(doc, text).agg(F.countDistinct(page).alias("n"))
+    seen = (lines if where is None else lines.filter(where)).groupBy(doc, text).agg(F.countDistinct(page).alias("n"))
     return seen.join(pages, doc).filter(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("pages") / 2)))
 
 
