@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import cut
+
 MAX_DEPTH = 10
 ALL, NONE = "*", ""
 
@@ -12,15 +14,17 @@ ALL, NONE = "*", ""
 def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent", depth: int = MAX_DEPTH) -> DataFrame:
     """(node, ancestor, depth): every node with itself and those above it; cycles end at the depth bound.
 
-    Only new pairs go on, so a cycle adds nothing after one round; the loop stops as soon as a round adds none.
+    Only new pairs go on, so a cycle adds nothing after one round; the loop stops as soon as a round adds none. Each round is
+    checkpointed, so that none computes those before it again.
     """
     e = edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).filter("c IS NOT NULL AND p IS NOT NULL").distinct()
+    e = cut(e)
     nodes = e.select("c").union(e.select("p")).distinct()
     found = nodes.select(F.col("c").alias("node"), F.col("c").alias("ancestor"), F.lit(0).alias("depth"))
     fresh = found
     for level in range(1, depth + 1):
         step = fresh.join(e, fresh.ancestor == e.c).select("node", F.col("p").alias("ancestor"), F.lit(level).alias("depth")).distinct()
-        fresh = step.join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti")
+        fresh = cut(step.join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti"))
         if fresh.isEmpty():
             break
         found = found.union(fresh)
@@ -64,14 +68,15 @@ def members_and_roles(groups: DataFrame, members: DataFrame, roles: DataFrame) -
 
 
 def tree_order(nodes: DataFrame, key: str = "id", parent: str = "parent_id", name: str = "name", depth: int = MAX_DEPTH) -> DataFrame:
-    """Nodes with depth and a path that sorts parents before their children; a cycle's nodes count as roots."""
-    n = nodes.select(F.col(key).alias("k"), F.col(parent).alias("p"), F.col(name).alias("label"))
+    """Nodes with depth and a path that sorts parents before their children; a cycle's nodes count as roots. Each level is
+    checkpointed."""
+    n = cut(nodes.select(F.col(key).alias("k"), F.col(parent).alias("p"), F.col(name).alias("label")))
     known = n.select(F.col("k").alias("known"))
     roots = n.join(known, n.p == F.col("known"), "left_anti")
     level = roots.select("k", F.lit(0).alias("depth"), F.array("label").alias("path"))
     out = level
     for d in range(1, depth + 1):
-        level = n.join(level.select(F.col("k").alias("up"), "path"), F.col("p") == F.col("up")).select("k", F.lit(d).alias("depth"), F.concat("path", F.array("label")).alias("path"))
+        level = cut(n.join(level.select(F.col("k").alias("up"), "path"), F.col("p") == F.col("up")).select("k", F.lit(d).alias("depth"), F.concat("path", F.array("label")).alias("path")))
         if level.isEmpty():
             break
         out = out.union(level)
