@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from paperloom.functions import checks
 from paperloom.operators import deident, diff
@@ -23,6 +25,18 @@ def test_whole_catalogue_compiles_and_is_found():
     assert values("A123456789 A123456788", "tw_id") == ["A123456789"]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("A1B2C ９٣@.-/:：(No) DL Account生日帳戶路號市台北段Rd年月日PO\n"), max_size=60))
+def test_patterns_left_out_have_no_match(text):
+    tried = {p.id for _, p in deident.possible(text, deident.PATTERNS.values())}
+    assert not [p.id for p in deident.PATTERNS.values() if p.id not in tried and p.regex.search(text)]
+
+
+def test_patterns_left_out_by_text():
+    left_out = {p.id for p in deident.PATTERNS.values()} - {p.id for _, p in deident.possible("no number here", deident.PATTERNS.values())}
+    assert left_out == deident.WITH_DIGITS | {"email"}
+
+
 @pytest.mark.parametrize("kind, value, want", [("id", "A123456789", "A1******89"), ("phone", "0912-345-678", "0912-***-678"), ("email", "jane@x.org", "ja***@x.org"), ("digits:4:4:8", "4111 1111 1111 1111", "4111 **** **** 1111"), ("ip", "10.1.2.3", "10.***.***.***"), ("name", "王小明", "王O明")])
 def test_masks(kind, value, want):
     assert deident.mask_value(kind, value) == want
