@@ -22,19 +22,24 @@ STOP_WORDS = tuple(
 )
 
 
+#: White space of any script, and the four information separators.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def lines(text: Column) -> Column:
     """Lines of a text; no empty line after a final line end, no line in an empty text."""
-    parts = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    ended = lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p)
+    # as the one element of an array, so that the text is split once
+    return F.element_at(F.transform(F.array(F.split(text, LINE_END, -1)), ended), 1)
 
 
 def strip(text: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def blank(text: Column) -> Column:
-    return strip(text) == ""
+    return ~text.rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
 def count_of(text: Column, pattern: str) -> Column:

@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from paperloom.functions import text as T
 from paperloom.operators import lists, text_stats
 from paperloom.sources.files import page_spec
 
@@ -91,6 +93,13 @@ def test_lines_end_like_unicode_says(spark):
     assert [r.line for r in lists.explode_lines(df).orderBy("pos").collect()] == ["uno", "dos", "tres", "cuatro"]
 
 
+def test_white_space_is_that_of_the_expressions(spark):
+    chars = spark.range(0x110000).filter("id NOT BETWEEN 55296 AND 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    assert "".join(sorted(r.c for r in chars.filter(F.col("c").rlike(r"(?U)^[\s\x1c-\x1f]$")).collect())) == T.WHITE
+    df = spark.createDataFrame([(" \u3000x y\x1c\n",), ("\u2003",), ("",), (None,)], "t string").select(T.strip(F.col("t")).alias("s"), T.blank(F.col("t")).alias("b"))
+    assert [tuple(r) for r in df.collect()] == [("x y", False), ("", True), ("", True), (None, None)]
+
+
 def test_char_classes(spark):
     row = text_stats.classes(spark.createDataFrame([(1, "Qx 天氣好 7?")], "doc_id long, text string")).first()
     assert (row.cjk, row.en_letter, row.digit, row.punct, row.whitespace, row.other) == (3, 2, 1, 1, 2, 0)
