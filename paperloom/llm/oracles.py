@@ -130,3 +130,62 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) USING (doc_id)
 """
+
+#: One-edit pairs by the words' deletions: two words of one length share one at the same place, of two words whose lengths
+#: differ by one the shorter is a deletion of the longer. CRC-32 is computed byte by byte from its polynomial.
+OP12 = rf"""
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT i, 0, CAST(i AS UINTEGER) FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UINTEGER)) ELSE c >> 1 END FROM bits WHERE k < 8
+), tab AS (SELECT list(CAST(c AS BIGINT) ORDER BY i) AS t FROM bits WHERE k = 8
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents
+), one AS (SELECT doc_id, w, count(*) AS c FROM runs GROUP BY ALL
+), h AS (
+  SELECT w, c, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(strlen(doc_id || ':' || w)),
+    lambda k: CAST(('0x' || substr(hex(encode(doc_id || ':' || w)), 2 * k + 1, 2)) AS BIGINT))),
+    lambda x, y: xor(x >> 8, t[CAST(xor(x & 255, y) AS INTEGER) + 1])), CAST(4294967295 AS BIGINT)) AS h FROM one, tab
+), v AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(w, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS word, sum(c) AS n
+  FROM h GROUP BY 1
+), words AS (SELECT word, CAST(n AS BIGINT) AS n FROM v WHERE length(word) >= 5 AND n >= 3
+), dels AS (SELECT word, n, k, left(word, CAST(k - 1 AS INTEGER)) || substr(word, CAST(k + 1 AS INTEGER)) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM dels a JOIN dels b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM dels a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM dels a JOIN words b ON a.rest = b.word
+), best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, encode(other))) AS form, max(other_n) AS form_n FROM near GROUP BY word
+), f AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), chain(word, stand) AS (SELECT word, word FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.stand WHERE f.form IS NOT NULL)
+SELECT f.*, chain.stand AS root FROM f JOIN chain USING (word) JOIN f g ON g.word = chain.stand WHERE g.form IS NULL
+"""
+
+OP13 = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS least FROM d
+), l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w),
+    100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > least, false)] AS fails
+  FROM w LEFT JOIN l USING (doc_id)
+), f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+), orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (SELECT filter_order, CAST(step AS INTEGER) AS step, ascii(filter_order[step]) - 64 AS own, left(filter_order, CAST(step - 1 AS INTEGER)) AS earlier FROM orders, range(1, 6) t(step)
+), g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, fails
+), x AS (
+  SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS fails, len(list_filter(fails, lambda y: y)) = 1 AS sole,
+    len(list_filter(string_split(earlier, ''), lambda y: y <> '' AND fails[ascii(y) - 64])) > 0 AS gone FROM g, steps
+), s AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (fails AND gone), 0) AS redundant, coalesce(sum(n) FILTER (fails AND sole), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS toxic_lost
+  FROM x GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM s
+"""
