@@ -189,3 +189,17 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
   CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
 FROM s
 """
+
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT r, k, md5(array_to_string(list_slice(w, k, k + 34), ' ')) AS s FROM d, unnest(range(1, len(w) - 33)) t(k)
+), twice AS (SELECT r, k FROM win JOIN (SELECT s FROM win GROUP BY s HAVING count(*) > 1) USING (s)
+), word AS (SELECT r, j, w[j] AS word FROM d, unnest(range(1, len(w) + 1)) t(j)
+), last AS (
+  SELECT word.r, j, word, max(k) OVER (PARTITION BY word.r ORDER BY j) AS k FROM word LEFT JOIN twice ON twice.r = word.r AND twice.k = word.j
+), kept AS (SELECT r, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n FROM last WHERE k IS NULL OR k < j - 34 GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, chat, decontaminate, filter_audit, jaccard, oracles, secrets, spelling, token_counts, topk, toxicity, url_filter, warc
+from paperloom.llm import bpe, chat, decontaminate, filter_audit, jaccard, oracles, secrets, spelling, substrings, token_counts, topk, toxicity, url_filter, warc
 from paperloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -67,8 +71,8 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-_QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_decontaminate, op2_secrets, op3_top_k, op4_url_filter, op5_toxicity, op6_warc, op7_token_counts, op8_jaccard_join, op9_chat_format, op10_bpe_round_trip, op12_spelling_variants, op13_filter_audit)}
-_SQL: dict[str, str] = {"op1_decontaminate": oracles.OP1, "op3_top_k": oracles.OP3, "op4_url_filter": oracles.OP4, "op6_warc": oracles.OP6, "op8_jaccard_join": oracles.OP8, "op9_chat_format": oracles.OP9, "op12_spelling_variants": oracles.OP12, "op13_filter_audit": oracles.OP13}
+_QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_decontaminate, op2_secrets, op3_top_k, op4_url_filter, op5_toxicity, op6_warc, op7_token_counts, op8_jaccard_join, op9_chat_format, op10_bpe_round_trip, op11_substring_dedup, op12_spelling_variants, op13_filter_audit)}
+_SQL: dict[str, str] = {"op1_decontaminate": oracles.OP1, "op3_top_k": oracles.OP3, "op4_url_filter": oracles.OP4, "op6_warc": oracles.OP6, "op8_jaccard_join": oracles.OP8, "op9_chat_format": oracles.OP9, "op11_substring_dedup": oracles.OP11, "op12_spelling_variants": oracles.OP12, "op13_filter_audit": oracles.OP13}
 
 
 def queries() -> dict[str, Query]:
