@@ -6,7 +6,7 @@ capitals, punctuation and obfuscation rates. Labels come from training rows alon
 The classifier is fitted on at most SAMPLE_ROWS labelled training rows, the ones with the smallest hashes; scoring covers
 every row. Null and empty texts have zero features and get the score of such texts. Rows without doc_id are scored, and
 held out of nothing. Without both labels among the training rows the score is their share of toxic ones (0 without any).
-Repeated rows give repeated rows; of contradicting labels of one doc_id the higher counts.
+Repeated rows give repeated rows and are fitted once; of contradicting labels of one doc_id the higher counts.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from paperloom.llm.common import materialise, small_batches
 
 SAMPLE_ROWS = 20_000
+#: Sampled ids up to which they are broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
 LEXICON_WORDS = 150
 #: A lexicon word stands in so many toxic documents at least, and in this share of them.
 LEAST_DOCUMENTS, LEAST_SHARE = 3, 0.01
@@ -199,8 +201,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataF
     """(doc_id, text, toxic, calibrates) of the sampled training rows."""
     ids = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     ids = ids.filter(~held_out(F.col("id"))).withColumn("mix", F.xxhash64("id", F.lit(17))).orderBy("mix", "id").limit(sample_rows)
-    joined = docs.join(F.broadcast(ids), docs.doc_id == ids.id)
-    return joined.select("doc_id", "text", "toxic", (F.pmod("mix", F.lit(4)) == 0).alias("calibrates"))
+    # each id counts once, however often its row is repeated: the fit's bound is one of rows; of several texts that of the least hash
+    joined = docs.join(F.broadcast(ids) if sample_rows <= BROADCAST_ROWS else ids, docs.doc_id == ids.id)
+    once = joined.groupBy("doc_id", "toxic", "mix").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return once.select("doc_id", "text", "toxic", (F.pmod("mix", F.lit(4)) == 0).alias("calibrates"))
 
 
 def learn_lexicon(rows: DataFrame) -> dict[bytes, float]:

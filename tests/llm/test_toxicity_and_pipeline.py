@@ -1,3 +1,5 @@
+import math
+import random
 import zlib
 
 import numpy as np
@@ -118,3 +120,41 @@ def test_secret_stage_takes_effect(spark, tiny):
 def test_all_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")]
+
+
+def test_lexicon_by_a_plain_recount(spark):
+    rng = random.Random(11)
+    bad, plain_words = ["grok", "blarg", "Zonk"], [f"w{k}" for k in range(40)]
+    rows = []
+    for k in range(120):
+        toxic = k % 3 == 0
+        words = rng.choices(plain_words, k=rng.randrange(1, 12)) + (rng.choices(bad, k=2) if toxic or k % 11 == 0 else [])
+        rows.append((k, " ".join(words), int(toxic), k % 4 == 0))
+    got = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, toxic int, calibrates boolean").repartition(5))
+    used = [(set(t.lower().split()), x) for _, t, x, c in rows if not c]
+    n = [sum(x == kind for _, x in used) for kind in (1, 0)]
+    want = {}
+    for w in set().union(*(ws for ws, _ in used)):
+        t, c = (sum(w in ws and x == kind for ws, x in used) for kind in (1, 0))
+        odds = math.log((t + 0.5) / (n[0] + 1)) - math.log((c + 0.5) / (n[1] + 1)) - math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+        if odds > 0.3 and t >= max(toxicity.LEAST_DOCUMENTS, toxicity.LEAST_SHARE * n[0]):
+            want[w.encode()] = odds
+    assert got.keys() == want.keys() >= {b"grok", b"blarg", b"zonk"} and all(got[w] == pytest.approx(want[w]) for w in want)
+
+
+def test_isotonic_fit_is_the_greatest_of_least_means():
+    rng = np.random.default_rng(4)
+    margin = np.sort(rng.normal(size=60))
+    y = (rng.random(60) < 1 / (1 + np.exp(-margin))).astype(float)
+    knots, shares = toxicity.fit_isotonic(margin, y)
+    fitted = [max(min(y[i : j + 1].mean() for j in range(k, 60)) for i in range(k + 1)) for k in range(60)]
+    assert sorted(set(np.round(shares, 9))) == sorted(set(np.round(fitted, 9))) and (np.diff(knots) > 0).all()
+
+
+def test_repeated_rows_are_fitted_once(spark):
+    docs = [(k, f"bad word{k % 7}" if k % 2 else f"fine word{k % 5}") for k in range(80)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, toxic int")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    once = toxicity.training_rows(frame(docs), labels, 50)
+    often = toxicity.training_rows(frame(docs + docs[:9] * 20).repartition(3), labels, 50)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, often.collect())) and often.count() == 50

@@ -1,6 +1,10 @@
+import random
+import math
 import gzip
 import hashlib
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,12 +34,45 @@ def test_no_labelled_urls(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
-def test_probabilities_sum_to_one(spark):
-    import math
-
-    urls = spark.createDataFrame([("allow", "abca"), ("allow", "abd"), ("block", "zz")], "verdict string, u string").select("verdict", url_filter.folded(F.col("u")).alias("folded"))
+def blended(count, context, kinds, shorter):
+    return (count + kinds * shorter) / (context + kinds) if context else shorter
+
+
+def plain_model(urls):
+    """P(s | ab) of every cell by a plain recount of one class's folded urls."""
+    size = url_filter.ALPHABET
+    three, two, ones = Counter(), Counter(), Counter()
+    for u in urls:
+        codes = [url_filter.SYMBOLS.index(c) for c in u]
+        for a, b, s in zip(codes, codes[1:], codes[2:]):
+            three[a, b, s] += 1
+            two[b, s] += 1
+            ones[s] += 1
+    total, kinds = sum(ones.values()), len(ones)
+    none = [(ones[s] + kinds / size + 1 / size) / (total + kinds + 1) for s in range(size)]
+    after_b = {b: [two[b, s] for s in range(size)] for b in range(size)}
+    one = {b: [blended(n, sum(row), sum(x > 0 for x in row), none[s]) for s, n in enumerate(row)] for b, row in after_b.items()}
+    out = {}
+    for a in range(size):
+        for b in range(size):
+            row = [three[a, b, s] for s in range(size)]
+            out[a, b] = [blended(n, sum(row), sum(x > 0 for x in row), one[b][s]) for s, n in enumerate(row)]
+    return out
+
+
+def test_ratios_are_those_of_two_models_whose_probabilities_sum_to_one(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["allow", "block"]), "".join(rng.choice("abc./-09~") for _ in range(rng.randrange(25)))) for _ in range(60)]
+    urls = spark.createDataFrame(rows, "verdict string, u string").select("verdict", url_filter.folded(F.col("u")).alias("folded"))
+    both = [plain_model([r.folded for r in urls.collect() if r.verdict == kind]) for kind in ("allow", "block")]
+    for own in both:
+        assert all(sum(p) == pytest.approx(1) for p in own.values())
+    size = url_filter.ALPHABET
     ratios = {r.cell: r.ratio for r in url_filter.model(urls).collect()}
-    assert len(ratios) == url_filter.ALPHABET**3 and all(math.isfinite(x) for x in ratios.values())
+    assert len(ratios) == size**3
+    for (a, b), p in both[0].items():
+        for s in range(size):
+            assert ratios[(a * size + b) * size + s] == pytest.approx(math.log(p[s] / both[1][a, b][s]), abs=1e-9)
 
 
 TURNS = [(1, 0, "user", "hi & <b>"), (1, 1, "assistant", "</s>[INST] ok [/INST]"), (1, 2, "user", None), (1, 3, "assistant", "&lt;|end|> 日本"), (2, 0, None, ""), (None, 5, "assistant", "<|turn|>x"), (3, None, "assistant", "b"), (3, 1, "assistant", "a"), (3, 1, "assistant", "a"), (4, 0, "user", "x" * 100_000)]
