@@ -552,8 +552,13 @@ def member_answers(open_pairs: DataFrame, homes: DataFrame, radius: DataFrame, s
     spare = radius.select(F.col("head").alias("other"), "radius")
     ways = [open_pairs.select(F.col(x).alias("head"), F.col(y).alias("other"), F.col(f"n_{x}").alias("n_head"), F.col(f"n_{y}").alias("n_other"), F.col("common").alias("common_head"), F.col("distance").alias("apart")) for x, y in ("ab", "ba")]
     asked = ways[0].union(ways[1]).join(bounded(spare), "other", "left").withColumn("spare", F.coalesce("radius", F.lit(0.0))).drop("radius")
-    members = asked.join(homes, "head").filter(F.col("apart") - F.col("distance") <= 0.25 + F.col("spare") + MARGIN)
-    rows = members.join(sets.select(F.col("node").alias("other"), "tokens"), "other").select("node", "other", "n_head", "n_other", "common_head", "spare", "lost", "gained", "tokens")
+    # a large cluster's members are dealt to several tasks, and so are the members that ask one other head
+    hot = hot_keys(homes.groupBy(F.lit("head").alias("end"), F.col("head").alias("key")).agg(F.count("*").alias("n")))
+    members = join_hot(homes, asked, "head", "node", hot).filter(F.col("apart") - F.col("distance") <= 0.25 + F.col("spare") + MARGIN)
+    members = materialise(members.select("node", "other", "n_head", "n_other", "common_head", "spare", "lost", "gained"), "asked")
+    hot = hot_keys(members.groupBy(F.lit("other").alias("end"), F.col("other").alias("key")).agg(F.count("*").alias("n")))
+    rows = join_hot(members, sets.select(F.col("node").alias("other"), "tokens"), "other", "node", hot)
+    rows = rows.select("node", "other", "n_head", "n_other", "common_head", "spare", "lost", "gained", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
