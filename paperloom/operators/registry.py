@@ -11,6 +11,8 @@ from paperloom.functions import text as T
 
 #: Rows up to which a key list is broadcast to the registry; beyond it the join shuffles both sides on the key.
 KEYS_BROADCAST = 200_000
+#: Facet values are ranked in so many groups before the best of all groups are.
+RANK_GROUPS = 64
 SEARCH_FIELDS = ("name", "address", "owner", "industries", "vat")
 #: Header names of registry exports, the first present wins.
 ALIASES = {
@@ -97,18 +99,22 @@ def fold_plain(word: str) -> str:
     return word.lower().replace("臺", "台")
 
 
-def search(registry: DataFrame, text: str = "", fields: tuple[str, ...] = SEARCH_FIELDS, org_type: str | None = None, categories: list[str] | None = None, city: str | None = None, industry: str | None = None, limit: int = 100) -> DataFrame:
-    """Filtered matches by name, then id; a filter is part of the plan only if it is asked for."""
-    out = matches(registry, text, fields)
+def filtered(found: DataFrame, org_type: str | None = None, categories: list[str] | None = None, city: str | None = None, industry: str | None = None) -> DataFrame:
+    """Only the rows that fit; a filter is part of the plan only if it is asked for."""
     if org_type:
-        out = out.filter(F.col("org_type") == org_type)
+        found = found.filter(F.col("org_type") == org_type)
     if categories:
-        out = out.filter(F.col("category").isin(categories))
+        found = found.filter(F.col("category").isin(categories))
     if city:
-        out = out.filter(fold(F.col("address")).startswith(fold_plain(city)))
+        found = found.filter(fold(F.col("address")).startswith(fold_plain(city)))
     if industry:
-        out = out.filter(F.col("industries").contains(industry))
-    return out.orderBy("name", "vat").limit(max(1, min(limit, 500)))
+        found = found.filter(F.col("industries").contains(industry))
+    return found
+
+
+def search(registry: DataFrame, text: str = "", fields: tuple[str, ...] = SEARCH_FIELDS, limit: int = 100, **filters) -> DataFrame:
+    """Filtered matches of parts of words, without an index (``search_index`` has one), by name, then id."""
+    return filtered(matches(registry, text, fields), **filters).orderBy("name", "vat").limit(max(1, min(limit, 500)))
 
 
 def facets(found: DataFrame, k: int = 8) -> DataFrame:
@@ -120,8 +126,16 @@ def facets(found: DataFrame, k: int = 8) -> DataFrame:
     industries = F.transform(F.split(F.coalesce("industries", F.lit("")), r"\s*[／/]\s*"), lambda v: F.struct(F.lit("industry").alias("facet"), F.trim(v).alias("value")))
     rows = found.select(F.explode(F.concat(values, industries)).alias("x")).select("x.*").filter("value IS NOT NULL AND value <> ''")
     counted = rows.groupBy("facet", "value").agg(F.count("*").alias("count"))
-    rank = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("count"), "value"))
-    return counted.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
+    return most_frequent(counted, k)
+
+
+def most_frequent(counted: DataFrame, k: int) -> DataFrame:
+    """The k most frequent values of each facet, from (facet, value, count); ranked in groups first, so that no task sorts
+    all values of a facet."""
+    order = [F.desc("count"), "value"]
+    grouped = counted.withColumn("_group", F.pmod(F.xxhash64("value"), F.lit(RANK_GROUPS)))
+    some = grouped.withColumn("_rank", F.row_number().over(Window.partitionBy("facet", "_group").orderBy(*order))).filter(F.col("_rank") <= k)
+    return some.withColumn("_rank", F.row_number().over(Window.partitionBy("facet").orderBy(*order))).filter(F.col("_rank") <= k).drop("_rank", "_group")
 
 
 def category_counts(registry: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -45,17 +46,29 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, checkpointed in the folder that the cluster names; only a local session falls back to one of its own."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not spark.sparkContext.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for driver and executors; only a local session falls back to one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
-        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        named = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, checkpointed in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark only: the folder may lie in any store that Spark reaches."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
