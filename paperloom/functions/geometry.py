@@ -35,3 +35,14 @@ def cover(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
 
 def center(box: tuple[Column, ...]) -> tuple[Column, Column]:
     return (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
+
+
+def luminance(red: Column, green: Column, blue: Column) -> Column:
+    """Brightness of a pixel, 0 to 255."""
+    return 0.299 * red + 0.587 * green + 0.114 * blue
+
+
+def saturation(red: Column, green: Column, blue: Column) -> Column:
+    """Colourfulness of a pixel, 0 to 1; 0 for black and grey."""
+    most, least = F.greatest(red, green, blue), F.least(red, green, blue)
+    return F.when(most > 0, (most - least) / most).otherwise(0.0)
