@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from paperloom.streaming import tables
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -74,30 +76,41 @@ def forward(
 ) -> StreamingQuery:
     """Send each batch's lines to every destination, each tried a few times with growing pauses (0.5 s, 1 s, …).
 
-    The stream's checkpoint is the bookmark. ``formats`` maps a destination to the column that formats its line; lines are
-    sent from the executors, Arrow batch by Arrow batch. Lines that no try delivers are appended to ``dead_letters`` (beside
-    the checkpoint, if not named) as destination, batch, line and error. A batch that is run again is sent again.
+    The stream's checkpoint is the bookmark. ``formats`` maps a destination to the column that formats its line; a batch is
+    planned once, and its lines are sent from the executors, Arrow batch by Arrow batch, to one destination after the other.
+    Lines that no try delivers are kept in ``dead_letters`` (beside the checkpoint, if not named) as batch, destination, line
+    and error. A batch that was sent whole is not sent again when the stream is restarted; one that broke off is.
     """
-    lost_path = dead_letters or f"{checkpoint.rstrip('/')}-dead-letters"
+    lost_path = (dead_letters or f"{checkpoint.rstrip('/')}-dead-letters").rstrip("/")
+    names = list(destinations)
 
     def send(batch: DataFrame, number: int) -> None:
-        for name, sink in destinations.items():
-
-            def deliver(frames: Iterator[pd.DataFrame], sink=sink) -> Iterator[pd.DataFrame]:
-                for frame in frames:
-                    lines, said = frame["line"].tolist(), ""
-                    for k in range(tries):
-                        try:
-                            sink(lines)
-                            break
-                        except OSError as error:
-                            said = str(error)
-                            if k + 1 < tries:
-                                time.sleep(pause_s * (k + 1))
-                    else:
-                        yield pd.DataFrame({"line": lines, "error": said})
-
-            lost = batch.select(formats[name].alias("line")).mapInPandas(deliver, "line string, error string")
-            lost.select(F.lit(name).alias("destination"), F.lit(number).cast("long").alias("batch"), "line", "error").write.mode("append").parquet(lost_path)
+        spark = batch.sparkSession
+        if tables.is_published(spark, f"{checkpoint.rstrip('/')}-sent", number):
+            return
+
+        def tried(sink: Callable[[Iterable[str]], None], lines: list[str]) -> str | None:
+            for k in range(tries):
+                try:
+                    sink(lines)
+                    return None
+                except OSError as error:
+                    said = str(error)
+                    if k + 1 < tries:
+                        time.sleep(pause_s * (k + 1))
+            return said
+
+        def deliver(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for k, name in enumerate(names):
+                    lines = frame[f"line{k}"].tolist()
+                    said = tried(destinations[name], lines) if lines else None
+                    if said is not None:
+                        yield pd.DataFrame({"line": lines, "error": said, "destination": name})
+
+        columns = [formats[name].alias(f"line{k}") for k, name in enumerate(names)]
+        lost = batch.select(*columns).mapInPandas(deliver, "line string, error string, destination string")
+        lost.write.mode("overwrite").partitionBy("destination").parquet(f"{lost_path}/batch={number}")
+        tables.publish(spark, f"{checkpoint.rstrip('/')}-sent", number, {})
 
     return events.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
