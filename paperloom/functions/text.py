@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -135,9 +137,21 @@ def clean(text: Column) -> Column:
     return F.when(noisy(kept), "").otherwise(kept)
 
 
+#: Blocks whose signs hardly stand in running text: operators, technical signs, boxes, shapes, symbols, dingbats,
+#: phonetic signs, letters of syllables, private characters; and rare ideographs.
+ODD_SIGNS = r"[\u2200-\u23ff\u2500-\u257f\u25a0-\u27bf\u3100-\u318f\ue000-\uf8ff]"
+RARE_IDEOGRAPHS, IDEOGRAPHS = r"[\u3400-\u4dbf\x{20000}-\x{2ffff}]", r"[\u3400-\u9fff\x{20000}-\x{2ffff}]"
+
+
 def garbled(text: Column) -> Column:
-    """Runs of eight equal characters, or a short cycle again and again."""
-    return text.rlike(r"([^\s])\1{7,}") | text.rlike(r"([^\s]{2,4})\1{5,}")
+    """Text of a font with a wrong character map: odd signs, alone in a short text or a quarter of all; a letter or digit eight
+    times in a row; a short cycle with a letter or digit four times in a row. Null and empty text isn't garbled."""
+    rare = count_of(text, RARE_IDEOGRAPHS)
+    odd = count_of(text, ODD_SIGNS) + rare
+    signs = count_of(text, IDEOGRAPHS) + odd
+    cycle = F.regexp_extract(text, r"(.{2,4})\1{3,}", 1)
+    found = ((odd >= 1) & (signs <= 12)) | (odd >= 0.25 * F.greatest(signs, F.lit(1))) | text.rlike(r"([A-Za-z0-9])\1{7,}") | cycle.rlike("[A-Za-z0-9]")
+    return F.coalesce(found & (text != ""), F.lit(False))
 
 
 def keep_as_is(line: Column) -> Column:
@@ -225,6 +239,38 @@ def list_marker(line: Column) -> Column:
     return out
 
 
+#: Fixed values: (name, style, expression) of list markers, the first that fits; the last group is the body.
+LIST_PATTERNS = (
+    ("arabic_dot", "List Number", r"^(\d+)\.\s+(.+)"),
+    ("arabic_paren", "List Number", r"^\((\d+)\)\s+(.+)"),
+    ("arabic_paren_f", "List Number", r"^([(（])(\d+)([)）])\s*(.+)"),
+    ("cn_num_comma", "List Number", r"^([一二三四五六七八九十]+)、\s*(.+)"),
+    ("cn_num_dot", "List Number", r"^([一二三四五六七八九十]+)\.\s*(.+)"),
+    ("cn_num_paren", "List Number", r"^[(（]([一二三四五六七八九十]+)[)）]\s*(.+)"),
+    ("cn_top", "List Number", r"^([壹貳參肆伍陸柒捌玖拾]+)、\s*(.+)"),
+    ("bullet_dash", "List Bullet", r"^[-–]\s+(.+)"),
+    ("bullet_star", "List Bullet", r"^\*\s+(.+)"),
+    ("bullet_dot", "List Bullet", r"^[•‧·▪◆■□◇○●]\s*(.+)"),
+    ("alpha_lower_paren", "List Number", r"^\(([a-z])\)\s+(.+)"),
+    ("alpha_upper_paren", "List Number", r"^\(([A-Z])\)\s+(.+)"),
+    ("alpha_lower_dot", "List Number", r"^([a-z])\.\s+(.+)"),
+    ("roman_lower", "List Number", r"(?i)^(i{1,3}|iv|v|vi{1,3}|ix|x{1,3})\.\s+(.+)"),
+    ("roman_upper_paren", "List Number", r"^\((I{1,3}|IV|V|VI{1,3}|IX|X{1,3})\)\s+(.+)"),
+    ("dash_em", "List Bullet", r"^—\s+(.+)"),
+    ("multi_level", "List Number", r"^(\d+(?:\.\d+){1,3})\.?\s+(.+)"),
+    ("ch_chapter", "List Number", r"^(第\s*[0-9一二三四五六七八九十百零兩]+\s*[章節條項款目])\s*(.+)"),
+)
+
+
+def list_item(line: Column) -> Column:
+    """(name, style, body) of a list item; null for other lines."""
+    out = F.lit(None).cast("struct<name:string,style:string,body:string>")
+    for name, style, pattern in reversed(LIST_PATTERNS):
+        body = F.regexp_extract(line, pattern, re.compile(pattern).groups)
+        out = F.when(line.rlike(pattern), F.struct(F.lit(name).alias("name"), F.lit(style).alias("style"), body.alias("body"))).otherwise(out)
+    return out
+
+
 def without_zero_width(text: Column) -> Column:
     """Without byte order marks and zero-width characters, white space folded to single spaces."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[\ufeff\u200b\u200c\u200d]", ""), r"(?U)\s+", " "))

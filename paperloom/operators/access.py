@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.session import cut
@@ -195,10 +195,19 @@ def marks_of(marks: DataFrame, kinds: list[str] = (), authors: list[str] = (), u
     return named.filter(F.col("author").isin(list(authors))) if authors else named
 
 
-def into_groups(rows: DataFrame, by: str, order: str, key: str) -> DataFrame:
-    """(by, first, keys): groups in the order in which they first appear, with their rows' keys in order."""
-    items = F.array_sort(F.collect_list(F.struct(order, key)))
-    return rows.groupBy(by).agg(F.min(order).alias("first"), F.transform(items, lambda x: x[key]).alias("keys"))
+def into_groups(rows: DataFrame, by: str, order: str, key: str, width: int = 10_000) -> DataFrame:
+    """(by, first, place, key): groups with the place at which they first appear, and their rows' keys numbered in order.
+
+    ``order`` is a number; rows are numbered within stretches of ``width`` of it, and stretches by the counts before them, so
+    that a group of all rows spreads over many tasks.
+    """
+    dealt = rows.select(by, order, key, F.floor(F.col(order) / width).alias("_part"))
+    counts = dealt.groupBy(by, "_part").agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
+    w = Window.partitionBy(by).orderBy("_part")
+    before = counts.select(F.col(by).alias("_by"), F.col("_part").alias("_of"), (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.min("_first").over(w).alias("first"))
+    within = F.row_number().over(Window.partitionBy(by, "_part").orderBy(order, key))
+    placed = dealt.withColumn("_k", within).join(before, F.col(by).eqNullSafe(F.col("_by")) & F.col("_part").eqNullSafe(F.col("_of")))
+    return placed.select(by, "first", (F.col("_k") + F.col("_before")).cast("long").alias("place"), key)
 
 
 def oldest_days(rows: DataFrame, ts: str, now: Column) -> DataFrame:

@@ -51,9 +51,11 @@ def entity_files(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def outliers(totals: DataFrame) -> DataFrame:
-    """Values of few files beside a kind's leading one: at most half of its files, or one file."""
-    lead = Window.partitionBy("kind").orderBy(F.desc("file_count"), F.desc("total_count"), "value")
-    ranked = totals.withColumn("top_value", F.first("value").over(lead)).withColumn("top_files", F.first("file_count").over(lead))
+    """Values of few files beside a kind's leading one: at most half of its files, or one file. A kind's leader is an
+    aggregate, so that a kind of very many values is no task of its own."""
+    lead = F.min(F.struct(-F.col("file_count"), -F.col("total_count"), F.col("value"))).alias("lead")
+    leaders = totals.groupBy("kind").agg(F.max("file_count").alias("top_files"), lead).select(F.col("kind").alias("_kind"), F.col("lead.value").alias("top_value"), "top_files")
+    ranked = totals.join(leaders, F.col("kind").eqNullSafe(F.col("_kind"))).drop("_kind")
     few = (F.col("file_count") <= F.floor(F.col("top_files") / 2)) | ((F.col("file_count") == 1) & (F.col("top_files") >= 2))
     return ranked.filter((F.col("value") != F.col("top_value")) & (F.col("top_files") >= 2) & few)
 
@@ -214,8 +216,9 @@ def rule_findings(totals: DataFrame, main: str = "", main_id: str = "", counterp
         parts.append(as_finding(ids.filter(plain != main_id), "tax-id-mismatch", "warn"))
     else:
         foreign = ids.filter(valid & ~plain.isin([str(x) for x in own_ids])) if own_ids else ids.filter(valid)
-        several = foreign.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("value"), F.sum("total_count").alias("total_count"), F.max("file_count").alias("file_count")).filter("n >= 2").withColumn("kind", F.lit("tax_id"))
-        parts.append(as_finding(several, "tax-id-multiple", "warn"))
+        # a row for each of several ids: their number is bounded by nothing
+        several = foreign.agg(F.count("*").alias("n")).filter("n >= 2")
+        parts.append(as_finding(foreign.join(F.broadcast(several), F.lit(True)), "tax-id-multiple", "warn"))
     used = (F.col("file_count") >= 2) | (F.col("total_count") >= 3)
     parts.append(as_finding(ids.filter(~valid), "tax-id-invalid", F.when(used, "info").otherwise("warn")))
     if case_number:

@@ -13,11 +13,13 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import checks
 from paperloom.functions.pii_patterns import CATALOGUE
+from paperloom.operators import layout
 from paperloom.session import bounded_batches
 
 
@@ -237,3 +239,55 @@ def drop_overlapping(spans: DataFrame, taken: DataFrame, id_col: str = "doc_id")
     """Spans (id, start, end) that overlap none of ``taken``: an anti-join on the document and overlap."""
     t = taken.select(F.col(id_col).alias("_id"), F.col("start").alias("_a"), F.col("end").alias("_b"))
     return spans.join(t, (spans[id_col] == t["_id"]) & (spans["start"] < t["_b"]) & (t["_a"] < spans["end"]), "left_anti")
+
+
+# ---- values that stand in the cell beside their label
+
+
+def straddling(first: str, second: str, patterns: Iterable[Pattern]) -> list[tuple]:
+    """(type, label, group, value, masked, in second) of labelled values that only the two texts together show: the match
+    begins in one and ends in the other."""
+    text, junction = f"{first} {second}", len(first)
+    found = []
+    for _, p in possible(text, patterns):
+        check = CHECKS.get(p.check or "")
+        for m in p.regex.finditer(text):
+            value = m[p.value_group]
+            if value and m.start() < junction < m.end() and (check is None or check(value)):
+                found.append((p.id, p.label, p.group, value, mask_value(p.mask, value), m.start(p.value_group) > junction))
+    return found
+
+
+def across_cells(cells: DataFrame, ids: Iterable[str] = DEFAULT, page: str = "page") -> DataFrame:
+    """(page, cell, type, label, grp, value, masked): personal data of cells (page, cell, text, x0, y0, x1, y1), by itself or
+    with a label in the cell at its left or above it.
+
+    A cell is joined with its nearest one to the right and its nearest one below, so that pairs are two a cell at most. Only
+    patterns with a label are tried on pairs, and only matches that straddle the border count; ``cell`` is where the value
+    stands. Each value of a type counts once a cell. Null texts hold nothing.
+    """
+    chosen = [PATTERNS[i] for i in ids]
+    labelled = [p for p in chosen if p.value_group]
+    bounded_batches(cells.sparkSession)
+    texts = cells.select(F.col(page).alias("page"), "cell", F.coalesce("text", F.lit("")).alias("text"))
+    alone = detect(texts.withColumn("_id", F.struct("page", "cell")), "_id", "text", [p.id for p in chosen])
+    alone = alone.select("_id.page", "_id.cell", F.explode("spans").alias("s")).select("page", "cell", "s.type", "s.label", "s.grp", "s.value", "s.masked")
+
+    right = layout.nearest_right(cells, page, slack=2.0).select(F.col(page).alias("page"), "cell", F.col("right").alias("beside"))
+    below = layout.nearest_below(cells, page).select(F.col(page).alias("page"), "cell", F.col("below").alias("beside"))
+    other = texts.select(F.col("page").alias("_page"), F.col("cell").alias("beside"), F.col("text").alias("second"))
+    pairs = right.union(below).join(texts, ["page", "cell"]).join(other.withColumnRenamed("_page", "page"), ["page", "beside"])
+    kinds = {c: texts.schema[c].dataType.simpleString() for c in ("page", "cell")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, second = batch.column("text").to_pylist(), batch.column("second").to_pylist()
+            rows = [(k, *found) for k, (a, b) in enumerate(zip(first, second)) for found in straddling(a, b, labelled)]
+            if rows:
+                at, *values, behind = zip(*rows)
+                at = pa.array(at)
+                place = pc.if_else(pa.array(behind), batch.column("beside").take(at), batch.column("cell").take(at))
+                yield pa.RecordBatch.from_arrays([batch.column("page").take(at), place, *(pa.array(v, pa.string()) for v in values)], names=["page", "cell", "type", "label", "grp", "value", "masked"])
+
+    joined = pairs.select("page", "cell", "beside", "text", "second").mapInArrow(run, f"page {kinds['page']}, cell {kinds['cell']}, type string, label string, grp string, value string, masked string")
+    return alone.union(joined).dropDuplicates(["page", "cell", "type", "value"]).withColumnRenamed("page", page)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.operators.quantiles import quantiles
+
 from paperloom.session import numbered
 
 PRIORITY_USERS = 15
@@ -98,15 +100,23 @@ def inbox(jobs: DataFrame, seen: DataFrame) -> DataFrame:
     return joined.groupBy("owner_id").agg(F.count("*").alias("finished"), F.count_if(F.col("last_seen").isNull() | (F.col("finished_at") > F.col("last_seen"))).alias("unread"))
 
 
+SHARES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
 def request_report(rows: DataFrame, by: str, value: str, failed: Column, ts: str = "ts") -> DataFrame:
     """(by, n, succeeded, failures, success_rate, per_second, p50, p95, p99, max): a load run's figures for each tool; the rate
     is over the whole run's time."""
     span = rows.agg(((F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / 1e6).alias("span"))
     bad = F.count_if(failed)
-    p = [F.percentile(value, q / 100).alias(f"p{q}") for q in (50, 95, 99)]
-    out = rows.groupBy(by).agg(F.count("*").alias("n"), (F.count("*") - bad).alias("succeeded"), bad.alias("failures"), *p, F.max(value).alias("max"))
+    out = rows.groupBy(by).agg(F.count("*").alias("n"), (F.count("*") - bad).alias("succeeded"), bad.alias("failures"), F.max(value).alias("max"))
     out = out.join(F.broadcast(span), F.lit(True))  # one row
-    return out.withColumns({"success_rate": F.round(F.col("succeeded") / F.col("n"), 6), "per_second": F.round(F.try_divide("n", "span"), 9)}).drop("span")
+    out = out.withColumns({"success_rate": F.round(F.col("succeeded") / F.col("n"), 6), "per_second": F.round(F.try_divide("n", "span"), 9)}).drop("span")
+    return _with_quantiles(out, rows, by, value)
+
+
+def _with_quantiles(figures: DataFrame, rows: DataFrame, by: str, value: str) -> DataFrame:
+    found = quantiles(rows, by, value, SHARES).withColumnRenamed(by, "_of")
+    return figures.join(found, F.col(by).eqNullSafe(F.col("_of")), "left").drop("_of")
 
 
 def error_classes(rows: DataFrame, by: str, error: Column) -> DataFrame:
@@ -121,13 +131,12 @@ def results_from(results: DataFrame, start: int, job: str = "job_id", at: str =
 
 
 def latency(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Exact percentiles by group."""
-    p = [F.percentile(value, q / 100).alias(f"p{q}") for q in (50, 95, 99)]
-    return rows.groupBy(by).agg(F.count("*").alias("n"), *p, F.max(value).alias("max"))
+    """(by, n, p50, p95, p99, max): exact percentiles by group, of groups of any size."""
+    return _with_quantiles(rows.groupBy(by).agg(F.count("*").alias("n"), F.max(value).alias("max")), rows, by, value)
 
 
 def replay_lockouts(attempts: DataFrame, threshold: int = 5, window_s: float = 900, lock_s: float = 900, key: str = "key", ts: str = "ts", ok: str = "ok") -> DataFrame:
-    """(key, ts, locked_until) of each lock that the failures in order bring about; one pass over each key's attempts.
+    """(key, ts, locked_until) of each lock that the failures in order bring about; one pass over each key's attempts, at one time failures first.
 
     A failure later than the window after the last starts anew; a success clears; a lock resets the counter.
     """
@@ -150,7 +159,7 @@ def replay_lockouts(attempts: DataFrame, threshold: int = 5, window_s: float = 9
 
     rows = attempts.select(F.col(key).cast("string").alias("key"), (F.unix_micros(ts) / 1e6).alias("t"), F.col(ok).alias("ok"))
     # keys are whole within a partition and sorted: a key's attempts stream through, none is held in memory
-    placed = rows.repartition("key").sortWithinPartitions("key", "t")
+    placed = rows.repartition("key").sortWithinPartitions("key", "t", "ok")
     locks = placed.mapInPandas(run, "key string, t double, until double")
     return locks.select("key", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("long")).alias("ts"), F.timestamp_micros(F.round(F.col("until") * 1e6).cast("long")).alias("locked_until"))
 

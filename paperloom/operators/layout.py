@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,32 +102,88 @@ def repeated_lines(lines: DataFrame, doc: str = "doc_id", page: str = "page", te
     return seen.join(pages, doc).filter(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("pages") / 2)))
 
 
-def _near(cells: DataFrame, page: str, along: tuple[str, str], across: tuple[str, str], reach: Column, share: float, widest: float) -> DataFrame:
-    """(page, cell, hit): the nearest cell that begins behind a cell's end, within ``reach``, and shares enough of its breadth.
-
-    Cells meet by an equi-join on page and buckets of both axes: a cell asks in the bucket where it ends and those up to its
-    reach, another answers in the one where it begins.
+#: Height (or breadth) of the bands that a page is cut into, and cells that a task sweeps together.
+BAND = 50.0
+SWEPT_CELLS = 200_000
+
+
+def _sweep(table: pa.Table, reach: float | None, share: float, heights: float, slack: float) -> pa.RecordBatch:
+    """(page, cell, gap, hit) of whole bands: for each cell the first one behind its end, in order of where they begin, that
+    shares enough of its breadth. All cells look at their next candidate at once, until they have a hit or are out of reach."""
+    group = table.column("_g").to_numpy()
+    cell, a0, a1, c0, c1 = (table.column(k).to_numpy() for k in ("cell", "a0", "a1", "c0", "c1"))
+    order = np.lexsort((cell, a0, group))
+    group, cell, a0, a1, c0, c1 = (x[order] for x in (group, cell, a0, a1, c0, c1))
+    n = len(cell)
+    # where a cell's end falls among the begins of its band: the number of begins before it
+    ask = np.lexsort((np.r_[np.ones(n), np.zeros(n)], np.r_[a0, a1 - slack], np.r_[group, group]))
+    begins = np.cumsum(ask < n)
+    at = np.empty(n, np.int64)
+    queries = ask >= n
+    at[ask[queries] - n] = begins[queries]
+    limit = np.full(n, reach) if reach is not None else heights * (a1 - a0)
+    hit, gap = np.full(n, -1), np.zeros(n)
+    open_ = np.arange(n)
+    while len(open_):
+        j = at[open_]
+        inside = j < n
+        open_, j = open_[inside], j[inside]
+        apart = a0[j] - a1[open_]
+        inside = (group[j] == group[open_]) & (apart <= limit[open_])
+        open_, j, apart = open_[inside], j[inside], apart[inside]
+        common = np.minimum(c1[j], c1[open_]) - np.maximum(c0[j], c0[open_])
+        fits = (common >= share * np.minimum(c1[j] - c0[j], c1[open_] - c0[open_])) & (cell[j] != cell[open_])
+        hit[open_[fits]], gap[open_[fits]] = j[fits], apart[fits]
+        open_ = open_[~fits]
+        at[open_] += 1
+    found = np.flatnonzero(hit >= 0)
+    return pa.RecordBatch.from_arrays([table.column("page").take(pa.array(order[found])).combine_chunks(), pa.array(cell[found]), pa.array(gap[found]), pa.array(cell[hit[found]])], names=["page", "cell", "gap", "hit"])
+
+
+def _near(cells: DataFrame, page: str, along: tuple[str, str], across: tuple[str, str], share: float, reach: float | None = None, heights: float = 0.0, slack: float = 0.0) -> DataFrame:
+    """(page, cell, hit): the nearest cell that begins behind a cell's end, within reach, and shares enough of its breadth.
+
+    Cells are dealt to the bands of their page that they cross, each band is swept in order by one task, and the nearest hit
+    of a cell's bands is its hit; nothing is compared beyond the first candidates that fit. Cells without coordinates are left
+    out. Of equally near ones the smaller cell is taken.
     """
     (a0, a1), (c0, c1) = along, across
-    step = F.lit(widest)
-    crossed = F.explode(F.sequence(F.floor(F.col(c0) / 50.0), F.floor(F.col(c1) / 50.0)))
-    asks = cells.withColumn("_reach", reach).withColumn("_c", crossed).withColumn("_a", F.explode(F.sequence(F.floor(F.col(a1) / step), F.floor((F.col(a1) + F.col("_reach")) / step))))
-    answers = cells.withColumn("_c", crossed).withColumn("_a", F.floor(F.col(a0) / step)).select(page, "_c", "_a", *[F.col(c).alias(f"r_{c}") for c in ("cell", a0, c0, c1)])
-    common = F.least(c1, f"r_{c1}") - F.greatest(c0, f"r_{c0}")
-    gap = F.col(f"r_{a0}") - F.col(a1)
-    breadth = F.least(F.col(c1) - F.col(c0), F.col(f"r_{c1}") - F.col(f"r_{c0}"))
-    fits = asks.join(answers, [page, "_c", "_a"]).filter((F.col("cell") != F.col("r_cell")) & gap.between(0, F.col("_reach")) & (common >= share * breadth))
-    return fits.groupBy(page, "cell").agg(F.min_by("r_cell", F.struct(gap, "r_cell")).alias("hit"))
-
-
-def nearest_right(cells: DataFrame, page: str = "page", max_gap: float = 300.0) -> DataFrame:
-    """(page, cell, right): the nearest cell to the right with half the height in common."""
-    return _near(cells, page, ("x0", "x1"), ("y0", "y1"), F.lit(max_gap), 0.5, max_gap / 4).withColumnRenamed("hit", "right")
+    kind = {c: cells.schema[c].dataType.simpleString() for c in (page, "cell")}
+    placed = cells.select(F.col(page).alias("page"), "cell", *(F.col(c).cast("double").alias(n) for n, c in zip(("a0", "a1", "c0", "c1"), (a0, a1, c0, c1)))).dropna()
+    dealt = placed.withColumn("_band", F.explode(F.sequence(F.floor(F.col("c0") / BAND), F.floor(F.col("c1") / BAND))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, number = [], None, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            names = list(zip(batch.column("page").to_pylist(), batch.column("_band").to_pylist()))
+            new = np.array([x != y for x, y in zip(names, [last, *names])])
+            if sum(map(len, held)) >= SWEPT_CELLS and new.any():  # whole bands only: up to the first one that begins here
+                cut_ = int(np.flatnonzero(new)[0])
+                held.append(batch.slice(0, cut_).append_column("_g", pa.array(np.full(cut_, number))))
+                yield _sweep(pa.Table.from_batches(held), reach, share, heights, slack)
+                held = []
+                batch, new = batch.slice(cut_), new[cut_:]
+            groups = number + np.cumsum(new)
+            held.append(batch.append_column("_g", pa.array(groups)))
+            number, last = int(groups[-1]), names[-1]
+        if held:
+            yield _sweep(pa.Table.from_batches(held), reach, share, heights, slack)
+
+    bands = dealt.repartition("page", "_band").sortWithinPartitions("page", "_band")
+    found = bands.mapInArrow(run, f"page {kind[page]}, cell {kind['cell']}, gap double, hit {kind['cell']}")
+    return found.groupBy(F.col("page").alias(page), "cell").agg(F.min_by("hit", F.struct("gap", "hit")).alias("hit"))
+
+
+def nearest_right(cells: DataFrame, page: str = "page", max_gap: float = 300.0, slack: float = 0.0) -> DataFrame:
+    """(page, cell, right): the nearest cell to the right with half the height in common; it may begin ``slack`` within."""
+    return _near(cells, page, ("x0", "x1"), ("y0", "y1"), 0.5, reach=max_gap, slack=slack).withColumnRenamed("hit", "right")
 
 
 def nearest_below(cells: DataFrame, page: str = "page", heights: float = 1.6) -> DataFrame:
     """(page, cell, below): the nearest cell below within 1.6 heights, with 30 % of the width in common."""
-    return _near(cells, page, ("y0", "y1"), ("x0", "x1"), heights * (F.col("y1") - F.col("y0")), 0.3, 25.0).withColumnRenamed("hit", "below")
+    return _near(cells, page, ("y0", "y1"), ("x0", "x1"), 0.3, heights=heights).withColumnRenamed("hit", "below")
 
 
 def containing_cells(points: DataFrame, cells: DataFrame, page: str = "page", tile: float = 100.0) -> DataFrame:
@@ -165,12 +223,51 @@ def blank_repeats(lines: DataFrame, by: list[str], order: str, text: str = "text
     return lines.withColumn(text, F.when((plain != "") & F.lag(plain).over(w).eqNullSafe(plain), "").otherwise(F.col(text)))
 
 
-def overprints(frames: DataFrame, page: str = "page", grid: float = 4.0) -> DataFrame:
-    """(page, frame) of frames that lie within one grid square of a kept one and print the same text, or a part of it, again."""
-    placed = frames.withColumn("_gx", F.floor(F.col("x0") / grid)).withColumn("_gy", F.floor(F.col("y0") / grid))
-    first = placed.select(page, "_gx", "_gy", F.col("frame").alias("k"), F.col("text").alias("by"))
-    met = placed.join(first, [page, "_gx", "_gy"]).filter((F.col("frame") != F.col("k")) & (F.col("text") != "") & F.col("by").contains(F.col("text")))
-    return met.filter((F.length("by") > F.length("text")) | (F.col("k") < F.col("frame"))).select(page, "frame").distinct()
+#: Fixed values in points: lines of one row have centres so near; a line goes on with those before it, if it begins that far
+#: within what they cover.
+ROW_OFF, OVERLAP = 2.0, 3.0
+
+
+def merged_rows(chars: DataFrame, page: str = "page") -> DataFrame:
+    """(page, row, segment, text, x0, x1): lines printed over one another as one, without the characters covered already.
+
+    ``chars`` holds (page, line, pos, ch, x, width, y, height). Lines of one row are taken from the left; what the lines
+    before have covered of a segment is one stretch, as each begins within it, so a running maximum of their ends is the
+    union of their intervals. A character whose centre lies in it is a repetition. Lines of white space only are left out.
+    """
+    right = F.col("x") + F.col("width")
+    lines = chars.groupBy(page, "line").agg(
+        F.min(F.when(F.trim("ch") != "", F.col("x"))).alias("start"),
+        F.max(right).alias("end"),
+        ((F.min("y") + F.max(F.col("y") + F.col("height"))) / 2).alias("middle"),
+    )
+    order = ["start", "line"]
+    rows = gap_groups(lines.filter("start IS NOT NULL"), [page], ["middle", "line"], F.col("middle") - prev("middle", [page], ["middle", "line"]) > ROW_OFF).withColumnRenamed("group", "row")
+    before = lambda by: F.max("end").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    parts = gap_groups(rows.withColumn("_reach", before([page, "row"])), [page, "row"], order, F.col("start") > F.col("_reach") - OVERLAP).withColumnRenamed("group", "segment")
+    parts = parts.withColumn("_covered", before([page, "row", "segment"])).select(page, "line", "row", "segment", "start", "_covered")
+    kept = chars.join(parts, [page, "line"]).filter(F.col("_covered").isNull() | (F.col("x") + F.col("width") / 2 > F.col("_covered")))
+    spelled = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "line", "pos", "ch"))), lambda c: c["ch"]), "")
+    return kept.groupBy(page, "row", "segment").agg(spelled.alias("text"), F.min("x").alias("x0"), F.max(right).alias("x1"))
+
+
+def overprints(frames: DataFrame, page: str = "page", near: float = 4.0) -> DataFrame:
+    """(page, frame) of frames that a kept frame at the same place prints again: the same text, a text that holds it, or, for
+    one character repeated, a single one of them.
+
+    ``frames`` holds (page, frame, x0, y0, text). Frames are at one place if both coordinates differ by less than ``near``;
+    they meet by squares of that size, in which a frame asks and in whose neighbours it answers, so that no border hides a
+    pair. Of equal texts the first frame stays; of a text and a part of it the longer one; of ``aa`` and ``a`` the shorter.
+    """
+    placed = frames.filter(F.coalesce("text", F.lit("")) != "").withColumns({"_gx": F.floor(F.col("x0") / near), "_gy": F.floor(F.col("y0") / near)})
+    around = F.explode(F.array(*(F.struct((F.col("_gx") + i).alias("_gx"), (F.col("_gy") + j).alias("_gy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    answers = placed.select(page, F.col("frame").alias("_by"), F.col("x0").alias("_x"), F.col("y0").alias("_y"), F.col("text").alias("_text"), around.alias("_s"))
+    answers = answers.select(page, "_by", "_x", "_y", "_text", "_s._gx", "_s._gy")
+    met = placed.join(answers, [page, "_gx", "_gy"]).filter((F.col("frame") != F.col("_by")) & (F.abs(F.col("x0") - F.col("_x")) < near) & (F.abs(F.col("y0") - F.col("_y")) < near))
+    stutter = lambda long, short: (F.length(short) == 1) & (F.length(long) > 1) & (F.regexp_replace(long, F.concat(F.lit("\\Q"), short, F.lit("\\E")), F.lit("")) == "")
+    same = (F.col("_text") == F.col("text")) & (F.col("_by") < F.col("frame"))
+    part = (F.length("_text") > F.length("text")) & F.col("_text").contains(F.col("text")) & ~stutter(F.col("_text"), F.col("text"))
+    return met.filter(same | part | stutter(F.col("text"), F.col("_text"))).select(page, "frame").distinct()
 
 
 def bounding_boxes(rows: DataFrame, *by: str) -> DataFrame:
@@ -206,13 +303,15 @@ def _sequential(rows: DataFrame, by: str, order: str, value: str, out: str, step
 
 
 def repaired_levels(rows: DataFrame, by: str, order: str, level: str) -> DataFrame:
-    """Levels never more than one below the repaired level before."""
+    """Levels never more than one below the repaired level before; the first is 1.
 
-    def step(state, v):
-        fixed = 1.0 if state is None else min(v, state + 1)
-        return fixed, fixed
-
-    return _sequential(rows, by, order, level, level, step)
+    The repaired level of row k is the least of v(j) + k - j over the rows j up to it, so a running minimum tells it.
+    """
+    w = Window.partitionBy(by).orderBy(order)
+    k = F.row_number().over(w)
+    value = F.when(k == 1, F.lit(1.0)).otherwise(F.col(level).cast("double"))
+    placed = rows.select(by, order, k.alias("_k"), (value - k).alias("_v"))
+    return placed.select(by, order, (F.min("_v").over(w) + F.col("_k")).alias(level))
 
 
 def packed(rows: DataFrame, by: str, order: str, weight: str, capacity: float) -> DataFrame:

@@ -115,7 +115,13 @@ def job_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.inbox(done, seen)
 
 
-@query("lockout_replay")
+@query("lockout_replay", """
+WITH RECURSIVE e AS (SELECT 'u' || user_id AS key, epoch_us(ts)::DOUBLE / 1e6 AS t, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type <> 'error') AS k FROM events),
+r(key, k, n, last, hit, t) AS (
+  SELECT key, k, CASE WHEN ok THEN 0 ELSE 1 END, CASE WHEN ok THEN NULL ELSE t END, false, t FROM e WHERE k = 1
+  UNION ALL SELECT e.key, e.k, CASE WHEN e.ok THEN 0 ELSE c.n % 3 END, CASE WHEN e.ok THEN NULL ELSE e.t END, NOT e.ok AND c.n = 3, e.t
+  FROM r JOIN e ON e.key = r.key AND e.k = r.k + 1, LATERAL (SELECT CASE WHEN r.last IS NULL OR e.t - r.last > 259200 THEN 1 ELSE r.n + 1 END AS n) c)
+SELECT key, make_timestamp(round(t * 1e6)::BIGINT) AS ts, make_timestamp(round((t + 900) * 1e6)::BIGINT) AS locked_until FROM r WHERE hit""")
 def lockout_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir).select("username", "ts", (F.col("event_type") != "error").alias("ok"))
     return jobs.replay_lockouts(events, threshold=3, window_s=86400 * 3, key="username")

@@ -123,11 +123,20 @@ def repeated_page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.repeated_lines(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page"), F.col("o_orderpriority").alias("text")))
 
 
-@query("bin_packing")
+@query("bin_packing", """
+WITH RECURSIVE l AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS "at", sum(l_quantity) AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS k FROM lineitem GROUP BY l_suppkey, l_orderkey * 10 + l_linenumber),
+r AS (SELECT l_suppkey, "at", k, v AS used, 0.0::DOUBLE AS bin FROM l WHERE k = 1
+  UNION ALL SELECT l.l_suppkey, l."at", l.k, CASE WHEN used > 0 AND used + v > 250 THEN v ELSE used + v END, CASE WHEN used > 0 AND used + v > 250 THEN bin + 1 ELSE bin END FROM r JOIN l ON l.l_suppkey = r.l_suppkey AND l.k = r.k + 1)
+SELECT l_suppkey, "at", bin FROM r""")
 def bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.packed(table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"), "l_quantity"), "l_suppkey", "at", "l_quantity", 250.0)
+    at = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at")
+    items = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", at).agg(F.sum("l_quantity").alias("l_quantity"))
+    return layout.packed(items, "l_suppkey", "at", "l_quantity", 250.0)
 
 
-@query("level_repair")
+@query("level_repair", """
+WITH RECURSIVE p AS (SELECT p_brand, p_partkey, (p_size % 6 + 1)::DOUBLE AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part),
+r AS (SELECT p_brand, p_partkey, k, 1.0::DOUBLE AS level FROM p WHERE k = 1 UNION ALL SELECT p.p_brand, p.p_partkey, p.k, least(v, level + 1) FROM r JOIN p ON p.p_brand = r.p_brand AND p.k = r.k + 1)
+SELECT p_brand, p_partkey, level FROM r""")
 def level_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.repaired_levels(table(spark, sf_dir, "part").select("p_brand", "p_partkey", (F.col("p_size") % 6 + 1).alias("level")), "p_brand", "p_partkey", "level")

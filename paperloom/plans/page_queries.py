@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import geometry as G
 from paperloom.functions import text as T
 from paperloom.operators import alignment, layout, lists, text_stats
+from paperloom.operators.quantiles import quantiles
 from paperloom.plans.registry import query
 from paperloom.plans.text_queries import LINES
 from paperloom.session import table
@@ -85,13 +86,36 @@ def blanked_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("overprinted_frames", """
-WITH f AS (SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS frame, (l_partkey % 40) * 3.0 AS x0, (l_orderkey % 30) * 3.0 AS y0, repeat(l_returnflag, 1 + l_linenumber % 3) AS text FROM lineitem)
-SELECT DISTINCT a.page, a.frame FROM f a JOIN f b ON a.page = b.page AND floor(a.x0 / 4) = floor(b.x0 / 4) AND floor(a.y0 / 4) = floor(b.y0 / 4) AND a.frame <> b.frame AND contains(b.text, a.text) AND (length(b.text) > length(a.text) OR b.frame < a.frame)""")
+WITH f AS (SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS frame, (l_partkey % 40) * 3.0 AS x0, (l_orderkey % 30) * 3.0 AS y0, repeat(l_returnflag, 1 + l_linenumber % 3) || CASE WHEN l_linenumber > 5 THEN l_linestatus ELSE '' END AS text FROM lineitem),
+p AS (SELECT a.page, a.frame, a.text, b.frame AS other, b.text AS by_text FROM f a JOIN f b ON a.page = b.page AND a.frame <> b.frame AND abs(a.x0 - b.x0) < 4 AND abs(a.y0 - b.y0) < 4)
+SELECT DISTINCT page, frame FROM p WHERE (text = by_text AND other < frame)
+  OR (length(by_text) > length(text) AND contains(by_text, text) AND NOT (length(text) = 1 AND replace(by_text, text, '') = ''))
+  OR (length(by_text) = 1 AND length(text) > 1 AND replace(text, by_text, '') = '')""")
 def overprinted_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("frame"), ((F.col("l_partkey") % 40) * 3.0).alias("x0"), ((F.col("l_orderkey") % 30) * 3.0).alias("y0"), F.repeat(F.col("l_returnflag"), 1 + F.col("l_linenumber") % 3).alias("text"))
+    text = F.concat(F.repeat(F.col("l_returnflag"), 1 + F.col("l_linenumber") % 3), F.when(F.col("l_linenumber") > 5, F.col("l_linestatus")).otherwise(""))
+    frames = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("frame"), ((F.col("l_partkey") % 40) * 3.0).alias("x0"), ((F.col("l_orderkey") % 30) * 3.0).alias("y0"), text.alias("text"))
     return layout.overprints(frames)
 
 
+@query("merged_rows", """
+WITH i AS (SELECT l_orderkey, l_linenumber, l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL), l AS (SELECT l_orderkey AS page, l_linenumber * 1000000 + l_partkey AS line, l_partkey || ' ' || l_suppkey AS text, (l_partkey % 12) * 9.0 AS x0, 100.0 + (l_linenumber % 3) * 12 + 0.5 * (l_suppkey % 2) AS y FROM i),
+c AS (SELECT page, line, k AS pos, text[k] AS ch, x0 + 6 * (k - 1) AS x, x0 + 6 * k AS r, y FROM l, unnest(range(1, length(text) + 1)) t(k)),
+m AS (SELECT page, line, min(x) FILTER (trim(ch) <> '') AS s, max(r) AS e, y FROM c GROUP BY page, line, y),
+w AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY page ORDER BY y, line ROWS UNBOUNDED PRECEDING) AS "row" FROM (SELECT *, coalesce(y - lag(y) OVER (PARTITION BY page ORDER BY y, line) > 2, false) AS new FROM m)),
+b AS (SELECT *, coalesce(s > max(e) OVER (PARTITION BY page, "row" ORDER BY s, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3, false) AS new2 FROM w),
+g AS (SELECT *, sum(new2::INTEGER) OVER (PARTITION BY page, "row" ORDER BY s, line ROWS UNBOUNDED PRECEDING) AS segment FROM b),
+k AS (SELECT *, max(e) OVER (PARTITION BY page, "row", segment ORDER BY s, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS covered FROM g)
+SELECT c.page, "row"::BIGINT AS "row", segment::BIGINT AS segment, string_agg(ch, '' ORDER BY s, c.line, pos) AS text, min(x) AS x0, max(r) AS x1
+FROM c JOIN k ON c.page = k.page AND c.line = k.line WHERE covered IS NULL OR (x + r) / 2 > covered GROUP BY c.page, "row", segment""")
+def merged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of one row that overlap, merged without what is printed twice."""
+    part, n = F.col("l_partkey"), F.col("l_linenumber")
+    text = F.concat_ws(" ", part.cast("string"), F.col("l_suppkey").cast("string"))
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.min("l_suppkey").alias("l_suppkey"))
+    lines = items.select(F.col("l_orderkey").alias("page"), (n * 1000000 + part).alias("line"), ((part % 12) * 9.0).alias("x0"), (100.0 + (n % 3) * 12 + 0.5 * (F.col("l_suppkey") % 2)).alias("y"), F.posexplode(F.split(text, "")).alias("pos", "ch"))
+    return layout.merged_rows(lines.select("page", "line", "pos", "ch", (F.col("x0") + 6 * F.col("pos")).alias("x"), F.lit(6.0).alias("width"), "y", F.lit(0.0).alias("height")))
+
+
 @query("paragraph_groups", """
 WITH r AS (SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS id, (l_orderkey % 300) * 3.0 AS y, (l_partkey % 40) * 10.0 AS x, 8.0 + l_linenumber AS size FROM lineitem),
 g AS (SELECT *, lag(y) OVER w AS py, lag(x) OVER w AS px, lag(size) OVER w AS ps FROM r WINDOW w AS (PARTITION BY page ORDER BY y, x, id)),
@@ -119,7 +143,7 @@ SELECT p_partkey, median, CASE WHEN p_size / median >= 1.6 THEN 'H1' WHEN p_size
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings by size against the median of their kind; bold ones need less."""
     part = table(spark, sf_dir, "part")
-    median = part.groupBy("p_brand").agg(F.median("p_size").alias("median"))
+    median = quantiles(part, "p_brand", "p_size", {"median": 0.5})
     return part.join(median, "p_brand").select("p_partkey", "median", layout.heading(F.col("p_size"), F.col("median"), F.col("p_partkey") % 2 == 0).alias("heading"))
 
 
@@ -153,11 +177,11 @@ def footer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("tidy_names", r"""
-SELECT doc_id, trim(regexp_replace(regexp_replace(left(text, 300), '[\x{feff}\x{200b}\x{200c}\x{200d}]', '', 'g'), '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{2028}\x{2029}]+', ' ', 'g')) AS tidy,
+SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\x{feff}\x{200b}\x{200c}\x{200d}]', '', 'g'), '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{2028}\x{2029}]+', ' ', 'g')) AS tidy,
   coalesce(nullif(left(regexp_replace(CASE WHEN contains(source || '/' || lang || '.txt', '.') THEN regexp_replace(source || '/' || lang || '.txt', '\.[^.]*$', '') END, '[\\/:*?"<>|]', '_', 'g'), 80), ''), 'list') AS file_name FROM documents""")
 def tidy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", T.without_zero_width(F.left("text", F.lit(300))).alias("tidy"), T.safe_file_name(F.concat("source", F.lit("/"), "lang", F.lit(".txt"))).alias("file_name"))
+    return docs.select("doc_id", T.without_zero_width(F.col("text")).alias("tidy"), T.safe_file_name(F.concat("source", F.lit("/"), "lang", F.lit(".txt"))).alias("file_name"))
 
 
 @query("page_and_overall_counts", """

@@ -86,3 +86,29 @@ def role_key_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = users.groupBy("key").agg(F.min("text").alias("v"))
     b = users.filter("turn > 0").groupBy("key").agg(F.max("text").alias("v"))
     return diff.key_diff(a, b, "key", "v")
+
+
+FORM_CELLS = """
+i AS (SELECT l_orderkey, l_linenumber, min(l_shipdate) AS l_shipdate, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL),
+f AS (SELECT l_orderkey AS page, l_linenumber AS n, l_shipdate AS d,
+  CASE l_linenumber % 4 WHEN 1 THEN '出生日期' WHEN 2 THEN '備註' WHEN 3 THEN '生日' ELSE strftime(l_shipdate, '%Y.%m.%d') END AS label,
+  CASE l_linenumber % 4 WHEN 1 THEN strftime(l_shipdate, '%Y-%m-%d') WHEN 2 THEN 'user' || l_partkey || '@example.com' ELSE 'n/a' END AS value FROM i)"""
+
+
+@query("form_personal_data", f"""
+WITH {FORM_CELLS}
+SELECT page, n * 10 + 1 AS cell, 'dob' AS type, value, '****-**-**' AS masked FROM f WHERE n % 4 = 1
+UNION ALL SELECT page, n * 10, 'dob', label, '****-**-**' FROM f WHERE n % 4 = 0 AND EXISTS (SELECT 1 FROM f g WHERE g.page = f.page AND g.n = f.n - 1)
+UNION ALL SELECT page, n * 10 + 1, 'email', value, NULL FROM f WHERE n % 4 = 2""")
+def form_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of birth whose label stands in the cell at the left or above, and addresses that need no label."""
+    n, day = F.col("l_linenumber"), F.col("l_shipdate")
+    label = F.when(n % 4 == 1, "出生日期").when(n % 4 == 2, "備註").when(n % 4 == 3, "生日").otherwise(F.date_format(day, "yyyy.MM.dd"))
+    value = F.when(n % 4 == 1, F.date_format(day, "yyyy-MM-dd")).when(n % 4 == 2, F.concat(F.lit("user"), F.col("l_partkey").cast("string"), F.lit("@example.com"))).otherwise("n/a")
+    both = F.explode(F.array(F.struct(F.lit(0).alias("k"), label.alias("text")), F.struct(F.lit(1).alias("k"), value.alias("text"))))
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("l_shipdate"), F.min("l_partkey").alias("l_partkey"))
+    rows = items.select(F.col("l_orderkey").alias("page"), n.alias("n"), both.alias("c"))
+    x = 50.0 + 100 * F.col("c.k")
+    cells = rows.select("page", (F.col("n") * 10 + F.col("c.k")).alias("cell"), "c.text", x.alias("x0"), (x + 80).alias("x1"), (F.col("n") * 20.0).alias("y0"), (F.col("n") * 20.0 + 15).alias("y1"))
+    found = deident.across_cells(cells, ("dob", "email"))
+    return found.select("page", "cell", "type", "value", F.when(F.col("type") == "dob", F.col("masked")).alias("masked"))

@@ -38,7 +38,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from paperloom.plans import business_queries, case_queries, event_queries, finding_queries, page_queries, privacy_queries, record_queries, report_queries, segment_queries, text_queries  # noqa: F401
+    from paperloom.plans import business_queries, case_queries, event_queries, file_queries, finding_queries, form_queries, index_queries, page_queries, privacy_queries, record_queries, region_queries, report_queries, ruling_queries, segment_queries, text_queries  # noqa: F401
 
 
 _load()

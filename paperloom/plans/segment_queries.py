@@ -56,10 +56,16 @@ def corrected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.corrected_lines(own, own.withColumn("line", F.regexp_replace("line", "the", "The")), "doc_id")
 
 
-@query("corrected_lines_all", _CORRECTED)
+@query("corrected_lines_all", r"""
+WITH n AS (SELECT conv_id AS doc_id, turn AS pos, text AS line, regexp_replace(text, 'a', CASE WHEN conv_id % 3 = 0 THEN 'aaaaaa' ELSE 'A' END, 'g') AS new FROM conversations WHERE text IS NOT NULL),
+c AS (SELECT *, length(regexp_replace(line, '\s', '', 'g')) AS a, length(regexp_replace(new, '\s', '', 'g')) AS b FROM n),
+f AS (SELECT *, abs(a - b) <= greatest(2.0, 0.3 * a) AS fits FROM c), w AS (SELECT *, fits AND avg(fits::INTEGER) OVER (PARTITION BY doc_id) >= 0.3 AS corrected FROM f)
+SELECT doc_id, pos, CASE WHEN corrected THEN new ELSE line END AS line, corrected FROM w""")
 def corrected_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same under the name it has had."""
-    return corrected_lines(spark, sf_dir)
+    """Corrections of turns, some of which grow the text so much that they are refused."""
+    own = table(spark, sf_dir, "conversations").filter("text IS NOT NULL").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.col("text").alias("line"))
+    grown = F.when(F.col("doc_id") % 3 == 0, F.replace("line", F.lit("a"), F.lit("aaaaaa"))).otherwise(F.replace("line", F.lit("a"), F.lit("A")))
+    return segments.corrected_lines(own, own.withColumn("line", grown), "doc_id")
 
 
 @query("html_escapes", r"""
@@ -105,3 +111,43 @@ def page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     small, large = F.least("w", "h"), F.greatest("w", "h")
     near = lambda a, b: (F.abs(small - a) <= 2) & (F.abs(large - b) <= 2)
     return sizes.withColumn("paper", F.when(near(210, 297), "A4").when(near(148, 210), "A5"))
+
+
+_ITEM = "CASE doc_id % 9 WHEN 0 THEN '(二) ' WHEN 1 THEN '1.2 ' WHEN 2 THEN '第 3 章 ' WHEN 3 THEN 'iv. ' WHEN 4 THEN '- ' WHEN 5 THEN '(B) ' WHEN 6 THEN '壹、' WHEN 7 THEN '7. ' ELSE '' END"
+
+
+@query("list_items", rf"""
+WITH {LINES}, l AS (SELECT doc_id, pos, {_ITEM} || line AS line FROM lined)
+SELECT doc_id, pos, {"".join(f"CASE WHEN regexp_matches(line, '{p}') THEN '{n}' ELSE " for n, _, p in T.LIST_PATTERNS)}NULL{" END" * len(T.LIST_PATTERNS)} AS name,
+  {"".join(f"CASE WHEN regexp_matches(line, '{p}') THEN regexp_extract(line, '{p}', {T.re.compile(p).groups}) ELSE " for _, _, p in T.LIST_PATTERNS)}NULL{" END" * len(T.LIST_PATTERNS)} AS body FROM l""")
+def list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers and bodies of list items; every document's lines get markers of one kind in front."""
+    marks = F.array(*map(F.lit, ("(二) ", "1.2 ", "第 3 章 ", "iv. ", "- ", "(B) ", "壹、", "7. ", "")))
+    lines = lists.explode_lines(table(spark, sf_dir, "documents")).select("doc_id", "pos", F.concat(F.get(marks, (F.col("doc_id") % 9).cast("int")), "line").alias("line"))
+    return lines.select("doc_id", "pos", T.list_item(F.col("line")).alias("i")).select("doc_id", "pos", "i.name", "i.body")
+
+
+@query("garbled_lines", rf"""
+WITH {LINES}, l AS (SELECT doc_id, pos, CASE pos % 5 WHEN 0 THEN '∂中' || line WHEN 1 THEN repeat('e' || left(line, 2), 4) WHEN 2 THEN repeat('x', 8) || line ELSE line END AS line FROM lined),
+c AS (SELECT *, length(regexp_replace(line, '[^\x{{2200}}-\x{{23ff}}\x{{2500}}-\x{{257f}}\x{{25a0}}-\x{{27bf}}\x{{3100}}-\x{{318f}}\x{{e000}}-\x{{f8ff}}\x{{3400}}-\x{{4dbf}}\x{{20000}}-\x{{2ffff}}]', '', 'g')) AS odd,
+  length(regexp_replace(line, '[^\x{{3400}}-\x{{9fff}}\x{{20000}}-\x{{2ffff}}]', '', 'g')) AS ideographs FROM l),
+k AS (SELECT *, list_filter(range(1, length(line) + 1), lambda i: length(list_filter([2, 3, 4], lambda p: length(line[i:i + 4 * p - 1]) = 4 * p AND line[i:i + 4 * p - 1] = repeat(line[i:i + p - 1], 4) AND NOT contains(line[i:i + p - 1], chr(10)))) > 0) AS starts FROM c),
+f AS (SELECT *, CASE WHEN len(starts) > 0 THEN line[starts[1]:starts[1] + list_filter([4, 3, 2], lambda p: length(line[starts[1]:starts[1] + 4 * p - 1]) = 4 * p AND line[starts[1]:starts[1] + 4 * p - 1] = repeat(line[starts[1]:starts[1] + p - 1], 4))[1] - 1] ELSE '' END AS cycle FROM k)
+SELECT doc_id, pos, line <> '' AND ((odd >= 1 AND ideographs + odd <= 12) OR odd >= 0.25 * greatest(ideographs + odd, 1) OR regexp_matches(line, '{"|".join(f"{x}{{8}}" for x in "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")}') OR regexp_matches(cycle, '[A-Za-z0-9]')) AS garbled FROM f""")
+def garbled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that a wrong character map spoils; some are spoilt here."""
+    line, k = F.col("line"), F.col("pos") % 5
+    spoilt = F.when(k == 0, F.concat(F.lit("∂中"), line)).when(k == 1, F.repeat(F.concat(F.lit("e"), F.left(line, F.lit(2))), 4)).when(k == 2, F.concat(F.lit("xxxxxxxx"), line)).otherwise(line)
+    return lists.explode_lines(table(spark, sf_dir, "documents")).select("doc_id", "pos", T.garbled(spoilt).alias("garbled"))
+
+
+@query("cleaned_lines", rf"""
+WITH {LINES}, l AS (SELECT doc_id, pos, CASE WHEN pos % 4 = 0 THEN chr(57345) || chr(3) || line WHEN pos % 4 = 1 THEN 'bcdfghjk' || left(line, 2) ELSE line END AS line FROM lined),
+k AS (SELECT doc_id, pos, regexp_replace(line, '[\x{{e000}}-\x{{f8ff}}\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}]', '', 'g') AS t FROM l),
+c AS (SELECT *, greatest(length(t), 1) AS n, length(regexp_replace(t, '[^\x{{c0}}-\x{{24f}}]', '', 'g')) AS extra, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters, length(regexp_replace(t, '[^AEIOUaeiou]', '', 'g')) AS vowels, regexp_matches(t, '[\x{{4e00}}-\x{{9fff}}]') AS cjk FROM k)
+SELECT doc_id, pos, CASE WHEN (extra >= 5 AND extra > 0.1 * n) OR (letters >= 8 AND vowels < 0.12 * letters AND NOT cjk) THEN '' ELSE t END AS line FROM c""")
+def cleaned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines without private and control characters, empty where the rest is noise; some are spoilt here."""
+    line, k = F.col("line"), F.col("pos") % 4
+    spoilt = F.when(k == 0, F.concat(F.lit("\x03"), line)).when(k == 1, F.concat(F.lit("bcdfghjk"), F.left(line, F.lit(2)))).otherwise(line)
+    return lists.explode_lines(table(spark, sf_dir, "documents")).select("doc_id", "pos", T.clean(spoilt).alias("line"))

@@ -62,9 +62,9 @@ def test_spaces_between_cjk(spark, text, joined):
     assert spark.range(1).select(T.joined_cjk(F.lit(text)).alias("t")).first().t == joined
 
 
-@pytest.mark.parametrize("text,bad", [("aaaaaaaa", True), ("aaaaaaa", False), ("abababababab", True), ("abab abab", False), ("", False)])
+@pytest.mark.parametrize("text,bad", [("aaaaaaaa", True), ("aaaaaaa", False), ("abababababab", True), ("abab abab", False), ("", False), (None, False), ("........", False), ("-=-=-=-=-=", False), ("eeoeeoeeoeeo", True), ("中文∂", True), ("∂" + "中" * 20, False), ("∂∂∂∂∂" + "中" * 14, True), ("一般文字", False), ("ㄅ" * 3 + "字" * 8, True)])
 def test_garbled(spark, text, bad):
-    assert spark.range(1).select(T.garbled(F.lit(text)).alias("t")).first().t == bad
+    assert spark.range(1).select(T.garbled(F.lit(text).cast("string")).alias("t")).first().t == bad
 
 
 def test_entries_of_contents(spark):

@@ -113,3 +113,33 @@ def test_buffer(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"a": 1}\n{broken\n')
     rows = files.read_buffer(spark, str(tmp_path / "b.json"), "a int").orderBy("a").collect()
     assert [(r.a, bool(r._corrupt)) for r in rows] == [(None, True), (1, False)]
+
+
+def test_metadata_of_folders(spark, tmp_path):
+    for k, (name, at) in enumerate([("a", "2024-01-02"), ("b", "2024-03-01"), ("c", None)]):
+        (tmp_path / "jobs" / name).mkdir(parents=True)
+        (tmp_path / "jobs" / name / "meta.json").write_text('{\n "id": %d,\n "created_at": %s}' % (k, f'"{at}"' if at else "null"))
+        (tmp_path / "jobs" / name / "other.json").write_text("not json")
+    rows = files.read_metadata(spark, str(tmp_path / "jobs"), "id long, created_at string").collect()
+    assert [(r.id, r.created_at) for r in rows] == [(1, "2024-03-01"), (0, "2024-01-02"), (2, None)]
+
+
+def test_a_swapped_table_is_whole(spark, tmp_path):
+    sinks.swap_table(spark.range(3), "swapped", str(tmp_path), "v1")
+    before = spark.table("swapped")
+    sinks.swap_table(spark.range(10, 15), "swapped", str(tmp_path), "v2")
+    assert before.count() == 3 and [r.id for r in spark.table("swapped").orderBy("id").collect()] == [10, 11, 12, 13, 14]
+    with pytest.raises(Exception, match="exist"):
+        sinks.swap_table(spark.range(1), "swapped", str(tmp_path), "v2")
+
+
+def test_list_rows_are_cut_at_the_first_tab(spark):
+    lines = spark.createDataFrame([(1, 1, "3\ta\tb"), (1, 0, "=1+1"), (2, 0, "")], "doc_id long, pos long, line string")
+    assert [(r.doc_id, r.a, r.b) for r in sinks.list_rows(lines).collect()] == [(1, "'=1+1", None), (1, "3", "a\tb"), (2, "", None)]
+
+
+def test_routes(spark):
+    from paperloom.operators import receipts
+
+    rows = spark.createDataFrame([("台北", "左營"), ("台北", None), ("", "左營"), (None, None)], "origin string, destination string")
+    assert [r.r for r in rows.select(receipts.route(rows).alias("r")).collect()] == ["台北 → 左營", "台北", "左營", ""]
