@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Years of the local calendar begin behind this one.
 ERA = 1911
@@ -87,7 +92,37 @@ def show_relative(then: Column, now: Column) -> Column:
     """Just now, minutes, hours, days ago; the date beyond a week."""
     seconds = F.unix_timestamp(now) - F.unix_timestamp(then)
     ago = lambda unit, word: F.concat(F.floor(seconds / unit).cast("string"), F.lit(word))
-    return F.when(seconds < 60, "剛剛").when(seconds < 3600, ago(60, " 分鐘前")).when(seconds < 86400, ago(3600, " 小時前")).when(seconds < 7 * 86400, ago(86400, " 天前")).otherwise(F.date_format(then, "yyyy-MM-dd"))
+    return F.when(seconds < 60, "剛剛").when(seconds < 3600, ago(60, " 分鐘前")).when(seconds < 86400, ago(3600, " 小時前")).when(seconds < 7 * 86400, ago(86400, " 天前")).otherwise(F.date_format(then, "yyyy/MM/dd"))
+
+
+def show_time(then: Column, style: str, now: Column | None = None) -> Column:
+    """iso, local, date_only, relative (to ``now``) in the session's zone; null is empty. ISO times show fractions only if there
+    are any."""
+    fraction = F.when(F.unix_micros(then) % 1_000_000 != 0, F.date_format(then, ".SSSSSS")).otherwise("")
+    shown = {
+        "iso": lambda: F.concat(F.date_format(then, "yyyy-MM-dd'T'HH:mm:ss"), fraction),
+        "local": lambda: F.date_format(then, "yyyy/MM/dd HH:mm:ss"),
+        "date_only": lambda: F.date_format(then, "yyyy/MM/dd"),
+        "relative": lambda: show_relative(then, F.current_timestamp() if now is None else now),
+    }[style]()
+    return F.when(then.isNull(), "").otherwise(shown)
+
+
+def blake2b(value: Column, size: int) -> Column:
+    """The BLAKE2b digest of a text, of so many bytes, in hex; null for null."""
+
+    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: hashlib.blake2b(t.encode(), digest_size=size).hexdigest(), na_action="ignore")
+
+    digests.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(digests, StringType())(value)
+
+
+def buffer_key(username: Column, realm: Column) -> Column:
+    """The key under which a user's rows are kept: a digest of name and realm, ``default`` without a name."""
+    named = F.concat(username, F.lit("|"), F.coalesce(realm, F.lit("")))
+    return F.when(F.coalesce(username, F.lit("")) == "", "default").otherwise(blake2b(named, 8))
 
 
 def station(name: Column) -> Column:

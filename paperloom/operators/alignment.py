@@ -152,16 +152,19 @@ def recovered_lines(lines: DataFrame, known: DataFrame) -> DataFrame:
     share = F.col("y") / F.when(F.col("height") > 0, F.col("height"))
     fits = F.coalesce((share < TOP_BAND) | (share > BOTTOM_BAND), F.lit(False)) & (F.length("text") <= RECOVERED_CHARS) & ~F.col("text").rlike(FORM_BLANKS)
     tidy = lines.withColumn("text", T.strip(F.col("text"))).filter("doc_id IS NOT NULL AND y IS NOT NULL AND text <> ''")
-    rows = tidy.select("doc_id", "page", F.struct(F.col("y").cast("double").alias("y"), "text", key.alias("key"), fits.alias("fits")).alias("line"))
+    # most lines equal a known text: a join tells, and only the others are looked for inside the known texts
+    equal = known.select(F.col("doc_id").alias("_doc"), key.alias("_key")).distinct().withColumn("_same", F.lit(True))
+    keyed = tidy.withColumns({"key": key, "fits": fits}).join(equal, (F.col("doc_id") == F.col("_doc")) & (F.col("key") == F.col("_key")), "left")
+    rows = keyed.select("doc_id", "page", F.struct(F.col("y").cast("double").alias("y"), "text", "key", "fits", F.col("_same").isNotNull().alias("same")).alias("line"))
     pages = rows.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     docs = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "lines"))).alias("pages"))
     texts = known.groupBy("doc_id").agg(F.concat_ws("\n", F.collect_list(key)).alias("known"))
 
     def of_page(state, page):
-        absent = F.size(F.filter(page["lines"], lambda line: ~F.contains(state["known"], line["key"])))
+        absent = F.size(F.filter(page["lines"], lambda line: F.when(line["same"], False).otherwise(~F.contains(state["known"], line["key"]))))
 
         def of_line(now, line):
-            wanted = line["fits"] & (now["n"] < RECOVERED_OF_PAGE) & (F.size(now["kept"]) < RECOVERED_OF_DOCUMENT) & ~F.contains(now["known"], line["key"])
+            wanted = ~line["same"] & line["fits"] & (now["n"] < RECOVERED_OF_PAGE) & (F.size(now["kept"]) < RECOVERED_OF_DOCUMENT) & ~F.contains(now["known"], line["key"])
             more = F.concat(now["kept"], F.array(F.struct(page["page"].alias("page"), line["y"].alias("y"), line["text"].alias("text"))))
             grown = F.struct(F.concat(now["known"], F.lit("\n"), line["key"]).alias("known"), more.alias("kept"), (now["n"] + 1).alias("n"))
             return F.when(wanted, grown).otherwise(now)

@@ -114,3 +114,9 @@ def keep_newest(rows: DataFrame, n: int, by: str, ts: str = "ts") -> DataFrame:
     from pyspark.sql import Window
 
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(ts)))).filter(F.col("_n") <= n).drop("_n")
+
+
+def page_sum(rows: DataFrame, order: list[Column], page: int, size: int, value: str) -> DataFrame:
+    """(rows, value): how many rows a page of a list has and what they sum up to; pages count from 1, beyond the last are empty."""
+    shown = rows.orderBy(*order).offset((max(1, page) - 1) * size).limit(size)
+    return shown.agg(F.count("*").alias("rows"), F.coalesce(F.sum(value), F.lit(0)).cast("long").alias(value))

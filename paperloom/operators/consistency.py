@@ -162,6 +162,17 @@ def dashboard(cases: DataFrame, findings: DataFrame, since: Column) -> DataFrame
     return by_state.union(top.select(F.lit("category"), "category", "n")).union(score)
 
 
+def case_board(cases: DataFrame, findings: DataFrame, since: Column) -> DataFrame:
+    """(kind, value, n): the dashboard with files, layers and severities as well, of cases (case_id, status, score, created_at,
+    n_files, layers) and their findings (case_id, category, severity). Null counts of files and null layers count nothing."""
+    fresh = cases.filter(F.col("created_at") >= since)
+    row = lambda kind, value, n: (F.lit(kind).alias("kind"), value.alias("value"), n.cast("long").alias("n"))
+    files = fresh.agg(F.sum(F.coalesce("n_files", F.lit(0))).alias("n")).select(*row("files_total", F.lit("all"), F.coalesce("n", F.lit(0))))
+    layers = fresh.select(F.explode("layers").alias("layer")).groupBy("layer").agg(F.count("*").alias("n")).select(*row("layer", F.col("layer"), F.col("n")))
+    found = findings.join(fresh.select("case_id"), "case_id").groupBy("severity").agg(F.count("*").alias("n")).select(*row("severity", F.col("severity"), F.col("n")))
+    return dashboard(cases, findings, since).union(files).union(layers).union(found)
+
+
 def merge_variants(groups: DataFrame, by: str = "group_id") -> DataFrame:
     """(by, value, total_count, files): spellings of one name as its longest one, counts summed, files united."""
     longest = F.max_by("value", F.struct(F.length("value"), F.col("value"))).alias("value")

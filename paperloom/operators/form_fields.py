@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from paperloom.operators import forms, layout
+from paperloom.session import cut
 
 #: Characters of two scripts that forms mix, and dashes that labels are spelled with or without.
 FOLDS = ("內臺戶來會發電號業產廠幣稅於務", "内台户来会发电号业产厂币税于务")
@@ -57,8 +58,8 @@ def matched_labels(spans: DataFrame, synonyms: DataFrame, page: str = "page") ->
     """
     index = synonyms.select("key", F.explode("synonyms").alias("s")).select(label_key(F.col("s")).alias("name"), "key").filter("name <> ''").distinct()
     known = spans.select(page, "span", "text", *(F.col(c).cast("double") for c in BOX)).dropna(subset=list(BOX)).filter(F.trim(F.coalesce("text", F.lit(""))) != "")
-    cut = forms.split_labels(known).withColumn("part", F.row_number().over(layout.Window.partitionBy(page, "span").orderBy("x0")) - 1)
-    every = known.withColumn("part", F.lit(-1)).unionByName(cut)
+    parts = forms.split_labels(known).withColumn("part", F.row_number().over(layout.Window.partitionBy(page, "span").orderBy("x0")) - 1)
+    every = known.withColumn("part", F.lit(-1)).unionByName(parts)
     named = every.withColumn("name", label_key(F.col("text"))).filter("name <> ''")
     # the whole name first, then its parts around slashes, in order
     names = F.concat(F.array("name"), F.filter(F.split("name", "/"), lambda n: n != ""))
@@ -120,7 +121,8 @@ def fields(spans: DataFrame, synonyms: DataFrame, cells: DataFrame, lines: DataF
     unbounded, up to the edge of the page. A slot that covers more than half of another label is no slot (``kind`` null); one
     that another span lies in by half is occupied.
     """
-    labels = matched_labels(spans, synonyms, page)
+    # labels and slots are read several times
+    labels = cut(matched_labels(spans, synonyms, page))
     boxes = labels.select(page, F.struct("span", "part").alias("box"), *BOX).distinct()
     points = boxes.select(page, F.col("box").alias("point"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
     held = layout.containing_cells(points, cells, page).withColumnRenamed("point", "box")
@@ -151,7 +153,7 @@ def fields(spans: DataFrame, synonyms: DataFrame, cells: DataFrame, lines: DataF
         .when(c("line_y").isNotNull() & (c("line_x1") - 1 > F.greatest(c("line_x0"), c("x1") + PAD)), slot("underline", F.greatest(c("line_x0"), c("x1") + PAD), F.greatest(c("y0") - 0.2 * size, c("line_y") - 1.4 * size), c("line_x1") - 1, c("line_y") - 1))
         .otherwise(slot("unbounded", c("x1") + PAD, c("y0"), F.lit(page_width), c("y1")))
     )
-    slots = rows.withColumn("s", chosen).select(page, "box", "s.*")
+    slots = cut(rows.withColumn("s", chosen).select(page, "box", "s.*"))
     covering, filled = _covered(slots, boxes.withColumn("own", F.col("box")), page, 0.5), _covered(slots, _texts(spans, page), page, 0.5)
     found = slots.join(covering.withColumn("_bad", F.lit(True)), [page, "box"], "left").join(filled.withColumn("occupied", F.lit(True)), [page, "box"], "left")
     good = F.col("_bad").isNull()

@@ -73,6 +73,25 @@ def classify_codes(codes: DataFrame, code_col: str = "qr_text") -> DataFrame:
     return out.withColumn("kind", F.when(F.col("invoice").isNotNull(), "invoice").when(F.col("items").isNotNull(), "items").otherwise("unknown"))
 
 
+def code_stats(classified: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """(batch, total, left_qr_count, right_qr_count, unknown_count): what the codes of each scan were."""
+    kinds = {"left_qr_count": "invoice", "right_qr_count": "items", "unknown_count": "unknown"}
+    return classified.groupBy(batch).agg(F.count("*").alias("total"), *(F.count_if(F.col("kind") == kind).alias(name) for name, kind in kinds.items()))
+
+
+#: How many rules of one's own are taken, and how many words of a rule.
+OWN_RULES, RULE_WORDS = 200, 20
+
+
+def own_rules(rules: Sequence[tuple[str, Sequence[str]]]) -> list[tuple[str, tuple[str, ...]]]:
+    """A user's rules (subject, words) as they are applied: blanks and repeats dropped, rules without words left out."""
+    tidy = [(subject.strip(), tuple(dict.fromkeys(w.strip() for w in words if w.strip()))) for subject, words in rules]
+    kept = [(subject, words) for subject, words in tidy if subject and words]
+    if len(kept) > OWN_RULES or any(len(words) > RULE_WORDS for _, words in kept):
+        raise ValueError(f"at most {OWN_RULES} rules of {RULE_WORDS} words each")
+    return kept
+
+
 def pair_items(invoices: DataFrame, items: DataFrame, batch: str = "batch_id", pos: str = "pos") -> DataFrame:
     """The k-th item list of a batch goes to its k-th invoice; lists left over have no invoice."""
     rank = F.row_number().over(Window.partitionBy(batch).orderBy(pos))
@@ -111,7 +130,7 @@ def account_subject(industries: Column, name: Column, custom: Sequence[tuple[str
     """(subject, source) of the first rule that fits: own rules, then industries, then names. One CASE, no join."""
     out = F.lit(None).cast("struct<subject:string,source:string>")
     ordered: list[tuple[Column, str, str]] = []
-    for subject, words in custom:
+    for subject, words in own_rules(custom):
         for word in words:
             ordered += [(industries.contains(word), subject, "custom-industries"), (name.contains(word), subject, "custom-name")]
     for source, column, rules in (("industries", industries, industry_rules), ("name", name, name_rules)):

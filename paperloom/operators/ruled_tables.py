@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.operators.layout import gap_groups, prev
+from paperloom.session import cut
 
 #: Fixed values in points: how far a line may be off its axis; seams of pieces; least lengths of rulings, as a share of the
 #: table and absolute, of which the smaller holds; tolerances of row and column coordinates; least size of a table.
@@ -132,13 +133,15 @@ def cells(segments: DataFrame, page: str = "page") -> DataFrame:
     Cells of a row without a wall between them are one; such runs of the same columns in consecutive rows are one where no
     wall below parts any of their columns.
     """
-    lines = separators(tables(rulings(segments, page), page), page)
+    # lines and grid are read several times
+    lines = cut(separators(tables(cut(rulings(segments, page)), page), page))
     ends = axes(lines, page)
     rows = ends.filter("level AND next IS NOT NULL").select(page, "table", F.col("k").alias("row"), F.col("at").alias("y0"), F.col("next").alias("y1"))
     columns = ends.filter("NOT level AND next IS NOT NULL").select(page, "table", F.col("k").alias("col"), F.col("at").alias("x0"), F.col("next").alias("x1"))
     size = [F.max(b).over(Window.partitionBy(page, "table")) - F.min(a).over(Window.partitionBy(page, "table")) for a, b in (("x0", "x1"), ("y0", "y1"))]
     grid = rows.join(columns, [page, "table"]).withColumns({"_width": size[0], "_height": size[1]})
     grid = grid.filter((F.col("_width") >= LEAST_WIDTH) & (F.col("_height") >= LEAST_HEIGHT)).drop("_width", "_height")
+    grid = cut(grid)
     right = walls(grid, lines, page, True).withColumn("right", F.lit(True))
     below = walls(grid, lines, page, False).withColumn("below", F.lit(True))
     place = [page, "table", "row", "col"]

@@ -170,3 +170,23 @@ def receipt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("台灣高鐵 乘車證明\n乘車日期 : "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 07:20:00\n起程站：高鐵台北站\n到達站：高鐵左營站\n票價：NT$ "), F.format_number(F.floor("o_totalprice").cast("long"), 0), F.lit("\n卡號/票號："), F.col("o_orderkey").cast("string"))
     parsed = receipts.parse(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")))
     return parsed.select("o_orderkey", "transport", "date", "depart_time", "origin", "destination", "fare", receipts.copy_key(parsed).alias("copy_key"))
+
+
+@query("time_formats", """
+SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 <> 0 THEN strftime(ts, '.%f') ELSE '' END AS iso, strftime(ts, '%Y/%m/%d %H:%M:%S') AS local, strftime(ts, '%Y/%m/%d') AS date_only,
+  CASE WHEN s < 60 THEN '剛剛' WHEN s < 3600 THEN s // 60 || ' 分鐘前' WHEN s < 86400 THEN s // 3600 || ' 小時前' WHEN s < 604800 THEN s // 86400 || ' 天前' ELSE strftime(ts, '%Y/%m/%d') END AS relative
+FROM (SELECT *, (epoch(TIMESTAMP '2024-01-25') - floor(epoch(ts)))::BIGINT AS s FROM events)""")
+def time_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts, now = F.col("ts").cast("timestamp"), F.lit("2024-01-25").cast("timestamp")
+    return table(spark, sf_dir, "events").select("event_id", *(B.show_time(ts, style, now).alias(style) for style in ("iso", "local", "date_only", "relative")))
+
+
+@query("code_stats", """
+SELECT o_custkey AS batch_id, count(*) AS total, count(*) FILTER (o_orderkey % 3 = 0) AS left_qr_count, count(*) FILTER (o_orderkey % 3 = 1) AS right_qr_count, count(*) FILTER (o_orderkey % 3 = 2) AS unknown_count FROM orders GROUP BY 1""")
+def code_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many invoices, item lists and unknown codes each scan has."""
+    key = F.col("o_orderkey")
+    left = F.concat(F.lit("AB"), F.lpad((key % 10**8).cast("string"), 8, "0"), F.lit("1130513" + "1234" + "000003E8" + "0000041A" + "00000000" + "12345678" + "A" * 24))
+    code = F.when(key % 3 == 0, left).when(key % 3 == 1, F.concat(F.lit("**:item"), key.cast("string"), F.lit(":1:100"))).otherwise("neither")
+    codes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("batch_id"), code.alias("qr_text"))
+    return invoices.code_stats(invoices.classify_codes(codes))

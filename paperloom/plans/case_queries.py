@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.operators import access, consistency, deident, invoices, layout
+from paperloom.operators import access, audit, consistency, deident, invoices, layout
 from paperloom.plans.registry import query
 from paperloom.session import table
 
@@ -101,3 +101,29 @@ def activity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mark_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks by kind and author, on how many pages."""
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("kind"), F.col("o_orderstatus").alias("author")).agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("pages"))
+
+
+@query("case_board", """
+WITH c AS (SELECT o_orderkey AS case_id, o_orderstatus AS status, o_totalprice AS score, CASE WHEN o_custkey % 4 > 0 THEN o_custkey % 4 END AS n_files, ['text', 'layout', 'rules'][1:o_orderkey % 4] AS layers FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'),
+f AS (SELECT l_returnflag || l_linenumber AS category, ['info', 'warn', 'fail'][1 + l_linenumber % 3] AS severity FROM lineitem JOIN c ON l_orderkey = case_id)
+SELECT 'status' AS kind, status AS value, count(*) AS n FROM c GROUP BY status UNION ALL (SELECT 'category', category, count(*) AS n FROM f GROUP BY category ORDER BY n DESC, category LIMIT 10)
+UNION ALL SELECT 'score_tenths', 'avg', round(avg(score) * 10)::BIGINT FROM c UNION ALL SELECT 'files_total', 'all', coalesce(sum(n_files), 0)::BIGINT FROM c
+UNION ALL SELECT 'layer', layer, count(*) FROM (SELECT unnest(layers) AS layer FROM c) GROUP BY layer UNION ALL SELECT 'severity', severity, count(*) FROM f GROUP BY severity""")
+def case_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases since a day: states, files, score, finished layers, categories and severities of their findings."""
+    layers = F.slice(F.array(*map(F.lit, ("text", "layout", "rules"))), F.lit(1), (F.col("o_orderkey") % 4).cast("int"))
+    n_files = F.col("o_custkey") % 4
+    cases = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("score"), F.col("o_orderdate").cast("timestamp").alias("created_at"), F.when(n_files > 0, n_files).alias("n_files"), layers.alias("layers"))
+    line = F.col("l_linenumber")
+    severity = F.get(F.array(*map(F.lit, ("info", "warn", "fail"))), line % 3)
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.concat("l_returnflag", line.cast("string")).alias("category"), severity.alias("severity"))
+    return consistency.case_board(cases, found, F.lit("1997-01-01").cast("timestamp"))
+
+
+@query("page_bytes", """
+WITH p AS (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents ORDER BY doc_id DESC LIMIT 40 OFFSET 40)
+SELECT count(*) AS rows, sum(n)::BIGINT AS bytes FROM p""")
+def page_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes of the second page of a list, newest first, summed over that page only."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n"))
+    return audit.page_sum(docs, [F.desc("doc_id")], 2, 40, "n").withColumnRenamed("n", "bytes")

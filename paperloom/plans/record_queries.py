@@ -185,7 +185,7 @@ def receipt_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("dates_shown", """
-SELECT o_orderkey, CASE WHEN s < 60 THEN '剛剛' WHEN s < 3600 THEN s // 60 || ' 分鐘前' WHEN s < 86400 THEN s // 3600 || ' 小時前' WHEN s < 604800 THEN s // 86400 || ' 天前' ELSE strftime(then_, '%Y-%m-%d') END AS relative,
+SELECT o_orderkey, CASE WHEN s < 60 THEN '剛剛' WHEN s < 3600 THEN s // 60 || ' 分鐘前' WHEN s < 86400 THEN s // 3600 || ' 小時前' WHEN s < 604800 THEN s // 86400 || ' 天前' ELSE strftime(then_, '%Y/%m/%d') END AS relative,
   o_orderdate::DATE BETWEEN DATE '1996-03-01' AND DATE '1996-04-30' AS in_period, floor((epoch(o_orderdate) - epoch(TIMESTAMP '1996-01-01')) / 86400)::BIGINT AS days_left, strftime(make_timestamp(o_orderkey * 1000000000), '%Y-%m-%dT%H:%M:%S') AS iso
 FROM (SELECT *, o_orderkey * 37 AS s, TIMESTAMP '2024-06-01' - to_seconds(o_orderkey * 37) AS then_ FROM orders)""")
 def dates_shown(spark: SparkSession, sf_dir: str) -> DataFrame:

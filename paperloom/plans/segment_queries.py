@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators import invoices, lists, segments
+from paperloom.operators import fixers, invoices, lists, segments
 from paperloom.plans.registry import query
 from paperloom.plans.text_queries import LINES
 from paperloom.session import table
@@ -151,3 +151,15 @@ def cleaned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, k = F.col("line"), F.col("pos") % 4
     spoilt = F.when(k == 0, F.concat(F.lit("\x03"), line)).when(k == 1, F.concat(F.lit("bcdfghjk"), F.left(line, F.lit(2)))).otherwise(line)
     return lists.explode_lines(table(spark, sf_dir, "documents")).select("doc_id", "pos", T.clean(spoilt).alias("line"))
+
+
+@query("fixed_lines")
+def fixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines on pages of twenty with a header each, through all fixers."""
+    lines = lists.explode_lines(table(spark, sf_dir, "documents"))
+    placed = lines.select("doc_id", F.expr("pos div 20").alias("page"), (F.col("pos") + 1).cast("long").alias("pos"), ((F.col("pos") % 20 + 1) * 40.0).alias("y"), F.lit(1000.0).alias("height"), F.col("line").alias("text"))
+    heads = placed.groupBy("doc_id", "page").agg(F.min("pos").alias("first"))
+    heads = heads.select("doc_id", "page", F.col("first").alias("pos"), F.lit(0.0).alias("y"), F.lit(1000.0).alias("height"), F.concat(F.lit("page of "), "doc_id").alias("text"))
+    # the header stands before the page's first line
+    both = placed.withColumn("pos", F.col("pos") * 2).unionByName(heads.withColumn("pos", F.col("pos") * 2 - 1))
+    return fixers.run(both)[0].select("doc_id", "page", "pos", "text")

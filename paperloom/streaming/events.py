@@ -36,6 +36,13 @@ def once(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> Data
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+def samples(metrics: DataFrame, every: str = "1 minute", late: str = "1 hour") -> DataFrame:
+    """The last row of each interval of a stream, under the interval's start, once the watermark has passed it."""
+    columns = [c for c in metrics.columns if c != "ts"]
+    slots = metrics.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w")).agg(F.max(F.struct("ts", *columns)).alias("r"))
+    return slots.select(F.col("w.start").alias("ts"), *(F.col(f"r.{c}").alias(c) for c in columns))
+
+
 def lockouts(attempts: DataFrame, threshold: int = 5, window_s: float = 900, lock_s: float = 900, late: str = "1 hour") -> DataFrame:
     """(key, ts, locked_until) as failures come in; ``attempts`` has key, ts, ok. State of idle keys is dropped."""
 

@@ -1,5 +1,7 @@
 import datetime
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from paperloom.functions import business as B
@@ -123,3 +125,16 @@ def test_corrections_reach_lines_of_any_length(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = plans.queries()["corrected_lines_all"](spark, str(tmp_path)).orderBy("pos").collect()
     assert [r.line for r in got] == text.replace("the", "The").split("\n")
+
+
+def test_buffer_keys_and_rule_bounds(spark):
+    import hashlib
+
+    rows = spark.createDataFrame([("ann", "ldap"), ("bob", None), ("", "x"), (None, "x")], "name string, realm string")
+    got = [r.k for r in rows.select(B.buffer_key(F.col("name"), F.col("realm")).alias("k")).collect()]
+    assert got == [hashlib.blake2b(b"ann|ldap", digest_size=8).hexdigest(), hashlib.blake2b(b"bob|", digest_size=8).hexdigest(), "default", "default"]
+    assert invoices.own_rules([(" a ", ["x", " x ", ""]), ("", ["y"]), ("b", [" "])]) == [("a", ("x",))]
+    with pytest.raises(ValueError, match="200"):
+        invoices.own_rules([("a", ["x"])] * 201)
+    with pytest.raises(ValueError, match="20 words"):
+        invoices.own_rules([("a", [str(k) for k in range(21)])])

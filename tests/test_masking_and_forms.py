@@ -111,3 +111,24 @@ def test_levels_and_bins_by_brute_force(spark):
         bins.append(bin_)
     got = {(r.g, r.k): r.bin for r in layout.packed(rows, "g", "k", "v", 10.0).collect()}
     assert [got["a", k] for k in range(10)] == bins
+
+
+def test_a_failing_fixer_is_left_out(spark):
+    from paperloom.operators import fixers
+
+    lines = spark.createDataFrame([(1, 0, 1, 0.0, 100.0, "a b"), (1, 0, 2, 50.0, 100.0, "x"), (1, 0, 3, 60.0, 100.0, "x"), (1, 0, 4, 70.0, 100.0, None), (1, 0, 5, 75.0, 100.0, "x"), (1, 0, 6, 80.0, 100.0, "____")], "doc_id long, page int, pos long, y double, height double, text string")
+
+    def broken_plan(rows):
+        return rows.withColumn("text", F.col("nowhere"))
+
+    def broken_task(rows):
+        return rows.withColumn("text", F.raise_error(F.lit("in a task")).cast("string"))
+
+    def other_columns(rows):
+        return rows.withColumn("more", F.lit(1))
+
+    chain = [("plan", broken_plan), *fixers.FIXERS, ("task", broken_task), ("columns", other_columns)]
+    fixed, report = fixers.run(lines, chain, skip=["repeated_edges"])
+    assert sorted((r.pos, r.text) for r in fixed.collect()) == [(1, "a b"), (2, "x"), (4, "")]
+    assert [name for name, *_, error in report if error] == ["plan", "task", "columns"]
+    assert [(name, before, after) for name, before, after, error in report if not error] == [("private_signs", 6, 6), ("cjk_spaces", 6, 6), ("form_blanks", 6, 5), ("repeated_lines", 5, 3)]

@@ -143,3 +143,9 @@ def test_routes(spark):
 
     rows = spark.createDataFrame([("台北", "左營"), ("台北", None), ("", "左營"), (None, None)], "origin string, destination string")
     assert [r.r for r in rows.select(receipts.route(rows).alias("r")).collect()] == ["台北 → 左營", "台北", "左營", ""]
+
+
+def test_samples_of_a_stream(spark, stream):
+    rows = drain(events.samples(stream.select("ts", "event_id", "value"), every="1 hour", late="0 seconds"), "samples").collect()
+    assert len(rows) >= 5 and all(r.ts.minute == 0 for r in rows)
+    assert {r.event_id for r in rows} <= {9, 19, 29, 39, 49, 59}
