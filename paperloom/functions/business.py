@@ -108,6 +108,46 @@ def show_time(then: Column, style: str, now: Column | None = None) -> Column:
     return F.when(then.isNull(), "").otherwise(shown)
 
 
+def show_number(number: Column, style: str) -> Column:
+    """An invoice number of ten characters compact, or with a dash or a space behind the letters; others as they are."""
+    mark = {"compact": "", "dash": "-", "space": " "}[style]
+    whole = F.coalesce(number, F.lit(""))
+    return F.when(F.length(whole) == 10, F.concat(F.left(whole, F.lit(2)), F.lit(mark), F.substring(whole, 3, 8))).otherwise(whole)
+
+
+#: The formats that fields can be shown in, the first of which holds unless another is chosen.
+FIELD_FORMATS = {
+    "invoice_number": ("compact", "dash", "space"),
+    "date": ("iso", "slash", "chinese", "roc", "roc_chinese"),
+    "amount_total": ("plain", "comma", "currency"),
+    "amount_untaxed": ("plain", "comma", "currency"),
+    "tax": ("plain", "comma", "currency"),
+    "scanned_at": ("iso", "local", "date_only", "relative"),
+}
+
+
+def show_field(field: str, value: Column, chosen: dict[str, str], now: Column | None = None) -> Column:
+    """A field as its format says; unknown formats count as not chosen, fields without formats are shown as they are."""
+    if field not in FIELD_FORMATS:
+        return F.coalesce(value.cast("string"), F.lit(""))
+    style = chosen.get(field) if chosen.get(field) in FIELD_FORMATS[field] else FIELD_FORMATS[field][0]
+    if field == "invoice_number":
+        return show_number(value, style)
+    if field == "date":
+        return show_date(value.cast("date"), style)
+    if field == "scanned_at":
+        return show_time(value, style, now)
+    return show_amount(value, style)
+
+
+def show_fields(columns: list[str], chosen: dict[str, str], now: Column | None = None) -> list[Column]:
+    """All columns of an invoice as they are exported; the tax is what the totals differ by."""
+    values = {c: F.col(c) for c in columns}
+    if {"amount_total", "amount_untaxed"} <= values.keys():
+        values["tax"] = values["amount_total"] - values["amount_untaxed"]
+    return [show_field(name, value, chosen, now).alias(name) for name, value in values.items()]
+
+
 def blake2b(value: Column, size: int) -> Column:
     """The BLAKE2b digest of a text, of so many bytes, in hex; null for null."""
 

@@ -283,6 +283,18 @@ def safe_file_name(name: Column, fallback: str = "list") -> Column:
     return F.coalesce(F.nullif(F.left(F.regexp_replace(base, r'[\\/:*?"<>|]', "_"), F.lit(80)), F.lit("")), F.lit(fallback))
 
 
+#: Fixed value: an absolute path up to its last separator, on either kind of system; and how much of a reason is told.
+PATH_HEAD = r"""(?:[A-Za-z]:)?[\\/](?:[^\s'"\\/]+[\\/])+(?:[^\s'"]*[\\/])?"""
+REASON_CHARS = 300
+
+
+def safe_reason(error: Column) -> Column:
+    """An error's message as it may leave the system: its first characters, absolute paths cut to their file names."""
+    told = F.left(F.coalesce(error, F.lit("")), F.lit(REASON_CHARS))
+    told = F.regexp_replace(told, PATH_HEAD + r"""(?=[\s'"]|$)""", "檔案")
+    return F.regexp_replace(told, PATH_HEAD + r"""([^\s'"\\/]+)""", "$1")
+
+
 def joined_cjk(text: Column) -> Column:
     """Without spaces between CJK characters, but for the blanks of dates and times on forms (年 月 日, 時 分)."""
     return F.regexp_replace(text, r"(?<=[一-鿿])(?<![年月時])[ \u3000]+(?=[一-鿿])|(?<=[年月時])[ \u3000]+(?=[一-鿿&&[^月日分]])", "")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import business as B
+from paperloom.functions import text as T
 from paperloom.operators import invoices, receipts, registry
 from paperloom.plans.registry import query
 from paperloom.session import table
@@ -190,3 +191,23 @@ def code_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.when(key % 3 == 0, left).when(key % 3 == 1, F.concat(F.lit("**:item"), key.cast("string"), F.lit(":1:100"))).otherwise("neither")
     codes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("batch_id"), code.alias("qr_text"))
     return invoices.code_stats(invoices.classify_codes(codes))
+
+
+@query("invoice_fields_shown", """
+SELECT o_orderkey, 'AB-' || lpad((o_orderkey % 100000000)::VARCHAR, 8, '0') AS invoice_number, strftime(o_orderdate, '%Y/%m/%d') AS date, 'NT$ ' || format('{:,}', floor(o_totalprice)::BIGINT) AS amount_total,
+  (floor(o_totalprice)::BIGINT - o_custkey)::VARCHAR AS amount_untaxed, format('{:,}', o_custkey) AS tax, coalesce(o_orderpriority, '') AS note FROM orders""")
+def invoice_fields_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoice columns in the formats that a user has chosen, with the computed tax."""
+    total = F.floor("o_totalprice").cast("long")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("AB"), F.lpad((F.col("o_orderkey") % 10**8).cast("string"), 8, "0")).alias("invoice_number"), F.col("o_orderdate").alias("date"), total.alias("amount_total"), (total - F.col("o_custkey")).alias("amount_untaxed"), F.col("o_orderpriority").alias("note"))
+    chosen = {"invoice_number": "dash", "date": "slash", "amount_total": "currency", "amount_untaxed": "no such format", "tax": "comma"}
+    return rows.select("o_orderkey", *B.show_fields(rows.columns[1:], chosen))
+
+
+@query("safe_reasons", """
+SELECT event_id, left('cannot open ''x' || user_id || '.pdf'' for ' || event_type || ' or 檔案 twice in b.txt', 300) AS reason FROM events""")
+def safe_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages without the paths of the machine that they come from."""
+    user = F.col("user_id").cast("string")
+    error = F.concat(F.lit("cannot open '/srv/tmp/u"), user, F.lit("/x"), user, F.lit(".pdf' for "), F.col("event_type"), F.lit(" or C:\\temp\\"), user, F.lit("\\ twice in /a//b.txt"))
+    return table(spark, sf_dir, "events").select("event_id", T.safe_reason(error).alias("reason"))

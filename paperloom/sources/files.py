@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.session import cut
+
 #: Encodings in the order in which they are tried.
 TEXT_CASCADE = ("utf-8-sig", "utf-8", "cp950", "big5", "latin-1")
 MASKING_CASCADE = ("utf-8", "utf-8-sig", "big5", "cp950", "latin-1")
@@ -232,6 +234,15 @@ def read_buffer(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
+def quarantined_buffer(spark: SparkSession, path: str, schema: str, folder: str, stamp: str) -> DataFrame:
+    """The records of a buffer that can be read; what can't is kept, line by line with its file, in a folder of that stamp."""
+    rows = cut(read_buffer(spark, path, schema).withColumn("_file", F.col("_metadata.file_path")))
+    bad = rows.filter("_corrupt IS NOT NULL").select("_file", "_corrupt")
+    if not bad.isEmpty():
+        bad.write.json(f"{folder.rstrip('/')}/corrupt-{stamp}")
+    return rows.filter("_corrupt IS NULL").drop("_corrupt", "_file")
+
+
 def read_metadata(spark: SparkSession, path: str, schema: str, newest: str = "created_at") -> DataFrame:
     """meta.json of each folder under a path, newest first."""
     return spark.read.schema(schema).option("multiLine", "true").option("pathGlobFilter", "meta.json").option("recursiveFileLookup", "true").json(path).orderBy(F.desc(newest))

@@ -135,7 +135,7 @@ def test_a_swapped_table_is_whole(spark, tmp_path):
 
 def test_list_rows_are_cut_at_the_first_tab(spark):
     lines = spark.createDataFrame([(1, 1, "3\ta\tb"), (1, 0, "=1+1"), (2, 0, "")], "doc_id long, pos long, line string")
-    assert [(r.doc_id, r.a, r.b) for r in sinks.list_rows(lines).collect()] == [(1, "'=1+1", None), (1, "3", "a\tb"), (2, "", None)]
+    assert [(r.doc_id, r.a, r.b) for r in sinks.list_rows(lines).collect()] == [(1, "'=1+1", ""), (1, "3", "a\tb"), (2, "", "")]
 
 
 def test_routes(spark):
@@ -149,3 +149,13 @@ def test_samples_of_a_stream(spark, stream):
     rows = drain(events.samples(stream.select("ts", "event_id", "value"), every="1 hour", late="0 seconds"), "samples").collect()
     assert len(rows) >= 5 and all(r.ts.minute == 0 for r in rows)
     assert {r.event_id for r in rows} <= {9, 19, 29, 39, 49, 59}
+
+
+def test_unreadable_records_are_put_aside(spark, tmp_path):
+    (tmp_path / "buffer").mkdir()
+    (tmp_path / "buffer" / "a.json").write_text('{"id": 1}\n{"id": \n{"id": 2}\n')
+    (tmp_path / "buffer" / "b.json").write_text("not json\n")
+    good = files.quarantined_buffer(spark, str(tmp_path / "buffer"), "id long", str(tmp_path / "aside"), "s1")
+    assert sorted(r.id for r in good.collect()) == [1, 2] and good.columns == ["id"]
+    kept = spark.read.json(str(tmp_path / "aside" / "corrupt-s1")).collect()
+    assert sorted(r._corrupt for r in kept) == ["not json", '{"id": '] and {r._file[-6:] for r in kept} == {"a.json", "b.json"}
