@@ -2,10 +2,12 @@
 
 A word's mask has a bit for each letter, set if the letter occurs an odd number of times. One inserted, deleted or replaced
 code point flips at most two bits, so of a mask's three bands at least one is the same in both words. Words therefore meet
-in buckets of (band, value of the band, length), where a word also visits the bucket of the next length; a bucket's pairs
-are told apart by the other bits of the masks (none or two may differ at equal length, one at lengths that differ by one),
-and what remains is verified letter by letter. A pair is reported by the first of its equal bands only. Buckets of
-frequent values are cut into parts, and each pair of parts is a bucket of its own, so that none is a task's whole work.
+in buckets of (band, value of the band, length), where a word also visits the bucket of the next length. In a bucket no pair
+is looked at whose other two bands don't fit: a replaced letter leaves two words of one length equal in all bits but for
+those of one letter of each, and a word with a letter more has the shorter one's bits after that letter is taken away. So
+each word offers its bits less one letter, letter by letter, and only words with equal offers are compared, letter by
+letter. A pair is reported by the first of its equal bands only. Buckets of frequent values are cut into parts, and each
+pair of parts is a bucket of its own, so that a task holds a bounded number of words.
 
 Letters and words: runs of A-Z, a-z and U+00C0 to U+00FF, of which A-Z are lower-cased. A run of a document may lose one
 code point, as a checksum of its doc_id and the run decides (``typo_every``; 0 for none); that derives misspellings from the
@@ -32,33 +34,27 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 TYPO_EVERY, MIN_LENGTH, MIN_COUNT, FACTOR = 97, 5, 3, 2
 #: Distinct words that a task counts before it hands its counts on.
 HELD_WORDS = 300_000
-BANDS, BAND_BITS = 3, 20
+BANDS, BAND_BITS = 3, 30
 #: Letters in about the order of how often they occur, dealt to the bands in turn so that bands tell words apart alike.
 ORDER = "etaoinsrhldcumfpgwybvkxjqz"
-#: Words of a part of a bucket, and bytes of the pairs that are compared together.
-PART_WORDS = 2_000
-PAIR_BYTES = 4 << 20
+#: Words of a part of a bucket, words of small buckets that are looked through at once, and pairs that are compared together.
+PART_WORDS = 20_000
+HELD_ROWS = 20_000
+PAIR_SLICE = 100_000
 BROADCAST_ROWS = 1_000_000
 
 
 def letter_bits() -> np.ndarray:
-    """The mask of each code point up to U+00FF: a-z by frequency, then the others, dealt to the bands in turn."""
-    bits = np.zeros(256, np.int64)
-    letters = [ord(c) for c in ORDER] + [c for c in range(0xE0, 0x100)] + [c for c in range(0xC0, 0xE0)]
-    for k, code in enumerate(letters):
-        band, place = k % BANDS, k // BANDS % BAND_BITS
-        bits[code] = 1 << band * BAND_BITS + place
+    """The bit of each code point in each band, 0 in the others: a-z by frequency, then the rest, dealt to the bands in turn."""
+    bits = np.zeros((BANDS, 256), np.int64)
+    for k, code in enumerate([*map(ord, ORDER), *range(0xE0, 0x100), *range(0xC0, 0xE0)]):
+        bits[k % BANDS, code] = 1 << k // BANDS
     return bits
 
 
 BITS = letter_bits()
 
 
-def masks_of(codes: np.ndarray) -> np.ndarray:
-    """Parity masks of words of one length, given as rows of code points."""
-    return np.bitwise_xor.reduce(BITS[codes], axis=1)
-
-
 # ---- words and their counts
 
 
@@ -101,7 +97,7 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str, typo_every: int) ->
 
 
 def buckets(words: DataFrame) -> DataFrame:
-    """(bucket, own, mask, word, n): each word in its three buckets and as a visitor in those of the next length."""
+    """(bucket, own, word, n): each word in its three buckets and as a visitor in those of the next length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,15 +107,14 @@ def buckets(words: DataFrame) -> DataFrame:
             text = [w.encode("latin-1") for w in words.to_pylist()]
             length = np.fromiter(map(len, text), np.int64, n)
             codes = np.frombuffer(b"".join(text), np.uint8)
-            mask = np.bitwise_xor.reduceat(BITS[codes], np.cumsum(length) - length)
             for band in range(BANDS):
-                value = mask >> band * BAND_BITS & (1 << BAND_BITS) - 1
+                value = np.bitwise_xor.reduceat(BITS[band][codes], np.cumsum(length) - length)
                 for visit in (0, 1):
                     bucket = ((length + visit) << 2 | band) << BAND_BITS | value
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(n, not visit)), pa.array(mask), words, batch.column(1)], names=["bucket", "own", "mask", "word", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(n, not visit)), words, batch.column(1)], names=["bucket", "own", "word", "n"])
         trim()
 
-    return words.select("word", "n").mapInArrow(run, "bucket long, own boolean, mask long, word string, n long")
+    return words.select("word", "n").mapInArrow(run, "bucket long, own boolean, word string, n long")
 
 
 def in_parts(rows: DataFrame) -> DataFrame:
@@ -146,76 +141,125 @@ def one_inserted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return led + trailed >= n
 
 
-def near_pairs(band: int, own: np.ndarray, mask: np.ndarray, part: np.ndarray, codes: list[np.ndarray], low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j): positions of near words of one bucket (or pair of parts); ``codes``: the code points of own words and visitors.
+def equal_offers(offer: np.ndarray, word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j): pairs of words with an equal offer, from offers in ascending order; each offer's words are held against the
+    first behind them, then the second, while there are any."""
+    at, step = np.arange(len(offer)), 1
+    while len(at):
+        at = at[at + step < len(offer)]
+        at = at[offer[at] == offer[at + step]]
+        yield word[at], word[at + step]
+        step += 1
+
+
+def taken_offers(offer: np.ndarray, word: np.ndarray, rest: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j): words with an offer that equals all bits of visitor j."""
+    first, end = np.searchsorted(offer, rest, "left"), np.searchsorted(offer, rest, "right")
+    count = end - first
+    upto, at = np.cumsum(count), 0
+    while at < len(rest):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIR_SLICE, "right")))
+        c = count[at:stop]
+        j = np.repeat(np.arange(at, stop), c)
+        yield word[np.arange(len(j)) - np.repeat(np.cumsum(c) - c, c) + first[j]], j
+        at = stop
 
-    Own words are held against own words and against visitors, which are one shorter.
+
+def near_pairs(band: int, own: np.ndarray, visitors: np.ndarray, own_at: np.ndarray, visitor_at: np.ndarray, across: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """Near words of some buckets of one band and length: (i, j) of own words, and (i, j) of own words and visitors.
+
+    Words are rows of code points; ``own_at`` and ``visitor_at`` hold (bucket number, part) of each. ``across`` tells for each
+    bucket whether only words of different parts are paired.
     """
-    place = np.where(own, np.cumsum(own) - 1, np.cumsum(~own) - 1)
-    earlier = [np.int64((1 << BAND_BITS) - 1) << np.int64(k * BAND_BITS) for k in range(band)]
-    rows = np.flatnonzero(own)
-    for shorter in (False, True):
-        others = np.flatnonzero(~own) if shorter else rows
-        if not len(rows) or not len(others):
-            continue
-        step = max(1, PAIR_BYTES // (8 * len(others)))
-        for at in range(0, len(rows), step):
-            mine = rows[at : at + step]
-            apart = mask[mine][:, None] ^ mask[others][None, :]
-            flips = np.bitwise_count(apart)
-            fit = flips == 1 if shorter else (flips == 0) | (flips == 2)
-            for e in earlier:
-                fit &= (apart & e) != 0
-            if low != high:
-                fit &= part[mine][:, None] != part[others][None, :]
-            i, j = np.nonzero(fit)
-            i, j = mine[i], others[j]
-            if not shorter:
-                i, j = i[i < j], j[i < j]
-            width = max(1, PAIR_BYTES // (2 * codes[1].shape[1]))
-            for k in range(0, len(i), width):
-                x, y = i[k : k + width], j[k : k + width]
-                near = one_inserted(codes[0][place[y]], codes[1][place[x]]) if shorter else one_replaced(codes[1][place[x]], codes[1][place[y]])
-                if near.any():
-                    yield x[near], y[near]
+    one, two = (k for k in range(BANDS) if k != band)
+    bits = BITS[one] | BITS[two] << BAND_BITS
+    kept = bits[own]
+    row, column = np.nonzero(kept)
+    offer = np.bitwise_xor.reduce(kept, axis=1)[row] ^ kept[row, column]
+    names, offer = np.unique(offer, return_inverse=True)
+    offer += own_at[0][row] * len(names)
+    order = np.lexsort((row, offer))
+    offer, row = offer[order], row[order]
+    fresh = np.r_[True, (offer[1:] != offer[:-1]) | (row[1:] != row[:-1])] if len(row) else np.zeros(0, bool)
+    offer, row = offer[fresh], row[fresh]
+    rest = np.bitwise_xor.reduce(bits[visitors], axis=1)
+    known = np.minimum(np.searchsorted(names, rest), max(0, len(names) - 1))
+    rest = np.where(names[known] == rest, known + visitor_at[0] * len(names), -1) if len(names) else np.full(len(rest), -1)
+    out = []
+    for found, codes, at, near in ((equal_offers(offer, row), own, own_at, one_replaced), (taken_offers(offer, row, rest), visitors, visitor_at, lambda a, b: one_inserted(b, a))):
+        pairs = [np.zeros(0, np.int64)]
+        for i, j in found:
+            for k in range(0, len(i), PAIR_SLICE):
+                x, y = i[k : k + PAIR_SLICE], j[k : k + PAIR_SLICE]
+                fit = ~across[own_at[0][x]] | (own_at[1][x] != at[1][y])
+                x, y = x[fit], y[fit]
+                for e in range(band):  # an earlier band that is equal reports the pair
+                    differs = np.bitwise_xor.reduce(BITS[e][own[x]], axis=1) != np.bitwise_xor.reduce(BITS[e][codes[y]], axis=1)
+                    x, y = x[differs], y[differs]
+                fit = near(own[x], codes[y])
+                pairs.append(x[fit] * len(codes) + y[fit])
+        out.append(np.divmod(np.unique(np.concatenate(pairs)), max(1, len(codes))))
+    return tuple(out)
 
 
 def links(words: DataFrame) -> DataFrame:
     """(word, other, other_n): each pair of near words, both ways."""
     dealt = in_parts(materialise(buckets(words), "buckets"))
 
-    def bucket_pairs(key: tuple[int, int, int], columns: list[list]) -> Iterator[pa.RecordBatch]:
-        own, mask, part = (np.array(c) for c in columns[:3])
-        words, n = pa.array(columns[3], pa.string()), pa.array(columns[4], pa.int64())
-        length = key[0] >> BAND_BITS + 2
-        text = [w.encode("latin-1") for w in columns[3]]
-        codes = [np.frombuffer(b"".join(t for t, o in zip(text, columns[0]) if o == is_own), np.uint8).reshape(-1, size) for is_own, size in ((False, length - 1), (True, length))]
-        for i, j in near_pairs(key[0] >> BAND_BITS & 3, own, mask, part, codes, *key[1:]):
-            for x, y in ((i, j), (j, i)):
-                yield pa.RecordBatch.from_arrays([words.take(pa.array(x)), words.take(pa.array(y)), n.take(pa.array(y))], names=["word", "other", "other_n"])
+    def pairs_of(keys: np.ndarray, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Near words of whole buckets of one band and length; ``keys`` are the bucket's number and the three key columns."""
+        number, bucket, low, high = keys
+        length, band = int(bucket[0]) >> BAND_BITS + 2, int(bucket[0]) >> BAND_BITS & 3
+        across = np.zeros(int(number[-1]) + 1, bool)
+        across[number] = low != high
+        own, part = rows.column("own").to_numpy(), rows.column("part").to_numpy()
+        words, n = rows.column("word").combine_chunks(), rows.column("n").combine_chunks()
+        places = [np.flatnonzero(own), np.flatnonzero(~own)]
+        texts = words.to_pylist()
+        codes = [np.frombuffer("".join([texts[k] for k in at.tolist()]).encode("latin-1"), np.uint8).reshape(len(at), size) for at, size in zip(places, (length, length - 1))]
+        if not len(codes[0]):
+            return
+        at = [np.stack([number[p], part[p]]) for p in places]
+        for (i, j), behind in zip(near_pairs(band, *codes, *at, across), places):
+            ends = pa.array(places[0][i]), pa.array(behind[j])
+            for x, y in (ends, ends[::-1]):
+                yield pa.RecordBatch.from_arrays([words.take(x), words.take(y), n.take(y)], names=["word", "other", "other_n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, [[] for _ in range(5)]
+        held, keys, last, size = [], [], None, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, keys, size
+            if held:
+                yield from pairs_of(np.concatenate(keys, axis=1), pa.Table.from_batches(held))
+            held, keys, size = [], [], 0
+
         for batch in batches:
             if not len(batch):
                 continue
-            keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
-            cuts = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, len(batch)]
-            columns = [batch.column(k).to_pylist() for k in range(3, 8)]
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                name = tuple(keys[:, a].tolist())
-                if name != key:
-                    if len(held[0]) > 1:
-                        yield from bucket_pairs(key, held)
-                    key, held = name, [[] for _ in range(5)]
-                for own, new in zip(held, columns):
-                    own += new[a:b]
-        if len(held[0]) > 1:
-            yield from bucket_pairs(key, held)
+            key = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
+            new = np.r_[last is None or bool((key[:, 0] != last).any()), (key[:, 1:] != key[:, :-1]).any(axis=0)]
+            kind = key[0] >> BAND_BITS
+            at = 0
+            while at < len(batch):
+                # rows up to where the length or the band changes, or where a bucket begins and enough rows are held
+                stop = at + int(np.searchsorted(kind[at:], kind[at], "right"))
+                if held and (keys[-1][1, -1] >> BAND_BITS != kind[at] or (size >= HELD_ROWS and new[at])):
+                    yield from flush()
+                begins = np.flatnonzero(new[at + 1 : stop]) + at + 1
+                far = begins[begins - at + size >= HELD_ROWS]
+                stop = int(far[0]) if len(far) else stop
+                number = np.cumsum(new[at:stop]) + (int(keys[-1][0, -1]) if keys else -int(new[at]))
+                keys.append(np.vstack([number, key[:, at:stop]]))
+                held.append(batch.slice(at, stop - at))
+                size += stop - at
+                at = stop
+            last = key[:, -1]
+        yield from flush()
         trim()
 
     keys = ["bucket", "low", "high"]
-    return dealt.select(*keys, "own", "mask", "part", "word", "n").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "word string, other string, other_n long")
+    return dealt.select(*keys, "own", "part", "word", "n").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "word string, other string, other_n long")
 
 
 # ---- forms and roots
