@@ -132,3 +132,13 @@ def test_a_failing_fixer_is_left_out(spark):
     assert sorted((r.pos, r.text) for r in fixed.collect()) == [(1, "a b"), (2, "x"), (4, "")]
     assert [name for name, *_, error in report if error] == ["plan", "task", "columns"]
     assert [(name, before, after) for name, before, after, error in report if not error] == [("private_signs", 6, 6), ("cjk_spaces", 6, 6), ("form_blanks", 6, 5), ("repeated_lines", 5, 3)]
+
+
+@pytest.mark.parametrize("a,b,close", [("Acme Co.,Ltd", "ACME CO.,,LTD", True), ("abcdefghijklmnop", "abcdefghijklmnpo", True), ("abcdefgh", "abcdefhg", False), ("ab", "abc", False), ("abc", "abc trailing", True), ("0123456789abcdefghijklmn", "mn0123456789abcdefghijkl", False), ("", "x", False), (None, "x", False), ("x", None, False)])
+def test_closeness_by_matching_blocks(spark, a, b, close):
+    from difflib import SequenceMatcher
+
+    if a and b and len(a) > 8 and not b.startswith(a):
+        x, y = (re.sub(r"\s+", "", re.sub(r"([,.\-_;:])\1+", r"\1", t)).lower() for t in (a, b))
+        assert (x == y or SequenceMatcher(None, x, y).ratio() >= 0.92) == close
+    assert spark.range(1).select(T.closely_equal(F.lit(a).cast("string"), F.lit(b).cast("string")).alias("c")).first().c == close
