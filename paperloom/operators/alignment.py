@@ -1,11 +1,13 @@
 """Paragraphs of two versions of a document, matched in four rounds: equal, alike, one against several, by place.
 
 Equal texts are matched by a join on (document, text, occurrence). Only what that leaves goes, by document, to a Python
-helper; a document's left-over paragraphs are compared with one another, never with those of other documents.
+helper; a document's left-over paragraphs are compared with one another, never with those of other documents. Most pairs
+are told apart by their lengths or by the characters that they share, before their common subsequence is looked for.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -35,22 +37,28 @@ def common_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def ratio(a: str, b: str) -> float:
-    """Twice the common subsequence over both lengths; 1 for two empty texts."""
-    return 2 * common_length(a, b) / (len(a) + len(b)) if a or b else 1.0
+def ratio(a: str, b: str, least: float = 0.0) -> float:
+    """Twice the common subsequence over both lengths; 1 for two empty texts. 0 where lengths, or the characters that both
+    hold, show that it is under ``least``, without looking for the subsequence."""
+    size = len(a) + len(b)
+    if not size:
+        return 1.0
+    if least and (2 * min(len(a), len(b)) < least * size or 2 * (Counter(a) & Counter(b)).total() < least * size):
+        return 0.0
+    return 2 * common_length(a, b) / size
 
 
-def token_set_ratio(a: str, b: str) -> float:
-    """Likeness of two sets of words: the shared ones against the shared ones with each side's own."""
+def token_set_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """Likeness of two sets of words: the shared ones against the shared ones with each side's own; 0 if under ``least``."""
     x, y = set(a.split()), set(b.split())
     shared, only_x, only_y = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
     if shared and not (only_x and only_y):
         return 1.0
     with_x, with_y = f"{shared} {only_x}".strip(), f"{shared} {only_y}".strip()
-    found = [ratio(with_x, with_y)]
-    if shared:
-        found += [ratio(shared, with_x), ratio(shared, with_y)]
-    return max(found)
+    # the shared words stand in front of both, so that their own ratios are told by lengths
+    found = [2 * len(shared) / (len(shared) + len(t)) for t in (with_x, with_y)] if shared else [0.0]
+    best = max(found) if max(found) >= least else 0.0
+    return max(best, ratio(with_x, with_y, max(best, least)))
 
 
 def partial_ratio(a: str, b: str) -> float:
@@ -71,8 +79,8 @@ def likest(text: str, choices: list[tuple[list[int], list[str]]], likeness: Call
 
 
 def against_run(text: str, run: list[str]) -> float:
-    """A text against several in a row, with and without spaces."""
-    return max(ratio(text, " ".join(run)), ratio(text.replace(" ", ""), "".join(run).replace(" ", "")))
+    """A text against several in a row, with and without spaces; 0 if under LEAST_ALIKE."""
+    return max(ratio(text, " ".join(run), LEAST_ALIKE), ratio(text.replace(" ", ""), "".join(run).replace(" ", ""), LEAST_ALIKE))
 
 
 def match_rest(left: list[tuple[int, str]], right: list[tuple[int, str]]) -> list[tuple]:
@@ -92,7 +100,7 @@ def match_rest(left: list[tuple[int, str]], right: list[tuple[int, str]]) -> lis
             right = [r for r in right if r[0] not in places]
         left = kept
 
-    one_by_one("alike", range(1, 2), lambda text, run: token_set_ratio(text, run[0]))
+    one_by_one("alike", range(1, 2), lambda text, run: token_set_ratio(text, run[0], LEAST_ALIKE))
     one_by_one("joined", range(2, LONGEST_RUN + 1), against_run)
     for (pos, text), (place, other) in zip(left, right):
         out.append((pos, [place], "place", min(PLACE_CONFIDENCE, partial_ratio(text, other))))

@@ -133,3 +133,13 @@ def test_recovered_lines_of_odd_rows(spark):
     lines = spark.createDataFrame([(1, 0, 1.0, 100.0, "one"), (1, 0, 2.0, 100.0, "two"), (1, 0, 3.0, 100.0, "three"), (1, 0, 4.0, None, "four"), (1, 0, None, 100.0, "five"), (1, 0, 5.0, 100.0, None), (None, 0, 5.0, 100.0, "six"), (1, 0, 6.0, 100.0, "onet"), (1, 0, 7.0, 0.0, "wo")], schema)
     assert [tuple(r) for r in alignment.recovered_lines(lines, known).collect()] == [(1, 0, 3.0, "three")]
     assert alignment.recovered_lines(lines.limit(0), known).count() == 0
+
+
+def test_bounds_never_hide_a_likeness():
+    rng = random.Random(8)
+    words = ["alpha", "beta", "gamma", "delta", "be", "ta", "alpine"]
+    for _ in range(400):
+        a, b = (" ".join(rng.choices(words, k=rng.randrange(1, 7))) for _ in "ab")
+        for f in (alignment.ratio, alignment.token_set_ratio):
+            whole, cut_off = f(a, b), f(a, b, 0.85)
+            assert cut_off == whole if whole >= 0.85 else cut_off < 0.85, (f.__name__, a, b)
