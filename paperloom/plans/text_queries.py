@@ -126,6 +126,33 @@ def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_stats.top_terms(text_stats.word_terms(table(spark, sf_dir, "documents"), "lang"), 20, "lang")
 
 
+_SIGNS = "translate(text, 'aeiou', '天地人山水')"
+
+
+def _with_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose vowels are written as CJK characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.translate("text", "aeiou", "天地人山水").alias("text"))
+
+
+@query("cjk_term_frequency", f"""
+WITH w AS (SELECT lang, regexp_extract_all({_SIGNS}, '[天地人山水]') AS ws FROM documents),
+t AS (SELECT lang, k - 1 AS place, ws[k] AS term FROM w, unnest(range(1, len(ws) + 1)) AS u(k)),
+c AS (SELECT lang, term, count(*) AS count, min(place) AS f FROM t GROUP BY ALL)
+SELECT lang, term, count, CAST(row_number() OVER (PARTITION BY lang ORDER BY count DESC, f, term) AS INTEGER) AS rank FROM c QUALIFY rank <= 4""")
+def cjk_term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_stats.top_terms(text_stats.cjk_terms(_with_signs(spark, sf_dir), "lang"), 4, "lang")
+
+
+@query("cjk_bigram_frequency", f"""
+WITH s AS (SELECT doc_id, lang, string_split({_SIGNS}, '') AS s FROM documents),
+p AS (SELECT doc_id, lang, k, s[k] || s[k + 1] AS term FROM s, unnest(range(1, len(s))) AS u(k) WHERE s[k] IN ('天', '地', '人', '山', '水') AND s[k + 1] IN ('天', '地', '人', '山', '水')),
+t AS (SELECT lang, term, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS place FROM p),
+c AS (SELECT lang, term, count(*) AS count, min(place) AS f FROM t GROUP BY ALL)
+SELECT lang, term, count, CAST(row_number() OVER (PARTITION BY lang ORDER BY count DESC, f, term) AS INTEGER) AS rank FROM c QUALIFY rank <= 20""")
+def cjk_bigram_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_stats.top_terms(text_stats.cjk_bigrams(_with_signs(spark, sf_dir), "lang"), 20, "lang")
+
+
 @query("language_guess", r"""
 WITH h AS (SELECT doc_id, text[1:2000] AS t FROM documents),
 c AS (SELECT doc_id, len(regexp_extract_all(t, '[一-鿿]')) AS cjk, len(regexp_extract_all(t, '\p{L}')) AS letters FROM h)
