@@ -34,8 +34,11 @@ def ranked(values: DataFrame, wanted: DataFrame) -> DataFrame:
     while True:
         found = wanted.filter("low = high OR n = 1").select("g", "rank", F.col("low").alias("v"))
         done = found if done is None else done.union(found)
-        few = wanted.filter(f"low < high AND n > 1 AND n <= {FEW}")
-        wanted = wanted.filter(f"low < high AND n > {FEW}")
+        # so narrow a bracket that its bins have no width holds few values, however many rows
+        narrow = F.col("high") / BINS - F.col("low") / BINS <= 0
+        wanted = wanted.filter("low < high AND n > 1")
+        few = wanted.filter((F.col("n") <= FEW) | narrow)
+        wanted = wanted.filter(~((F.col("n") <= FEW) | narrow))
         if not few.isEmpty():
             done = done.union(_read_off(values, few))
         if wanted.isEmpty():

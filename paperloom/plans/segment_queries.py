@@ -56,12 +56,18 @@ def corrected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.corrected_lines(own, own.withColumn("line", F.regexp_replace("line", "the", "The")), "doc_id")
 
 
-@query("corrected_lines_all", r"""
+@query("corrected_lines_all", _CORRECTED)
+def corrected_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under the name it has had."""
+    return corrected_lines(spark, sf_dir)
+
+
+@query("corrected_turns", r"""
 WITH n AS (SELECT conv_id AS doc_id, turn AS pos, text AS line, regexp_replace(text, 'a', CASE WHEN conv_id % 3 = 0 THEN 'aaaaaa' ELSE 'A' END, 'g') AS new FROM conversations WHERE text IS NOT NULL),
 c AS (SELECT *, length(regexp_replace(line, '\s', '', 'g')) AS a, length(regexp_replace(new, '\s', '', 'g')) AS b FROM n),
 f AS (SELECT *, abs(a - b) <= greatest(2.0, 0.3 * a) AS fits FROM c), w AS (SELECT *, fits AND avg(fits::INTEGER) OVER (PARTITION BY doc_id) >= 0.3 AS corrected FROM f)
 SELECT doc_id, pos, CASE WHEN corrected THEN new ELSE line END AS line, corrected FROM w""")
-def corrected_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corrected_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corrections of turns, some of which grow the text so much that they are refused."""
     own = table(spark, sf_dir, "conversations").filter("text IS NOT NULL").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.col("text").alias("line"))
     grown = F.when(F.col("doc_id") % 3 == 0, F.replace("line", F.lit("a"), F.lit("aaaaaa"))).otherwise(F.replace("line", F.lit("a"), F.lit("A")))

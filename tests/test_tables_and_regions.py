@@ -220,7 +220,7 @@ def test_quantiles_are_exact(spark, monkeypatch, few, bins):
     monkeypatch.setattr(quantiles, "FEW", few)
     monkeypatch.setattr(quantiles, "BINS", bins)
     rng = random.Random(few)
-    groups = {"a": [rng.gauss(0, 1e6) for _ in range(101)], "b": [1.0] * 40 + [1e300, -1e300, 1e-300], "c": [5.0], None: [float(k % 7) for k in range(50)], "d": [None], "e": [rng.random() * 1e-9 for _ in range(30)]}
+    groups = {"a": [rng.gauss(0, 1e6) for _ in range(101)], "b": [1.0] * 40 + [1e300, -1e300, 1e-300], "c": [5.0], None: [float(k % 7) for k in range(50)], "d": [None], "e": [rng.random() * 1e-9 for _ in range(30)], "f": [0.0, 5e-324, 1e-323] * 9, "g": [1.0, 1.0000000000000002] * 8}
     frame = spark.createDataFrame([(g, v) for g, values in groups.items() for v in values], "g string, v double").repartition(3)
     got = {r.g: (r.low, r.mid, r.high) for r in quantiles.quantiles(frame, "g", "v", {"low": 0.05, "mid": 0.5, "high": 0.99}).collect()}
     assert got.keys() == groups.keys() and got["d"] == (None, None, None)
