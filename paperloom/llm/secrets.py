@@ -20,10 +20,10 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import map_texts, small_batches, trim
+from paperloom.llm.common import forget, map_texts, materialise, small_batches, trim
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -205,7 +205,13 @@ def learn_words(docs: DataFrame, text_col: str = "text", most: int = LEARNED_WOR
         trim()
 
     counts = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.filter("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()]
+    counts = materialise(counts.filter("n > 1"), "learned")
+    # how often the last word of the list stands: the driver gets no rows of rarer ones, however many tasks there are
+    upto = F.sum("words").over(Window.orderBy(F.desc("n")))
+    least = counts.groupBy("n").agg(F.count("*").alias("words")).withColumn("upto", upto).filter(F.col("upto") >= most).agg(F.max("n")).first()[0]
+    found = counts.filter(F.col("n") >= (least or 0)).orderBy(F.desc("n"), "word").limit(most).collect()
+    forget(counts)
+    return [r.word for r in found]
 
 
 def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
