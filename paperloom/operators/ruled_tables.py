@@ -1,6 +1,7 @@
 """Tables from ruled lines: collinear pieces are joined, lines are dealt to tables, and cells are merged where a wall is absent.
 
-Everything is windows and equi-joins by page: a page's lines never leave Spark. Input rows are segments (page, x0, y0, x1, y1)
+Everything is windows and equi-joins by page: a page's lines never leave Spark. Segments are dealt by page once, and all that
+follows stays where it is. Input rows are segments (page, x0, y0, x1, y1)
 in points; those that are neither level nor upright, and those with null coordinates, belong to no table. Repeated segments
 change nothing. A page needs two rows of lines and two columns for a table; pages without have no rows in the results.
 """
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.operators.layout import gap_groups, prev
-from paperloom.session import cut
+from paperloom.session import by_key, cut
 
 #: Fixed values in points: how far a line may be off its axis; seams of pieces; least lengths of rulings, as a share of the
 #: table and absolute, of which the smaller holds; tolerances of row and column coordinates; least size of a table.
@@ -43,8 +44,7 @@ def rulings(segments: DataFrame, page: str = "page") -> DataFrame:
         F.when(level, F.greatest("x0", "x1")).otherwise(F.greatest("y0", "y1")).alias("high"),
     )
     line = [page, "level", "_at"]
-    # pieces of one place are one, so that their order is that of (low, high) alone
-    placed = axis.groupBy(page, "level", F.round("at").alias("_at"), "low", "high").agg(F.min("at").alias("at"))
+    placed = by_key(axis, page).withColumn("_at", F.round("at"))
     reach = F.max("high").over(Window.partitionBy(*line).orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1))
     islands = gap_groups(placed.withColumn("_reach", reach), line, ["low", "high"], F.col("low") > F.col("_reach") + SEAM)
     return islands.groupBy(*line, "group").agg(F.min("at").alias("at"), F.min("low").alias("low"), F.max("high").alias("high")).drop("_at", "group")

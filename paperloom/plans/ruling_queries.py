@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import ruled_tables
 from paperloom.plans.registry import query
-from paperloom.session import table
+from paperloom.session import by_key, table
 
 SEGMENTS = """
 item AS (SELECT l_orderkey AS page, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_quantity::BIGINT AS q, 100.0 + 30 * l_linenumber + CASE WHEN l_linenumber >= 5 THEN 120 ELSE 0 END AS y FROM lineitem),
@@ -20,17 +20,18 @@ seg AS (
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("l_linenumber")
-    y = F.lit(100.0) + 30 * n + F.when(n >= 5, 120).otherwise(0)
-    item = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), n.alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("long").alias("q"), y.cast("double").alias("y"))
-    parts = item.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    x, step = F.lit(50.0) + 100 * F.col("c"), 0.3 * (F.col("c") % 2)
-    at = lambda rows, *ends: rows.select("page", *(e.cast("double").alias(n) for e, n in zip(ends, ("x0", "y0", "x1", "y1"))))
-    top = at(parts.filter("c < 4 AND (p + c) % 5 <> 0"), x, F.col("y") + step, x + 100, F.col("y") + step)
-    bottom = at(parts.filter("c < 4 AND (s + c) % 3 <> 0"), x, F.col("y") + 30, x + 100, F.col("y") + 30)
-    sides = at(parts.filter("c IN (0, 4) OR (q + c) % 4 <> 0"), x, F.col("y") + 30, x, F.col("y"))
-    bridge = at(item.filter("n = 4 AND p % 2 = 0"), F.lit(50.0), F.col("y"), F.lit(50.0), F.col("y") + 160)
-    return top.union(bottom).union(sides).union(bridge)
+    n, c = F.col("n"), F.col("c")
+    # an item is dealt to its page before it becomes its up to fourteen pieces
+    item = by_key(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("long").alias("q")), "page")
+    top = F.lit(100.0) + 30 * n + F.when(n >= 5, 120).otherwise(0)
+    parts = item.select("*", top.cast("double").alias("y"), F.explode(F.array(*map(F.lit, range(5)))).alias("c")).withColumn("x", F.lit(50.0) + 100 * c)
+    kept = {"top": "c < 4 AND (p + c) % 5 <> 0", "bottom": "c < 4 AND (s + c) % 3 <> 0", "side": "c IN (0, 4) OR (q + c) % 4 <> 0", "bridge": "c = 0 AND n = 4 AND p % 2 = 0"}
+    pieces = parts.select("page", "x", "y", "c", F.explode(F.array(*(F.when(F.expr(where), F.lit(kind)) for kind, where in kept.items()))).alias("k")).filter("k IS NOT NULL")
+    x, y, k = F.col("x"), F.col("y"), F.col("k")
+    level, step = k.isin("top", "bottom"), 0.3 * (c % 2)
+    y0 = F.when(k == "top", y + step).when(k == "bridge", y).otherwise(y + 30)
+    y1 = F.when(k == "top", y + step).when(k == "bottom", y + 30).when(k == "bridge", y + 160).otherwise(y)
+    return pieces.select("page", x.alias("x0"), y0.alias("y0"), F.when(level, x + 100).otherwise(x).alias("x1"), y1.alias("y1"))
 
 
 RULINGS = f"""{SEGMENTS},
