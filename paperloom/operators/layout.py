@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.session import by_key
 
 def gap_groups(rows: DataFrame, by: list[str], order: list[str], breaks: Column) -> DataFrame:
     """Rows with a group number that grows where ``breaks`` holds; ``breaks`` may use lag over (by, order) as prev()."""
@@ -157,8 +159,11 @@ def _near(cells: DataFrame, page: str, along: tuple[str, str], across: tuple[str
         for batch in batches:
             if not len(batch):
                 continue
-            names = list(zip(batch.column("page").to_pylist(), batch.column("_band").to_pylist()))
-            new = np.array([x != y for x, y in zip(names, [last, *names])])
+            new = np.zeros(len(batch), bool)
+            for name in ("page", "_band"):
+                values = batch.column(name)
+                new[1:] |= pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+            new[0] = last != (batch.column("page")[0].as_py(), batch.column("_band")[0].as_py())
             if sum(map(len, held)) >= SWEPT_CELLS and new.any():  # whole bands only: up to the first one that begins here
                 cut_ = int(np.flatnonzero(new)[0])
                 held.append(batch.slice(0, cut_).append_column("_g", pa.array(np.full(cut_, number))))
@@ -167,7 +172,7 @@ def _near(cells: DataFrame, page: str, along: tuple[str, str], across: tuple[str
                 batch, new = batch.slice(cut_), new[cut_:]
             groups = number + np.cumsum(new)
             held.append(batch.append_column("_g", pa.array(groups)))
-            number, last = int(groups[-1]), names[-1]
+            number, last = int(groups[-1]), (batch.column("page")[-1].as_py(), batch.column("_band")[-1].as_py())
         if held:
             yield _sweep(pa.Table.from_batches(held), reach, share, heights, slack)
 
@@ -234,19 +239,22 @@ def merged_rows(chars: DataFrame, page: str = "page") -> DataFrame:
     ``chars`` holds (page, line, pos, ch, x, width, y, height). Lines of one row are taken from the left; what the lines
     before have covered of a segment is one stretch, as each begins within it, so a running maximum of their ends is the
     union of their intervals. A character whose centre lies in it is a repetition. Lines of white space only are left out.
+    Characters are dealt by page once, and a line holds its own while it is placed.
     """
+    chars = by_key(chars, page)
     right = F.col("x") + F.col("width")
     lines = chars.groupBy(page, "line").agg(
         F.min(F.when(F.trim("ch") != "", F.col("x"))).alias("start"),
         F.max(right).alias("end"),
         ((F.min("y") + F.max(F.col("y") + F.col("height"))) / 2).alias("middle"),
+        F.collect_list(F.struct("pos", "ch", "x", "width")).alias("_chars"),
     )
     order = ["start", "line"]
     rows = gap_groups(lines.filter("start IS NOT NULL"), [page], ["middle", "line"], F.col("middle") - prev("middle", [page], ["middle", "line"]) > ROW_OFF).withColumnRenamed("group", "row")
     before = lambda by: F.max("end").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     parts = gap_groups(rows.withColumn("_reach", before([page, "row"])), [page, "row"], order, F.col("start") > F.col("_reach") - OVERLAP).withColumnRenamed("group", "segment")
-    parts = parts.withColumn("_covered", before([page, "row", "segment"])).select(page, "line", "row", "segment", "start", "_covered")
-    kept = chars.join(parts, [page, "line"]).filter(F.col("_covered").isNull() | (F.col("x") + F.col("width") / 2 > F.col("_covered")))
+    parts = parts.withColumn("_covered", before([page, "row", "segment"])).select(page, "line", "row", "segment", "start", "_covered", F.explode("_chars").alias("_c"))
+    kept = parts.select("*", "_c.*").filter(F.col("_covered").isNull() | (F.col("x") + F.col("width") / 2 > F.col("_covered")))
     spelled = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "line", "pos", "ch"))), lambda c: c["ch"]), "")
     return kept.groupBy(page, "row", "segment").agg(spelled.alias("text"), F.min("x").alias("x0"), F.max(right).alias("x1"))
 
@@ -256,15 +264,16 @@ def overprints(frames: DataFrame, page: str = "page", near: float = 4.0) -> Data
     one character repeated, a single one of them.
 
     ``frames`` holds (page, frame, x0, y0, text). Frames are at one place if both coordinates differ by less than ``near``;
-    they meet by squares of that size, in which a frame asks and in whose neighbours it answers, so that no border hides a
-    pair. Of equal texts the first frame stays; of a text and a part of it the longer one; of ``aa`` and ``a`` the shorter.
+    they meet by squares of twice that size: a frame asks in its own and answers in the up to four that lie so near, so that
+    no border hides a pair. Of equal texts the first frame stays; of a text and a part of it the longer one; of ``aa`` and ``a`` the shorter.
     """
-    placed = frames.filter(F.coalesce("text", F.lit("")) != "").withColumns({"_gx": F.floor(F.col("x0") / near), "_gy": F.floor(F.col("y0") / near)})
-    around = F.explode(F.array(*(F.struct((F.col("_gx") + i).alias("_gx"), (F.col("_gy") + j).alias("_gy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    side = 2 * near
+    placed = frames.filter(F.coalesce("text", F.lit("")) != "").withColumns({"_gx": F.floor(F.col("x0") / side), "_gy": F.floor(F.col("y0") / side)})
+    around = F.explode(F.array_distinct(F.array(*(F.struct(F.floor((F.col("x0") + i) / side).alias("_gx"), F.floor((F.col("y0") + j) / side).alias("_gy")) for i in (-near, near) for j in (-near, near)))))
     answers = placed.select(page, F.col("frame").alias("_by"), F.col("x0").alias("_x"), F.col("y0").alias("_y"), F.col("text").alias("_text"), around.alias("_s"))
     answers = answers.select(page, "_by", "_x", "_y", "_text", "_s._gx", "_s._gy")
     met = placed.join(answers, [page, "_gx", "_gy"]).filter((F.col("frame") != F.col("_by")) & (F.abs(F.col("x0") - F.col("_x")) < near) & (F.abs(F.col("y0") - F.col("_y")) < near))
-    stutter = lambda long, short: (F.length(short) == 1) & (F.length(long) > 1) & (F.regexp_replace(long, F.concat(F.lit("\\Q"), short, F.lit("\\E")), F.lit("")) == "")
+    stutter = lambda long, short: (F.length(short) == 1) & (F.length(long) > 1) & (F.replace(long, short, F.lit("")) == "")
     same = (F.col("_text") == F.col("text")) & (F.col("_by") < F.col("frame"))
     part = (F.length("_text") > F.length("text")) & F.col("_text").contains(F.col("text")) & ~stutter(F.col("_text"), F.col("text"))
     return met.filter(same | part | stutter(F.col("text"), F.col("_text"))).select(page, "frame").distinct()

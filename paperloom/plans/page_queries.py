@@ -11,7 +11,7 @@ from paperloom.operators import alignment, layout, lists, text_stats
 from paperloom.operators.quantiles import quantiles
 from paperloom.plans.registry import query
 from paperloom.plans.text_queries import LINES
-from paperloom.session import table
+from paperloom.session import by_key, table
 
 CELLS = "SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS cell, (l_partkey % 50) * 12.0 AS x0, (l_partkey % 50) * 12.0 + 10 AS x1, (l_orderkey % 40) * 20.0 AS y0, (l_orderkey % 40) * 20.0 + 15 AS y1 FROM lineitem"
 
@@ -111,7 +111,7 @@ def merged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of one row that overlap, merged without what is printed twice."""
     part, n = F.col("l_partkey"), F.col("l_linenumber")
     text = F.concat_ws(" ", part.cast("string"), F.col("l_suppkey").cast("string"))
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.min("l_suppkey").alias("l_suppkey"))
+    items = by_key(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.min("l_suppkey").alias("l_suppkey"))
     lines = items.select(F.col("l_orderkey").alias("page"), (n * 1000000 + part).alias("line"), ((part % 12) * 9.0).alias("x0"), (100.0 + (n % 3) * 12 + 0.5 * (F.col("l_suppkey") % 2)).alias("y"), F.posexplode(F.split(text, "")).alias("pos", "ch"))
     return layout.merged_rows(lines.select("page", "line", "pos", "ch", (F.col("x0") + 6 * F.col("pos")).alias("x"), F.lit(6.0).alias("width"), "y", F.lit(0.0).alias("height")))
 

@@ -12,3 +12,16 @@ def exchanges(df) -> int:
 
 def test_segments_are_dealt_once(spark):
     assert exchanges(registry.queries()["ruled_lines"](spark, SMALL)) == 1
+
+
+def test_characters_are_dealt_once(spark):
+    assert exchanges(registry.queries()["merged_rows"](spark, SMALL)) == 1
+
+
+def test_frames_answer_in_few_squares(spark):
+    from paperloom.operators import layout
+
+    rows = [(1, k, 8.0 * k + 3.9 * (k % 2), 8.0 * k, f"text {k}") for k in range(40)]
+    found = layout.overprints(spark.createDataFrame(rows, "page long, frame long, x0 double, y0 double, text string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(array_distinct" in plan
