@@ -1,18 +1,19 @@
 """Tables from ruled lines: collinear pieces are joined, lines are dealt to tables, and cells are merged where a wall is absent.
 
-Everything is windows and equi-joins by page: a page's lines never leave Spark. Segments are dealt by page once, and all that
-follows stays where it is. Input rows are segments (page, x0, y0, x1, y1)
+Everything is windows and groups by page and by parts of it: a page's lines never leave Spark. Segments are dealt by page once,
+all that follows stays where it is, and no step is read twice. Stretches of a page's lines lie over LEAST_GAP points apart, so
+that a page's rows can hold all its stretches; a row of a table holds the lines at its place. Input rows are segments (page, x0, y0, x1, y1)
 in points; those that are neither level nor upright, and those with null coordinates, belong to no table. Repeated segments
 change nothing. A page needs two rows of lines and two columns for a table; pages without have no rows in the results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.operators.layout import gap_groups, prev
-from paperloom.session import by_key, cut
+from paperloom.session import by_key
 
 #: Fixed values in points: how far a line may be off its axis; seams of pieces; least lengths of rulings, as a share of the
 #: table and absolute, of which the smaller holds; tolerances of row and column coordinates; least size of a table.
@@ -50,43 +51,43 @@ def rulings(segments: DataFrame, page: str = "page") -> DataFrame:
     return islands.groupBy(*line, "group").agg(F.min("at").alias("at"), F.min("low").alias("low"), F.max("high").alias("high")).drop("_at", "group")
 
 
-def clustered(values: DataFrame, by: list[str], at: str, tolerance: float) -> DataFrame:
-    """(by, at): neighbours within the tolerance as their mean."""
-    grouped = gap_groups(values, by, [at], F.col(at) - prev(at, by, [at]) > tolerance)
-    return grouped.groupBy(*by, "group").agg(F.avg(at).alias(at)).drop("group")
-
-
 def tables(lines: DataFrame, page: str = "page") -> DataFrame:
     """(page, table, level, at, low, high): the lines of each table, from ``rulings``.
 
     Level lines are split where the gap to the one above is too wide, unless an upright line at the left or right end of the
     lines above spans the gap. An upright line belongs to every table whose height it meets.
     """
-    level = lines.filter("level").drop("level")
-    upright = lines.filter("NOT level").select(F.col(page).alias("_page"), F.col("at").alias("x"), F.col("low").alias("top"), F.col("high").alias("bottom"))
-    rows = clustered(level.select(page, "at"), [page], "at", ROW_TOLERANCES[0])
-    gaps = rows.select(page, (F.col("at") - prev("at", [page], ["at"])).alias("gap")).filter("gap IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy(page).orderBy("gap"))
-    count = F.count("*").over(Window.partitionBy(page))
-    median = gaps.select(page, "gap", rank.alias("k"), count.alias("n")).filter("k = n div 2 + 1").select(page, F.col("gap").alias("median"))
-
-    order = ["at", "low", "high"]
-    gap = F.col("at") - prev("at", [page], order)
-    wide = (gap > TABLE_GAP) | ((F.coalesce("median", F.lit(0.0)) > 0) & (gap > MEDIAN_GAPS * F.col("median")) & (gap > LEAST_GAP))
-    stretches = gap_groups(level.join(median, page, "left"), [page], order, wide)
-    edges = stretches.groupBy(page, "group").agg(F.min("low").alias("left"), F.max("high").alias("right"), F.min("at").alias("first"), F.max("at").alias("last"))
-    above = edges.withColumns({c: prev(c, [page], ["group"]) for c in ("left", "right", "last")} | {"start": F.col("first")}).filter("left IS NOT NULL")
-    outer = (F.abs(F.col("x") - F.col("left")) < 10) | (F.abs(F.col("x") - F.col("right")) < 10)
-    spans = (F.col("top") <= F.col("last") + 2) & (F.col("bottom") >= F.col("start") - 2) & (F.col("start") - F.col("last") <= BRIDGED_GAP)
-    bridged = above.join(upright, (F.col(page) == F.col("_page")) & outer & spans, "left_semi").select(page, "group", F.lit(True).alias("bridged"))
-    numbered = edges.join(bridged, [page, "group"], "left")
-    starts = (F.col("bridged").isNull() & (F.col("group") > 0)).cast("int")
-    named = numbered.withColumn("table", F.sum(starts).over(Window.partitionBy(page).orderBy("group")))
-    of_table = named.groupBy(page, "table").agg(F.min("first").alias("top"), F.max("last").alias("bottom"))
-    own = stretches.join(named.select(page, "group", "table"), [page, "group"]).select(page, "table", F.lit(True).alias("level"), "at", "low", "high")
-    meets = (F.col(page) == F.col("_page")) & (F.col("low") <= F.col("bottom") + 2) & (F.col("high") >= F.col("top") - 2)
-    beside = lines.filter("NOT level").join(of_table.withColumnRenamed(page, "_page"), meets).select(page, "table", F.lit(False).alias("level"), "at", "low", "high")
-    return own.union(beside)
+    by, order, whole = [page, "level"], ["at", "low", "high"], Window.partitionBy(page)
+    rows = gap_groups(lines, by, order, F.col("at") - prev("at", by, order) > ROW_TOLERANCES[0])
+    rows = rows.withColumn("_mean", F.avg("at").over(Window.partitionBy(*by, "group")))
+    # one gap between neighbouring rows, at the first line of the second; of an even number the wider one in the middle counts
+    rows = rows.withColumn("_gap", F.when(prev("group", by, order) != F.col("group"), F.col("_mean") - prev("_mean", by, order)))
+    rows = rows.withColumn("_median", F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY _gap DESC) OVER (PARTITION BY `{page}`, level)"))
+
+    before = prev("at", by, order)
+    gap = F.col("at") - before
+    wide = (gap > TABLE_GAP) | ((F.coalesce("_median", F.lit(0.0)) > 0) & (gap > MEDIAN_GAPS * F.col("_median")) & (gap > LEAST_GAP))
+    stretches = gap_groups(rows.withColumns({"_first": before.isNull() | wide, "_wide": wide}), by, order, F.col("_wide"))
+    own = Window.partitionBy(*by, "group")
+    edges = stretches.withColumn("_edge", F.struct("group", F.min("low").over(own).alias("left"), F.max("high").over(own).alias("right"), F.min("at").over(own).alias("first"), F.max("at").over(own).alias("last")))
+    edges = edges.withColumn("_edges", F.array_sort(F.collect_list(F.when(F.col("level") & F.col("_first"), F.col("_edge"))).over(whole)))
+
+    def spanned(edge: Column, k: Column) -> Column:
+        """Whether an upright line bridges the gap above a stretch."""
+        above = F.get("_edges", k - 1)
+        outer = (F.abs(F.col("at") - above["left"]) < 10) | (F.abs(F.col("at") - above["right"]) < 10)
+        return (k > 0) & outer & (F.col("low") <= above["last"] + 2) & (F.col("high") >= edge["first"] - 2) & (edge["first"] - above["last"] <= BRIDGED_GAP)
+
+    bridges = F.when(~F.col("level"), F.filter("_edges", spanned)["group"])
+    bridged = edges.withColumn("_bridged", F.flatten(F.collect_set(bridges).over(whole)))
+    # a table begins with each stretch that no line ties to the one above; both ends of stretches grow down the page
+    table = lambda group: group - F.size(F.array_distinct(F.filter("_bridged", lambda b: b <= group)))
+    passed = F.size(F.filter("_edges", lambda e: F.col("low") > e["last"] + 2)).cast("long")
+    begun = F.size(F.filter("_edges", lambda e: F.col("high") >= e["first"] - 2)).cast("long")
+    met = (passed < F.size("_edges")) & (begun > 0) & (table(passed) <= table(begun - 1))
+    beside = F.when(met, F.sequence(table(passed), table(begun - 1)))
+    of = F.when(F.col("level"), F.array(table(F.col("group")))).otherwise(beside)
+    return bridged.select(page, F.explode(of).alias("table"), "level", "at", "low", "high")
 
 
 def separators(lines: DataFrame, page: str = "page") -> DataFrame:
@@ -102,29 +103,26 @@ def separators(lines: DataFrame, page: str = "page") -> DataFrame:
 
 
 def axes(lines: DataFrame, page: str = "page") -> DataFrame:
-    """(page, table, level, k, at, next): the row and column coordinates of tables, numbered from 0, with the next one."""
-    by = [page, "table", "level"]
-    columns = clustered(lines.filter("NOT level"), by, "at", COLUMN_TOLERANCE)
-    rows = clustered(lines.filter("level"), by, "at", ROW_TOLERANCES[0])
-    # a second, wider pass only where more than two rows are left
-    many = F.count("*").over(Window.partitionBy(*by))
-    apart = (F.col("at") - prev("at", by, ["at"]) > F.when(F.col("_many") > 2, ROW_TOLERANCES[1]).otherwise(ROW_TOLERANCES[0]))
-    rows = gap_groups(rows.withColumn("_many", many), by, ["at"], apart).groupBy(*by, "group").agg(F.avg("at").alias("at")).drop("group")
-    w = Window.partitionBy(*by).orderBy("at")
-    return rows.union(columns).withColumns({"k": F.row_number().over(w) - 1, "next": F.lead("at").over(w)})
+    """(page, table, level, k, at, next, walls): the row and column coordinates of tables, numbered from 0, with the next one
+    and the extents (low, high) of the lines within the tolerance of that.
 
-
-def walls(cells: DataFrame, lines: DataFrame, page: str, upright: bool) -> DataFrame:
-    """(page, table, row, col): cells with a wall at their right (upright) or below: lines there cover half of the side.
-
-    A line meets only the cells at its own coordinate, by an equi-join on whole points around it.
+    Coordinates lie further apart than the tolerance, but for tables of two, so that such lines are of the coordinate before,
+    the next one or the one behind it.
     """
-    edge, low, high = ("x1", "y0", "y1") if upright else ("y1", "x0", "x1")
-    off = COLUMN_TOLERANCE if upright else ROW_TOLERANCES[1]
-    near = lines.filter(~F.col("level") if upright else F.col("level")).withColumn("_spot", F.explode(F.sequence(F.floor(F.col("at") - off).cast("long"), F.floor(F.col("at") + off).cast("long"))))
-    met = cells.withColumn("_spot", F.floor(edge).cast("long")).join(near.select(page, "table", "_spot", F.col("at").alias("_at"), F.col("low").alias("_low"), F.col("high").alias("_high")), [page, "table", "_spot"])
-    covers = F.least(high, "_high") - F.greatest(low, "_low") >= WALL * (F.col(high) - F.col(low))
-    return met.filter(covers & (F.abs(F.col(edge) - F.col("_at")) <= off)).select(page, "table", "row", "col").distinct()
+    by = [page, "table", "level"]
+    apart = F.col("at") - prev("at", by, ["at"]) > F.when(F.col("level"), ROW_TOLERANCES[0]).otherwise(COLUMN_TOLERANCE)
+    near = gap_groups(lines, by, ["at"], apart).withColumn("_mean", F.avg("at").over(Window.partitionBy(*by, "group")))
+    near = near.withColumns({"_new": ~F.coalesce(prev("group", by, ["at"]) == F.col("group"), F.lit(False)), "_many": F.max("group").over(Window.partitionBy(*by)) + 1})
+    # a second, wider pass over the means of rows, only where more than two are left
+    wide = F.when(~F.col("level"), 0.0).when(F.col("_many") > 2, ROW_TOLERANCES[1]).otherwise(ROW_TOLERANCES[0])
+    ends = gap_groups(near, by, ["at"], F.col("_new") & (F.col("_mean") - prev("_mean", by, ["at"]) > wide))
+    placed = ends.groupBy(*by, F.col("group").alias("k")).agg(F.avg(F.when(F.col("_new"), F.col("_mean"))).alias("place"), F.collect_list(F.struct("at", "low", "high")).alias("_lines"))
+    w = Window.partitionBy(*by).orderBy("k")
+    ahead = lambda c, n: F.lead(c, n).over(w)
+    seen = placed.withColumns({"next": ahead("place", 1), "_lines": F.concat("_lines", ahead("_lines", 1), F.coalesce(ahead("_lines", 2), F.array()))}).filter("next IS NOT NULL")
+    off = F.when(F.col("level"), ROW_TOLERANCES[1]).otherwise(COLUMN_TOLERANCE)
+    walls = F.filter("_lines", lambda line: F.abs(F.col("next") - line["at"]) <= off)
+    return seen.select(*by, "k", F.col("place").alias("at"), "next", F.transform(walls, lambda line: F.struct(line["low"].alias("low"), line["high"].alias("high"))).alias("walls"))
 
 
 def cells(segments: DataFrame, page: str = "page") -> DataFrame:
@@ -133,24 +131,21 @@ def cells(segments: DataFrame, page: str = "page") -> DataFrame:
     Cells of a row without a wall between them are one; such runs of the same columns in consecutive rows are one where no
     wall below parts any of their columns.
     """
-    # lines and grid are read several times
-    lines = cut(separators(tables(cut(rulings(segments, page)), page), page))
-    ends = axes(lines, page)
-    rows = ends.filter("level AND next IS NOT NULL").select(page, "table", F.col("k").alias("row"), F.col("at").alias("y0"), F.col("next").alias("y1"))
-    columns = ends.filter("NOT level AND next IS NOT NULL").select(page, "table", F.col("k").alias("col"), F.col("at").alias("x0"), F.col("next").alias("x1"))
-    size = [F.max(b).over(Window.partitionBy(page, "table")) - F.min(a).over(Window.partitionBy(page, "table")) for a, b in (("x0", "x1"), ("y0", "y1"))]
-    grid = rows.join(columns, [page, "table"]).withColumns({"_width": size[0], "_height": size[1]})
-    grid = grid.filter((F.col("_width") >= LEAST_WIDTH) & (F.col("_height") >= LEAST_HEIGHT)).drop("_width", "_height")
-    grid = cut(grid)
-    right = walls(grid, lines, page, True).withColumn("right", F.lit(True))
-    below = walls(grid, lines, page, False).withColumn("below", F.lit(True))
-    place = [page, "table", "row", "col"]
-    marked = grid.join(right, place, "left").join(below, place, "left")
-
-    runs = gap_groups(marked, [page, "table", "row"], ["col"], prev("right", [page, "table", "row"], ["col"]).isNotNull() | (F.col("col") == 0))
-    wide = runs.groupBy(page, "table", "row", "group").agg(F.min("col").alias("col"), F.count("*").alias("col_span"), F.count("below").alias("_walls"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")).drop("group")
+    ends = axes(separators(tables(rulings(segments, page), page), page), page)
+    side = F.struct("k", "at", "next", "walls")
+    grid = ends.groupBy(page, "table").agg(*(F.array_sort(F.collect_list(F.when(F.col("level") if level else ~F.col("level"), side))).alias(name) for name, level in (("_rows", True), ("_columns", False))))
+    size = lambda sides: F.get(sides, F.size(sides) - 1)["next"] - F.get(sides, F.lit(0))["at"]
+    grid = grid.filter((size("_columns") >= LEAST_WIDTH) & (size("_rows") >= LEAST_HEIGHT))
+    grid = grid.select(page, "table", F.explode("_rows").alias("r"), "_columns").select(page, "table", "r", F.explode("_columns").alias("c"))
+    y0, y1, x0, x1 = F.col("r.at"), F.col("r.next"), F.col("c.at"), F.col("c.next")
+    covered = lambda walls, low, high: F.exists(walls, lambda wall: F.least(high, wall["high"]) - F.greatest(low, wall["low"]) >= WALL * (high - low))
+    marked = grid.select(page, "table", F.col("r.k").alias("row"), F.col("c.k").alias("col"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), covered("c.walls", y0, y1).alias("right"), covered("r.walls", x0, x1).alias("below"))
+
+    across = [page, "table", "row"]
+    runs = gap_groups(marked, across, ["col"], prev("right", across, ["col"]))
+    wide = runs.groupBy(*across, "group").agg(F.min("col").alias("col"), F.count("*").alias("col_span"), F.max("below").alias("_walls"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")).drop("group")
     stack = [page, "table", "col", "col_span"]
-    open_above = (prev("row", stack, ["row"]) == F.col("row") - 1) & (prev("_walls", stack, ["row"]) == 0)
+    open_above = (prev("row", stack, ["row"]) == F.col("row") - 1) & ~prev("_walls", stack, ["row"])
     tall = gap_groups(wide, stack, ["row"], ~F.coalesce(open_above, F.lit(False)))
     merged = tall.groupBy(*stack, "group").agg(F.min("row").alias("row"), F.count("*").alias("row_span"), *[f(c).alias(c) for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))])
-    return merged.select(page, "table", "row", "col", "row_span", "col_span", "x0", "y0", "x1", "y1")
+    return merged.select(page, "table", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "row_span", "col_span", "x0", "y0", "x1", "y1")
