@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from paperloom.llm.common import map_texts
+from paperloom.llm.common import keep, map_texts
 
 #: Fixed value: the pre-token pattern of the byte-level scheme.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -342,7 +342,15 @@ class BytePairCoder:
 
 @functools.cache
 def coder(path: str) -> BytePairCoder:
-    """One coder, with its caches, for each worker process and vocabulary."""
+    """One coder, with its caches, for each worker process and vocabulary, until another operator works there."""
+    usual = gc.get_threshold()
+
+    def drop() -> None:
+        coder.cache_clear()
+        gc.unfreeze()
+        gc.set_threshold(*usual)
+
+    keep("bpe", drop)
     gc.freeze()
     gc.set_threshold(100_000, 50, 50)  # millions of cached strings would be traversed again and again
     return BytePairCoder(path)
@@ -364,7 +372,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
         return work
 
-    return map_texts(df, id_col, text_col, ENCODED, make)
+    return map_texts(df, id_col, text_col, ENCODED, make, "bpe")
 
 
 def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -385,4 +393,4 @@ def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
         return work
 
-    return map_texts(df, id_col, text_col, DIGESTS, make)
+    return map_texts(df, id_col, text_col, DIGESTS, make, "bpe")

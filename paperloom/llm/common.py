@@ -85,6 +85,24 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: What operators keep in a worker from task to task, by operator: how it is dropped.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep(owner: str, drop: Callable[[], None]) -> None:
+    """Tell that an operator keeps something in this worker, and how to drop it."""
+    _kept[owner] = drop
+
+
+def settle(owner: str | None = None) -> None:
+    """Drop what other operators have kept in this worker: workers outlive a stage, and its caches would add to the next one's."""
+    others = [_kept.pop(o) for o in list(_kept) if o != owner]
+    for drop in others:
+        drop()
+    if others:
+        trim()
+
+
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -96,14 +114,17 @@ def map_texts(
     text_col: str,
     schema: str,
     make: Callable[[], Callable[[list, list], pa.RecordBatch]],
+    owner: str | None = None,
 ) -> DataFrame:
-    """Apply a batch function to (ids, UTF-8 texts as bytes or None). ``make`` runs once per task, on the executor.
+    """Apply a batch function to (ids, UTF-8 texts as bytes or None). ``make`` runs once per task, on the executor. ``owner``
+    names the operator whose kept objects a worker may go on with.
 
     Only the two named columns are read, so other columns of the input can't clash with the result's.
     """
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle(owner)
         work = make()
         for batch in batches:
             yield work(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist())

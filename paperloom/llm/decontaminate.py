@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import small_batches
+from paperloom.llm.common import keep, settle, small_batches
 
 WINDOW_WORDS = 10
 #: Bytes of item text in one automaton; its memory is about 60 times that for each worker.
@@ -65,6 +65,7 @@ def automaton(key: str, items: list[tuple[str | None, bytes]]) -> ahocorasick.Au
             found.add_word(window, (window.count(" ") - 1, len(window), names))
         found.make_automaton()
         _resident[key] = found
+        keep("decontaminate", _resident.clear)
     return _resident[key]
 
 
@@ -168,6 +169,7 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     blocks = item_blocks(items, item_id_col, item_text_col, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("decontaminate")
         for batch, texts, n_words, found in scanned(batches, 1, blocks):
             rows = []
             for doc_id, text, n, (spans, names) in zip(batch.column(0).to_pylist(), texts, n_words, found):
@@ -203,6 +205,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("decontaminate")
         for batch, _, _, found in scanned(batches, at, blocks):
             yield batch.filter(pa.array([not spans for spans, _ in found], pa.bool_()))
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import forget, forget_since, materialise, small_batches, steps, trim
+from paperloom.llm.common import forget, forget_since, materialise, settle, small_batches, steps, trim
 
 WORDS = 5
 #: Rows (of one or two 64-bit keys) up to which a side is broadcast; beyond it the same join shuffles.
@@ -187,6 +187,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, n, sig) of every row, and (token, seen) for shingles that many distinct sets of a task hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         known: set[bytes] = set()
         kept: list[np.ndarray] = []
         size = 0
@@ -257,6 +258,7 @@ def representatives(texts: DataFrame, frequent) -> DataFrame:
     """(node, doc_id, n, lowest, sketch, prefix) of each class; the prefix is in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         last, seen = frequent.value
         for batch in batches:
             rows = []
@@ -289,6 +291,7 @@ def token_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFra
     """(node, tokens) of the given nodes, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["node", "tokens"])
         trim()
@@ -384,6 +387,7 @@ def postings(placed: DataFrame, buckets: int, frequent, part_sets: int = PART_SE
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         last, seen = frequent.value
         split = np.flatnonzero(seen > part_sets)
         wide, parts = last[split], -(-seen[split] // part_sets)

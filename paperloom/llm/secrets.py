@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import forget, map_texts, materialise, small_batches, trim
+from paperloom.llm.common import forget, map_texts, materialise, settle, small_batches, trim
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -187,6 +187,7 @@ def learn_words(docs: DataFrame, text_col: str = "text", most: int = LEARNED_WOR
     low, high = WORD_LETTERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         found: Counter[bytes] = Counter()
 
         def flush() -> pa.RecordBatch:
@@ -312,6 +313,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     length_at = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         guesser = Guesser(learned.value)
         for batch in batches:
             raw = batch.column(at).cast(pa.binary()).to_pylist()

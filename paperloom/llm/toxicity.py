@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import materialise, small_batches
+from paperloom.llm.common import materialise, settle, small_batches, trim
 
 SAMPLE_ROWS = 20_000
 #: Sampled ids up to which they are broadcast; beyond it the join shuffles.
@@ -211,6 +211,7 @@ def learn_lexicon(rows: DataFrame) -> dict[bytes, float]:
     """Words with the largest smoothed log-odds of standing in a toxic text, by documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         toxic: Counter[bytes] = Counter()
         clean: Counter[bytes] = Counter()
         n = [0, 0]
@@ -240,6 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     lexicon = learn_lexicon(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             x = [features(t, lexicon) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "calibrates", "x"])
@@ -264,8 +266,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.scores(batch.column(1).cast(pa.binary()).to_pylist()))], names=["doc_id", "score"])
+        trim()
 
     scored = rows.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -278,7 +282,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             yield batch.filter(pa.array(model.value.scores(batch.column(at).cast(pa.binary()).to_pylist()) < THRESHOLD))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

@@ -158,3 +158,21 @@ def test_repeated_rows_are_fitted_once(spark):
     once = toxicity.training_rows(frame(docs), labels, 50)
     often = toxicity.training_rows(frame(docs + docs[:9] * 20).repartition(3), labels, 50)
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, often.collect())) and often.count() == 50
+
+
+def test_workers_drop_what_other_operators_kept(tmp_path):
+    import gc
+
+    import public_tokenizers
+
+    from paperloom.llm import bpe, common, decontaminate
+
+    usual = gc.get_threshold()
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    kept = bpe.coder(path)
+    assert kept.encode_batch(["a word"]) and kept.cache
+    decontaminate.automaton("key", [("1", b"one two three")])
+    common.settle("bpe")
+    assert bpe.coder(path) is kept and not decontaminate._resident
+    common.settle()
+    assert bpe.coder.cache_info().currsize == 0 and gc.get_threshold() == usual and gc.get_freeze_count() == 0
