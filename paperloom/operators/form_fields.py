@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from paperloom.operators import forms, layout
-from paperloom.session import cut
+from paperloom.session import by_key, cut
 
 #: Characters of two scripts that forms mix, and dashes that labels are spelled with or without.
 FOLDS = ("內臺戶來會發電號業產廠幣稅於務", "内台户来会发电号业产厂币税于务")
@@ -28,6 +28,8 @@ WIDE_ROOM, WIDE_TIMES, LEAST_ROOM = 100.0, 3.0, 30.0
 VALUE_WIDTH, MARK_WIDTH = 40.0, 8.0
 PAD, UNDERLINE_BELOW, UNDERLINE_REACH, UNDERLINE_SHARED = 3.0, 24.0, 80.0, 8.0
 TILE = 50.0
+#: Pages of more lines are cut into tiles.
+TILED_LINES = 64
 BOX = ("x0", "y0", "x1", "y1")
 
 
@@ -76,17 +78,25 @@ def tiles(low: Column, high: Column) -> Column:
 def enclosing_cells(boxes: DataFrame, lines: DataFrame, page: str = "page", pad: float = 0.5) -> DataFrame:
     """(page, box, x0, y0, x1, y1): the nearest lines on all four sides that bracket a box; boxes without one of them have none.
 
-    A line that brackets a box passes the tile of the box's corner, where both meet.
+    A line that brackets a box passes the tile of the box's corner, where both meet; a page of few lines is one tile. Boxes and lines
+    are dealt by page once, and the lines of a tile are held by its row.
     """
-    near = boxes.select(page, "box", *(F.col(c) + (-pad if c in ("x0", "y0") else pad) for c in BOX)).toDF(page, "box", *BOX)
-    side = lines.withColumn("_tile", tiles(F.col("low"), F.col("high")))
-    out = near.select(page, "box")
-    for level, start, end, first, last in ((True, "x0", "x1", "y0", "y1"), (False, "y0", "y1", "x0", "x1")):
-        own = side.filter("level" if level else "NOT level").select(page, "_tile", "at", "low", "high")
-        met = near.withColumn("_tile", F.floor(F.col(start) / TILE)).join(own, [page, "_tile"]).filter((F.col("low") <= F.col(start) + 0.5) & (F.col("high") >= F.col(end) - 0.5))
-        found = met.groupBy(page, "box").agg(F.max(F.when(F.col("at") < F.col(first), F.col("at"))).alias(f"_{first}"), F.min(F.when(F.col("at") > F.col(last), F.col("at"))).alias(f"_{last}"))
-        out = out.join(found, [page, "box"])
-    return out.select(page, "box", *(F.col(f"_{c}").alias(c) for c in BOX)).dropna()
+    tile = lambda at: F.when(F.col("many"), F.floor(at / TILE)).otherwise(0)
+    ask = lambda level, *ends: F.struct(F.lit(level).alias("level"), tile(ends[0]).alias("tile"), F.struct("box", *(e.alias(n) for n, e in zip(("start", "end", "first", "last"), ends))).alias("ask"), F.lit(None).cast("struct<at:double,low:double,high:double>").alias("line"))
+    kind = boxes.select("box").schema["box"].dataType.simpleString()
+    near = boxes.select(page, "box", *((F.col(c) + (-pad if c in ("x0", "y0") else pad)).cast("double").alias(c) for c in BOX))
+    asks = near.select(page, "box", *BOX, *(F.lit(None).cast(t).alias(n) for n, t in (("level", "boolean"), ("at", "double"), ("low", "double"), ("high", "double"))))
+    given = lines.select(page, F.lit(None).cast(kind).alias("box"), *(F.lit(None).cast("double").alias(c) for c in BOX), "level", *(F.col(c).cast("double").alias(c) for c in ("at", "low", "high")))
+    dealt = by_key(asks.union(given), page).withColumn("many", F.count("at").over(layout.Window.partitionBy(page)) > TILED_LINES)
+    x0, y0, x1, y1 = map(F.col, BOX)
+    passed = F.transform(F.sequence(tile(F.col("low")), tile(F.col("high"))), lambda t: F.struct(F.col("level").alias("level"), t.alias("tile"), F.lit(None).cast(f"struct<box:{kind},start:double,end:double,first:double,last:double>").alias("ask"), F.struct("at", "low", "high").alias("line")))
+    met = dealt.select(page, F.explode(F.when(F.col("level").isNull(), F.array(ask(True, x0, x1, y0, y1), ask(False, y0, y1, x0, x1))).otherwise(passed)).alias("m")).select(page, "m.*")
+    held = met.groupBy(page, "level", "tile").agg(F.collect_list("ask").alias("asks"), F.collect_list("line").alias("lines")).filter((F.size("asks") > 0) & (F.size("lines") > 0))
+    each = held.select(page, "level", F.explode("asks").alias("a"), "lines").select(page, "level", "a.*", "lines")
+    beside = each.withColumn("lines", F.transform(F.filter("lines", lambda n: (n["low"] <= F.col("start") + 0.5) & (n["high"] >= F.col("end") - 0.5)), lambda n: n["at"]))
+    found = beside.select(page, "box", "level", F.array_max(F.filter("lines", lambda at: at < F.col("first"))).alias("before"), F.array_min(F.filter("lines", lambda at: at > F.col("last"))).alias("behind"))
+    sides = {"x0": (False, "before"), "y0": (True, "before"), "x1": (False, "behind"), "y1": (True, "behind")}
+    return found.groupBy(page, "box").agg(*(F.max(F.when(F.col("level") == level, F.col(end))).alias(c) for c, (level, end) in sides.items())).dropna(subset=list(BOX))
 
 
 def underlines(boxes: DataFrame, lines: DataFrame, page: str = "page") -> DataFrame:

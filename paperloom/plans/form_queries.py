@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import form_fields
 from paperloom.plans.registry import query
-from paperloom.session import table
+from paperloom.session import by_key, table
 
 SYNONYMS = [("company", ["公司名稱", "Company Name"]), ("tax_id", ["統一編號"]), ("phone", ["電話"])]
 
@@ -16,8 +16,9 @@ ITEMS = "item AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey,
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with one row for each number of an order."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    """Line items with one row for each number of an order, dealt by order: pages made of them stay where they are."""
+    own = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return by_key(own, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
 
 
 def _form(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
