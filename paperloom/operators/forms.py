@@ -29,21 +29,27 @@ def label_keys(labels: DataFrame, index: DataFrame, column: str = "text") -> Dat
     return labels.withColumn("label", labels_normalised(F.col(column))).join(index, "label").withColumn("key", F.explode("keys")).drop("keys", "label")
 
 
-def split_labels(spans: DataFrame, text: str = "text") -> DataFrame:
-    """Spans of two or more labels that end in colons, cut into one row a label with its share of the width."""
+def label_parts(text: Column, x0: Column, x1: Column) -> Column:
+    """(text, x0, x1) of each label of a text of two or more that end in colons, with its share of the width; else none."""
     one = r"[^\s:：][^:：]{1,20}[:：]"
-    parts = F.regexp_extract_all(F.col(text), F.lit(f"({one})"), 1)
+    parts = F.regexp_extract_all(text, F.lit(f"({one})"), 1)
+    none = F.array().cast("array<string>")
     # where each label starts: what stands before it, the labels before included
-    rows = spans.withColumn("_parts", parts).filter(F.size("_parts") >= 2).withColumn("_width", (F.col("x1") - F.col("x0")) / F.length(text))
     at = F.aggregate(
-        "_parts",
+        F.when(F.size(parts) >= 2, parts).otherwise(none),
         F.struct(F.lit(1).alias("from"), F.array().cast("array<struct<label:string,start:int>>").alias("out")),
-        lambda s, p: F.struct((_locate(p, F.col(text), s["from"]) + F.length(p)).alias("from"), F.array_append(s["out"], F.struct(p.alias("label"), (_locate(p, F.col(text), s["from"]) - 1).cast("int").alias("start"))).alias("out")),
+        lambda s, p: F.struct((_locate(p, text, s["from"]) + F.length(p)).alias("from"), F.array_append(s["out"], F.struct(p.alias("label"), (_locate(p, text, s["from"]) - 1).cast("int").alias("start"))).alias("out")),
         lambda s: s["out"],
     )
-    out = rows.withColumn("_p", F.explode(at))
-    start, width = F.col("_p.start"), F.col("_width")
-    return out.select(*[c for c in spans.columns if c not in (text, "x0", "x1")], F.col("_p.label").alias(text), (F.col("x0") + start * width).alias("x0"), (F.col("x0") + (start + F.length("_p.label")) * width).alias("x1"))
+    width = (x1 - x0) / F.length(text)
+    found = F.transform(at, lambda p: F.struct(p["label"].alias("text"), (x0 + p["start"] * width).alias("x0"), (x0 + (p["start"] + F.length(p["label"])) * width).alias("x1")))
+    return F.when(text.rlike("(?s)[:：].*[:：]"), found).otherwise(F.array().cast("array<struct<text:string,x0:double,x1:double>>"))
+
+
+def split_labels(spans: DataFrame, text: str = "text") -> DataFrame:
+    """Spans of two or more labels that end in colons, cut into one row a label with its share of the width."""
+    out = spans.withColumn("_p", F.explode(label_parts(F.col(text), F.col("x0"), F.col("x1"))))
+    return out.select(*[c for c in spans.columns if c not in (text, "x0", "x1")], F.col("_p.text").alias(text), F.col("_p.x0").alias("x0"), F.col("_p.x1").alias("x1"))
 
 
 def _locate(part: Column, text: Column, start: Column) -> Column:

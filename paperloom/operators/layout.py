@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.session import by_key
+from paperloom.session import by_key, cut
 
 def gap_groups(rows: DataFrame, by: list[str], order: list[str], breaks: Column) -> DataFrame:
     """Rows with a group number that grows where ``breaks`` holds; ``breaks`` may use lag over (by, order) as prev()."""
@@ -181,6 +182,31 @@ def _near(cells: DataFrame, page: str, along: tuple[str, str], across: tuple[str
     return found.groupBy(F.col("page").alias(page), "cell").agg(F.min_by("hit", F.struct("gap", "hit")).alias("hit"))
 
 
+def first_behind(cells: Column, own: Column, along: tuple[str, str], across: tuple[str, str], share: float, reach: Column | float, slack: float = 0.0) -> Column:
+    """What ``_near`` finds, among an array of cells: the nearest one that begins behind the end of ``own``, as a whole."""
+    (a0, a1), (c0, c1) = along, across
+
+    def fits(c: Column) -> Column:
+        common = F.least(c[c1], own[c1]) - F.greatest(c[c0], own[c0])
+        near = (c[a0] >= own[a1] - slack) & (c[a0] - own[a1] <= reach)
+        return near & (common >= share * F.least(c[c1] - c[c0], own[c1] - own[c0])) & (c["cell"] != own["cell"])
+
+    return F.array_min(F.transform(F.filter(cells, fits), lambda c: F.struct(c[a0].alias("at"), c["cell"].alias("cell"), c.alias("of"))))["of"]
+
+
+def smallest_around(cells: Column, x: Column, y: Column) -> Column:
+    """What ``containing_cells`` finds, among an array of cells."""
+    inside = F.filter(cells, lambda c: x.between(c["x0"], c["x1"]) & y.between(c["y0"], c["y1"]))
+    return F.array_min(F.transform(inside, lambda c: F.struct(((c["x1"] - c["x0"]) * (c["y1"] - c["y0"])).alias("area"), c["cell"].alias("cell"), c.alias("of"))))["of"]
+
+
+def large_pages(most: int, page: str, *frames: DataFrame) -> DataFrame | None:
+    """The pages with more rows than that in all frames together; None if there are none."""
+    rows = functools.reduce(DataFrame.union, (f.select(page) for f in frames))
+    found = cut(rows.groupBy(page).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(page))
+    return None if found.isEmpty() else found
+
+
 def nearest_right(cells: DataFrame, page: str = "page", max_gap: float = 300.0, slack: float = 0.0) -> DataFrame:
     """(page, cell, right): the nearest cell to the right with half the height in common; it may begin ``slack`` within."""
     return _near(cells, page, ("x0", "x1"), ("y0", "y1"), 0.5, reach=max_gap, slack=slack).withColumnRenamed("hit", "right")

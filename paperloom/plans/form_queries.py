@@ -28,14 +28,17 @@ def _form(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     text = F.when(kind == 0, "1. 公司名稱(全名)").when(kind == 1, "統 一 編 號：").otherwise("電話／手機")
     y = F.col("y")
 
-    def boxes(rows: DataFrame, names: list, x0: float, x1: float, top: float, bottom: float) -> DataFrame:
+    def box(name: str, number, x0: float, x1: float, top: float, bottom: float, *more):
         ends = zip(form_fields.BOX, (F.lit(x0), y + top, F.lit(x1), y + bottom))
-        return rows.select("page", *names, *(e.alias(c) for c, e in ends))
+        return F.struct(number.alias(name), *more, *(e.alias(c) for c, e in ends))
 
-    spans = boxes(item, [(F.col("n") * 2).alias("span"), text.alias("text")], 0.0, 60.0, 5, 15)
-    spans = spans.union(boxes(item.filter("n % 3 = 1 AND l_partkey % 2 = 0"), [(F.col("n") * 2 + 1).alias("span"), F.lit("filled in").alias("text")], 110.0, 150.0, 5, 15))
-    first = (F.col("n") * 2).alias("cell")
-    cells = boxes(item.filter("n % 3 = 0"), [first], 0.0, 400.0, 0, 20).union(boxes(item.filter("n % 3 = 1"), [first], 0.0, 100.0, 0, 20)).union(boxes(item.filter("n % 3 = 1"), [(F.col("n") * 2 + 1).alias("cell")], 100.0, 250.0, 0, 20))
+    def rows(*some):
+        return item.select("page", F.explode(F.array(*some)).alias("b")).filter("b IS NOT NULL").select("page", "b.*")
+
+    filled = F.when((kind == 1) & (F.col("l_partkey") % 2 == 0), box("span", F.col("n") * 2 + 1, 110.0, 150.0, 5, 15, F.lit("filled in").alias("text")))
+    spans = rows(box("span", F.col("n") * 2, 0.0, 60.0, 5, 15, text.alias("text")), filled)
+    left = F.when(kind != 2, F.struct((F.col("n") * 2).alias("cell"), F.lit(0.0).alias("x0"), y.alias("y0"), F.when(kind == 0, 400.0).otherwise(100.0).alias("x1"), (y + 20).alias("y1")))
+    cells = rows(left, F.when(kind == 1, box("cell", F.col("n") * 2 + 1, 100.0, 250.0, 0, 20)))
     lines = item.filter("n % 3 = 2").select("page", F.lit(True).alias("level"), (y + 20).alias("at"), F.lit(70.0).alias("low"), F.lit(200.0).alias("high"))
     return spans, cells, lines
 
