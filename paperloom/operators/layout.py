@@ -105,16 +105,16 @@ def repeated_lines(lines: DataFrame, doc: str = "doc_id", page: str = "page", te
     return seen.join(pages, doc).filter(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("pages") / 2)))
 
 
-#: Height (or breadth) of the bands that a page is cut into, and cells that a task sweeps together.
+#: Height (or breadth) of the bands that a page is cut into, and cells and bytes that a task sweeps together.
 BAND = 50.0
 SWEPT_CELLS = 200_000
+SWEPT_BYTES = 32 << 20
 
 
-def _sweep(table: pa.Table, reach: float | None, share: float, heights: float, slack: float) -> pa.RecordBatch:
-    """(page, cell, gap, hit) of whole bands: for each cell the first one behind its end, in order of where they begin, that
+def sweep(group: np.ndarray, cell: np.ndarray, along: tuple[np.ndarray, np.ndarray], across: tuple[np.ndarray, np.ndarray], reach: float | None, share: float, heights: float, slack: float) -> tuple[np.ndarray, ...]:
+    """(cell, gap, hit) as places: for each cell of a group the first one behind its end, in order of where they begin, that
     shares enough of its breadth. All cells look at their next candidate at once, until they have a hit or are out of reach."""
-    group = table.column("_g").to_numpy()
-    cell, a0, a1, c0, c1 = (table.column(k).to_numpy() for k in ("cell", "a0", "a1", "c0", "c1"))
+    (a0, a1), (c0, c1) = along, across
     order = np.lexsort((cell, a0, group))
     group, cell, a0, a1, c0, c1 = (x[order] for x in (group, cell, a0, a1, c0, c1))
     n = len(cell)
@@ -140,7 +140,32 @@ def _sweep(table: pa.Table, reach: float | None, share: float, heights: float, s
         open_ = open_[~fits]
         at[open_] += 1
     found = np.flatnonzero(hit >= 0)
-    return pa.RecordBatch.from_arrays([table.column("page").take(pa.array(order[found])).combine_chunks(), pa.array(cell[found]), pa.array(gap[found]), pa.array(cell[hit[found]])], names=["page", "cell", "gap", "hit"])
+    return order[found], gap[found], order[hit[found]]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[pa.Table]:
+    """Sorted rows as tables of whole groups, with the group's number in ``_g``; a table ends with the first group that begins
+    when it holds SWEPT_CELLS rows or SWEPT_BYTES."""
+    held, last, number = [], None, 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        new = np.zeros(len(batch), bool)
+        for name in names:
+            values = batch.column(name)
+            new[1:] |= pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+        new[0] = last != tuple(batch.column(name)[0].as_py() for name in names)
+        if (sum(map(len, held)) >= SWEPT_CELLS or sum(b.nbytes for b in held) >= SWEPT_BYTES) and new.any():
+            cut_ = int(np.flatnonzero(new)[0])
+            held.append(batch.slice(0, cut_).append_column("_g", pa.array(np.full(cut_, number))))
+            yield pa.Table.from_batches(held)
+            held = []
+            batch, new = batch.slice(cut_), new[cut_:]
+        groups = number + np.cumsum(new)
+        held.append(batch.append_column("_g", pa.array(groups)))
+        number, last = int(groups[-1]), tuple(batch.column(name)[-1].as_py() for name in names)
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _near(cells: DataFrame, page: str, along: tuple[str, str], across: tuple[str, str], share: float, reach: float | None = None, heights: float = 0.0, slack: float = 0.0) -> DataFrame:
@@ -156,26 +181,10 @@ def _near(cells: DataFrame, page: str, along: tuple[str, str], across: tuple[str
     dealt = placed.withColumn("_band", F.explode(F.sequence(F.floor(F.col("c0") / BAND), F.floor(F.col("c1") / BAND))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last, number = [], None, 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            new = np.zeros(len(batch), bool)
-            for name in ("page", "_band"):
-                values = batch.column(name)
-                new[1:] |= pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
-            new[0] = last != (batch.column("page")[0].as_py(), batch.column("_band")[0].as_py())
-            if sum(map(len, held)) >= SWEPT_CELLS and new.any():  # whole bands only: up to the first one that begins here
-                cut_ = int(np.flatnonzero(new)[0])
-                held.append(batch.slice(0, cut_).append_column("_g", pa.array(np.full(cut_, number))))
-                yield _sweep(pa.Table.from_batches(held), reach, share, heights, slack)
-                held = []
-                batch, new = batch.slice(cut_), new[cut_:]
-            groups = number + np.cumsum(new)
-            held.append(batch.append_column("_g", pa.array(groups)))
-            number, last = int(groups[-1]), (batch.column("page")[-1].as_py(), batch.column("_band")[-1].as_py())
-        if held:
-            yield _sweep(pa.Table.from_batches(held), reach, share, heights, slack)
+        for table in whole_groups(batches, "page", "_band"):
+            at = {name: table.column(name).to_numpy() for name in ("_g", "cell", "a0", "a1", "c0", "c1")}
+            found, gap, hit = sweep(at["_g"], at["cell"], (at["a0"], at["a1"]), (at["c0"], at["c1"]), reach, share, heights, slack)
+            yield pa.RecordBatch.from_arrays([table.column("page").take(pa.array(found)).combine_chunks(), pa.array(at["cell"][found]), pa.array(gap), pa.array(at["cell"][hit])], names=["page", "cell", "gap", "hit"])
 
     bands = dealt.repartition("page", "_band").sortWithinPartitions("page", "_band")
     found = bands.mapInArrow(run, f"page {kind[page]}, cell {kind['cell']}, gap double, hit {kind['cell']}")

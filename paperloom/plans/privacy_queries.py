@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import checks
 from paperloom.operators import deident, diff
 from paperloom.plans.registry import query
-from paperloom.session import table
+from paperloom.session import by_key, table
 
 
 @query("pii_findings")
@@ -106,7 +106,8 @@ def form_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(n % 4 == 1, "出生日期").when(n % 4 == 2, "備註").when(n % 4 == 3, "生日").otherwise(F.date_format(day, "yyyy.MM.dd"))
     value = F.when(n % 4 == 1, F.date_format(day, "yyyy-MM-dd")).when(n % 4 == 2, F.concat(F.lit("user"), F.col("l_partkey").cast("string"), F.lit("@example.com"))).otherwise("n/a")
     both = F.explode(F.array(F.struct(F.lit(0).alias("k"), label.alias("text")), F.struct(F.lit(1).alias("k"), value.alias("text"))))
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("l_shipdate"), F.min("l_partkey").alias("l_partkey"))
+    own = by_key(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey"), "l_orderkey")
+    items = own.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("l_shipdate"), F.min("l_partkey").alias("l_partkey"))
     rows = items.select(F.col("l_orderkey").alias("page"), n.alias("n"), both.alias("c"))
     x = 50.0 + 100 * F.col("c.k")
     cells = rows.select("page", (F.col("n") * 10 + F.col("c.k")).alias("cell"), "c.text", x.alias("x0"), (x + 80).alias("x1"), (F.col("n") * 20.0).alias("y0"), (F.col("n") * 20.0 + 15).alias("y1"))

@@ -43,3 +43,37 @@ def test_fields_of_small_pages_are_those_of_joins(spark, monkeypatch, few):
 def test_forms_are_dealt_once(spark):
     # line items with and without their parts, and the labels, which come back from Python
     assert exchanges(registry.queries()["form_field_slots"](spark, SMALL)) <= 4
+
+
+def random_cells(spark, seed):
+    rng = random.Random(seed)
+    day = lambda: f"19{rng.randrange(50, 99)}-0{rng.randrange(1, 9)}-1{rng.randrange(9)}"
+    texts = lambda: rng.choice(["出生日期", "生日：", "備註", "n/a", "", None, day(), f"生日 {day()}", f"{day()} 生日", "a@b.com", f"u{rng.randrange(9)}@example.com 生日", "戶名", "密碼:"])
+    cells = []
+    for p in [*range(5), None]:
+        for k in range(60):
+            x, y = rng.randrange(10) * 55.0, rng.randrange(20) * 16.0
+            cells.append((p, k, texts(), x, y, x + rng.choice([30.0, 50.0, 160.0]), y + rng.choice([8.0, 15.0, 120.0])))
+    odd = [(1, 900, day(), None, 1.0, 2.0, 3.0), (None, 901, "a@b.com", None, 1.0, 2.0, 3.0), (2, None, "a@b.com", 0.0, 0.0, 9.0, 9.0), (2, None, "生日 1998-12-28 1998-12-28", 0.0, 0.0, 9.0, 9.0)]
+    return spark.createDataFrame(cells + odd, "page long, cell long, text string, x0 double, y0 double, x1 double, y1 double").repartition(3)
+
+
+@pytest.mark.parametrize("most, swept", [(1_000, 200_000), (1_000, 10), (61, 10), (5, 200_000)])
+def test_personal_data_of_small_pages_is_that_of_joins(spark, monkeypatch, most, swept):
+    from paperloom.operators import deident, layout
+
+    ids = ("dob", "email", "account_name", "cred_label")
+    cells = random_cells(spark, most + swept)
+    joined = deident._in_bands(cells.fillna("", ["text"]), [deident.PATTERNS[i] for i in ids])
+    monkeypatch.setattr(deident, "PAGE_CELLS", most)
+    monkeypatch.setattr(layout, "SWEPT_CELLS", swept)
+    plain = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    found = deident.across_cells(cells.withColumnRenamed("page", "p"), ids, "p")
+    got = plain(found)
+    assert found.columns[0] == "p" and got == plain(joined.distinct())
+    assert len(got) > 60 and sum("'dob'" in r for r in got) > 20
+
+
+def test_cells_are_dealt_once(spark):
+    # the line items; of those without a page, which there are none of, another time
+    assert exchanges(registry.queries()["form_personal_data"](spark, SMALL)) <= 2
