@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators import ruled_tables
@@ -34,6 +34,25 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("page", x.alias("x0"), y0.alias("y0"), F.when(level, x + 100).otherwise(x).alias("x1"), y1.alias("y1"))
 
 
+def _segments_of_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same segments, one row an item."""
+    n, p, s, q, y = (F.col(c) for c in "npsqy")
+    top = F.lit(100.0) + 30 * n + F.when(n >= 5, 120).otherwise(0)
+    item = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("long").alias("q"))
+    item = by_key(item, "page").withColumn("y", top.cast("double"))
+
+    def segment(where: Column, x0: float, y0: Column, x1: float, y1: Column) -> Column:
+        return F.when(where, F.struct(F.lit(x0).alias("x0"), y0.alias("y0"), F.lit(x1).alias("x1"), y1.alias("y1")))
+
+    pieces = [segment((n == 4) & (p % 2 == 0), 50.0, y, 50.0, y + 160)]
+    for c in range(5):
+        x = 50.0 + 100 * c
+        pieces.append(segment(F.lit(True) if c in (0, 4) else (q + c) % 4 != 0, x, y + 30, x, y))
+        if c < 4:
+            pieces += [segment((p + c) % 5 != 0, x, y + 0.3 * (c % 2), x + 100, y + 0.3 * (c % 2)), segment((s + c) % 3 != 0, x, y + 30, x + 100, y + 30)]
+    return item.select("page", F.array(*pieces).alias("segments"))
+
+
 RULINGS = f"""{SEGMENTS},
 axis AS (
   SELECT page, level, (CASE WHEN level THEN y0 + y1 ELSE x0 + x1 END) / 2 AS spot_at, CASE WHEN level THEN least(x0, x1) ELSE least(y0, y1) END AS low, CASE WHEN level THEN greatest(x0, x1) ELSE greatest(y0, y1) END AS high
@@ -93,5 +112,5 @@ SELECT page, tab::BIGINT AS "table", min(r)::INTEGER AS "row", col::INTEGER AS c
 FROM tall GROUP BY page, tab, col, col_span, g""")
 def ruled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells of all ruled tables, merged where walls are absent."""
-    found = ruled_tables.cells(_segments(spark, sf_dir))
+    found = ruled_tables.cells(_segments_of_items(spark, sf_dir))
     return found.select("page", "table", "row", "col", "row_span", "col_span", *(F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")))
