@@ -142,20 +142,22 @@ def axes(lines: DataFrame, page: str = "page") -> DataFrame:
     return seen.select(*by, "k", F.col("place").alias("at"), "next", F.transform(walls, lambda line: F.struct(line["low"].alias("low"), line["high"].alias("high"))).alias("walls"))
 
 
-def cells(segments: DataFrame, page: str = "page") -> DataFrame:
+def cells(segments: DataFrame, page: str = "page", several: Column | None = None) -> DataFrame:
     """(page, table, row, col, row_span, col_span, x0, y0, x1, y1): the cells of all tables, merged where no wall parts them.
 
     Cells of a row without a wall between them are one; such runs of the same columns in consecutive rows are one where no
-    wall below parts any of their columns. Rows may also be (page, segments), arrays of (x0, y0, x1, y1): a row costs more on
-    its way to Python than its segments do.
+    wall below parts any of their columns. Rows may hold ``several`` segments, an array of (x0, y0, x1, y1) that is worked out
+    when they have been dealt and sorted: a row costs more on its way to Python than its segments do.
     """
-    several = F.col("segments") if "segments" in segments.columns else F.array(F.struct("x0", "y0", "x1", "y1"))
-    rows = by_key(segments.select(F.col(page).alias("page"), several.cast("array<struct<x0:double,y0:double,x1:double,y1:double>>").alias("segments")), "page")
-    apart = _apart(rows)
+    several = (F.array(F.struct("x0", "y0", "x1", "y1")) if several is None else several).cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    packed = lambda rows: rows.select(F.col(page).alias("page"), several.alias("segments"))
+    dealt = by_key(segments, page)
+    apart = _apart(packed(dealt))
     if apart is None:
-        return _in_pages(rows).withColumnRenamed("page", page)
-    few, many = (by_key(rows.join(apart, F.col("page").eqNullSafe(F.col("_apart")), how), "page") for how in ("left_anti", "left_semi"))
-    return _in_pages(few).union(_by_windows(_pieces(many.select("page", F.inline("segments")), "page"), "page")).withColumnRenamed("page", page)
+        return _in_pages(packed(dealt.sortWithinPartitions(page))).withColumnRenamed("page", page)
+    few, many = (by_key(dealt.join(apart, F.col(page).eqNullSafe(F.col("_apart")), how), page) for how in ("left_anti", "left_semi"))
+    found = _in_pages(packed(few.sortWithinPartitions(page))).union(_by_windows(_pieces(packed(many).select("page", F.inline("segments")), "page"), "page"))
+    return found.withColumnRenamed("page", page)
 
 
 def _apart(rows: DataFrame) -> DataFrame | None:
@@ -174,7 +176,7 @@ def _apart(rows: DataFrame) -> DataFrame | None:
 
 
 def _in_pages(rows: DataFrame) -> DataFrame:
-    """``cells`` of pages that are held whole, many at a time."""
+    """``cells`` of sorted pages that are held whole, many at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in whole_groups(batches, "page"):
@@ -194,7 +196,7 @@ def _in_pages(rows: DataFrame) -> DataFrame:
 
     bounded_batches(rows.sparkSession)
     kind = rows.schema["page"].dataType.simpleString()
-    return rows.sortWithinPartitions("page").mapInArrow(run, f"page {kind}, " + ", ".join(f"{c} {t}" for c, t in CELL.items()))
+    return rows.mapInArrow(run, f"page {kind}, " + ", ".join(f"{c} {t}" for c, t in CELL.items()))
 
 
 def _new(*keys: np.ndarray) -> np.ndarray:
@@ -221,13 +223,19 @@ def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _whole_lines(page: np.ndarray, level: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
     """The lines of ``rulings`` from pieces, in order of pages."""
+    if not len(page):
+        return page, level, at, low, high
     spot = np.trunc(at)
     spot += np.copysign(np.abs(at - spot) >= 0.5, at)
-    order = np.lexsort((low, spot, 2 * page + level))
-    page, level, at, low, high, spot = (v[order] for v in (page, level, at, low, high, spot))
-    new = _new(page, level, spot)
+    line, place, wide = 2 * (page - page[0]) + level, spot - spot.min(), np.ptp(spot) + 1
+    if not (line[-1] + 2) * wide < 2.0**53:
+        place, wide = np.unique(spot, return_inverse=True)[1], len(spot)
+    line = line * wide + place
+    order = np.lexsort((low, line))
+    page, level, at, low, high, line = (v[order] for v in (page, level, at, low, high, line))
+    new = _new(line)
     # how far the pieces of a line reach so far, as the running maximum of their ranks
-    by_end = np.argsort(high, kind="stable")
+    by_end = np.argsort(high)
     rank = np.empty_like(by_end)
     rank[by_end] = np.arange(len(high))
     before = np.cumsum(new) * len(high)

@@ -22,7 +22,7 @@ seg AS (
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, c = F.col("n"), F.col("c")
     # an item is dealt to its page before it becomes its up to fourteen pieces
-    item = by_key(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("long").alias("q")), "page")
+    item = by_key(_items(spark, sf_dir), "page")
     top = F.lit(100.0) + 30 * n + F.when(n >= 5, 120).otherwise(0)
     parts = item.select("*", top.cast("double").alias("y"), F.explode(F.array(*map(F.lit, range(5)))).alias("c")).withColumn("x", F.lit(50.0) + 100 * c)
     kept = {"top": "c < 4 AND (p + c) % 5 <> 0", "bottom": "c < 4 AND (s + c) % 3 <> 0", "side": "c IN (0, 4) OR (q + c) % 4 <> 0", "bridge": "c = 0 AND n = 4 AND p % 2 = 0"}
@@ -34,12 +34,14 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("page", x.alias("x0"), y0.alias("y0"), F.when(level, x + 100).otherwise(x).alias("x1"), y1.alias("y1"))
 
 
-def _segments_of_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same segments, one row an item."""
-    n, p, s, q, y = (F.col(c) for c in "npsqy")
-    top = F.lit(100.0) + 30 * n + F.when(n >= 5, 120).otherwise(0)
-    item = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("long").alias("q"))
-    item = by_key(item, "page").withColumn("y", top.cast("double"))
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("long").alias("q"))
+
+
+def _segments_of_item() -> Column:
+    """The same segments, all of an item in one array; those that it lacks are null."""
+    n, p, s, q = (F.col(c) for c in "npsq")
+    y = (F.lit(100.0) + 30 * n + F.when(n >= 5, 120).otherwise(0)).cast("double")
 
     def segment(where: Column, x0: float, y0: Column, x1: float, y1: Column) -> Column:
         return F.when(where, F.struct(F.lit(x0).alias("x0"), y0.alias("y0"), F.lit(x1).alias("x1"), y1.alias("y1")))
@@ -50,7 +52,7 @@ def _segments_of_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         pieces.append(segment(F.lit(True) if c in (0, 4) else (q + c) % 4 != 0, x, y + 30, x, y))
         if c < 4:
             pieces += [segment((p + c) % 5 != 0, x, y + 0.3 * (c % 2), x + 100, y + 0.3 * (c % 2)), segment((s + c) % 3 != 0, x, y + 30, x + 100, y + 30)]
-    return item.select("page", F.array(*pieces).alias("segments"))
+    return F.array(*pieces)
 
 
 RULINGS = f"""{SEGMENTS},
@@ -112,5 +114,5 @@ SELECT page, tab::BIGINT AS "table", min(r)::INTEGER AS "row", col::INTEGER AS c
 FROM tall GROUP BY page, tab, col, col_span, g""")
 def ruled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells of all ruled tables, merged where walls are absent."""
-    found = ruled_tables.cells(_segments_of_items(spark, sf_dir))
+    found = ruled_tables.cells(_items(spark, sf_dir), several=_segments_of_item())
     return found.select("page", "table", "row", "col", "row_span", "col_span", *(F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.operators import layout, ruled_tables
 from paperloom.plans import registry
@@ -62,17 +63,25 @@ def test_arrays_of_segments_are_their_rows(spark):
     segments = spark.createDataFrame(rows, f"sheet string, {BOX}")
     several = [(page, [tuple(r[1:]) for r in rows if r[0] == page][k::3] + [None]) for page in ("p0", "p1", "p2") for k in range(3)]
     packed = spark.createDataFrame([*several, ("p0", None), ("p7", []), ("p8", None)], f"sheet string, segments array<struct<{BOX.replace(' ', ':').replace(',:', ',')}>>")
-    found = ruled_tables.cells(packed, "sheet")
+    found = ruled_tables.cells(packed, "sheet", F.col("segments"))
     assert found.columns[0] == "sheet"
     assert plain(found) == plain(ruled_tables.cells(segments, "sheet")) != []
 
 
+@pytest.mark.parametrize("off", [0.0, 2.0**40, -(2.0**51)])
+def test_far_places_are_told_apart(spark, off):
+    rows = [(page, a, b + off, c, d + off) for page in (1, 2) for a, b, c, d in [(0.0, 0.0, 90.0, 0.0), (0.0, 40.0, 90.0, 40.0), (0.0, 0.0, 0.0, 40.0), (90.0, 0.0, 90.0, 40.0), (40.0, 0.0, 40.0, 25.0)]]
+    segments = spark.createDataFrame([*rows, (3, 0.0, 0.0, 90.0, 0.0)], f"page long, {BOX}").coalesce(1)
+    assert len(found := plain(ruled_tables.cells(segments))) == 4
+    assert found == plain(ruled_tables._by_windows(ruled_tables._pieces(segments, "page"), "page"))
+
+
 def test_a_page_of_many_lines_goes_through_windows(spark, monkeypatch):
     monkeypatch.setattr(ruled_tables, "PAIRS", 100)
     grid = [(0.0, 20.0 * k, 400.0, 20.0 * k) for k in range(21)] + [(20.0 * k, 0.0, 20.0 * k, 400.0) for k in range(21)]
     rows = [(1, *line) for line in grid] + [(2, *line) for line in grid[:3] + grid[21:26]] + [(3, *line) for line in grid[:21]]
-    rows = ruled_tables.by_key(spark.createDataFrame(rows, f"page long, {BOX}").selectExpr("page", "array(struct(x0, y0, x1, y1)) AS segments"), "page")
-    assert [r[0] for r in ruled_tables._apart(rows).collect()] == [1]
+    rows = spark.createDataFrame(rows, f"page long, {BOX}")
+    assert [r[0] for r in ruled_tables._apart(rows.selectExpr("page", "array(struct(x0, y0, x1, y1)) AS segments")).collect()] == [1]
     assert sorted(r[:2] for r in ruled_tables.cells(rows).groupBy("page").count().collect()) == [(1, 400), (2, 8)]
 
 
