@@ -152,7 +152,7 @@ def cells(segments: DataFrame, page: str = "page", several: Column | None = None
     several = (F.array(F.struct("x0", "y0", "x1", "y1")) if several is None else several).cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
     packed = lambda rows: rows.select(F.col(page).alias("page"), several.alias("segments"))
     dealt = by_key(segments, page)
-    apart = _apart(packed(dealt))
+    apart = _apart(packed(segments))
     if apart is None:
         return _in_pages(packed(dealt.sortWithinPartitions(page))).withColumnRenamed("page", page)
     few, many = (by_key(dealt.join(apart, F.col(page).eqNullSafe(F.col("_apart")), how), page) for how in ("left_anti", "left_semi"))
